@@ -10,6 +10,7 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .simhash import near_duplicates
 from .line_dedup import line_dedup
+from . import quality_classifier
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,10 +25,16 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_deleted")
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_classifier.classify(docs, quality_classifier.train(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_dedup": op6_exact_dedup,
     "op1_simhash": op1_simhash,
     "op2_line_dedup": op2_line_dedup,
+    "op5_quality_classifier": op5_quality_classifier,
 }
 
 ORACLE_SQL: dict[str, str] = {
