@@ -10,7 +10,7 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .simhash import near_duplicates
 from .line_dedup import line_dedup
-from . import quality_classifier
+from . import quality_classifier, quality_rules
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,11 +30,17 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(docs, quality_classifier.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.apply_rules(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_dedup": op6_exact_dedup,
     "op1_simhash": op1_simhash,
     "op2_line_dedup": op2_line_dedup,
     "op5_quality_classifier": op5_quality_classifier,
+    "op4_quality_rules": op4_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
