@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
@@ -11,6 +12,7 @@ from .exact_dedup import exact_dedup
 from .simhash import near_duplicates
 from .line_dedup import line_dedup
 from . import quality_classifier, quality_rules
+from .packing import pack
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,12 +37,17 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_dedup": op6_exact_dedup,
     "op1_simhash": op1_simhash,
     "op2_line_dedup": op2_line_dedup,
     "op5_quality_classifier": op5_quality_classifier,
     "op4_quality_rules": op4_quality_rules,
+    "op3_packing": op3_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
