@@ -13,6 +13,7 @@ from .simhash import near_duplicates
 from .line_dedup import line_dedup
 from . import quality_classifier, quality_rules
 from .packing import pack
+from .sentencepieces import round_trip
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +42,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_dedup": op6_exact_dedup,
     "op1_simhash": op1_simhash,
@@ -48,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_classifier": op5_quality_classifier,
     "op4_quality_rules": op4_quality_rules,
     "op3_packing": op3_packing,
+    "op7_sentencepiece": op7_sentencepiece,
 }
 
 ORACLE_SQL: dict[str, str] = {
