@@ -14,6 +14,7 @@ from .line_dedup import line_dedup
 from . import quality_classifier, quality_rules
 from .packing import pack
 from .sentencepieces import round_trip
+from .chat import format_conversations
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +47,10 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_conversations(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_dedup": op6_exact_dedup,
     "op1_simhash": op1_simhash,
@@ -54,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op3_packing": op3_packing,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_chat_formatting": op8_chat_formatting,
 }
 
 ORACLE_SQL: dict[str, str] = {
