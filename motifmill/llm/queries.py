@@ -15,6 +15,7 @@ from . import quality_classifier, quality_rules
 from .packing import pack
 from .sentencepieces import round_trip
 from .chat import format_conversations
+from .warc import archive_pages
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +52,10 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_conversations(spark, sf_dir)
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_dedup": op6_exact_dedup,
     "op1_simhash": op1_simhash,
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_chat_formatting": op8_chat_formatting,
+    "op9_warc": op9_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
