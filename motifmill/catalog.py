@@ -1,4 +1,524 @@
-"""All queries over the driver's tables, with their SQL."""
+"""Queries over the driver's tables, one for each operator, with their SQL.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+The tables hold no DNA, so the letters a, c, g and t of a document's whole text are its sequence; its n_chars stands for the peak's
+fold change and the middle of the sequence for the summit.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import kmers as fn
+from .operators import align, chain, evaluate, index, neighbourhood, observe, pools, scoring, windows
+from .sources import readers, writers
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+#: Lexicon of the chaining queries: word length and the least share of sequences; overlap, gap and least share of a chain.
+K, SHARE, OVERLAP, GAP, CHAIN_SHARE = 5, 0.45, 2, 3, 0.4
+
+SEQS = "seqs AS (SELECT doc_id AS seq_id, upper(regexp_replace(lower(text), '[^acgt]', '', 'g')) AS seq, n_chars FROM documents)"
+BUNDLES = "bundles AS (SELECT seq_id, n_chars / 1000.0::DOUBLE AS maxlog2fc, length(seq) // 2 AS summit FROM seqs)"
+
+
+def frames_sql(k: int, name: str = "fr", last: int = 0) -> str:
+    return f"{name} AS (SELECT seq_id, i AS start, substr(seq, i + 1, {k}) AS frame FROM seqs, unnest(range(0, greatest(length(seq) - {k} + {last}, 0))) t(i))"
+
+
+LEX = f"""{SEQS}, {frames_sql(K)}, n_seqs AS (SELECT count(*) AS n FROM seqs),
+    lex AS (SELECT frame AS label, count(DISTINCT seq_id) AS q, count(*) AS n FROM fr GROUP BY frame HAVING count(DISTINCT seq_id) >= {SHARE} * (SELECT n FROM n_seqs)),
+    occ AS (SELECT frame AS label, seq_id, start, {K} AS size FROM fr WHERE frame IN (SELECT label FROM lex))"""
+NEAR1 = """list_distinct(list_concat(
+        list_transform(range(1, length(w) + 1), lambda i: substr(w, 1, i - 1) || substr(w, i + 1)),
+        flatten(list_transform(range(1, length(w) + 1), lambda i: list_transform(['A', 'T', 'C', 'G'], lambda x: substr(w, 1, i - 1) || x || substr(w, i + 1)))),
+        flatten(list_transform(range(0, length(w) + 1), lambda i: list_transform(['A', 'T', 'C', 'G'], lambda x: substr(w, 1, i) || x || substr(w, i + 1))))))"""
+PFM = f"""{frames_sql(6, 'fr6')}, cells AS (SELECT i AS pos, substr(frame, i + 1, 1) AS base FROM fr6, unnest(range(0, 6)) t(i) WHERE frame LIKE 'TA%'),
+    pfm AS (SELECT p.pos, b.base, (SELECT count(*) FROM cells c WHERE c.pos = p.pos AND c.base = b.base) AS count FROM (SELECT unnest(range(0, 6)) AS pos) p, (SELECT unnest(['A', 'C', 'G', 'T']) AS base) b),
+    tot AS (SELECT pos, sum(count) AS n FROM pfm GROUP BY pos),
+    pwm AS (SELECT f.pos, f.base, log2(((f.count + 0.25) / (t.n + 1)) / 0.25) AS fwd, log2(((r.count + 0.25) / (t.n + 1)) / 0.25) AS rev
+            FROM pfm f JOIN tot t ON t.pos = f.pos JOIN pfm r ON r.pos = 5 - f.pos AND r.base = translate(f.base, 'ACGT', 'TGCA'))"""
+ALIGN = """offs AS (SELECT text, length(text) AS n, i FROM texts, unnest(range({first}, length(text) + {extra})) t(i) WHERE length(text) >= {least}),
+    cell AS (SELECT text, i, least(i, n) AS stop, substr(text, greatest(0, i - 6) + j + 1, 1) AS base, greatest(0, 6 - i) + j AS pos
+             FROM offs, unnest(range(0, least(n - greatest(0, i - 6), 6 - greatest(0, 6 - i)))) u(j)),
+    sums AS (SELECT text, i, stop, round(sum(fwd), 9) AS fwd, round(sum(rev), 9) AS rev FROM cell JOIN pwm USING (pos, base) GROUP BY ALL),
+    best AS (SELECT text, max(fwd) AS fwd, max(rev) AS rev, arg_max(stop, struct_pack(s := fwd, i := i)) AS fwd_end, arg_max(stop, struct_pack(s := rev, i := i)) AS rev_end FROM sums GROUP BY text)"""
+PARTIAL, FULL = ALIGN.format(first=1, extra=6, least=1), ALIGN.format(first=6, extra=1, least=6)
+SCORES = f"""{LEX}, {BUNDLES}, {PFM}, texts AS (SELECT label AS text FROM lex), {PARTIAL},
+    ins AS (SELECT label, count(*) AS card, sum(maxlog2fc) AS inside FROM (SELECT DISTINCT label, seq_id FROM occ) JOIN bundles USING (seq_id) GROUP BY label),
+    tb AS (SELECT sum(maxlog2fc) AS total, count(*) AS n FROM bundles),
+    ss AS (SELECT label, round(inside / card - CASE WHEN round(total - inside, 6) = 0 OR n = card THEN 0 ELSE round(total - inside, 6) / (n - card) END, 6) AS ssmart FROM ins, tb),
+    sd AS (SELECT label, round(avg(abs(summit - (2 * start + size) // 2)), 6) AS summit FROM occ JOIN bundles USING (seq_id) GROUP BY label),
+    scores AS (SELECT label, ssmart, summit, round(greatest(fwd, rev), 6) AS jaspar FROM ss JOIN sd USING (label) JOIN best ON text = label)"""
+RANKS = """rk AS (SELECT label, ssmart, summit, jaspar, row_number() OVER (ORDER BY -ssmart, label) - 1 AS r1, row_number() OVER (ORDER BY summit, label) - 1 AS r2, row_number() OVER (ORDER BY -jaspar, label) - 1 AS r3 FROM scores),
+    ranks AS (SELECT label, CASE WHEN r1 < 100 THEN r1 ELSE -1 END AS r1, CASE WHEN r2 < 100 THEN r2 ELSE -1 END AS r2, CASE WHEN r3 < 100 THEN r3 ELSE -1 END AS r3 FROM rk),
+    pool AS (SELECT 'ssmart' AS pool, r1 AS rank, label, ssmart AS score FROM rk WHERE r1 < 100 UNION ALL SELECT 'summit', r2, label, summit FROM rk WHERE r2 < 100 UNION ALL SELECT 'jaspar', r3, label, jaspar FROM rk WHERE r3 < 100)"""
+
+
+def chain_sql(source: str, name: str, share: float = CHAIN_SHARE) -> str:
+    """One generation from a relation of (pattern, label, seq_id, start, size)."""
+    return f"""{name}_all AS (SELECT e.pattern, w.label AS word, e.label || w.label AS label, e.seq_id, e.start, e.size + length(w.label) + e.s AS size
+        FROM (SELECT o.*, length(seq) AS len, s FROM {source} o JOIN seqs USING (seq_id), unnest(range(-{OVERLAP}, {GAP + 1})) t(s)) e
+        JOIN occ w ON w.seq_id = e.seq_id AND w.start = e.start + e.size + e.s
+        WHERE w.start < e.len AND w.start > e.start AND length(w.label) + e.s > 0 AND e.start + e.size + length(w.label) + e.s < e.len),
+    {name} AS (SELECT * FROM {name}_all WHERE (pattern, word) IN (SELECT (pattern, word) FROM {name}_all GROUP BY pattern, word HAVING count(DISTINCT seq_id) >= {share} * (SELECT n FROM n_seqs)))"""
+
+
+def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("seq_id"), F.upper(F.regexp_replace(F.lower("text"), "[^acgt]", "")).alias("seq"))
+
+
+def bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select(F.col("doc_id").alias("seq_id"), (F.col("n_chars") / 1000.0).alias("maxlog2fc"), F.floor(F.length(F.regexp_replace(F.lower("text"), "[^acgt]", "")) / 2).alias("summit"))
+
+
+def query(name: str, sql: str | None):
+    """Register a function of (spark, sf_dir); whole numbers come as BIGINT."""
+
+    def register(make: Callable[[SparkSession, str], DataFrame]):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            df = make(spark, sf_dir)
+            return df.select(*[F.col(c).cast("long") if kind == "int" else F.col(c) for c, kind in df.dtypes])
+
+        QUERIES[name] = run
+        if sql:
+            ORACLE_SQL[name] = sql
+        return make
+
+    return register
+
+
+def least(seqs: DataFrame, share: float) -> int:
+    """The least whole support that is a share of the sequences."""
+    import math
+
+    return math.ceil(share * seqs.count() - 1e-9)
+
+
+def words(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sequences, the occurrences of the lexicon's words, and the lexicon."""
+    seqs = sequences(spark, sf_dir)
+    seen = observe.observe(seqs, K)
+    lexicon = observe.lexicon(observe.support(seen), least(seqs, SHARE))
+    return seqs, seen.join(F.broadcast(lexicon.select("label")), "label"), lexicon  # at most 4^K labels
+
+
+def patterns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sequences, the lexicon as patterns, and its index."""
+    seqs, occ, _ = words(spark, sf_dir)
+    return seqs, occ.withColumn("pattern", F.col("label")), occ.select("seq_id", F.col("start").alias("pos"), "label")
+
+
+def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The letter counts of the windows of six letters that begin with TA."""
+    cells = windows.frames(sequences(spark, sf_dir), 6).where(F.col("frame").startswith("TA")).select(F.posexplode(F.array_remove(F.split("frame", ""), "")).alias("pos", "base"))
+    spine = spark.range(6).select(F.col("id").cast("int").alias("pos"), F.explode(F.array(*map(F.lit, "ACGT"))).alias("base"))
+    return spine.join(cells.groupBy("pos", "base").agg(F.count(F.lit(1)).alias("count")), ["pos", "base"], "left").select("pos", "base", F.coalesce("count", F.lit(0)).alias("count"))
+
+
+def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seqs, occ, _ = patterns(spark, sf_dir)
+    found = scoring.all_scores(occ, seqs, bundles(spark, sf_dir), scoring.matrix(counts(spark, sf_dir)))
+    return found.select("pattern", F.col("pattern").alias("label"), *[F.round(c, 6).alias(c) for c in ("ssmart", "summit", "jaspar")])
+
+
+@query("frames_k6", f"WITH {SEQS}, {frames_sql(6)} SELECT seq_id, start, frame FROM fr")
+def _(spark, sf_dir):
+    return windows.frames(sequences(spark, sf_dir), 6)
+
+
+@query("frames_multilayer", f"""WITH {SEQS}, layers AS (SELECT * FROM (VALUES (3, 0), (4, 1), (5, 1)) v(k, d)),
+    fr AS (SELECT k, d, seq_id, substr(seq, i + 1, k) AS frame FROM seqs, layers, unnest(range(0, CASE WHEN length(seq) = k THEN 1 ELSE greatest(length(seq) - k, 0) END)) t(i))
+    SELECT k, d, frame, count(*) AS n, count(DISTINCT seq_id) AS q FROM fr GROUP BY ALL""")
+def _(spark, sf_dir):
+    rows = windows.multilayer_frames(sequences(spark, sf_dir), [(3, 0), (4, 1), (5, 1)])
+    return observe.support(rows, "k", "d", "frame")
+
+
+@query("kmer_enumerate", f"""WITH RECURSIVE {SEQS}, {frames_sql(K)}, w AS (SELECT '' AS kmer UNION ALL SELECT kmer || x FROM w, (SELECT unnest(['A', 'T', 'C', 'G']) AS x) WHERE length(kmer) < {K}),
+    seen AS (SELECT frame, count(*) AS n FROM fr GROUP BY frame) SELECT kmer, coalesce(n, 0) AS n FROM w LEFT JOIN seen ON frame = kmer WHERE length(kmer) = {K}""")
+def _(spark, sf_dir):
+    seen = windows.frames(sequences(spark, sf_dir), K).groupBy("frame").agg(F.count(F.lit(1)).alias("n"))
+    words_ = neighbourhood.kmers(spark, K)
+    return words_.join(seen, words_["kmer"] == seen["frame"], "left").select("kmer", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+CODE = "list_reduce(list_prepend(1::BIGINT, list_transform(string_split(frame, ''), lambda x: instr('ATCG', x)::BIGINT)), lambda c, x: 4 * c + 2 - x)"
+
+
+@query("heap_encode", f"WITH {SEQS}, {frames_sql(6)} SELECT frame AS kmer, {CODE} AS code FROM (SELECT DISTINCT frame FROM fr)")
+def _(spark, sf_dir):
+    return windows.frames(sequences(spark, sf_dir), 6).select(F.col("frame").alias("kmer")).distinct().withColumn("code", fn.heap_code(F.col("kmer")))
+
+
+@query("heap_decode", f"WITH {SEQS}, {frames_sql(6)} SELECT DISTINCT {CODE} AS code, frame AS kmer FROM fr")
+def _(spark, sf_dir):
+    codes = windows.frames(sequences(spark, sf_dir), 6).select("frame").distinct().select(fn.heap_code(F.col("frame")).alias("code"))
+    return codes.withColumn("kmer", fn.heap_kmer(F.col("code")))
+
+
+@query("kmer_neighbours", f"WITH {SEQS}, {frames_sql(4)} SELECT w AS kmer, x AS neighbour FROM (SELECT DISTINCT frame AS w FROM fr), unnest({NEAR1}) t(x) WHERE x <> w")
+def _(spark, sf_dir):
+    seen = windows.frames(sequences(spark, sf_dir), 4).select(F.col("frame").alias("kmer")).distinct()
+    return seen.select("kmer", F.explode(fn.neighbours(F.col("kmer"))).alias("neighbour"))
+
+
+@query("edit_distance_pairs", f"""WITH {SEQS}, {frames_sql(K)}, m AS (SELECT DISTINCT substr(frame, 1, 2) AS "group", frame AS text FROM fr)
+    SELECT a."group", a.text AS a, b.text AS b, levenshtein(a.text, b.text) AS distance FROM m a JOIN m b USING ("group")""")
+def _(spark, sf_dir):
+    seen = windows.frames(sequences(spark, sf_dir), K).select(F.substring("frame", 1, 2).alias("group"), F.col("frame").alias("text"))
+    return evaluate.distance_matrix(seen)
+
+
+@query("graph_edges", f"WITH {SEQS}, {frames_sql(4)} SELECT w AS kmer, x AS neighbour FROM (SELECT DISTINCT frame AS w FROM fr), unnest({NEAR1}) t(x) WHERE x <> w AND length(x) BETWEEN 3 AND 4")
+def _(spark, sf_dir):
+    return neighbourhood.edges(windows.frames(sequences(spark, sf_dir), 4).select(F.col("frame").alias("kmer")).distinct(), 3, 4)
+
+
+@query("dneighbourhood", f"""WITH RECURSIVE {SEQS}, {frames_sql(4)}, w AS (SELECT '' AS kmer UNION ALL SELECT kmer || x FROM w, (SELECT unnest(['A', 'T', 'C', 'G']) AS x) WHERE length(kmer) < 5)
+    SELECT f.frame AS kmer, w.kmer AS neighbour, levenshtein(f.frame, w.kmer) AS distance FROM (SELECT DISTINCT frame FROM fr) f, w
+    WHERE length(w.kmer) BETWEEN 3 AND 5 AND levenshtein(f.frame, w.kmer) BETWEEN 1 AND 2""")
+def _(spark, sf_dir):
+    return neighbourhood.neighbourhood(windows.frames(sequences(spark, sf_dir), 4).select(F.col("frame").alias("kmer")).distinct(), 3, 5, 2)
+
+
+OBSERVED = f"{SEQS}, {frames_sql(6)}, sup AS (SELECT frame AS label, count(DISTINCT seq_id) AS q, count(*) AS n FROM fr GROUP BY frame)"
+
+
+@query("observe_exact", f"WITH {OBSERVED} SELECT * FROM sup")
+def _(spark, sf_dir):
+    return observe.support(observe.observe(sequences(spark, sf_dir), 6))
+
+
+@query("observe_d1", f"""WITH {SEQS}, {frames_sql(K)}, near AS (SELECT w AS frame, x AS label FROM (SELECT DISTINCT frame AS w FROM fr), unnest({NEAR1}) t(x)),
+    c AS (SELECT frame, seq_id, count(*) AS n FROM fr GROUP BY ALL), s AS (SELECT label, seq_id, sum(n) AS n FROM c JOIN near USING (frame) GROUP BY ALL)
+    SELECT label, count(*) AS q, sum(n)::BIGINT AS n FROM s GROUP BY label""")
+def _(spark, sf_dir):
+    return observe.observe_support(sequences(spark, sf_dir), K, 1, (K - 1, K + 1))
+
+
+@query("lexicon_quorum", f"WITH {OBSERVED} SELECT * FROM sup WHERE q >= 0.3 * (SELECT count(*) FROM seqs)")
+def _(spark, sf_dir):
+    seqs = sequences(spark, sf_dir)
+    return observe.lexicon(observe.support(observe.observe(seqs, 6)), least(seqs, 0.3))
+
+
+@query("lexicon_exact_q", f"WITH {OBSERVED} SELECT * FROM sup WHERE q = 3")
+def _(spark, sf_dir):
+    return observe.lexicon(observe.support(observe.observe(sequences(spark, sf_dir), 6)), 3, exact=True)
+
+
+@query("max_quorum", f"WITH {OBSERVED} SELECT max(q) AS q FROM sup")
+def _(spark, sf_dir):
+    return observe.max_support(observe.support(observe.observe(sequences(spark, sf_dir), 6)))
+
+
+@query("lexicon_megalexa", f"""WITH {OBSERVED}, h AS (SELECT q, sum(count(*)) OVER (ORDER BY q DESC) AS reached FROM sup GROUP BY q)
+    SELECT * FROM sup WHERE q >= coalesce((SELECT max(q) FROM h WHERE reached >= 500), 1)""")
+def _(spark, sf_dir):
+    return observe.filled_lexicon(observe.support(observe.observe(sequences(spark, sf_dir), 6)), 500)
+
+
+@query("trie_node_count", f"WITH {OBSERVED} SELECT count(DISTINCT substr(label, 1, i)) + 1 AS nodes FROM sup, unnest(range(1, 7)) t(i) WHERE q >= 2")
+def _(spark, sf_dir):
+    return observe.trie_nodes(observe.lexicon(observe.support(observe.observe(sequences(spark, sf_dir), 6)), 2))
+
+
+@query("brief_sequences", f"""WITH {SEQS}, {BUNDLES}, top AS (SELECT *, row_number() OVER (ORDER BY maxlog2fc DESC, seq_id) - 1 AS new_id FROM seqs JOIN bundles USING (seq_id) ORDER BY new_id LIMIT 200),
+    cut AS (SELECT *, CASE WHEN length(seq) > 400 THEN greatest(0, ceil((2 * summit - 400) / 2.0))::BIGINT ELSE 0 END AS s FROM top)
+    SELECT new_id, seq_id, substr(seq, s + 1, 400) AS seq, summit - s AS summit, maxlog2fc FROM cut""")
+def _(spark, sf_dir):
+    return windows.brief(sequences(spark, sf_dir), bundles(spark, sf_dir))
+
+
+@query("onsequence_index", f"WITH {LEX} SELECT seq_id, start AS pos, label FROM occ")
+def _(spark, sf_dir):
+    seqs, occ, lexicon = words(spark, sf_dir)
+    return index.onsequence(occ, lexicon)
+
+
+@query("onsequence_analysis", f"WITH {LEX}, c AS (SELECT seq_id, count(*) AS n FROM occ GROUP BY seq_id) SELECT seq_id, coalesce(n, 0) AS words FROM seqs LEFT JOIN c USING (seq_id)")
+def _(spark, sf_dir):
+    seqs, occ, lexicon = words(spark, sf_dir)
+    return index.analysis(index.onsequence(occ, lexicon), seqs)
+
+
+@query("bitmap_lexicon", None)
+def _(spark, sf_dir):
+    _, occ, lexicon = words(spark, sf_dir)
+    return index.bitmaps(occ.where("start > 0"), lexicon).select("seq_id", "bucket", "covered", F.bitmap_count("bitmap").alias("bits"))
+
+
+@query("chain_step", f"WITH {LEX}, pat AS (SELECT label AS pattern, * FROM occ), {chain_sql('pat', 'g1')} SELECT pattern, word, label, count(DISTINCT seq_id) AS q, count(*) AS n, sum(start + size)::BIGINT AS ends FROM g1 GROUP BY ALL")
+def _(spark, sf_dir):
+    seqs, first, lexicon = patterns(spark, sf_dir)
+    grown = chain.chain_step(first, lexicon, seqs, OVERLAP, GAP, least(seqs, CHAIN_SHARE))
+    ends = grown.groupBy("pattern", "word", "label").agg(F.sum(F.col("start") + F.col("size")).alias("ends"))
+    return observe.support(grown, "pattern", "word", "label").join(ends, ["pattern", "word", "label"])
+
+
+@query("chain_two_generations", f"""WITH {LEX}, pat AS (SELECT label AS pattern, * FROM occ), {chain_sql('pat', 'g1')}, p2 AS (SELECT pattern || '|' || word AS pattern, label, seq_id, start, size FROM g1), {chain_sql('p2', 'g2')},
+    every AS (SELECT 1 AS generation, pattern || '|' || word AS pattern, label, seq_id FROM g1 UNION ALL SELECT 2, pattern || '|' || word, label, seq_id FROM g2)
+    SELECT generation, pattern, label, count(DISTINCT seq_id) AS q, count(*) AS n FROM every GROUP BY ALL""")
+def _(spark, sf_dir):
+    seqs, first, lexicon = patterns(spark, sf_dir)
+    grown = chain.grow(first, lexicon, seqs, OVERLAP, GAP, least(seqs, CHAIN_SHARE), 2)
+    return observe.support(grown.where("generation > 0"), "generation", "pattern", "label")
+
+
+@query("score_ssmart", f"WITH {SCORES} SELECT label AS pattern, ssmart FROM ss")
+def _(spark, sf_dir):
+    _, occ, _ = patterns(spark, sf_dir)
+    return scoring.ssmart(occ, bundles(spark, sf_dir)).select("pattern", F.round("ssmart", 6).alias("ssmart"))
+
+
+@query("score_summit", f"WITH {SCORES} SELECT label AS pattern, summit FROM sd")
+def _(spark, sf_dir):
+    _, occ, _ = patterns(spark, sf_dir)
+    return scoring.summit_distance(occ, bundles(spark, sf_dir)).select("pattern", F.round("summit", 6).alias("summit"))
+
+
+@query("pwm_from_pfm", f"WITH {SEQS}, {PFM} SELECT pos, base, round(fwd, 6) AS fwd FROM pwm")
+def _(spark, sf_dir):
+    return scoring.matrix(counts(spark, sf_dir)).select("pos", "base", F.round("fwd", 6).alias("fwd"))
+
+
+@query("pwm_reverse", f"WITH {SEQS}, {PFM} SELECT pos, base, round(rev, 6) AS rev FROM pwm")
+def _(spark, sf_dir):
+    return scoring.matrix(counts(spark, sf_dir)).select("pos", "base", F.round("rev", 6).alias("rev"))
+
+
+TEXTS = f"{SEQS}, {PFM}, {frames_sql(4, 'fr4')}, {frames_sql(9, 'fr9')}, texts AS (SELECT DISTINCT frame AS text FROM fr4 UNION SELECT DISTINCT frame FROM fr9)"
+
+
+def texts(spark, sf_dir):
+    """Distinct windows of 4 and 9 letters, shorter and longer than the matrix."""
+    seqs = sequences(spark, sf_dir)
+    return windows.frames(seqs, 4).unionByName(windows.frames(seqs, 9)).select(F.col("frame").alias("text"))
+
+
+def scored_texts(spark, sf_dir, partial):
+    found = scoring.matrix_scores(texts(spark, sf_dir), scoring.matrix(counts(spark, sf_dir)), partial)
+    return found.select("text", F.round("fwd", 5).alias("fwd"), F.round("rev", 5).alias("rev"))
+
+
+@query("pwm_partial_overlap", f"WITH {TEXTS}, {PARTIAL} SELECT text, round(fwd, 5) AS fwd, round(rev, 5) AS rev FROM best")
+def _(spark, sf_dir):
+    return scored_texts(spark, sf_dir, True)
+
+
+@query("pwm_full_overlap", f"WITH {TEXTS}, {FULL} SELECT text, round(fwd, 5) AS fwd, round(rev, 5) AS rev FROM best")
+def _(spark, sf_dir):
+    return scored_texts(spark, sf_dir, False)
+
+
+@query("score_pwm", f"WITH {SCORES} SELECT label AS pattern, jaspar FROM scores")
+def _(spark, sf_dir):
+    seqs, occ, _ = patterns(spark, sf_dir)
+    return scoring.matrix_score(occ, seqs, scoring.matrix(counts(spark, sf_dir))).select("pattern", F.round("jaspar", 6).alias("jaspar"))
+
+
+@query("pool_top100", f"WITH {SCORES}, {RANKS} SELECT pool, rank, label, score FROM pool")
+def _(spark, sf_dir):
+    return pools.pools(scores(spark, sf_dir)).drop("pattern")
+
+
+@query("pool_merge", f"""WITH {SCORES}, {RANKS}, a AS (SELECT * FROM pool WHERE rank < 40), b AS (SELECT * FROM pool WHERE rank >= 20), u AS (SELECT DISTINCT pool, label, score FROM (SELECT * FROM a UNION ALL SELECT * FROM b))
+    SELECT pool, rank, label, score FROM (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY CASE WHEN pool = 'summit' THEN score ELSE -score END, label) - 1 AS rank FROM u) WHERE rank < 60""")
+def _(spark, sf_dir):
+    pool = pools.pools(scores(spark, sf_dir))
+    return pools.merged(pool.where("rank < 40"), pool.where("rank >= 20"), 60).drop("pattern")
+
+
+@query("pool_report", f"WITH {SCORES}, {RANKS} SELECT pool, rank, label, score FROM (SELECT *, max(rank) OVER (PARTITION BY pool) AS last FROM pool) WHERE rank < 10 OR rank = last")
+def _(spark, sf_dir):
+    return pools.report(pools.pools(scores(spark, sf_dir))).drop("pattern")
+
+
+@query("prune_native", f"WITH {SCORES}, {RANKS} SELECT label FROM ranks WHERE r2 <> -1 OR r3 <> -1")
+def _(spark, sf_dir):
+    return pools.ranks(scores(spark, sf_dir)).where(pools.accepted_native()).select("label")
+
+
+@query("prune_python", f"""WITH {SCORES}, {RANKS}, p AS (SELECT label, (r1 BETWEEN 0 AND 25)::INT + (r2 BETWEEN 0 AND 25)::INT + 2 * (r3 BETWEEN 0 AND 25)::INT AS points FROM ranks)
+    SELECT label, points + CASE WHEN length(label) <= 30 THEN 3 ELSE 0 END > 2 AS accepted, points > 2 AS accepted_if_long FROM p""")
+def _(spark, sf_dir):
+    ranked = pools.ranks(scores(spark, sf_dir))
+    long_label = ranked.withColumn("label", F.rpad("label", 31, "A")).select("pattern", pools.accepted_python().alias("accepted_if_long"))
+    return ranked.select("pattern", "label", pools.accepted_python().alias("accepted")).join(long_label, "pattern").drop("pattern")
+
+
+@query("distinct_occurrences", f"""WITH {LEX}, pat AS (SELECT label AS pattern, * FROM occ), {chain_sql('pat', 'g1')}, d AS (SELECT DISTINCT pattern, word, label, seq_id, start, size FROM g1_all)
+    SELECT pattern, word, count(*) AS n FROM d GROUP BY ALL""")
+def _(spark, sf_dir):
+    seqs, first, lexicon = patterns(spark, sf_dir)
+    return observe.distinct_occurrences(chain.chain_step(first, lexicon, seqs, OVERLAP, GAP, 1)).groupBy("pattern", "word").agg(F.count(F.lit(1)).alias("n"))
+
+
+SITES = f"""{SEQS}, {frames_sql(4, 'fr4')}, marks AS (SELECT frame, seq_id || ':' || start AS id, seq_id, start - length(seq) AS rel, start, 4 AS len FROM fr4 JOIN seqs USING (seq_id)),
+    mb AS (SELECT id, seq_id, b FROM marks, unnest(range(start, start + 4)) t(b) WHERE frame = 'TATA'), sb AS (SELECT id, seq_id, b FROM marks, unnest(range(start, start + 4)) t(b) WHERE frame = 'ATAT')"""
+
+
+def marks(spark, sf_dir, word, name):
+    """Occurrences of a word as sites, with starts relative to the sequence's end."""
+    seqs = sequences(spark, sf_dir)
+    found = windows.frames(seqs, 4).where(F.col("frame") == word).join(seqs, "seq_id")
+    return found.select(F.concat_ws(":", "seq_id", "start").alias(name), "seq_id", (F.col("start") - F.length("seq")).alias("rel_start"), F.lit(4).alias("length"))
+
+
+@query("raw_statistics", f"""WITH {SITES}, m AS (SELECT DISTINCT seq_id, b FROM mb), s AS (SELECT DISTINCT seq_id, b FROM sb), both_ AS (SELECT * FROM m INTERSECT SELECT * FROM s)
+    SELECT (SELECT count(*) FROM both_) AS "nTP", (SELECT count(*) FROM m) - (SELECT count(*) FROM both_) AS "nFP", (SELECT count(*) FROM s) - (SELECT count(*) FROM both_) AS "nFN",
+    (SELECT sum(length(seq))::BIGINT FROM seqs) - (SELECT count(*) FROM (SELECT * FROM m UNION SELECT * FROM s)) AS "nTN",
+    (SELECT count(DISTINCT id) FROM sb WHERE (seq_id, b) IN (SELECT (seq_id, b) FROM m)) AS "sTP", (SELECT count(DISTINCT id) FROM sb WHERE id NOT IN (SELECT id FROM sb WHERE (seq_id, b) IN (SELECT (seq_id, b) FROM m))) AS "sFN",
+    (SELECT count(DISTINCT id) FROM mb WHERE id NOT IN (SELECT id FROM mb WHERE (seq_id, b) IN (SELECT (seq_id, b) FROM s))) AS "sFP" """)
+def _(spark, sf_dir):
+    return evaluate.raw_statistics(marks(spark, sf_dir, "TATA", "motif_id"), marks(spark, sf_dir, "ATAT", "site_id"), sequences(spark, sf_dir))
+
+
+@query("interval_overlap", f"""WITH {SITES} SELECT a.id AS motif_id, b.id AS site_id, least(a.start, b.start) + 4 - greatest(a.start, b.start) AS overlap
+    FROM marks a JOIN marks b USING (seq_id) WHERE a.frame = 'TATA' AND b.frame = 'ATAT' AND a.start < b.start + 4 AND b.start < a.start + 4""")
+def _(spark, sf_dir):
+    return evaluate.site_overlaps(marks(spark, sf_dir, "TATA", "motif_id"), marks(spark, sf_dir, "ATAT", "site_id"), sequences(spark, sf_dir))
+
+
+@query("one_per_sequence", f"""WITH {SCORES}, o AS (SELECT seq_id, start, jaspar AS score, abs(bundles.summit - (2 * start + size) // 2) AS distance FROM occ JOIN scores USING (label) JOIN bundles USING (seq_id)),
+    b AS (SELECT * FROM o WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY seq_id ORDER BY score DESC, start) = 1), c AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY seq_id ORDER BY distance, start) = 1)
+    SELECT round(avg(b.score), 6) AS best_score, round(avg(b.distance), 6) AS best_score_distance, round(avg(c.distance), 6) AS least_distance, round(avg(c.score), 6) AS least_distance_score FROM c LEFT JOIN b USING (seq_id)""")
+def _(spark, sf_dir):
+    _, occ, _ = patterns(spark, sf_dir)
+    found = occ.join(F.broadcast(scores(spark, sf_dir).select("label", "jaspar")), "label").join(bundles(spark, sf_dir), "seq_id")  # at most 4^K labels
+    return evaluate.one_per_sequence(found.select("seq_id", "start", F.col("jaspar").alias("score"), F.abs(F.col("summit") - F.floor((2 * F.col("start") + F.col("size")) / 2)).alias("distance")))
+
+
+@query("centrality_hist", f"""WITH {LEX}, {BUNDLES}, d AS (SELECT summit - (2 * start + size) // 2 AS delta, count(*) AS n FROM (SELECT DISTINCT seq_id, start, size FROM occ) JOIN bundles USING (seq_id) GROUP BY ALL)
+    SELECT s.delta, coalesce(n, 0) AS n FROM (SELECT unnest(range(-(SELECT n FROM n_seqs), (SELECT n FROM n_seqs) + 1)) AS delta) s LEFT JOIN d USING (delta)""")
+def _(spark, sf_dir):
+    _, occ, _ = words(spark, sf_dir)
+    return evaluate.centrality(occ, bundles(spark, sf_dir))
+
+
+@query("start_hist", f"WITH {LEX} SELECT seq_id, start, count(*) AS n FROM occ GROUP BY ALL")
+def _(spark, sf_dir):
+    return evaluate.start_histogram(words(spark, sf_dir)[1])
+
+
+ALIGNED = f"""{SEQS}, {frames_sql(6)}, al AS (SELECT substr(frame, 1, 3) AS "group", translate(frame, 'C', '-') AS text FROM (SELECT DISTINCT frame FROM fr)),
+    cl AS (SELECT "group", i AS pos, substr(text, i + 1, 1) AS letter, count(*) AS n FROM al, unnest(range(0, 6)) t(i) GROUP BY ALL)"""
+
+
+def aligned(spark, sf_dir):
+    seen = windows.frames(sequences(spark, sf_dir), 6).select("frame").distinct()
+    return seen.select(F.substring("frame", 1, 3).alias("group"), F.translate("frame", "C", "-").alias("text"))
+
+
+@query("column_consensus", f"""WITH {ALIGNED}, c AS (SELECT "group", pos, coalesce(max(n) FILTER (letter <> '-'), 0) AS top, coalesce(max(n) FILTER (letter = '-'), 0) AS gaps, sum(n) AS rows FROM cl GROUP BY ALL)
+    SELECT "group", round(avg(CASE WHEN gaps >= top THEN 0 ELSE top / rows END), 6) AS consensus FROM c GROUP BY "group" """)
+def _(spark, sf_dir):
+    return align.consensus(aligned(spark, sf_dir)).select("group", F.round("consensus", 6).alias("consensus"))
+
+
+KADANE = """p AS (SELECT id, pos, sum(x) OVER w AS p, sum(x) OVER w - x AS before FROM vals WINDOW w AS (PARTITION BY id ORDER BY pos)),
+    s AS (SELECT id, pos, p, before, min(before) OVER (PARTITION BY id ORDER BY pos) AS low FROM p),
+    b AS (SELECT id, pos AS last, p - low AS best, low FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY p - low DESC, pos) = 1)"""
+
+
+@query("max_subarray", f"""WITH {SEQS}, vals AS (SELECT seq_id AS id, i AS pos, CASE WHEN substr(seq, i + 1, 1) IN ('A', 'T') THEN 1 ELSE -1 END AS x FROM seqs, unnest(range(0, length(seq))) t(i)), {KADANE}
+    SELECT b.id AS seq_id, best::DOUBLE AS best, min(s.pos) AS first, last FROM b JOIN s ON s.id = b.id AND s.before = b.low AND s.pos <= b.last GROUP BY ALL""")
+def _(spark, sf_dir):
+    letters = F.transform(F.array_remove(F.split("seq", ""), ""), lambda x: F.when(x.isin("A", "T"), 1).otherwise(-1))
+    return sequences(spark, sf_dir).where("length(seq) > 0").select("seq_id", fn.best_segment(letters).alias("s")).select("seq_id", "s.*")
+
+
+@query("alignment_segments", None)
+def _(spark, sf_dir):
+    return align.segment(aligned(spark, sf_dir))
+
+
+@query("alignment_matrix", None)
+def _(spark, sf_dir):
+    return align.segment_matrix(aligned(spark, sf_dir)).withColumn("fwd", F.round("fwd", 6))
+
+
+def similar_patterns(spark, sf_dir):
+    seqs = sequences(spark, sf_dir)
+    seen = observe.observe(seqs, 4, 1).withColumnRenamed("label", "pattern")
+    found = scoring.instances(seen, seqs).select("pattern", "text")
+    labels = neighbourhood.kmers(spark, 4).select(F.col("kmer").alias("pattern"), F.col("kmer").alias("label"))
+    return evaluate.similar(found, labels)
+
+
+SIMILAR = f"{SEQS}, {frames_sql(4)}, e AS (SELECT x AS src, w AS dst FROM (SELECT DISTINCT frame AS w FROM fr), unnest({NEAR1}) t(x) WHERE x <> w AND length(x) = 4)"
+
+
+@query("jungle_similar", f"WITH {SIMILAR} SELECT src, dst FROM e")
+def _(spark, sf_dir):
+    return similar_patterns(spark, sf_dir)
+
+
+@query("jungle_mutual", f"WITH {SIMILAR} SELECT src, dst FROM e WHERE (dst, src) IN (SELECT (src, dst) FROM e)")
+def _(spark, sf_dir):
+    return evaluate.mutual(similar_patterns(spark, sf_dir))
+
+
+@query("instance_substrings", f"""WITH {LEX}, pat AS (SELECT label AS pattern, * FROM occ), {chain_sql('pat', 'g1')}
+    SELECT pattern, word, substr(seq, start + 1, size) AS text, count(*) AS n FROM g1 JOIN seqs USING (seq_id) GROUP BY ALL""")
+def _(spark, sf_dir):
+    seqs, first, lexicon = patterns(spark, sf_dir)
+    return scoring.instances(chain.chain_step(first, lexicon, seqs, OVERLAP, GAP, least(seqs, CHAIN_SHARE)), seqs).groupBy("pattern", "word", "text").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("instance_lines", f"WITH {LEX} SELECT label AS pattern, seq_id, start, seq_id || ',' || (start - length(seq)) || ',' || substr(seq, start + 1, size) || ',' || size AS line FROM occ JOIN seqs USING (seq_id)")
+def _(spark, sf_dir):
+    seqs, occ, _ = patterns(spark, sf_dir)
+    return writers.instance_lines(occ, seqs)
+
+
+@query("instance_parse", f"WITH {LEX} SELECT seq_id, start - length(seq) AS start, label AS substring, size AS length, start - length(seq) + size AS \"end\" FROM occ JOIN seqs USING (seq_id)")
+def _(spark, sf_dir):
+    seqs, occ, _ = patterns(spark, sf_dir)
+    parsed = writers.instance_lines(occ, seqs).select(readers.instance(F.col("line")).alias("i")).select("i.*")
+    return parsed.where("seq_id is not null")
+
+
+@query("partitions_needed", f"WITH {SEQS}, {frames_sql(6, last=1)} SELECT DISTINCT {CODE} // 64 AS part FROM fr")
+def _(spark, sf_dir):
+    return windows.frames(sequences(spark, sf_dir), 6, include_last=True).select("frame").distinct().select(F.floor(fn.heap_code(F.col("frame")) / 64).alias("part")).distinct()
+
+
+@query("missing_kmers", f"""WITH RECURSIVE {SEQS}, {frames_sql(7)}, w AS (SELECT '' AS kmer UNION ALL SELECT kmer || x FROM w, (SELECT unnest(['A', 'T', 'C', 'G']) AS x) WHERE length(kmer) < 7)
+    SELECT kmer FROM w WHERE length(kmer) = 7 AND kmer NOT IN (SELECT frame FROM fr)""")
+def _(spark, sf_dir):
+    return neighbourhood.missing(neighbourhood.kmers(spark, 7), windows.frames(sequences(spark, sf_dir), 7).select(F.col("frame").alias("kmer")))
+
+
+@query("bank_round_robin", f"WITH {LEX} SELECT label, (row_number() OVER (ORDER BY label) - 1) % 4 AS bank FROM lex")
+def _(spark, sf_dir):
+    _, _, lexicon = words(spark, sf_dir)
+    return lexicon.select("label", ((F.row_number().over(Window.orderBy("label")) - 1) % 4).alias("bank"))  # at most 4^K labels
+
+
+@query("peak_rank_order", """WITH r AS (SELECT lang, doc_id, n_chars % 500 AS rank, count(*) OVER (PARTITION BY lang) AS n FROM documents),
+    f AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY lang, rank ORDER BY doc_id) = 1) SELECT lang, rank, row_number() OVER (PARTITION BY lang ORDER BY rank) - 1 AS seq_id FROM f WHERE rank < n""")
+def _(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang", "doc_id", (F.col("n_chars") % 500).alias("rank"))
+    return readers.by_rank(docs, "lang", "doc_id")
+
+
+@query("peak_sequences", f"""WITH {SEQS}, p AS (SELECT seq_id AS rank, n_chars % 50 AS s, n_chars % 50 + 30 AS e, n_chars % 50 + 7 AS summit, seq, n_chars FROM seqs)
+    SELECT rank, upper(substr(seq, s + 1, e - s + 1)) AS seq, summit - s AS summit, length(substr(seq, s + 1, e - s + 1)) <> 31 AS length_differs FROM p""")
+def _(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    start = (F.col("n_chars") % 50).cast("int")
+    table = docs.select(F.col("doc_id").alias("rank"), F.col("doc_id").alias("chr"), start.alias("start"), (start + 30).alias("end"), F.lit(31).alias("length"), F.lit(0.0).alias("fdr"), (start + 7).alias("summit"), F.lit(1.0).alias("maxlog2fc"))
+    genome = sequences(spark, sf_dir).select(F.col("seq_id").alias("chr"), F.lower("seq").alias("seq"))
+    return readers.cut_peaks(table, genome).drop("fdr", "maxlog2fc")
+
+
+@query("text_sizes", """SELECT doc_id, (n_chars % 1000) * CASE doc_id % 5 WHEN 1 THEN 1 WHEN 2 THEN 1024 WHEN 3 THEN 1048576 WHEN 4 THEN 1073741824 END AS bytes FROM documents""")
+def _(spark, sf_dir):
+    suffix = F.element_at(F.array(*map(F.lit, ["x", "b", "KB", "MB", "GB"])), (F.col("doc_id") % 5 + 1).cast("int"))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", fn.text_to_size(F.concat((F.col("n_chars") % 1000).cast("string"), suffix)).alias("bytes"))
