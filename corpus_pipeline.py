@@ -28,13 +28,18 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deletes later copies of repeated line runs from the texts; every document stays, n_chars follows its text."""
     out = line_dedup.line_dedup(docs)
-    return out.withColumn("n_chars", F.when(F.col("n_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("n_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def dedup_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near copies the document with the least doc_id."""
-    kept = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stored(kept, "kept"), "doc_id", "left_semi").select(*docs.columns)
+    """Keeps of each group of near copies the document with the least doc_id. Documents without an id stay if no other text of
+    their group has one. Rows that repeat both id and text are one document."""
+    kept = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "text_hash").distinct()
+    names, kept = docs.columns, stored(kept.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")), "kept")
+    same = F.col("__hash").eqNullSafe(simhash.text_hash(F.col("text"))) & F.col("__id").eqNullSafe(F.col("doc_id"))
+    return docs.join(kept, same, "left_semi").select(*[F.col(f"`{c}`") for c in names])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

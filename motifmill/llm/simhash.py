@@ -48,10 +48,14 @@ def fingerprint(text: bytes, ngram: int = 3, seed: int = 42) -> int:
     return int(ones.view(np.int64)[0])
 
 
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def fingerprints(docs: DataFrame, ngram: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp) of every row; a null text counts as empty."""
-    make = lambda: lambda texts, batch: {"doc_id": batch["doc_id"], "fp": [fingerprint(t, ngram, seed) for t in texts]}
-    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")), make, "doc_id long, fp long")
+    """(doc_id, text_hash, fp) of every row; a null text counts as empty."""
+    make = lambda: lambda texts, batch: {"doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "fp": [fingerprint(t, ngram, seed) for t in texts]}
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(F.col("text")).alias("text_hash"), text_of().alias("text")), make, "doc_id long, text_hash long, fp long")
 
 
 def _postings(fp: Column) -> Column:
@@ -112,7 +116,7 @@ def fingerprint_links(weights: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, ngram: int = 3, seed: int = 42) -> DataFrame:
-    """One row for each row of `docs`: doc_id, fingerprint (16 hex digits), component_id (the least doc_id reachable).
+    """One row for each row of `docs`: doc_id, fingerprint (16 hex digits), component_id (the least doc_id reachable), text_hash.
 
     Rows with equal fingerprints are linked, so are those without words (fingerprint zero) and repeated rows. A null text
     counts as empty; null ids get a component by their text and never name one unless all ids in it are null. An empty table
@@ -124,4 +128,4 @@ def near_duplicates(docs: DataFrame, ngram: int = 3, seed: int = 42) -> DataFram
     least = weights.join(roots, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
     linked = roots.join(least, "root").select("fp", "component_id")
     ids = weights.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return fps.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fps.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash")
