@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from itertools import pairwise
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -127,8 +128,6 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> FtrlMod
 
 def score_column(model: FtrlModel, text: Column, spark) -> Column:
     """The probability that a text's label is 1, as a column."""
-    import pandas as pd
-
     shared = spark.sparkContext.broadcast(model)  # of fixed size
 
     @F.pandas_udf("double")

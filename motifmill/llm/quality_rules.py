@@ -10,6 +10,7 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -174,8 +175,6 @@ def base_failed() -> Column:
 
 def kept_column(trees: Trees, text: Column, spark, threshold: float = THRESHOLD) -> Column:
     """Whether the rules keep a text, as a column."""
-    import pandas as pd
-
     shared = spark.sparkContext.broadcast(trees)
 
     @F.pandas_udf("boolean")
