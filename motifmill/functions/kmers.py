@@ -11,7 +11,7 @@ ALPHABET = "ATCG"
 
 def heap_code(kmer: Column) -> Column:
     """Code of a k-mer in the complete 4-ary tree: the root is 1, and level L takes (4^L - 1)/3 + 1 to (4^(L+1) - 1)/3."""
-    return F.aggregate(F.split(kmer, ""), F.lit(1).cast("long"), lambda code, letter: 4 * code + 2 - F.instr(F.lit(ALPHABET), letter))
+    return F.aggregate(F.array_remove(F.split(kmer, ""), ""), F.lit(1).cast("long"), lambda code, letter: 4 * code + 2 - F.instr(F.lit(ALPHABET), letter))
 
 
 def heap_kmer(code: Column, most: int = 24) -> Column:

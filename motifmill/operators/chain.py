@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.state import checkpoint_dir
 from .observe import support
 
 
@@ -40,11 +41,7 @@ def grow(patterns: DataFrame, index: DataFrame, sequences: DataFrame, overlap: i
     `prune` gets a generation's occurrences and returns those to grow further. All patterns of a generation are scored together,
     so the result doesn't depend on an order of work. Each generation is checkpointed to cut its lineage.
     """
-    spark = patterns.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    checkpoint_dir(patterns.sparkSession)
     frontier, out = patterns.select("pattern", "label", "seq_id", "start", "size"), patterns.withColumn("generation", F.lit(0))
     for g in range(1, generations + 1):
         if prune:

@@ -34,6 +34,22 @@ def raw_statistics(motifs: DataFrame, sites: DataFrame, sequences: DataFrame) ->
     return row.select("nTP", "nFP", "nFN", (F.coalesce("total", F.lit(0)) - F.col("covered")).alias("nTN"), "sTP", (F.col("sites") - F.col("sTP")).alias("sFN"), (F.col("motifs") - F.col("met")).alias("sFP"))
 
 
+def raw_statistics_by(motifs: DataFrame, sites: DataFrame, sequences: DataFrame) -> DataFrame:
+    """The statistics of `raw_statistics` for each pattern against the same sites; motifs: (pattern, motif_id, seq_id, rel_start,
+    length). Patterns whose motifs all lie outside their sequences have no row."""
+    spread = lambda rows, *keys: _spans(rows, sequences).where("length > 0").select(*keys, "seq_id", "seq_length", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("base")).where("base >= 0 and base < seq_length")
+    motif_bases, site_bases = spread(motifs, "pattern", "motif_id"), spread(sites, "site_id")
+    known = site_bases.groupBy("seq_id", "base").agg(F.collect_set("site_id").alias("sites"))  # the sites over one base
+    met = motif_bases.join(known, ["seq_id", "base"], "left")
+    bases = met.select("pattern", "seq_id", "base", F.col("sites").isNotNull().alias("hit")).distinct().groupBy("pattern").agg(F.count_if("hit").alias("nTP"), F.count_if(~F.col("hit")).alias("nFP"))
+    hits = met.select("pattern", F.explode("sites").alias("site_id")).distinct().groupBy("pattern").agg(F.count(F.lit(1)).alias("sTP"))
+    unmet = met.groupBy("pattern", "motif_id").agg(F.max(F.col("sites").isNotNull()).alias("hit")).groupBy("pattern").agg(F.count_if(~F.col("hit")).alias("sFP"))
+    totals = sequences.agg(F.sum(F.length("seq")).alias("total")).join(known.agg(F.count(F.lit(1)).alias("site_bases"))).join(sites.agg(F.count_distinct("site_id").alias("n_sites")))  # single rows
+    rows = bases.join(unmet, "pattern").join(hits, "pattern", "left").join(F.broadcast(totals)).withColumn("sTP", F.coalesce("sTP", F.lit(0)))
+    false = F.col("site_bases") - F.col("nTP")
+    return rows.select("pattern", "nTP", "nFP", false.alias("nFN"), (F.col("total") - F.col("nTP") - F.col("nFP") - false).alias("nTN"), "sTP", (F.col("n_sites") - F.col("sTP")).alias("sFN"), "sFP")
+
+
 def site_overlaps(motifs: DataFrame, sites: DataFrame, sequences: DataFrame) -> DataFrame:
     """(motif_id, site_id, overlap) of all pairs that share a base, by counting common bases."""
     bases = lambda rows, key: _spans(rows, sequences).where("length > 0").select(key, "seq_id", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("base"))

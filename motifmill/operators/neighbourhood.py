@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.kmers import ALPHABET, neighbours
+from ..plans.state import checkpoint_dir
 
 
 def kmers(spark: SparkSession, first: int, last: int | None = None) -> DataFrame:
@@ -49,6 +50,7 @@ def write_neighbourhood(table: DataFrame, path: str) -> None:
 def repair(path: str, expected: DataFrame, first: int, last: int, dmax: int) -> DataFrame:
     """Append what is missing to a stored neighbourhood; returns the k-mers that were."""
     spark = expected.sparkSession
-    lost = missing(expected, spark.read.parquet(path)).cache()
+    checkpoint_dir(spark)
+    lost = missing(expected, spark.read.parquet(path)).checkpoint()  # of before the write
     neighbourhood(lost, first, last, dmax).withColumn("k", F.length("kmer")).write.mode("append").partitionBy("k").parquet(path)
     return lost

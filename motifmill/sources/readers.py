@@ -75,9 +75,9 @@ def known_instances(spark: SparkSession, path: str, dataset: str) -> DataFrame:
 
 def instance(line) -> F.col:
     """(seq_id, start, substring, length, end) of a `seq,start,substring,length` text; a start is relative to the sequence's end."""
-    part = F.split(line, ",")
-    start, length = part[1].try_cast("int"), part[3].try_cast("int")
-    return F.struct(part[0].try_cast("int").alias("seq_id"), start.alias("start"), F.trim(part[2]).alias("substring"), length.alias("length"), (start + length).alias("end"))
+    part = lambda i: F.get(F.split(line, ","), F.lit(i))
+    start, length = part(1).try_cast("int"), part(3).try_cast("int")
+    return F.struct(part(0).try_cast("int").alias("seq_id"), start.alias("start"), F.trim(part(2)).alias("substring"), length.alias("length"), (start + length).alias("end"))
 
 
 def results(spark: SparkSession, path: str) -> DataFrame:
