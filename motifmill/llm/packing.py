@@ -223,7 +223,8 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
     stream = loose.withColumn("at", F.sum("length").over(in_bucket) - F.col("length")).join(sums, "bucket").withColumn("at", F.col("at") + F.col("base"))
     stream = stored(stream.select("uid", "doc_id", "n", "rest_crc", "length", (F.col("at") / window).cast("long").alias("sequence_id"), (F.col("at") % window).alias("offset")), "stream")
     crosses = F.col("offset") + F.col("length") > window
-    loose_sequences = (stream.agg(F.max(F.col("sequence_id") + crosses.cast("long"))).first()[0] or -1) + 1 if not stream.isEmpty() else 0
+    last = stream.agg(F.max(F.col("sequence_id") + crosses.cast("long"))).first()[0]
+    loose_sequences = 0 if last is None else last + 1
 
     def halves(batches):
         kind = "<u2" if small else "<u4"
