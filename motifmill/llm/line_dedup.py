@@ -88,26 +88,27 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc
     return lines.distinct()
 
 
-def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id") -> DataFrame:
-    """`docs` with later copies of repeated line runs deleted from `text`, and the columns n_lines and n_deleted appended.
+def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", counts: tuple[str, str] = ("n_lines", "n_deleted")) -> DataFrame:
+    """`docs` with later copies of repeated line runs deleted from `text`, and two columns appended: the lines before, and those
+    deleted.
 
     The first copy in the order of id, then line, stays; a run that repeats within a document loses its later copies too.
     Lines are split at \\n and must agree byte for byte; runs of fewer than `min_words` words stay. Documents whose text
     doesn't change keep it as it is, null included (no lines); a text that loses all its lines becomes empty. Rows that
     repeat both id and text are the same document and get the same result. An empty table gives an empty result. Other
-    columns pass through; those named n_lines or n_deleted are replaced.
+    columns pass through; those named as `counts` are replaced.
     """
     gone = later_copies(docs, min_words, id_col)
     w = Window.partitionBy("doc").orderBy("line")
     islands = gone.withColumn("island", F.col("line") - F.row_number().over(w)).groupBy("doc", "island").agg(F.min("line").alias("s"), F.max("line").alias("e"))
-    cuts = islands.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("cuts")).select(F.col("doc.d").alias("__d"), F.col("doc.h").alias("__h"), "cuts")
-    key, names = _doc_key(id_col), [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
+    cuts = islands.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("__cuts")).select(F.col("doc.d").alias("__d"), F.col("doc.h").alias("__h"), "__cuts")
+    key, names = _doc_key(id_col), [c for c in docs.columns if c not in counts]
     joined = docs.select(*[F.col(f"`{c}`") for c in names], key["d"].alias("__d"), key["h"].alias("__h")).join(cuts, ["__d", "__h"], "left")
     lines = F.split(text_of(), "\n")
-    from_line = F.concat(F.array(F.lit(0)), F.transform("cuts", lambda c: c["e"] + 1))
-    to_line = F.concat(F.transform("cuts", lambda c: c["s"]), F.array(F.size(lines)))
+    from_line = F.concat(F.array(F.lit(0)), F.transform("__cuts", lambda c: c["e"] + 1))
+    to_line = F.concat(F.transform("__cuts", lambda c: c["s"]), F.array(F.size(lines)))
     kept = F.flatten(F.transform(F.arrays_zip(from_line.alias("f"), to_line.alias("t")), lambda r: F.slice(lines, r["f"] + 1, r["t"] - r["f"])))
-    text = F.when(F.col("cuts").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    deleted = F.when(F.col("cuts").isNull(), 0).otherwise(F.aggregate("cuts", F.lit(0), lambda n, c: n + c["e"] - c["s"] + 1))
+    text = F.when(F.col("__cuts").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    deleted = F.when(F.col("__cuts").isNull(), 0).otherwise(F.aggregate("__cuts", F.lit(0), lambda n, c: n + c["e"] - c["s"] + 1))
     count = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
-    return joined.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in names], count.cast("long").alias("n_lines"), deleted.cast("long").alias("n_deleted"))
+    return joined.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in names], count.cast("long").alias(counts[0]), deleted.cast("long").alias(counts[1]))
