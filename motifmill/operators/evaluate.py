@@ -71,7 +71,8 @@ def centrality(occurrences: DataFrame, bundles: DataFrame) -> DataFrame:
     where N is the number of bundles."""
     middle = F.floor((2 * F.col("start") + F.col("size")) / 2)
     deltas = occurrences.select("seq_id", "start", "size").distinct().join(bundles.select("seq_id", "summit"), "seq_id").groupBy((F.col("summit") - middle).alias("delta")).agg(F.count(F.lit(1)).alias("n"))
-    spine = bundles.agg(F.count(F.lit(1)).alias("k")).select(F.explode(F.sequence(-F.col("k"), F.col("k"))).alias("delta"))
+    k = bundles.count()
+    spine = bundles.sparkSession.range(-k, k + 1).withColumnRenamed("id", "delta")
     return spine.join(deltas, "delta", "left").select("delta", F.coalesce("n", F.lit(0)).alias("n"))
 
 
