@@ -29,15 +29,20 @@ def observe(sequences: DataFrame, k: int, d: int = 0, span: tuple[int, int] | No
 
 
 def observe_support(sequences: DataFrame, k: int, d: int, span: tuple[int, int] | None = None) -> DataFrame:
-    """(label, q, n) as `support(observe(...))` gives them, without making the occurrences: windows are counted by sequence
-    before they meet their neighbours."""
+    """(label, q, n) as `support(observe(...))` gives them, without making the occurrences.
+
+    The sequences of each distinct window, at most 4^k, are kept as bitmaps over their ids, which are places in a list and so lie
+    close; a label's support is the number of bits in the union of its neighbours' bitmaps.
+    """
+    seqs = F.col("seq_id").cast("long")
     counted = frames(sequences, k).groupBy("frame", "seq_id").agg(F.count(F.lit(1)).alias("n"))
+    windows = counted.groupBy("frame", F.bitmap_bucket_number(seqs).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(seqs)).alias("bits"), F.sum("n").alias("n"))
     first, last = span or (k, k)
-    distinct = counted.select(F.col("frame").alias("kmer")).distinct()
+    distinct = windows.select(F.col("frame").alias("kmer")).distinct()
     near = neighbourhood(distinct, first, last, d).select("kmer", F.col("neighbour").alias("label"))
     near = near.unionByName(distinct.select("kmer", F.col("kmer").alias("label")))
-    by_seq = counted.join(near, counted["frame"] == near["kmer"]).groupBy("label", "seq_id").agg(F.sum("n").alias("n"))
-    return by_seq.groupBy("label").agg(F.count(F.lit(1)).alias("q"), F.sum("n").cast("long").alias("n"))
+    labels = windows.join(near, windows["frame"] == near["kmer"]).groupBy("label", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"), F.sum("n").alias("n"))
+    return labels.groupBy("label").agg(F.sum(F.bitmap_count("bits")).alias("q"), F.sum("n").cast("long").alias("n"))
 
 
 def distinct_occurrences(occurrences: DataFrame) -> DataFrame:
