@@ -7,16 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import quality_classifier, quality_rules
+from .chat import format_conversations
 from .common import table
 from .exact_dedup import exact_dedup
-from .simhash import near_duplicates
 from .line_dedup import line_dedup
-from . import quality_classifier, quality_rules
+from .lm_scoring import score_documents
 from .packing import pack
 from .sentencepieces import round_trip
-from .chat import format_conversations
+from .simhash import near_duplicates
 from .warc import archive_pages
-from .lm_scoring import score_documents
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,4 +81,24 @@ ORACLE_SQL: dict[str, str] = {
                      count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
                      sha256(coalesce(text, '')) AS text_sha256
               FROM documents)""",
+    "op9_warc": """
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS digest FROM pages),
+             q AS (SELECT *, max(page_id) OVER (PARTITION BY digest) AS top FROM p)
+        SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+               CASE WHEN n >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 1000 AND page_id < top THEN top END AS refers_to
+        FROM q""",
+    "op2_line_dedup": r"""
+        WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+             l AS (SELECT doc_id, i, ls[i + 1] AS line, len(regexp_extract_all(ls[i + 1], '[^\x20\x09-\x0D]+')) AS w FROM d, unnest(range(0, len(ls))) t(i)),
+             c AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM l),
+             runs AS (SELECT a.doc_id, a.i AS s, b.i AS e FROM c a JOIN c b ON a.doc_id = b.doc_id AND a.i <= b.i AND b.upto - a.upto + a.w >= 50),
+             f AS (SELECT doc_id, s, min(e) AS e FROM runs GROUP BY doc_id, s UNION SELECT doc_id, max(s), e FROM runs GROUP BY doc_id, e),
+             k AS (SELECT doc_id, s, e, array_to_string(ls[s + 1 : e + 1], chr(10)) AS run FROM f JOIN d USING (doc_id)),
+             m AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, s) > 1 AS later FROM k),
+             g AS (SELECT DISTINCT doc_id, i FROM m, unnest(range(s, e + 1)) t(i) WHERE later),
+             kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM l WHERE (doc_id, i) NOT IN (SELECT (doc_id, i) FROM g) GROUP BY doc_id),
+             gone AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id)
+        SELECT doc_id, coalesce(kept.text, '') AS text, len(ls)::BIGINT AS n_lines, coalesce(gone.n, 0) AS n_deleted
+        FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id)""",
 }
