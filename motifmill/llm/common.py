@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Entries that a worker's word memo may hold before it starts afresh.
+#: Entries of a worker's word memo, and as many old ones.
 MEMO_LIMIT = 300_000
 
 
@@ -61,16 +61,21 @@ def text_of(col: str = "text") -> Column:
 
 
 class Memo(dict):
-    """A bounded memo of a function of one word."""
+    """A bounded memo of a function of one word: when it is full, its entries become the old ones, from which those still in use
+    come back, and it starts afresh."""
 
     def __init__(self, make: Callable, limit: int = MEMO_LIMIT):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, word):
+        value = self.old.get(word)
+        if value is None:
+            value = self.make(word)
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        value = self[word] = self.make(word)
+        self[word] = value
         return value
 
 
