@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MEMO_LIMIT, map_texts, stored, text_of
+from .common import map_texts, stored, text_of
 
 WINDOW = 2048
 END_ID = 1
 _MARK = "|"
+#: Words of a worker's memo, and as many old ones.
+TOKEN_MEMO = 500_000
 
 
 class WordTokenizer:
@@ -35,19 +37,31 @@ class WordTokenizer:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tok, self.memo = Tokenizer.from_file(path), {}
+        self.tok, self.memo, self.old = Tokenizer.from_file(path), {}, {}
         mark = self._encode(_MARK)
         self.by_word = len(mark) == 1 and self._encode(f" b a\n{_MARK} c ") == [*self._encode("b"), *self._encode("a"), *mark, *self._encode("c")]
+        self.lowers = self._encode("AB Cd") == self._encode("ab cd")
         self.mark = mark[0] if mark else -1
         self.kind = np.dtype("<u2") if self.tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.ends = {e[0]: self._bytes(e) for e in (b",", b".") if self._encode("ab" + e.decode()) == [*self._encode("ab"), *self._encode(e.decode())]}
 
     def _encode(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
 
+    def _bytes(self, word: bytes) -> bytes:
+        return np.array(self._encode(word.decode()), self.kind).tobytes()
+
     def learn(self, words: set) -> None:
-        if len(self.memo) + len(words) > MEMO_LIMIT:
-            self.memo = {}
-        new = [w for w in words if w not in self.memo]
+        """Bring words that the memo lacks into it."""
+        new = set(words)
+        if len(self.memo) + len(new) > TOKEN_MEMO:
+            self.old, self.memo = self.memo, {}
+        memo, old = self.memo, self.old
+        memo.update((w, old[w]) for w in new if w in old)
+        new = {w for w in new if w not in old}
+        ended = [w for w in new if w[-1] in self.ends and len(w) > 1 and 97 <= w[-2] <= 122]  # a letter, then one mark
+        new.difference_update(ended)
+        new.update(w[:-1] for w in ended if w[:-1] not in memo)
         plain = [w for w in new if b"|" not in w]
         for at in range(0, len(plain), 20_000):
             some = plain[at : at + 20_000]
@@ -55,10 +69,14 @@ class WordTokenizer:
             cuts = np.flatnonzero(ids == self.mark)
             if len(cuts) == len(some) - 1:
                 data, edge = ids.tobytes(), self.kind.itemsize
-                self.memo.update(zip(some, map(data.__getitem__, map(slice, [0, *((cuts + 1) * edge).tolist()], [*(cuts * edge).tolist(), len(data)])), strict=True))
-        for w in new:
-            if w not in self.memo:
-                self.memo[w] = np.array(self._encode(w.decode()), self.kind).tobytes()
+                memo.update(zip(some, map(data.__getitem__, map(slice, [0, *((cuts + 1) * edge).tolist()], [*(cuts * edge).tolist(), len(data)])), strict=True))
+        memo.update((w, self._bytes(w)) for w in new if w not in memo)
+        memo.update((w, memo[w[:-1]] + self.ends[w[-1]]) for w in ended)
+
+    def _words(self, text: bytes) -> list[bytes]:
+        # A lower-cased word has the ids of the word, unless it may be a special token or compose with a combining mark.
+        plain = self.lowers and b"<|" not in text and b"\xcc" not in text and b"\xcd" not in text
+        return (text.lower() if plain else text).split()
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each UTF-8 text."""
@@ -66,9 +84,15 @@ class WordTokenizer:
             return [np.array(self._encode(t.decode()), self.kind) for t in texts]
         out = []
         for at in range(0, len(texts), 64):
-            split = [t.split() for t in texts[at : at + 64]]
-            self.learn(set().union(*split))
-            out += [np.frombuffer(b"".join(map(self.memo.__getitem__, words)), self.kind) for words in split]
+            split = [self._words(t) for t in texts[at : at + 64]]
+            found = [list(map(self.memo.get, words)) for words in split]
+            unknown = {w for words, ids in zip(split, found, strict=True) if None in ids for w, x in zip(words, ids, strict=True) if x is None}
+            if unknown:
+                self.learn(unknown)
+            for words, ids in zip(split, found, strict=True):
+                if None in ids:
+                    ids = [self.memo[w] if x is None else x for w, x in zip(words, ids, strict=True)]
+                out.append(np.frombuffer(b"".join(ids), self.kind))
         return out
 
 
