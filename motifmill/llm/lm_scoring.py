@@ -17,6 +17,7 @@ import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -43,7 +44,7 @@ ROUNDS = 3
 TAIL_CODES = 1 << 14
 #: Initial weights: a count less DISCOUNT (as the token itself is among them), SMOOTH tokens of the prior, and a factor.
 DISCOUNT, SMOOTH, SHARE = 0.8, 4.0, 0.5
-CHUNK = 100_000
+CHUNK = 200_000
 BLOCKS = 16
 
 
@@ -122,16 +123,13 @@ def coded(docs: DataFrame, head: Head) -> DataFrame:
             for t in texts:
                 tokens = t.lower().split()
                 tokens.append(end)
-                codes = [get(w, -1) for w in tokens]
-                rest: Counter = Counter()
-                if min(codes) < 0:
-                    for i, c in enumerate(codes):
-                        if c < 0:
-                            w = tokens[i]
-                            rest[w] += 1
-                            codes[i] = size + zlib.crc32(w) % TAIL_CODES
+                codes = np.fromiter(map(get, tokens, repeat(-1)), "<i4", len(tokens))
+                other = np.flatnonzero(codes < 0)
+                words = [tokens[i] for i in other.tolist()]
+                codes[other] = [size + zlib.crc32(w) % TAIL_CODES for w in words]
+                rest = Counter(words)
                 out["n_tokens"].append(len(tokens))
-                out["codes"].append(np.array(codes, "<i4").tobytes())
+                out["codes"].append(codes.tobytes())
                 out["words"].append([w.decode() for w in rest])
                 out["times"].append(list(rest.values()))
             return out
@@ -262,12 +260,15 @@ def feature_rows(codes: np.ndarray, starts: np.ndarray, classes: np.ndarray) ->
     return (mixed >> np.uint64(64 - 15)).astype(np.int64)
 
 
-def log_softmax(rows: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    z = bias + weights[rows[:, 0]]
+def class_weights(rows: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logits of all classes for each token, their exponentials, and the sums of these."""
+    z = weights[rows[:, 0]]
     for f in range(1, FEATURES):
         z += weights[rows[:, f]]
-    z -= z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
+    z += bias
+    np.clip(z, -80, 80, out=z)  # within float32's range
+    e = np.exp(z)
+    return z, e, e @ np.ones(CLASSES, e.dtype)
 
 
 def train_classes(training: DataFrame, classes: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
@@ -280,9 +281,8 @@ def train_classes(training: DataFrame, classes: np.ndarray, rounds: int = ROUNDS
 
         def add(batch: pa.RecordBatch, total: np.ndarray) -> None:
             for codes, starts, *_ in chunks(batch):
-                rows, y = feature_rows(codes, starts, cls), cls[np.minimum(codes, len(cls) - 1)]
-                for f in range(FEATURES):
-                    total += np.bincount(rows[:, f] * CLASSES + y, minlength=len(total)).astype(total.dtype)
+                cells = feature_rows(codes, starts, cls) * CLASSES + cls[codes][:, None]
+                total += np.bincount(cells.ravel(), minlength=len(total)).astype(total.dtype)
 
         return add
 
@@ -303,14 +303,13 @@ def train_classes(training: DataFrame, classes: np.ndarray, rounds: int = ROUNDS
             def add(batch: pa.RecordBatch, total: np.ndarray) -> None:
                 grid = total.reshape(ROWS, CLASSES)
                 for codes, starts, *_ in chunks(batch):
-                    rows, y = feature_rows(codes, starts, cls), cls[np.minimum(codes, len(cls) - 1)]
-                    miss = np.exp(log_softmax(rows, w, b))
+                    rows, y = feature_rows(codes, starts, cls), cls[codes]
+                    _, miss, total_weight = class_weights(rows, w, b)
+                    miss /= total_weight[:, None]
                     miss[np.arange(len(y)), y] -= 1
+                    flat, miss = rows.T.ravel(), np.ascontiguousarray(miss.T, np.float64)
                     for c in range(CLASSES):
-                        column = np.zeros(ROWS)
-                        for f in range(FEATURES):
-                            column += np.bincount(rows[:, f], miss[:, c], ROWS)
-                        grid[:, c] += column
+                        grid[:, c] += np.bincount(flat, np.tile(miss[c], FEATURES), ROWS)
 
             return add
 
@@ -355,7 +354,8 @@ def score_documents(docs: DataFrame, held_out_fold: int = 1) -> DataFrame:
         share_of, base_of = np.concatenate([own, zeros]), np.concatenate([plain, zeros])
         for batch in batches:
             for codes, starts, first, last in chunks(batch):
-                lp = log_softmax(feature_rows(codes, starts, cls), w, b)[np.arange(len(codes)), cls[codes]] / np.log(10)
+                z, _, total = class_weights(feature_rows(codes, starts, cls), w, b)
+                lp = (z[np.arange(len(codes)), cls[codes]] - np.log(total)) / np.log(10)
                 add = lambda x, starts=starts: pa.array(np.add.reduceat(x.astype(float), starts), pa.float64())
                 known = np.add.reduceat((codes < size).astype(np.int64), starts)
                 some = batch.slice(first, last - first)
