@@ -1,13 +1,15 @@
 """LM scoring by a hashed maximum-entropy model with a class-factored softmax.
 
 log P(w | h) = log P(class(w) | h) + log P(w | class(w)). The class model is log-linear over hashed n-gram and skip features of
-the three words before; its weights start from the counts of feature and class, and are trained by gradients that all tasks sum
-over their share of the training documents, each document in one round. A word's share of its class follows its count.
+the three words before; its weights start from the counts of feature and class, and are trained by gradients over the training
+documents, each document in one round. A word's share of its class follows its count.
 An unknown word is one more word of the last class, with the weight of all words seen once. The other classes are frequency
 bands of groups of words that follow the same frequent words.
 
 Counts, classes and gradients cover all training documents. Frequent words, at most HEAD_WORDS, are known to every task; all
-others are joined with their counts, so that no vocabulary need fit into memory.
+others are joined with their counts, so that no vocabulary need fit into memory. Weights are kept for every feature and class that
+occur together in training, in a table of buckets of features whose number follows the training tokens; blocks of documents ask
+the buckets for the weights of their features and send gradients back, so that no task holds the table.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, map_texts, stored, text_of
+from .common import drop_stored, fold, map_texts, stored, text_of
 
 #: A token that no text has: words hold no space.
 END = " "
@@ -38,8 +40,11 @@ GROUPS = 8
 BANDS = (128, 4096)
 CLASSES = GROUPS * (len(BANDS) + 1) + 1
 FEATURES = 4
-ROWS = 1 << 15
 ROUNDS = 3
+#: A feature is a bucket's number and this many bits; a cell is a feature and, in its last bits, a class.
+OFFSET_BITS, CLASS_BITS = 32, 5
+#: Training tokens a bucket of features, and tokens a block of documents.
+BUCKET_TOKENS, BLOCK_TOKENS = 1 << 20, 1 << 21
 #: Other words are told apart in histories by this many hash values.
 TAIL_CODES = 1 << 14
 #: Initial weights: a count less DISCOUNT (as the token itself is among them), SMOOTH tokens of the prior, and a factor.
@@ -101,25 +106,42 @@ def head_of(counts: DataFrame, most: int = HEAD_WORDS) -> Head:
     return Head([words[i] for i in order], n[order].astype(np.int64), sum(t for *_, t in by_step), sum(w for _, w, _ in by_step), sum(w for s, w, _ in by_step if s == 0))
 
 
+def packed(a: np.ndarray, rising: bool = False) -> bytes:
+    """The array's bytes by place, compressed; of sorted keys the steps."""
+    if rising:
+        a = np.diff(a, prepend=a.dtype.type(0))
+    return len(a).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, kind: str, rising: bool = False) -> np.ndarray:
+    n, width = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data[8:], n * width, codec="zstd", asbytes=True), np.uint8)
+    a = np.ascontiguousarray(planes.reshape(width, n).T).view(kind).ravel()
+    return np.cumsum(a, dtype=kind) if rising else a
+
+
 #: The head words' numbers, one table for all tasks of a worker.
 _NUMBERS: dict[str, dict[bytes, int]] = {}
 
 
 def coded(docs: DataFrame, head: Head) -> DataFrame:
-    """uid, doc_id, fold, n_tokens, codes (int32: a head word's number, or above these a hash), and the other words with their
-    counts; END is the last token of every row."""
+    """uid, doc_id, fold, n_tokens, block, codes (packed int32: a head word's number, or above these a hash), and the other words with
+    their counts; END is the last token of every row. A block is a run of rows of one task, about BLOCK_TOKENS long."""
     shared = docs.sparkSession.sparkContext.broadcast(head)
     size, key = len(head.words), uuid.uuid4().hex
 
     def make():
-        numbers = _NUMBERS.get(key)
+        from pyspark import TaskContext
+
+        numbers, block, filled = _NUMBERS.get(key), TaskContext.get().partitionId() << 32, 0
         if numbers is None:
             _NUMBERS.clear()
             numbers = _NUMBERS[key] = {w.encode(): i for i, w in enumerate(shared.value.words)}
         get, end = numbers.get, END.encode()
 
         def work(texts: list, batch: pa.RecordBatch) -> dict:
-            out = {"doc_id": batch["doc_id"], "fold": batch["fold"], "n_tokens": [], "codes": [], "words": [], "times": []}
+            nonlocal block, filled
+            out = {"doc_id": batch["doc_id"], "fold": batch["fold"], "n_tokens": [], "block": [], "codes": [], "words": [], "times": []}
             for t in texts:
                 tokens = t.lower().split()
                 tokens.append(end)
@@ -128,8 +150,12 @@ def coded(docs: DataFrame, head: Head) -> DataFrame:
                 words = [tokens[i] for i in other.tolist()]
                 codes[other] = [size + zlib.crc32(w) % TAIL_CODES for w in words]
                 rest = Counter(words)
+                if filled >= BLOCK_TOKENS:
+                    block, filled = block + 1, 0
+                filled += len(tokens)
                 out["n_tokens"].append(len(tokens))
-                out["codes"].append(codes.tobytes())
+                out["block"].append(block)
+                out["codes"].append(packed(codes))
                 out["words"].append([w.decode() for w in rest])
                 out["times"].append(list(rest.values()))
             return out
@@ -137,13 +163,13 @@ def coded(docs: DataFrame, head: Head) -> DataFrame:
         return work
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), fold(F.col("doc_id")).cast("int").alias("fold"), text_of().alias("text"))
-    out = map_texts(rows, make, "doc_id long, fold int, n_tokens long, codes binary, words array<string>, times array<long>")
+    out = map_texts(rows, make, "doc_id long, fold int, n_tokens long, block long, codes binary, words array<string>, times array<long>")
     return out.withColumn("uid", F.monotonically_increasing_id())
 
 
-def chunks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
+def chunks(batch: pa.RecordBatch | pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
     """Codes of whole documents of a batch, about CHUNK at a time, with the index of each one's first token."""
-    texts = [np.frombuffer(x.as_py(), "<i4") for x in batch.column("codes")]
+    texts = [unpacked(x.as_py(), "<i4") for x in batch.column("codes")]
     at, size = 0, 0
     for i, codes in enumerate(texts):
         size += len(codes)
@@ -250,14 +276,20 @@ def word_classes(training: DataFrame, head: Head) -> np.ndarray:
     return known * (len(BANDS) + 1) + np.searchsorted(BANDS, np.arange(size), "right")
 
 
-def feature_rows(codes: np.ndarray, starts: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """Rows of the weight table of each token: the word before, the one skipped to, the pair, the three classes before."""
+def feature_codes(codes: np.ndarray, starts: np.ndarray, classes: np.ndarray, bits: int) -> np.ndarray:
+    """Features of each token, for 2**bits buckets: the word before, the one skipped to, the pair, the three classes before.
+
+    Different histories of a family, and different families, have different numbers before these are mixed and cut.
+    """
     p1, p2, p3 = (before(codes, starts, k).astype(np.int64) for k in (1, 2, 3))
     cls = lambda p: np.where(p < 0, CLASSES - p, classes[np.clip(p, 0, len(classes) - 1)])
     trio = (cls(p1) * 64 + cls(p2)) * 64 + cls(p3)
-    mixed = np.stack([p1 + 5, p2 + 5, (p1 + 5) * 1_000_003 + p2, trio], 1).astype(np.uint64) * np.uint64(FEATURES) + np.arange(FEATURES, dtype=np.uint64)
-    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (mixed >> np.uint64(64 - 15)).astype(np.int64)
+    mixed = np.stack([p1 + 5, p2 + 5, (p1 + 5 << 24) + p2 + 5, trio], 1).astype(np.uint64) * np.uint64(FEATURES) + np.arange(FEATURES, dtype=np.uint64)
+    for factor in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9):
+        mixed *= np.uint64(factor)
+        mixed ^= mixed >> np.uint64(29)
+    mixed *= np.uint64(0x94D049BB133111EB)
+    return mixed >> np.uint64(64 - OFFSET_BITS - bits)
 
 
 def class_weights(rows: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -271,56 +303,193 @@ def class_weights(rows: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> tu
     return z, e, e @ np.ones(CLASSES, e.dtype)
 
 
-def train_classes(training: DataFrame, classes: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (ROWS x CLASSES) and bias of the class model."""
-    spark = training.sparkSession
-    all_classes = spark.sparkContext.broadcast(classes)
+def in_buckets(keys: np.ndarray, shift: int) -> Iterator[tuple[int, slice, np.ndarray]]:
+    """The buckets (the bits above `shift`) of sorted keys, their slices, and the keys without the bucket."""
+    if len(keys):
+        numbers = keys >> np.uint64(shift)
+        first = np.flatnonzero(np.r_[True, numbers[1:] != numbers[:-1]])
+        for at, to in zip(first.tolist(), [*first[1:].tolist(), len(keys)], strict=True):
+            yield int(numbers[at]), slice(at, to), keys[at:to] & np.uint64((1 << shift) - 1)
 
-    def counting():
-        cls = all_classes.value
 
-        def add(batch: pa.RecordBatch, total: np.ndarray) -> None:
-            for codes, starts, *_ in chunks(batch):
-                cells = feature_rows(codes, starts, cls) * CLASSES + cls[codes][:, None]
-                total += np.bincount(cells.ravel(), minlength=len(total)).astype(total.dtype)
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """Sorted; np.unique without counts hashes, which takes ten times as long."""
+    keys = np.sort(keys, axis=None)
+    return keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys
+
 
-        return add
+def sums_of(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and the sums of their values."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
+    return keys[first], np.add.reduceat(values[order], first) if len(first) else values
+
+
+def joined(column: pa.ChunkedArray, kind: str, rising: bool = False) -> np.ndarray:
+    """The packed arrays of all rows as one array."""
+    return np.concatenate([np.empty(0, kind), *(unpacked(x.as_py(), kind, rising) for x in column)])
+
+
+def table_of(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    seen = summed(training, counting, (ROWS, CLASSES), "<f4").astype(float)
-    prior = (seen.sum(0) + 1) / (seen.sum() + CLASSES)
+
+def by_block(batches: Iterator[pa.RecordBatch], found: Callable[[np.ndarray, np.ndarray], tuple]) -> Iterator[tuple]:
+    """The block, and its chunks' results of `found`, each kind as one array. A block that comes in parts stays in parts."""
+    block, results = None, []
+    whole_of = lambda: map(np.concatenate, zip(*results, strict=True))
+    for whole in batches:
+        numbers = whole.column("block").to_numpy()
+        cuts = [0, *(np.flatnonzero(numbers[1:] != numbers[:-1]) + 1).tolist(), len(numbers)]
+        for at, to in zip(cuts[:-1], cuts[1:], strict=True):
+            if at == to:
+                continue
+            if block is not None and block != numbers[at]:
+                yield int(block), *whole_of()
+                results = []
+            block = numbers[at]
+            for codes, starts, *_ in chunks(whole.slice(at, to - at)):
+                results.append(found(codes, starts))
+    if results:
+        yield int(block), *whole_of()
+
+
+def first_weights(training: DataFrame, classes, prior: np.ndarray, bits: int) -> DataFrame:
+    """(bucket, cells, seen, weights, squares): the cells of each bucket that occur, sorted, with the count of the cell's feature,
+    the weight by the counts, and 0."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cls = classes.value
+
+        def found(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            cells = (feature_codes(codes, starts, cls, bits) << np.uint64(CLASS_BITS)) + cls[codes].astype(np.uint64)[:, None]
+            return np.unique(cells.ravel(), return_counts=True)
+
+        for _, cells, n in by_block(batches, found):
+            cells, n = sums_of(cells, n)
+            for bucket, part, own in in_buckets(cells, OFFSET_BITS + CLASS_BITS):
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([packed(own, True)], pa.binary()), pa.array([packed(n[part].astype("<i8"))], pa.binary())], ["bucket", "cells", "n"])
+
+    schema = pa.schema([("bucket", pa.int64()), *((c, pa.binary()) for c in ("cells", "seen", "weights", "squares"))])
+
+    def start(key: tuple, parts: pa.Table) -> pa.Table:
+        cells, n = sums_of(joined(parts["cells"], "<u8", True), joined(parts["n"], "<i8").astype(float))
+        feature = cells >> np.uint64(CLASS_BITS)
+        own = prior[(cells & np.uint64((1 << CLASS_BITS) - 1)).astype(np.int64)]
+        first = np.flatnonzero(np.r_[True, feature[1:] != feature[:-1]])
+        size = np.diff(np.r_[first, len(cells)])
+        kept = np.maximum(n - DISCOUNT, 0)
+        seen = np.add.reduceat(n, first)
+        spare = np.repeat(seen - np.add.reduceat(kept, first) + SMOOTH, size)
+        weights = SHARE * np.log1p(kept / (spare * own))  # against the class's weight where the two don't occur together
+        return table_of([(key[0].as_py(), packed(cells, True), packed(np.repeat(seen, size).astype("<f4")), packed(weights.astype("<f4")), packed(np.zeros(len(cells), "<f4")))], schema)
+
+    counts = training.select("block", "codes").mapInArrow(count, "bucket long, cells binary, n binary")
+    return stored(counts.groupBy("bucket").applyInArrow(start, "bucket long, cells binary, seen binary, weights binary, squares binary"), "weights")
+
+
+def weights_for(docs: DataFrame, table: DataFrame, classes, bits: int) -> DataFrame:
+    """(block, cells, weights): of each block's features all cells in the table, a row for each bucket and part of a block."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cls = classes.value
+
+        def found(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray]:
+            return (distinct(feature_codes(codes, starts, cls, bits)),)
+
+        for block, features in by_block(batches, found):
+            for bucket, _, own in in_buckets(distinct(features), OFFSET_BITS):
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([block], pa.int64()), pa.array([packed(own.astype("<u4"), True)], pa.binary())], ["bucket", "block", "features"])
+
+    schema = pa.schema([("block", pa.int64()), ("cells", pa.binary()), ("weights", pa.binary())])
+
+    def answer(key: tuple, table: pa.Table, asked: pa.Table) -> pa.Table:
+        cells, weights, rows = joined(table["cells"], "<u8", True), joined(table["weights"], "<f4"), []
+        feature, high = cells >> np.uint64(CLASS_BITS), np.uint64(key[0].as_py() << OFFSET_BITS + CLASS_BITS)
+        for block, features in zip(asked["block"].to_pylist(), asked["features"], strict=True):
+            wanted = unpacked(features.as_py(), "<u4", True).astype(np.uint64)
+            at, to = np.searchsorted(feature, wanted), np.searchsorted(feature, wanted, "right")
+            cell = spans(at, to - at)
+            rows.append((block, packed(cells[cell] + high, True), packed(weights[cell])))
+        return table_of(rows, schema)
+
+    asked = docs.select("block", "codes").mapInArrow(ask, "bucket long, block long, features binary")
+    return table.select("bucket", "cells", "weights").groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(answer, "block long, cells binary, weights binary")
+
+
+def spans(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers at, at + 1, ... of each span, `size` many."""
+    end = np.cumsum(size)
+    return np.arange(end[-1] if len(end) else 0) + np.repeat(at - end + size, size)
+
+
+class Local:
+    """The cells of a block's features."""
+
+    def __init__(self, found: pa.Table):
+        cells, first = np.unique(joined(found["cells"], "<u8", True), return_index=True)
+        self.cells, self.weights = cells, joined(found["weights"], "<f4")[first]
+        feature = cells >> np.uint64(CLASS_BITS)
+        self.at = np.flatnonzero(np.r_[True, feature[1:] != feature[:-1]]) if len(cells) else np.empty(0, np.int64)
+        self.feature, self.size = feature[self.at], np.diff(np.r_[self.at, len(cells)])
+        self.cls = (cells & np.uint64((1 << CLASS_BITS) - 1)).astype(np.int64)
+
+    def dense(self, features: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For features (tokens x FEATURES): rows of a matrix of weights by class, the matrix, and where in it which cells are."""
+        own, rows = np.unique(features, return_inverse=True)
+        at = np.searchsorted(self.feature, own)
+        known = np.flatnonzero(at < len(self.feature))
+        known = known[self.feature[at[known]] == own[known]]
+        size = self.size[at[known]]
+        cell = spans(self.at[at[known]], size)
+        place = np.repeat(known, size) * CLASSES + self.cls[cell]
+        matrix = np.zeros(len(own) * CLASSES, np.float32)
+        matrix[place] = self.weights[cell]
+        return rows.reshape(features.shape), matrix.reshape(-1, CLASSES), place, cell
+
+
+def train_classes(training: DataFrame, classes, prior: np.ndarray, tokens: int, rounds: int = ROUNDS) -> tuple[DataFrame, np.ndarray, int]:
+    """The table of weights, the bias, and the bits of bucket numbers, of the class model. `classes` is broadcast."""
+    bits = max(0, (max(tokens, 1) - 1) // BUCKET_TOKENS).bit_length()
     bias = np.log(prior).astype(np.float32)
-    kept = np.maximum(seen - DISCOUNT, 0)
-    spare = seen.sum(1, keepdims=True) - kept.sum(1, keepdims=True) + SMOOTH
-    weights = (SHARE * (np.log((kept + spare * prior) / (kept.sum(1, keepdims=True) + spare)) - np.log(prior))).astype(np.float32)
-    square = np.zeros_like(weights, float)
+    table = first_weights(training, classes, prior, bits)
+    grown = pa.schema([("bucket", pa.int64()), ("cells", pa.binary()), ("gradient", pa.binary())])
+
+    def gradient(_: tuple, docs: pa.Table, found: pa.Table) -> pa.Table:
+        cls, local = classes.value, Local(found)
+        total = np.zeros(len(local.cells), np.float32)
+        for codes, starts, *_ in chunks(docs):
+            y = cls[codes]
+            rows, matrix, place, cell = local.dense(feature_codes(codes, starts, cls, bits))
+            _, miss, total_weight = class_weights(rows, matrix, bias)
+            miss /= total_weight[:, None]
+            miss[np.arange(len(y)), y] -= 1
+            flat, miss, grid = rows.T.ravel(), np.ascontiguousarray(miss.T, np.float64), np.empty(matrix.shape)
+            for c in range(CLASSES):
+                grid[:, c] = np.bincount(flat, np.tile(miss[c], FEATURES), len(matrix))
+            total[cell] += grid.ravel()[place]
+        return table_of([(bucket, packed(own, True), packed(total[part])) for bucket, part, own in in_buckets(local.cells, OFFSET_BITS + CLASS_BITS)], grown)
+
+    def step(key: tuple, old: pa.Table, grown: pa.Table) -> pa.Table:
+        cells, (seen, weights, squares) = joined(old["cells"], "<u8", True), (joined(old[c], "<f4") for c in ("seen", "weights", "squares"))
+        own, g = sums_of(joined(grown["cells"], "<u8", True), joined(grown["gradient"], "<f4").astype(float))
+        full = np.zeros(len(cells))
+        full[np.searchsorted(cells, own)] = g
+        full /= np.maximum(seen / rounds, 1) ** 0.5  # a feature's share of the round's tokens
+        squares = squares + full * full
+        weights = weights - 0.15 * full / np.sqrt(squares + 1.0)
+        return table_of([(key[0].as_py(), packed(cells, True), packed(seen), packed(weights.astype("<f4")), packed(squares.astype("<f4")))], old.schema)
+
     for r in range(rounds):
-        now = spark.sparkContext.broadcast((weights, bias))
-
-        def gradient(now=now):
-            w, b = now.value
-            cls = all_classes.value
-
-            def add(batch: pa.RecordBatch, total: np.ndarray) -> None:
-                grid = total.reshape(ROWS, CLASSES)
-                for codes, starts, *_ in chunks(batch):
-                    rows, y = feature_rows(codes, starts, cls), cls[codes]
-                    _, miss, total_weight = class_weights(rows, w, b)
-                    miss /= total_weight[:, None]
-                    miss[np.arange(len(y)), y] -= 1
-                    flat, miss = rows.T.ravel(), np.ascontiguousarray(miss.T, np.float64)
-                    for c in range(CLASSES):
-                        grid[:, c] += np.bincount(flat, np.tile(miss[c], FEATURES), ROWS)
-
-            return add
-
-        mine = training.where(F.pmod(F.xxhash64("uid"), F.lit(rounds)) == r)
-        g = summed(mine, gradient, (ROWS, CLASSES), "<f4").astype(float)
-        scale = np.maximum(seen.sum(1, keepdims=True) / rounds, 1) ** 0.5  # a row's share of the round's tokens
-        g /= scale
-        square += g * g
-        weights = (weights - 0.15 * g / np.sqrt(square + 1.0)).astype(np.float32)
-        now.unpersist()
-    return weights, bias
+        mine = training.where(F.pmod(F.xxhash64("uid"), F.lit(rounds)) == r).select("block", "codes")
+        found = weights_for(mine, table, classes, bits)
+        gradients = mine.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(gradient, "bucket long, cells binary, gradient binary")
+        old = table
+        table = stored(old.groupBy("bucket").cogroup(gradients.groupBy("bucket")).applyInArrow(step, old.schema), "weights")
+        drop_stored(training.sparkSession, old)
+    return table, bias, bits
 
 
 def score_documents(docs: DataFrame, held_out_fold: int = 1) -> DataFrame:
@@ -334,10 +503,14 @@ def score_documents(docs: DataFrame, held_out_fold: int = 1) -> DataFrame:
     counts = stored(word_counts(training_rows), "counts")
     head = head_of(counts)
     rows = stored(coded(docs, head), "codes")
-    training = rows.where(F.col("fold") != held_out_fold).select("uid", "codes")
+    training = rows.where(F.col("fold") != held_out_fold).select("uid", "block", "codes")
     size = len(head.words)
     classes = np.concatenate([word_classes(training, head), np.full(TAIL_CODES, CLASSES - 1)])
-    weights, bias = train_classes(training, classes)
+    all_classes = docs.sparkSession.sparkContext.broadcast(classes)
+    in_training = np.bincount(classes[:size], head.counts, CLASSES) if size else np.zeros(CLASSES)
+    in_training[CLASSES - 1] += head.tokens - head.counts.sum()
+    prior = (FEATURES * in_training + 1) / (FEATURES * head.tokens + CLASSES)
+    table, bias, bits = train_classes(training, all_classes, prior, head.tokens)
     # the shares of words in their classes; in the last one an unknown word has the weight of the words seen once
     in_class = np.bincount(classes[:size], head.counts + 0.5, CLASSES) if size else np.zeros(CLASSES)
     tail = int(head.tokens - head.counts.sum())
@@ -346,22 +519,27 @@ def score_documents(docs: DataFrame, held_out_fold: int = 1) -> DataFrame:
     base = np.log10((head.counts + 0.5) / head.total)
     live = in_class > 0  # classes without words take no probability
     bias = np.where(live, bias, -np.inf).astype(np.float32)
-    shared = docs.sparkSession.sparkContext.broadcast((weights, bias, classes, share, base))
+    shared = docs.sparkSession.sparkContext.broadcast((bias, classes, share, base))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, b, cls, own, plain = shared.value
-        zeros = np.zeros(TAIL_CODES)
+    kinds = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("fold", pa.int32()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+
+    def score(_: tuple, whole: pa.Table, found: pa.Table) -> pa.Table:
+        b, cls, own, plain = shared.value
+        zeros, local, out = np.zeros(TAIL_CODES), Local(found), [table_of([], kinds)]
         share_of, base_of = np.concatenate([own, zeros]), np.concatenate([plain, zeros])
-        for batch in batches:
-            for codes, starts, first, last in chunks(batch):
-                z, _, total = class_weights(feature_rows(codes, starts, cls), w, b)
-                lp = (z[np.arange(len(codes)), cls[codes]] - np.log(total)) / np.log(10)
-                add = lambda x, starts=starts: pa.array(np.add.reduceat(x.astype(float), starts), pa.float64())
-                known = np.add.reduceat((codes < size).astype(np.int64), starts)
-                some = batch.slice(first, last - first)
-                yield pa.RecordBatch.from_arrays([some["uid"], some["doc_id"], some["fold"], some["n_tokens"], pa.array(known, pa.int64()), add(base_of[codes]), add(lp + share_of[codes])], ["uid", "doc_id", "fold", "n_tokens", "known", "base", "score"])
-
-    scored = rows.select("uid", "doc_id", "fold", "n_tokens", "codes").mapInArrow(score, "uid long, doc_id long, fold int, n_tokens long, known long, base double, score double")
+        for codes, starts, first, last in chunks(whole):
+            rows, matrix, *_ = local.dense(feature_codes(codes, starts, cls, bits))
+            z, _, total = class_weights(rows, matrix, b)
+            lp = (z[np.arange(len(codes)), cls[codes]] - np.log(total)) / np.log(10)
+            add = lambda x, starts=starts: pa.array(np.add.reduceat(x.astype(float), starts), pa.float64())
+            known = np.add.reduceat((codes < size).astype(np.int64), starts)
+            some = whole.slice(first, last - first)
+            out.append(pa.Table.from_arrays([some["uid"], some["doc_id"], some["fold"], some["n_tokens"], pa.array(known, pa.int64()), add(base_of[codes]), add(lp + share_of[codes])], schema=kinds))
+        return pa.concat_tables(out)
+
+    texts = rows.select("block", "uid", "doc_id", "fold", "n_tokens", "codes")
+    found = weights_for(texts, table, all_classes, bits)
+    scored = texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(score, "uid long, doc_id long, fold int, n_tokens long, known long, base double, score double")
     # the words that aren't in the head: join them with their counts
     rest = rows.select("uid", F.explode(F.arrays_zip("words", "times")).alias("e")).select("uid", F.col("e.words").alias("word"), F.col("e.times").alias("times"))
     n = F.coalesce("n", F.lit(0))
