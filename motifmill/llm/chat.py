@@ -132,8 +132,9 @@ TOOLS = [
 
 def calls_of_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results made of all turns of conversations: every user's turn becomes a call whose arguments hold its text, every
-    assistant's turn the result of the turn before. A call needs that of the turn half as far into its conversation. By a hash of
-    their place, some calls lack an argument or have one of a wrong type, so that validation has work."""
+    assistant's turn the result of the turn before, and every other turn (system, tool, any other role or none), and what repeats an
+    assistant's turn, a result of its own that no call has. A call needs that of the turn half as far into its conversation. By a
+    hash of their place, some calls lack an argument or have one of a wrong type, so that validation has work."""
     t = F.col("turn").cast("long")
     place = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(12))
     name_of = lambda turn: F.concat_ws("_", F.lit("call"), F.col("conv_id").cast("string"), turn.cast("string"))
@@ -149,7 +150,11 @@ def calls_of_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(kind == 0, search).when(kind == 1, measure).otherwise(translate).alias("arguments"),
         F.when(t >= 2, F.array(name_of(t % 2 + 2 * F.floor(t / 4)))).otherwise(F.array().cast("array<string>")).alias("depends_on"),
     )
-    return calls, turns.where("role = 'assistant'").select("conv_id", t.alias("turn"), name_of(t - 1).alias("call_id"), F.col("text").alias("content"))
+    others = turns.where("not coalesce(role = 'user', false)").select("conv_id", t.alias("turn"), "role", F.col("text").alias("content"))
+    nth = F.row_number().over(Window.partitionBy("conv_id", "turn", "role").orderBy("content"))
+    own = F.concat_ws("_", F.lit("turn"), F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    call_id = F.when((F.col("role") == "assistant") & (F.col("nth") == 1), name_of(F.col("turn") - 1)).otherwise(own)
+    return calls, others.withColumn("nth", nth).select("conv_id", "turn", call_id.alias("call_id"), "content")
 
 
 def format_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
