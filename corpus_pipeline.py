@@ -34,12 +34,11 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near copies the document with the least doc_id. Documents without an id stay if no other text of
-    their group has one. Rows that repeat both id and text are one document."""
-    kept = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "text_hash").distinct()
-    names, kept = docs.columns, stored(kept.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")), "kept")
-    same = F.col("__hash").eqNullSafe(simhash.text_hash(F.col("text"))) & F.col("__id").eqNullSafe(F.col("doc_id"))
-    return docs.join(kept, same, "left_semi").select(*[F.col(f"`{c}`") for c in names])
+    """Keeps one document of each group of near copies: that with the least doc_id, then text hash, of repeated rows one. A document
+    without an id stays only if no other of its group has one."""
+    names, numbered = docs.columns, stored(docs.withColumn("__uid", F.monotonically_increasing_id()), "numbered")
+    kept = stored(simhash.one_of_each_group(numbered, "__uid"), "kept")
+    return numbered.join(kept, "__uid", "left_semi").select(*[F.col(f"`{c}`") for c in names])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -115,6 +115,23 @@ def fingerprint_links(weights: DataFrame) -> DataFrame:
     return edges.unionByName(star).unionByName(dense).distinct()
 
 
+def fingerprint_groups(fps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(fp, n, least doc_id) of each fingerprint, and (fp, root) of those that are linked with others."""
+    weights = stored(fps.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")), "weights")
+    return weights, stored(components(fingerprint_links(weights.select("fp", "n"))).withColumnRenamed("node", "fp"), "roots")
+
+
+def one_of_each_group(docs: DataFrame, uid: str) -> DataFrame:
+    """(uid): of each component of `docs` the row with the least (doc_id, text hash, uid), null ids last. `uid` is a long column
+    that tells rows apart and is stored."""
+    make = lambda: lambda texts, batch: {"uid": batch["uid"], "doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "fp": [fingerprint(t) for t in texts]}
+    rows = docs.select(F.col(uid).alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), text_hash(F.col("text")).alias("text_hash"), text_of().alias("text"))
+    fps = stored(map_texts(rows, make, "uid long, doc_id long, text_hash long, fp long"), "fingerprints")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "text_hash", "uid")).alias("least")
+    best = fps.groupBy("fp").agg(least).join(fingerprint_groups(fps)[1], "fp", "left")
+    return best.groupBy(F.coalesce("root", "fp")).agg(F.min("least").alias("least")).select(F.col("least.uid").alias(uid))
+
+
 def near_duplicates(docs: DataFrame, ngram: int = 3, seed: int = 42) -> DataFrame:
     """One row for each row of `docs`: doc_id, fingerprint (16 hex digits), component_id (the least doc_id reachable), text_hash.
 
@@ -123,8 +140,7 @@ def near_duplicates(docs: DataFrame, ngram: int = 3, seed: int = 42) -> DataFram
     gives an empty result. Columns other than doc_id and text aren't read.
     """
     fps = stored(fingerprints(docs, ngram, seed), "fingerprints")
-    weights = stored(fps.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")), "weights")
-    roots = stored(components(fingerprint_links(weights.select("fp", "n"))).withColumnRenamed("node", "fp"), "roots")
+    weights, roots = fingerprint_groups(fps)
     least = weights.join(roots, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
     linked = roots.join(least, "root").select("fp", "component_id")
     ids = weights.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
