@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -60,6 +61,45 @@ def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+#: UTF-8 bytes of text that Spark puts into one batch for Python, a single longer row apart.
+BATCH_BYTES = 4 << 20
+#: Bytes of a text that are split into tokens at a time.
+RUN_BYTES = 1 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches for Python workers end by their bytes, not only by their rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def text_runs(text: bytes | memoryview) -> Iterator[bytes]:
+    """A text in runs of about RUN_BYTES that end at white space."""
+    at, size = 0, len(text)
+    while at < size:
+        end = at + RUN_BYTES
+        if end < size:
+            found = _SPACE.search(text, end)
+            end = found.end() if found else size
+        yield bytes(text[at:end])
+        at = end
+
+
+def token_runs(text: bytes | memoryview | None, end: bytes | None = None) -> Iterator[list[bytes]]:
+    """The words of a text in lower case (A-Z), some 100,000 at a time; `end` is one more after the last."""
+    last: list[bytes] = []
+    for run in text_runs(memoryview(text) if text is not None else b""):
+        if last:
+            yield last
+        last = run.lower().split()
+    if end is not None:
+        last.append(end)
+    if last:
+        yield last
+
+
 class Memo(dict):
     """A bounded memo of a function of one word: when it is full, its entries become the old ones, from which those still in use
     come back, and it starts afresh."""

@@ -1,15 +1,18 @@
 """LM scoring by a hashed maximum-entropy model with a class-factored softmax.
 
-log P(w | h) = log P(class(w) | h) + log P(w | class(w)). The class model is log-linear over hashed n-gram and skip features of
-the three words before; its weights start from the counts of feature and class, and are trained by gradients over the training
-documents, each document in one round. A word's share of its class follows its count.
-An unknown word is one more word of the last class, with the weight of all words seen once. The other classes are frequency
-bands of groups of words that follow the same frequent words.
-
-Counts, classes and gradients cover all training documents. Frequent words, at most HEAD_WORDS, are known to every task; all
-others are joined with their counts, so that no vocabulary need fit into memory. Weights are kept for every feature and class that
-occur together in training, in a table of buckets of features whose number follows the training tokens; blocks of documents ask
-the buckets for the weights of their features and send gradients back, so that no task holds the table.
+log P(w | h) = log P(class(w) | h) + log P(code(w) | class(w), h) + log P(w | code(w)). The first two factors are log-linear over
+features of the history, both trained; the third is a word's share of its code. Frequent words have a code of their own, all others
+share TAIL_CODES hashed codes, so that the outcomes stay bounded however large the vocabulary is.
+
+A history has three nested features: the word before (or, where that is a hashed one, the skip feature of the word before it), the
+two words before, the three words before. Level by level, a feature gets a weight for each outcome that it has in training, on top
+of the distribution of the level above. Given that, the features of one level are independent, and each one's weights maximise its
+own concave likelihood with a Gaussian prior: damped Newton gradient updates from zero, over all its training tokens, until none
+moves. So the weights don't depend on an order or a layout of the data.
+
+Histories are dealt out by their first feature: blocks of documents send their distinct (history, word) events with their counts to
+shards, which train the weights of their features and answer each event with its log probability. A feature of more than HOT_TOKENS
+tokens is trained from its aggregated counts instead, in a table of bounded size, and its events are dealt out by the next feature.
 """
 
 from __future__ import annotations
@@ -27,38 +30,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, fold, map_texts, stored, text_of
+from .common import fold, small_batches, stored, text_of, token_runs
 
 #: A token that no text has: words hold no space.
 END = " "
-#: Words that tasks know by number; a bound on what is broadcast.
-HEAD_WORDS = 1 << 18
+#: Words that have a code of their own, a bound on what is broadcast; all others share hashed codes.
+HEAD_WORDS, TAIL_CODES = 1 << 18, 1 << 20
 #: Words that stand for contexts, and words that are grouped by them at first.
 ANCHORS, GROUPED = 256, 4096
 GROUPS = 8
-#: Upper ends, by rank, of the frequency bands of a group; the last takes all other head words.
+#: Upper ends, by rank, of the frequency bands of a group; the last takes all other head words. Hashed codes are one more class.
 BANDS = (128, 4096)
 CLASSES = GROUPS * (len(BANDS) + 1) + 1
-FEATURES = 4
-ROUNDS = 3
-#: A feature is a bucket's number and this many bits; a cell is a feature and, in its last bits, a class.
-OFFSET_BITS, CLASS_BITS = 32, 5
-#: Training tokens a bucket of features, and tokens a block of documents.
-BUCKET_TOKENS, BLOCK_TOKENS = 1 << 20, 1 << 21
-#: Other words are told apart in histories by this many hash values.
-TAIL_CODES = 1 << 14
-#: Initial weights: a count less DISCOUNT (as the token itself is among them), SMOOTH tokens of the prior, and a factor.
-DISCOUNT, SMOOTH, SHARE = 0.8, 4.0, 0.5
-CHUNK = 200_000
+#: Bits of a code in a history's key: three codes plus one, 0 for none, the nearest first. The top bit marks a skip feature.
+CODE_BITS = 21
+LEVELS = 3
+#: Variances of the prior of class and of word weights, and most updates.
+CLASS_VARIANCE, WORD_VARIANCE, UPDATES = 2.0, 4.0, 30
+#: Tokens of a block of documents and of a segment of a long one, of a shard, and those above which a feature is dealt out further.
+BLOCK_TOKENS, SHARD_TOKENS, HOT_TOKENS = 1 << 20, 1 << 19, 1 << 20
 BLOCKS = 16
 
 
 @dataclass
 class Head:
-    """Frequent words by falling count, and what a token's share of its class is."""
+    """Frequent words by falling count; tail: the counts of the hashed codes."""
 
     words: list[str]
     counts: np.ndarray
+    tail: np.ndarray
     tokens: int
     distinct: int
     singles: int
@@ -67,6 +67,14 @@ class Head:
     def total(self) -> float:
         return self.tokens + 0.5 * (self.distinct + 1)
 
+    @property
+    def unknown(self) -> float:
+        """The weight of an unknown word in each hashed code; all together weigh as the words seen once."""
+        return (self.singles + 0.5) / TAIL_CODES
+
+    def mass(self) -> np.ndarray:
+        return np.concatenate([self.counts.astype(float), self.tail + self.unknown])
+
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n) over all rows of `docs` (text), one END a row included."""
@@ -82,12 +90,14 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text in batch.column("text").cast(pa.binary()):
-                count.update((text.as_py() or b"").lower().split())
+                for words in token_runs(text.as_buffer()):
+                    count.update(words)
+                    if len(count) > 400_000:
+                        yield from flush()
                 count[END.encode()] += 1
-                if len(count) > 400_000:
-                    yield from flush()
         yield from flush()
 
+    small_batches(docs.sparkSession)
     return docs.select(text_of().alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -103,7 +113,11 @@ def head_of(counts: DataFrame, most: int = HEAD_WORDS) -> Head:
     rows = counts.where(step >= least).toArrow() if least is not None else None  # at most `most` rows
     words, n = (rows["word"].to_pylist(), rows["n"].to_numpy()) if rows is not None else ([], np.empty(0, np.int64))
     order = sorted(range(len(words)), key=lambda i: (-n[i], words[i]))
-    return Head([words[i] for i in order], n[order].astype(np.int64), sum(t for *_, t in by_step), sum(w for _, w, _ in by_step), sum(w for s, w, _ in by_step if s == 0))
+    rest = counts if least is None else counts.where(step < least)
+    found = rest.groupBy((F.crc32("word") % TAIL_CODES).alias("code")).agg(F.sum("n").alias("n")).toArrow()  # at most TAIL_CODES rows
+    tail = np.zeros(TAIL_CODES)
+    tail[found["code"].to_numpy()] = found["n"].to_numpy()
+    return Head([words[i] for i in order], n[order].astype(np.int64), tail, sum(t for *_, t in by_step), sum(w for _, w, _ in by_step), sum(w for s, w, _ in by_step if s == 0))
 
 
 def packed(a: np.ndarray, rising: bool = False) -> bytes:
@@ -122,74 +136,112 @@ def unpacked(data: bytes, kind: str, rising: bool = False) -> np.ndarray:
 
 #: The head words' numbers, one table for all tasks of a worker.
 _NUMBERS: dict[str, dict[bytes, int]] = {}
+_BLOCK = pa.schema([("block", pa.int64()), ("uid", pa.list_(pa.int64())), ("doc_id", pa.list_(pa.int64())), ("fold", pa.list_(pa.int32())), ("size", pa.list_(pa.int64())), ("lead", pa.list_(pa.int32())), ("codes", pa.binary()),
+                    ("of", pa.list_(pa.int64())), ("words", pa.list_(pa.string())), ("times", pa.list_(pa.int64())), ("weight", pa.list_(pa.float64()))])
+_BLOCK_TYPE = "block long, uid array<long>, doc_id array<long>, fold array<int>, size array<long>, lead array<int>, codes binary, of array<long>, words array<string>, times array<long>, weight array<double>"
 
 
-def coded(docs: DataFrame, head: Head) -> DataFrame:
-    """uid, doc_id, fold, n_tokens, block, codes (packed int32: a head word's number, or above these a hash), and the other words with
-    their counts; END is the last token of every row. A block is a run of rows of one task, about BLOCK_TOKENS long."""
-    shared = docs.sparkSession.sparkContext.broadcast(head)
-    size, key = len(head.words), uuid.uuid4().hex
+def coded(docs: DataFrame, head: Head, block_tokens: int) -> DataFrame:
+    """Blocks of about `block_tokens` tokens, a row each. A block has segments of documents: uid, doc_id, fold, size (tokens without
+    the lead), lead (codes of the segment before that come first); the codes of all, packed; and of each document the words without
+    a code of their own (of: its uid), their times, and log10 of their code's weight. END is the last token of every document."""
+    spark, size, key = docs.sparkSession, len(head.words), uuid.uuid4().hex
+    shared = spark.sparkContext.broadcast((head.words, np.log10(head.tail + head.unknown).astype(np.float64)))  # bounded by HEAD_WORDS and TAIL_CODES
 
-    def make():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        words, weights = shared.value
         numbers, block, filled = _NUMBERS.get(key), TaskContext.get().partitionId() << 32, 0
         if numbers is None:
             _NUMBERS.clear()
-            numbers = _NUMBERS[key] = {w.encode(): i for i, w in enumerate(shared.value.words)}
-        get, end = numbers.get, END.encode()
+            numbers = _NUMBERS[key] = {w.encode(): i for i, w in enumerate(words)}
+        get, codes = numbers.get, []
+        columns: dict[str, list] = {name: [] for name in _BLOCK.names if name not in ("block", "codes")}
 
-        def work(texts: list, batch: pa.RecordBatch) -> dict:
+        def flush():
             nonlocal block, filled
-            out = {"doc_id": batch["doc_id"], "fold": batch["fold"], "n_tokens": [], "block": [], "codes": [], "words": [], "times": []}
-            for t in texts:
-                tokens = t.lower().split()
-                tokens.append(end)
-                codes = np.fromiter(map(get, tokens, repeat(-1)), "<i4", len(tokens))
-                other = np.flatnonzero(codes < 0)
-                words = [tokens[i] for i in other.tolist()]
-                codes[other] = [size + zlib.crc32(w) % TAIL_CODES for w in words]
-                rest = Counter(words)
-                if filled >= BLOCK_TOKENS:
-                    block, filled = block + 1, 0
-                filled += len(tokens)
-                out["n_tokens"].append(len(tokens))
-                out["block"].append(block)
-                out["codes"].append(packed(codes))
-                out["words"].append([w.decode() for w in rest])
-                out["times"].append(list(rest.values()))
-            return out
-
-        return work
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), fold(F.col("doc_id")).cast("int").alias("fold"), text_of().alias("text"))
-    out = map_texts(rows, make, "doc_id long, fold int, n_tokens long, block long, codes binary, words array<string>, times array<long>")
-    return out.withColumn("uid", F.monotonically_increasing_id())
-
-
-def chunks(batch: pa.RecordBatch | pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
-    """Codes of whole documents of a batch, about CHUNK at a time, with the index of each one's first token."""
-    texts = [unpacked(x.as_py(), "<i4") for x in batch.column("codes")]
-    at, size = 0, 0
-    for i, codes in enumerate(texts):
-        size += len(codes)
-        if size >= CHUNK or i == len(texts) - 1:
-            some = texts[at : i + 1]
-            yield np.concatenate(some), np.cumsum([0, *(len(x) for x in some[:-1])]), at, i + 1
-            at, size = i + 1, 0
-
-
-def before(codes: np.ndarray, starts: np.ndarray, back: int) -> np.ndarray:
-    """The code `back` tokens before each, -1 - back where the document has none."""
-    out = np.concatenate([np.full(min(back, len(codes)), -1), codes[:-back]]) if back < len(codes) else np.full(len(codes), -1)
-    for i in range(back):
-        at = starts + i
-        out[at[at < len(codes)]] = -1 - back
-    return out
+            row = {"block": [block], "codes": [packed(np.concatenate(codes))]} | {k: [v] for k, v in columns.items()}
+            yield pa.RecordBatch.from_pydict(row, schema=_BLOCK)
+            codes.clear()
+            for v in columns.values():
+                v.clear()
+            block, filled = block + 1, 0
 
-
-def summed(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[np.ndarray] | None]], shape: tuple[int, ...], kind: str) -> np.ndarray:
-    """The sum over all tasks of an array of a fixed shape: `make()` gives a function that adds a batch to an array.
+        for batch in batches:
+            for uid, doc_id, in_fold, text in zip(batch["uid"].to_pylist(), batch["doc_id"].to_pylist(), batch["fold"].to_pylist(), batch["text"].cast(pa.binary()), strict=True):
+                lead = np.empty(0, "<i4")
+                for tokens in token_runs(text.as_buffer(), END.encode()):
+                    own = np.fromiter(map(get, tokens, repeat(-1)), "<i4", len(tokens))
+                    other = np.flatnonzero(own < 0)
+                    rest = Counter(tokens[i] for i in other.tolist())
+                    hashed = {w: zlib.crc32(w) % TAIL_CODES for w in rest}
+                    own[other] = [size + hashed[tokens[i]] for i in other.tolist()]
+                    columns["uid"].append(uid)
+                    columns["doc_id"].append(doc_id)
+                    columns["fold"].append(in_fold)
+                    columns["size"].append(len(own))
+                    columns["lead"].append(len(lead))
+                    columns["of"] += repeat(uid, len(rest))
+                    columns["words"] += [w.decode() for w in rest]
+                    columns["times"] += rest.values()
+                    columns["weight"] += weights[list(hashed.values())].tolist() if rest else []
+                    codes += [lead, own]
+                    lead = np.concatenate([lead, own[-LEVELS:]])[-LEVELS:]
+                    filled += len(own)
+                    if filled >= block_tokens:
+                        yield from flush()
+        if codes:
+            yield from flush()
+
+    small_batches(spark)
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), fold(F.col("doc_id")).cast("int").alias("fold"), text_of().alias("text"))
+    return rows.mapInArrow(run, _BLOCK_TYPE)
+
+
+class Block:
+    """The tokens of a row of `coded`: codes with leads, and which of them count."""
+
+    def __init__(self, row: dict, held_out_fold: int):
+        self.codes = unpacked(row["codes"], "<i4").astype(np.int64)
+        self.size, lead = np.array(row["size"], np.int64), np.array(row["lead"], np.int64)
+        self.starts = np.cumsum(self.size + lead) - self.size - lead  # of segments, leads included
+        self.own = np.ones(len(self.codes), bool)
+        for s, n in zip(self.starts[lead > 0].tolist(), lead[lead > 0].tolist(), strict=True):
+            self.own[s : s + n] = False
+        self.training = np.repeat(np.array(row["fold"], np.int64) != held_out_fold, self.size + lead) & self.own
+
+    def before(self, back: int) -> np.ndarray:
+        """The code `back` tokens before each plus one, 0 where the document has none."""
+        out = np.concatenate([np.zeros(back, np.int64), self.codes + 1])[: len(self.codes)]
+        for i in range(back):
+            at = self.starts + i
+            out[at[at < np.append(self.starts[1:], len(out))]] = 0
+        return out
+
+    def keys(self, head: int) -> np.ndarray:
+        """The history of each token: three codes in 64 bits, so that a level's feature is a prefix. Where the word before has a
+        hashed code, the word before that comes first, and the top bit is set."""
+        p1, p2, p3 = (self.before(k).astype(np.uint64) for k in (1, 2, 3))
+        skips = p1 > head
+        a, b = np.where(skips, p2, p1), np.where(skips, p1, p2)
+        bits = np.uint64(CODE_BITS)
+        return (((skips.astype(np.uint64) << bits | a) << bits | b) << bits) | p3
+
+
+def blocks_of(rows: DataFrame, *more: str) -> DataFrame:
+    small_batches(rows.sparkSession)
+    return rows.select("block", "size", "lead", "fold", "codes", *more)
+
+
+def each_row(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
+def summed(df: DataFrame, add: Callable[[dict, np.ndarray], None], shape: tuple[int, ...], kind: str) -> np.ndarray:
+    """The sum over all tasks of an array of a fixed shape: `add` adds a row to an array.
 
     Tasks send their arrays in blocks, which are added 64 at a time; the driver gets one array.
     """
@@ -199,17 +251,18 @@ def summed(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        add, total, any_rows = make(), np.zeros(size, kind), False
-        for batch in batches:
-            if batch.num_rows:
-                any_rows = True
-                add(batch, total)
+        total, any_rows = np.zeros(size, kind), False
+        for row in each_row(batches):
+            any_rows = True
+            add(row, total)
         if any_rows:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()] * BLOCKS, pa.int64()), pa.array(range(BLOCKS), pa.int32()), pa.array([total[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())], ["part", "block", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()] * BLOCKS, pa.int64()), pa.array(range(BLOCKS), pa.int32()), pa.array([packed(total[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())], ["part", "block", "data"])
 
     def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(x, kind) for x in pdf["data"]], axis=0, dtype=kind)
-        return pd.DataFrame({"part": [int(key[0])], "block": [int(key[1])], "data": [total.tobytes()]})
+        total = unpacked(pdf["data"][0], kind)
+        for x in pdf["data"][1:]:
+            total = total + unpacked(x, kind)
+        return pd.DataFrame({"part": [int(key[0])], "block": [int(key[1])], "data": [packed(total)]})
 
     parts, rows = max(1, df.rdd.getNumPartitions()), df.mapInArrow(run, "part long, block int, data binary")
     while True:
@@ -217,7 +270,7 @@ def summed(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator
         rows = rows.withColumn("part", F.pmod("part", F.lit(parts))).groupBy("part", "block").applyInPandas(merge, "part long, block int, data binary")
         if parts == 1:
             break
-    got = {r["block"]: np.frombuffer(r["data"], kind) for r in rows.collect()}  # BLOCKS rows
+    got = {r["block"]: unpacked(r["data"], kind) for r in rows.collect()}  # BLOCKS rows
     return np.concatenate([got.get(b, np.zeros(edges[b + 1] - edges[b], kind)) for b in range(BLOCKS)]).reshape(shape)
 
 
@@ -240,316 +293,369 @@ def group_words(context: np.ndarray, groups: int = GROUPS, rounds: int = 25) ->
     return (x @ centre.T).argmax(1)
 
 
-def word_classes(training: DataFrame, head: Head) -> np.ndarray:
-    """The class of each head word; the class after all of these is that of all other words."""
+def word_classes(rows: DataFrame, head: Head, held_out_fold: int) -> np.ndarray:
+    """The class of each code. Head words are grouped by the frequent words that they follow in training, then by frequency."""
     size = len(head.words)
     grouped = min(GROUPED, size)
     if not grouped:
-        return np.empty(0, np.int64)
+        return np.full(TAIL_CODES, CLASSES - 1)
 
-    def contexts():
-        def add(batch: pa.RecordBatch, total: np.ndarray) -> None:
-            for codes, starts, *_ in chunks(batch):
-                prev = before(codes, starts, 1)
-                ok = (prev >= 0) & (prev < ANCHORS) & (codes < grouped)
-                total += np.bincount(codes[ok].astype(np.int64) * ANCHORS + prev[ok], minlength=len(total)).astype(total.dtype)
+    def contexts(row: dict, total: np.ndarray) -> None:
+        block = Block(row, held_out_fold)
+        prev = block.before(1) - 1
+        ok = block.training & (prev >= 0) & (prev < ANCHORS) & (block.codes < grouped)
+        total += np.bincount(block.codes[ok] * ANCHORS + prev[ok], minlength=len(total)).astype(total.dtype)
 
-        return add
-
-    group = group_words(summed(training, contexts, (grouped, ANCHORS), "<i8"))
+    group = group_words(summed(blocks_of(rows), contexts, (grouped, ANCHORS), "<i8"))
     known = np.concatenate([group, np.full(size - grouped, -1)])
 
-    def followers():
-        def add(batch: pa.RecordBatch, total: np.ndarray) -> None:
-            for codes, starts, *_ in chunks(batch):
-                for back in (1, 2):
-                    prev = before(codes, starts, back)
-                    ok = (prev >= 0) & (prev < grouped) & (codes >= grouped) & (codes < size)
-                    total += np.bincount((codes[ok].astype(np.int64) - grouped) * GROUPS + known[prev[ok]], minlength=len(total)).astype(total.dtype)
-
-        return add
+    def followers(row: dict, total: np.ndarray) -> None:
+        block = Block(row, held_out_fold)
+        for back in (1, 2):
+            prev = block.before(back) - 1
+            ok = block.training & (prev >= 0) & (prev < grouped) & (block.codes >= grouped) & (block.codes < size)
+            np.add.at(total, (block.codes[ok] - grouped) * GROUPS + known[prev[ok]], 1)
 
     if size > grouped:
-        seen = summed(training, followers, (size - grouped, GROUPS), "<i4").astype(float)
+        seen = summed(blocks_of(rows), followers, (size - grouped, GROUPS), "<i4").astype(float)
         share = np.bincount(group, head.counts[:grouped], GROUPS) + 1
         known[grouped:] = (seen / share * share.sum()).argmax(1)
-    return known * (len(BANDS) + 1) + np.searchsorted(BANDS, np.arange(size), "right")
+    classes = known * (len(BANDS) + 1) + np.searchsorted(BANDS, np.arange(size), "right")
+    return np.concatenate([classes, np.full(TAIL_CODES, CLASSES - 1)])
 
 
-def feature_codes(codes: np.ndarray, starts: np.ndarray, classes: np.ndarray, bits: int) -> np.ndarray:
-    """Features of each token, for 2**bits buckets: the word before, the one skipped to, the pair, the three classes before.
+def order_of(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Places in the order of (high, low), both non-negative. Where both and the place fit into 64 bits, values are sorted, which
+    takes a fraction of the time of sorting places."""
+    if not len(high):
+        return np.empty(0, np.int64)
+    low_bits, at_bits = max(1, int(low.max()).bit_length()), max(1, len(high).bit_length())
+    if int(high.max()).bit_length() + low_bits + at_bits > 63:
+        return np.lexsort((low, high))
+    value = ((high.astype(np.int64) << low_bits) + low << at_bits) + np.arange(len(high))
+    value.sort()
+    return value & ((1 << at_bits) - 1)
 
-    Different histories of a family, and different families, have different numbers before these are mixed and cut.
-    """
-    p1, p2, p3 = (before(codes, starts, k).astype(np.int64) for k in (1, 2, 3))
-    cls = lambda p: np.where(p < 0, CLASSES - p, classes[np.clip(p, 0, len(classes) - 1)])
-    trio = (cls(p1) * 64 + cls(p2)) * 64 + cls(p3)
-    mixed = np.stack([p1 + 5, p2 + 5, (p1 + 5 << 24) + p2 + 5, trio], 1).astype(np.uint64) * np.uint64(FEATURES) + np.arange(FEATURES, dtype=np.uint64)
-    for factor in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9):
-        mixed *= np.uint64(factor)
-        mixed ^= mixed >> np.uint64(29)
-    mixed *= np.uint64(0x94D049BB133111EB)
-    return mixed >> np.uint64(64 - OFFSET_BITS - bits)
-
-
-def class_weights(rows: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Logits of all classes for each token, their exponentials, and the sums of these."""
-    z = weights[rows[:, 0]]
-    for f in range(1, FEATURES):
-        z += weights[rows[:, f]]
-    z += bias
-    np.clip(z, -80, 80, out=z)  # within float32's range
-    e = np.exp(z)
-    return z, e, e @ np.ones(CLASSES, e.dtype)
-
-
-def in_buckets(keys: np.ndarray, shift: int) -> Iterator[tuple[int, slice, np.ndarray]]:
-    """The buckets (the bits above `shift`) of sorted keys, their slices, and the keys without the bucket."""
-    if len(keys):
-        numbers = keys >> np.uint64(shift)
-        first = np.flatnonzero(np.r_[True, numbers[1:] != numbers[:-1]])
-        for at, to in zip(first.tolist(), [*first[1:].tolist(), len(keys)], strict=True):
-            yield int(numbers[at]), slice(at, to), keys[at:to] & np.uint64((1 << shift) - 1)
-
-
-def distinct(keys: np.ndarray) -> np.ndarray:
-    """Sorted; np.unique without counts hashes, which takes ten times as long."""
-    keys = np.sort(keys, axis=None)
-    return keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys
-
-
-def sums_of(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, sorted, and the sums of their values."""
+
+def firsts(*sorted_arrays: np.ndarray) -> np.ndarray:
+    """Where a new value begins."""
+    new = np.zeros(len(sorted_arrays[0]), bool)
+    new[:1] = True
+    for a in sorted_arrays:
+        new[1:] |= a[1:] != a[:-1]
+    return np.flatnonzero(new)
+
+
+def by_key(keys: np.ndarray, outcomes: np.ndarray) -> np.ndarray:
+    """Places in the order of (key of 64 bits, outcome)."""
     order = np.argsort(keys)
-    keys = keys[order]
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
-    return keys[first], np.add.reduceat(values[order], first) if len(first) else values
+    first = firsts(keys[order])
+    rank = np.empty(len(keys), np.int64)
+    rank[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys))))
+    return order_of(rank, outcomes)
+
+
+def trained(first: np.ndarray, n: np.ndarray, q: np.ndarray, variance: float, updates: int = UPDATES) -> np.ndarray:
+    """The log probabilities of outcomes under features whose weights are trained, in the order of the cells.
+
+    A cell is a feature and an outcome; `first` has the place of each feature's first cell, n the training tokens of each cell, q the
+    outcomes' probabilities without the feature. Cells with n = 0 have no weight. p = q exp(weight) / Z, with Z the sum over all
+    outcomes, of which those that aren't cells add their q. Each update is a Newton step of the gradient n - N p - weight /
+    variance, damped to a step of 2; features that don't move any more leave.
+    """
+    size = np.diff(np.append(first, len(n)))
+    weight = np.zeros(len(n))
+    feature = np.repeat(np.arange(len(first)), size)
+    cells = np.flatnonzero(n > 0)
+    at = firsts(feature[cells]) if len(cells) else np.empty(0, np.int64)
+    while len(cells) and updates:
+        updates -= 1
+        sizes = np.diff(np.append(at, len(cells)))
+        spread = lambda x, sizes=sizes: np.repeat(x, sizes)
+        total = lambda x, at=at: np.add.reduceat(x, at)
+        mine, w, own = n[cells], weight[cells], q[cells]
+        e = own * np.exp(w)
+        tokens = total(mine)
+        p = e / spread(1 + total(e - own))
+        curve = 1 / (spread(tokens) * p + 1 / variance)
+        a, b = (mine - spread(tokens) * p - w / variance) * curve, p * curve
+        step = a + b * spread(tokens * total(p * a) / np.maximum(1 - tokens * total(p * b), 1e-12))  # the Hessian's inverse by the matrix lemma
+        weight[cells] = w + np.clip(step, -2, 2)
+        moves = np.maximum.reduceat(np.abs(step), at) > 1e-7
+        if not moves.all():
+            cells = cells[spread(moves)]
+            at = np.cumsum(sizes[moves]) - sizes[moves]
+    e = q * np.exp(weight)
+    z = 1 + np.add.reduceat(e - q, first) if len(first) else np.empty(0)
+    return np.log(q) + weight - np.repeat(np.log(z), size)
+
+
+def level(feature: np.ndarray, outcome: np.ndarray, n: np.ndarray, log_class: np.ndarray, log_word: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log probabilities of events (feature, outcome), of the outcome's class and of it within the class, with the level's weights;
+    given: those of the level above. `feature` has small numbers; outcomes are numbered by class, `classes` has the class of each."""
+    order = order_of(feature, outcome)
+    f, o = feature[order], outcome[order]
+    cell = firsts(f, o)
+    n_cell = np.add.reduceat(n[order], cell) if len(cell) else n
+    f, c, at = f[cell], classes[o[cell]], order[cell]
+    group = firsts(f, c)  # the class's cells of a feature
+    in_group = np.diff(np.append(group, len(cell)))
+    word = trained(group, n_cell, np.exp(log_word[at]), WORD_VARIANCE)
+    own = trained(firsts(f[group]), np.add.reduceat(n_cell, group) if len(group) else n_cell, np.exp(log_class[at[group]]), CLASS_VARIANCE)
+    back = np.empty(len(order), np.int64)
+    back[order] = np.repeat(np.arange(len(cell)), np.diff(np.append(cell, len(order))))
+    return np.repeat(own, in_group)[back], word[back]
+
+
+def prefixes(keys: np.ndarray, depth: int) -> np.ndarray:
+    """The features of histories at a level from 1 to LEVELS."""
+    return keys >> np.uint64(CODE_BITS * (LEVELS - depth))
+
+
+def train_and_score(keys: np.ndarray, outcome: np.ndarray, n: np.ndarray, log_class: np.ndarray, log_word: np.ndarray, classes: np.ndarray, above: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Log probabilities of distinct events, sorted by key and outcome, whose levels up to `above` are done."""
+    for depth in range(above + 1, LEVELS + 1):
+        own = prefixes(keys, depth)
+        first = firsts(own)
+        feature = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(own))))
+        log_class, log_word = level(feature, outcome, n, log_class, log_word, classes)
+    return log_class, log_word
+
 
+@dataclass
+class Outcomes:
+    """Codes in the order of their class: the place of each code, and by place the class and the log shares without a history."""
 
-def joined(column: pa.ChunkedArray, kind: str, rising: bool = False) -> np.ndarray:
-    """The packed arrays of all rows as one array."""
-    return np.concatenate([np.empty(0, kind), *(unpacked(x.as_py(), kind, rising) for x in column)])
+    place: np.ndarray
+    classes: np.ndarray
+    log_class: np.ndarray
+    log_word: np.ndarray
 
-
-def table_of(rows: list[tuple], schema: pa.Schema) -> pa.Table:
-    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+    @classmethod
+    def of(cls, mass: np.ndarray, classes: np.ndarray) -> Outcomes:
+        order = np.argsort(classes, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        by_class = np.bincount(classes, mass, CLASSES)
+        own = classes[order]
+        return cls(place, own, np.log(by_class[own] / mass.sum()), np.log(mass[order] / by_class[own]))
 
 
-def by_block(batches: Iterator[pa.RecordBatch], found: Callable[[np.ndarray, np.ndarray], tuple]) -> Iterator[tuple]:
-    """The block, and its chunks' results of `found`, each kind as one array. A block that comes in parts stays in parts."""
-    block, results = None, []
-    whole_of = lambda: map(np.concatenate, zip(*results, strict=True))
-    for whole in batches:
-        numbers = whole.column("block").to_numpy()
-        cuts = [0, *(np.flatnonzero(numbers[1:] != numbers[:-1]) + 1).tolist(), len(numbers)]
-        for at, to in zip(cuts[:-1], cuts[1:], strict=True):
-            if at == to:
-                continue
-            if block is not None and block != numbers[at]:
-                yield int(block), *whole_of()
-                results = []
-            block = numbers[at]
-            for codes, starts, *_ in chunks(whole.slice(at, to - at)):
-                results.append(found(codes, starts))
-    if results:
-        yield int(block), *whole_of()
-
-
-def first_weights(training: DataFrame, classes, prior: np.ndarray, bits: int) -> DataFrame:
-    """(bucket, cells, seen, weights, squares): the cells of each bucket that occur, sorted, with the count of the cell's feature,
-    the weight by the counts, and 0."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cls = classes.value
-
-        def found(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            cells = (feature_codes(codes, starts, cls, bits) << np.uint64(CLASS_BITS)) + cls[codes].astype(np.uint64)[:, None]
-            return np.unique(cells.ravel(), return_counts=True)
-
-        for _, cells, n in by_block(batches, found):
-            cells, n = sums_of(cells, n)
-            for bucket, part, own in in_buckets(cells, OFFSET_BITS + CLASS_BITS):
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([packed(own, True)], pa.binary()), pa.array([packed(n[part].astype("<i8"))], pa.binary())], ["bucket", "cells", "n"])
-
-    schema = pa.schema([("bucket", pa.int64()), *((c, pa.binary()) for c in ("cells", "seen", "weights", "squares"))])
-
-    def start(key: tuple, parts: pa.Table) -> pa.Table:
-        cells, n = sums_of(joined(parts["cells"], "<u8", True), joined(parts["n"], "<i8").astype(float))
-        feature = cells >> np.uint64(CLASS_BITS)
-        own = prior[(cells & np.uint64((1 << CLASS_BITS) - 1)).astype(np.int64)]
-        first = np.flatnonzero(np.r_[True, feature[1:] != feature[:-1]])
-        size = np.diff(np.r_[first, len(cells)])
-        kept = np.maximum(n - DISCOUNT, 0)
-        seen = np.add.reduceat(n, first)
-        spare = np.repeat(seen - np.add.reduceat(kept, first) + SMOOTH, size)
-        weights = SHARE * np.log1p(kept / (spare * own))  # against the class's weight where the two don't occur together
-        return table_of([(key[0].as_py(), packed(cells, True), packed(np.repeat(seen, size).astype("<f4")), packed(weights.astype("<f4")), packed(np.zeros(len(cells), "<f4")))], schema)
-
-    counts = training.select("block", "codes").mapInArrow(count, "bucket long, cells binary, n binary")
-    return stored(counts.groupBy("bucket").applyInArrow(start, "bucket long, cells binary, seen binary, weights binary, squares binary"), "weights")
-
-
-def weights_for(docs: DataFrame, table: DataFrame, classes, bits: int) -> DataFrame:
-    """(block, cells, weights): of each block's features all cells in the table, a row for each bucket and part of a block."""
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cls = classes.value
-
-        def found(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray]:
-            return (distinct(feature_codes(codes, starts, cls, bits)),)
-
-        for block, features in by_block(batches, found):
-            for bucket, _, own in in_buckets(distinct(features), OFFSET_BITS):
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([block], pa.int64()), pa.array([packed(own.astype("<u4"), True)], pa.binary())], ["bucket", "block", "features"])
-
-    schema = pa.schema([("block", pa.int64()), ("cells", pa.binary()), ("weights", pa.binary())])
-
-    def answer(key: tuple, table: pa.Table, asked: pa.Table) -> pa.Table:
-        cells, weights, rows = joined(table["cells"], "<u8", True), joined(table["weights"], "<f4"), []
-        feature, high = cells >> np.uint64(CLASS_BITS), np.uint64(key[0].as_py() << OFFSET_BITS + CLASS_BITS)
-        for block, features in zip(asked["block"].to_pylist(), asked["features"], strict=True):
-            wanted = unpacked(features.as_py(), "<u4", True).astype(np.uint64)
-            at, to = np.searchsorted(feature, wanted), np.searchsorted(feature, wanted, "right")
-            cell = spans(at, to - at)
-            rows.append((block, packed(cells[cell] + high, True), packed(weights[cell])))
-        return table_of(rows, schema)
-
-    asked = docs.select("block", "codes").mapInArrow(ask, "bucket long, block long, features binary")
-    return table.select("bucket", "cells", "weights").groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(answer, "block long, cells binary, weights binary")
-
-
-def spans(at: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The numbers at, at + 1, ... of each span, `size` many."""
-    end = np.cumsum(size)
-    return np.arange(end[-1] if len(end) else 0) + np.repeat(at - end + size, size)
-
-
-class Local:
-    """The cells of a block's features."""
-
-    def __init__(self, found: pa.Table):
-        cells, first = np.unique(joined(found["cells"], "<u8", True), return_index=True)
-        self.cells, self.weights = cells, joined(found["weights"], "<f4")[first]
-        feature = cells >> np.uint64(CLASS_BITS)
-        self.at = np.flatnonzero(np.r_[True, feature[1:] != feature[:-1]]) if len(cells) else np.empty(0, np.int64)
-        self.feature, self.size = feature[self.at], np.diff(np.r_[self.at, len(cells)])
-        self.cls = (cells & np.uint64((1 << CLASS_BITS) - 1)).astype(np.int64)
-
-    def dense(self, features: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For features (tokens x FEATURES): rows of a matrix of weights by class, the matrix, and where in it which cells are."""
-        own, rows = np.unique(features, return_inverse=True)
-        at = np.searchsorted(self.feature, own)
-        known = np.flatnonzero(at < len(self.feature))
-        known = known[self.feature[at[known]] == own[known]]
-        size = self.size[at[known]]
-        cell = spans(self.at[at[known]], size)
-        place = np.repeat(known, size) * CLASSES + self.cls[cell]
-        matrix = np.zeros(len(own) * CLASSES, np.float32)
-        matrix[place] = self.weights[cell]
-        return rows.reshape(features.shape), matrix.reshape(-1, CLASSES), place, cell
-
-
-def train_classes(training: DataFrame, classes, prior: np.ndarray, tokens: int, rounds: int = ROUNDS) -> tuple[DataFrame, np.ndarray, int]:
-    """The table of weights, the bias, and the bits of bucket numbers, of the class model. `classes` is broadcast."""
-    bits = max(0, (max(tokens, 1) - 1) // BUCKET_TOKENS).bit_length()
-    bias = np.log(prior).astype(np.float32)
-    table = first_weights(training, classes, prior, bits)
-    grown = pa.schema([("bucket", pa.int64()), ("cells", pa.binary()), ("gradient", pa.binary())])
-
-    def gradient(_: tuple, docs: pa.Table, found: pa.Table) -> pa.Table:
-        cls, local = classes.value, Local(found)
-        total = np.zeros(len(local.cells), np.float32)
-        for codes, starts, *_ in chunks(docs):
-            y = cls[codes]
-            rows, matrix, place, cell = local.dense(feature_codes(codes, starts, cls, bits))
-            _, miss, total_weight = class_weights(rows, matrix, bias)
-            miss /= total_weight[:, None]
-            miss[np.arange(len(y)), y] -= 1
-            flat, miss, grid = rows.T.ravel(), np.ascontiguousarray(miss.T, np.float64), np.empty(matrix.shape)
-            for c in range(CLASSES):
-                grid[:, c] = np.bincount(flat, np.tile(miss[c], FEATURES), len(matrix))
-            total[cell] += grid.ravel()[place]
-        return table_of([(bucket, packed(own, True), packed(total[part])) for bucket, part, own in in_buckets(local.cells, OFFSET_BITS + CLASS_BITS)], grown)
-
-    def step(key: tuple, old: pa.Table, grown: pa.Table) -> pa.Table:
-        cells, (seen, weights, squares) = joined(old["cells"], "<u8", True), (joined(old[c], "<f4") for c in ("seen", "weights", "squares"))
-        own, g = sums_of(joined(grown["cells"], "<u8", True), joined(grown["gradient"], "<f4").astype(float))
-        full = np.zeros(len(cells))
-        full[np.searchsorted(cells, own)] = g
-        full /= np.maximum(seen / rounds, 1) ** 0.5  # a feature's share of the round's tokens
-        squares = squares + full * full
-        weights = weights - 0.15 * full / np.sqrt(squares + 1.0)
-        return table_of([(key[0].as_py(), packed(cells, True), packed(seen), packed(weights.astype("<f4")), packed(squares.astype("<f4")))], old.schema)
-
-    for r in range(rounds):
-        mine = training.where(F.pmod(F.xxhash64("uid"), F.lit(rounds)) == r).select("block", "codes")
-        found = weights_for(mine, table, classes, bits)
-        gradients = mine.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(gradient, "bucket long, cells binary, gradient binary")
-        old = table
-        table = stored(old.groupBy("bucket").cogroup(gradients.groupBy("bucket")).applyInArrow(step, old.schema), "weights")
-        drop_stored(training.sparkSession, old)
-    return table, bias, bits
-
-
-def score_documents(docs: DataFrame, held_out_fold: int = 1) -> DataFrame:
+@dataclass
+class Hot:
+    """Features with more tokens than a shard should have, by level and then key: parent (-1: none), and first shard of those that
+    its events are dealt out to."""
+
+    depth: np.ndarray
+    key: np.ndarray
+    parent: np.ndarray
+    shard: np.ndarray
+    shards: np.ndarray
+
+    def deepest(self, keys: np.ndarray) -> np.ndarray:
+        """For each history the number of its deepest hot feature, -1 for none. A feature within a hot one only can be hot."""
+        out = np.full(len(keys), -1)
+        for depth in range(1, LEVELS + 1):
+            mine = np.flatnonzero(self.depth == depth)
+            if len(mine):
+                own = prefixes(keys, depth)
+                at = np.minimum(np.searchsorted(self.key[mine], own), len(mine) - 1)
+                out = np.where(self.key[mine][at] == own, mine[at], out)
+        return out
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = x * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def shard_of(keys: np.ndarray, outcome: np.ndarray, hot: Hot, shards: int) -> np.ndarray:
+    out = (mixed(prefixes(keys, 1)) % np.uint64(shards)).astype(np.int64)
+    deepest = hot.deepest(keys)
+    for depth in range(1, LEVELS + 1):
+        mine = np.flatnonzero(deepest >= 0)
+        mine = mine[hot.depth[deepest[mine]] == depth] if len(mine) else mine
+        if len(mine):
+            own, node = prefixes(keys[mine], depth + 1) if depth < LEVELS else outcome[mine].astype(np.uint64), deepest[mine]
+            out[mine] = hot.shard[node] + (mixed(own) % hot.shards[node].astype(np.uint64)).astype(np.int64)
+    return out
+
+
+def find_hot(rows: DataFrame, head: int, tokens: int, hot_tokens: int, shards: int) -> Hot:
+    """Of each block, features with at least a quarter of the share that makes them hot are counted, which finds at least three
+    quarters of a hot feature's tokens. At most 8 * LEVELS * tokens / hot_tokens features are found, about one a shard."""
+    found: list[tuple[int, int, int]] = []
+    if tokens > hot_tokens:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for row in each_row(batches):
+                block = Block(row, -1)
+                keys = np.sort(block.keys(head)[block.own])
+                for depth in range(1, LEVELS + 1):
+                    own = prefixes(keys, depth)
+                    first = firsts(own)
+                    n = np.diff(np.append(first, len(own)))
+                    many = n >= hot_tokens * len(keys) / tokens / 4
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(many.sum(), depth), pa.int32()), pa.array(own[first[many]].view(np.int64), pa.int64()), pa.array(n[many], pa.int64())], ["depth", "key", "n"])
+
+        counts = blocks_of(rows).mapInArrow(run, "depth int, key long, n long").groupBy("depth", "key").agg(F.sum("n").alias("n"))
+        found = [(r["depth"], r["key"] % (1 << 64), r["n"]) for r in counts.where(F.col("n") > hot_tokens * 3 // 4).collect()]
+    found.sort()
+    number = {(d, k): i for i, (d, k, _) in enumerate(found)}
+    parent = [number.get((d - 1, k >> CODE_BITS), -1) for d, k, _ in found]
+    many = np.array([-(-n * 2 // hot_tokens) for *_, n in found], np.int64)
+    return Hot(np.array([d for d, *_ in found], np.int64), np.array([k for _, k, _ in found], np.uint64), np.array(parent, np.int64), shards + np.cumsum(many) - many, many)
+
+
+def events_of(block: Block, head: int, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, outcomes and training counts of a block's distinct events, in order, and the event of each of its own tokens."""
+    keys, outcome, training = block.keys(head)[block.own], place[block.codes[block.own]], block.training[block.own]
+    order = by_key(keys, outcome)
+    first = firsts(keys[order], outcome[order])
+    back = np.empty(len(order), np.int64)
+    back[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+    at = order[first]
+    return keys[at], outcome[at], np.bincount(back, training, len(at)).astype(np.int64), back
+
+
+def dealt(keys: np.ndarray, outcome: np.ndarray, hot: Hot, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shards and order of a block's events by shard."""
+    shard = shard_of(keys, outcome, hot, shards)
+    return shard, order_of(shard, np.arange(len(shard)))
+
+
+def hot_tables(rows: DataFrame, head: int, shared, hot: Hot, held_out_fold: int) -> DataFrame:
+    """(node, outcome, log_class, log_word) of each hot feature, packed: its events' log probabilities. The features' counts are
+    summed before one task gets those of a feature, of bounded number as outcomes are."""
+    spark = rows.sparkSession
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        outcomes = shared.value
+        for row in each_row(batches):
+            block = Block(row, held_out_fold)
+            keys, outcome, n, _ = events_of(block, head, outcomes.place)
+            node = hot.deepest(keys)
+            while (on := node >= 0).any():
+                keys, outcome, n, node = keys[on], outcome[on], n[on], node[on]
+                order = order_of(node, outcome)
+                first = firsts(node[order], outcome[order])
+                yield pa.RecordBatch.from_arrays([pa.array(node[order][first], pa.int64()), pa.array(outcome[order][first], pa.int64()), pa.array(np.add.reduceat(n[order], first), pa.int64())], ["node", "outcome", "n"])
+                node = hot.parent[node]
+
+    counts = stored(blocks_of(rows).mapInArrow(run, "node long, outcome long, n long").groupBy("node", "outcome").agg(F.sum("n").alias("n")), "hot")
+    kinds = "node long, outcome binary, log_class binary, log_word binary"
+
+    def train(key: tuple, own: pa.Table, above: pa.Table) -> pa.Table:
+        order = np.argsort(own["outcome"].to_numpy())
+        outcome, n, tables = own["outcome"].to_numpy()[order], own["n"].to_numpy()[order], shared.value
+        if above.num_rows:
+            at = np.searchsorted(unpacked(above["outcome"][0].as_py(), "<i8", True), outcome)
+            log_class, log_word = (unpacked(above[c][0].as_py(), "<f8")[at] for c in ("log_class", "log_word"))
+        else:
+            log_class, log_word = tables.log_class[outcome], tables.log_word[outcome]
+        log_class, log_word = level(np.zeros(len(n), np.int64), outcome, n.astype(float), log_class, log_word, tables.classes)
+        return pa.table({"node": pa.array([key[0].as_py()], pa.int64()), "outcome": [packed(outcome.astype("<i8"), True)], "log_class": [packed(log_class)], "log_word": [packed(log_word)]})
+
+    done = spark.createDataFrame([], kinds)
+    for depth in range(1, LEVELS + 1):
+        mine = np.flatnonzero(hot.depth == depth)
+        if len(mine):
+            links = spark.createDataFrame(pd.DataFrame({"child": mine, "node": hot.parent[mine]}))
+            above = done.join(links, "node").drop("node").withColumnRenamed("child", "node")
+            own = counts.join(links.select(F.col("child").alias("node")), "node", "left_semi")
+            done = done.unionByName(stored(own.groupBy("node").cogroup(above.groupBy("node")).applyInArrow(train, kinds), "hot"))
+    return done
+
+
+def event_scores(rows: DataFrame, head: int, shared, hot: Hot, shards: int, held_out_fold: int) -> DataFrame:
+    """(block, shard, scores): the log probabilities of each block's events in the order of `dealt`."""
+    spark = rows.sparkSession
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in each_row(batches):
+            keys, outcome, n, _ = events_of(Block(row, held_out_fold), head, shared.value.place)
+            shard, order = dealt(keys, outcome, hot, shards)
+            first = firsts(shard[order])
+            parts = [order[a:b] for a, b in zip(first.tolist(), [*first[1:].tolist(), len(order)], strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(shard[order][first], pa.int64()), pa.array([row["block"]] * len(parts), pa.int64()), pa.array([packed(keys[x], True) for x in parts], pa.binary()), pa.array([packed(outcome[x].astype("<u4")) for x in parts], pa.binary()), pa.array([packed(n[x].astype("<u4")) for x in parts], pa.binary())],
+                ["shard", "block", "keys", "outcome", "n"])
+
+    def work(key: tuple, sent: pa.Table, given: pa.Table) -> pa.Table:
+        tables = shared.value
+        columns = [[unpacked(x.as_py(), kind, c == "keys") for x in sent[c]] for c, kind in (("keys", "<u8"), ("outcome", "<u4"), ("n", "<u4"))]
+        keys, outcome, n = (np.concatenate(c) for c in columns)
+        outcome = outcome.astype(np.int64)
+        order = by_key(keys, outcome)
+        first = firsts(keys[order], outcome[order])
+        at, n = order[first], np.add.reduceat(n[order].astype(float), first)
+        back = np.empty(len(order), np.int64)
+        back[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+        keys, outcome, above = keys[at], outcome[at], 0
+        if given.num_rows:
+            node = given["node"][0].as_py()
+            place = np.searchsorted(unpacked(given["outcome"][0].as_py(), "<i8", True), outcome)
+            log_class, log_word = (unpacked(given[c][0].as_py(), "<f8")[place] for c in ("log_class", "log_word"))
+            above = int(hot.depth[node])
+        else:
+            log_class, log_word = tables.log_class[outcome], tables.log_word[outcome]
+        scores = np.add(*train_and_score(keys, outcome, n, log_class, log_word, tables.classes, above)).astype("<f4")[back]
+        ends = np.cumsum([len(x) for x in columns[0]])
+        return pa.table({"block": sent["block"], "shard": pa.array([key[0].as_py()] * sent.num_rows, pa.int64()), "scores": pa.array([packed(x) for x in np.split(scores, ends[:-1])], pa.binary())})
+
+    sent = blocks_of(rows).mapInArrow(run, "shard long, block long, keys binary, outcome binary, n binary")
+    tables = hot_tables(rows, head, shared, hot, held_out_fold)
+    spans = spark.createDataFrame(pd.DataFrame({"node": np.arange(len(hot.key)), "a": hot.shard, "b": hot.shard + hot.shards - 1}), "node long, a long, b long")
+    given = tables.join(spans, "node").withColumn("shard", F.explode(F.sequence("a", "b"))).drop("a", "b")
+    return sent.groupBy("shard").cogroup(given.groupBy("shard")).applyInArrow(work, "block long, shard long, scores binary")
+
+
+def score_documents(docs: DataFrame, held_out_fold: int = 1, block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS, hot_tokens: int = HOT_TOKENS) -> DataFrame:
     """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities).
 
     Learns from the rows whose fold isn't `held_out_fold`, scores all. A null or empty text is one END; a null id has the fold of
-    the empty text. Repeated rows are counted and scored each; without training rows every score is 0 (one unknown word has all
-    probability). An empty table gives no rows. Columns other than doc_id and text aren't read.
+    the empty text. Repeated rows are counted and scored each; without training rows all words are unknown, and the hashed codes
+    are equally likely. Words without training share a hashed code's weight of the unknown, so the probabilities of all known words
+    and of one unknown word a hashed code sum to one. Long texts are cut into segments that keep the words before them. An empty
+    table gives no rows. Columns other than doc_id and text aren't read. The token counts at the end change no score.
     """
-    training_rows = docs.where(fold(F.col("doc_id")) != held_out_fold)
-    counts = stored(word_counts(training_rows), "counts")
+    spark = docs.sparkSession
+    counts = stored(word_counts(docs.where(fold(F.col("doc_id")) != held_out_fold)), "counts")
     head = head_of(counts)
-    rows = stored(coded(docs, head), "codes")
-    training = rows.where(F.col("fold") != held_out_fold).select("uid", "block", "codes")
     size = len(head.words)
-    classes = np.concatenate([word_classes(training, head), np.full(TAIL_CODES, CLASSES - 1)])
-    all_classes = docs.sparkSession.sparkContext.broadcast(classes)
-    in_training = np.bincount(classes[:size], head.counts, CLASSES) if size else np.zeros(CLASSES)
-    in_training[CLASSES - 1] += head.tokens - head.counts.sum()
-    prior = (FEATURES * in_training + 1) / (FEATURES * head.tokens + CLASSES)
-    table, bias, bits = train_classes(training, all_classes, prior, head.tokens)
-    # the shares of words in their classes; in the last one an unknown word has the weight of the words seen once
-    in_class = np.bincount(classes[:size], head.counts + 0.5, CLASSES) if size else np.zeros(CLASSES)
-    tail = int(head.tokens - head.counts.sum())
-    in_class[CLASSES - 1] = tail + head.singles + 0.5
-    share = np.log10((head.counts + 0.5) / in_class[classes[:size]]) if size else np.empty(0)
-    base = np.log10((head.counts + 0.5) / head.total)
-    live = in_class > 0  # classes without words take no probability
-    bias = np.where(live, bias, -np.inf).astype(np.float32)
-    shared = docs.sparkSession.sparkContext.broadcast((bias, classes, share, base))
-
-    kinds = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("fold", pa.int32()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
-
-    def score(_: tuple, whole: pa.Table, found: pa.Table) -> pa.Table:
-        b, cls, own, plain = shared.value
-        zeros, local, out = np.zeros(TAIL_CODES), Local(found), [table_of([], kinds)]
-        share_of, base_of = np.concatenate([own, zeros]), np.concatenate([plain, zeros])
-        for codes, starts, first, last in chunks(whole):
-            rows, matrix, *_ = local.dense(feature_codes(codes, starts, cls, bits))
-            z, _, total = class_weights(rows, matrix, b)
-            lp = (z[np.arange(len(codes)), cls[codes]] - np.log(total)) / np.log(10)
-            add = lambda x, starts=starts: pa.array(np.add.reduceat(x.astype(float), starts), pa.float64())
-            known = np.add.reduceat((codes < size).astype(np.int64), starts)
-            some = whole.slice(first, last - first)
-            out.append(pa.Table.from_arrays([some["uid"], some["doc_id"], some["fold"], some["n_tokens"], pa.array(known, pa.int64()), add(base_of[codes]), add(lp + share_of[codes])], schema=kinds))
-        return pa.concat_tables(out)
-
-    texts = rows.select("block", "uid", "doc_id", "fold", "n_tokens", "codes")
-    found = weights_for(texts, table, all_classes, bits)
-    scored = texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(score, "uid long, doc_id long, fold int, n_tokens long, known long, base double, score double")
-    # the words that aren't in the head: join them with their counts
-    rest = rows.select("uid", F.explode(F.arrays_zip("words", "times")).alias("e")).select("uid", F.col("e.words").alias("word"), F.col("e.times").alias("times"))
-    n = F.coalesce("n", F.lit(0))
+    rows = stored(coded(docs, head, block_tokens), "codes")
+    shared = spark.sparkContext.broadcast(Outcomes.of(head.mass(), word_classes(rows, head, held_out_fold)))  # bounded by HEAD_WORDS and TAIL_CODES
+    tokens = rows.agg(F.sum(F.aggregate("size", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    shards = max(1, -(-tokens // shard_tokens))
+    hot = find_hot(rows, size, tokens, hot_tokens, shards)
+    scores = event_scores(rows, size, shared, hot, shards, held_out_fold)
+    base = spark.sparkContext.broadcast(np.log10((head.counts + 0.5) / head.total))
+    kinds = "uid long, doc_id long, fold int, n_tokens long, n_known long, base_score double, score double"
+
+    def score(_: tuple, mine: pa.Table, answers: pa.Table) -> pa.Table:
+        row = mine.to_pylist()[0]
+        block = Block(row, held_out_fold)
+        keys, outcome, _, back = events_of(block, size, shared.value.place)
+        _, order = dealt(keys, outcome, hot, shards)
+        found = np.empty(len(keys))
+        answers = answers.sort_by("shard")
+        found[order] = np.concatenate([unpacked(x.as_py(), "<f4") for x in answers["scores"]])
+        codes, plain = block.codes[block.own], np.append(base.value, 0.0)
+        at = np.cumsum(block.size) - block.size
+        add = lambda x: pa.array(np.add.reduceat(x, at))
+        return pa.table({"uid": pa.array(row["uid"], pa.int64()), "doc_id": pa.array(row["doc_id"], pa.int64()), "fold": pa.array(row["fold"], pa.int32()), "n_tokens": pa.array(row["size"], pa.int64()),
+                         "n_known": add((codes < size).astype(np.int64)), "base_score": add(plain[np.minimum(codes, size)]), "score": add(found[back] / np.log(10))})
+
+    blocks = blocks_of(rows, "uid", "doc_id")
+    scored = blocks.groupBy("block").cogroup(scores.groupBy("block")).applyInArrow(score, kinds)
+    # words without a code of their own: their counts give base scores, and their shares of their codes
+    rest = rows.select(F.explode(F.arrays_zip("of", "words", "times", "weight")).alias("e")).select(F.col("e.of").alias("uid"), F.col("e.words").alias("word"), F.col("e.times").alias("times"), F.col("e.weight").alias("weight"))
+    n, nothing = F.coalesce("n", F.lit(0)), lambda kind: F.lit(None).cast(kind)
     rest = rest.join(counts, "word", "left").groupBy("uid").agg(
-        F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("rest_known"),
-        F.sum(F.col("times") * F.log10((n + 0.5) / F.lit(head.total))).alias("rest_base"),
-        F.sum(F.col("times") * F.log10(F.when(n > 0, n).otherwise(head.singles + 0.5) / F.lit(float(in_class[CLASSES - 1])))).alias("rest_score"),
-    )
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    return scored.join(rest, "uid", "left").select(
-        "doc_id", (F.col("fold") == held_out_fold).alias("held_out"), "n_tokens", (F.col("known") + zero("rest_known")).alias("n_known"), F.lit(head.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + zero("rest_base")).alias("base_score"), (F.col("score") + zero("rest_score")).alias("score"),
-    )
+        F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("n_known"),
+        F.sum(F.col("times") * F.log10((n + 0.5) / F.lit(head.total))).alias("base_score"),
+        F.sum(F.col("times") * (F.log10(F.when(n > 0, n.cast("double")).otherwise(F.lit(head.unknown))) - F.col("weight"))).alias("score"),
+    ).select("uid", nothing("long").alias("doc_id"), nothing("int").alias("fold"), F.lit(0).cast("long").alias("n_tokens"), "n_known", "base_score", "score")
+    whole = scored.unionByName(rest).groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.max("fold").alias("fold"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
+    return whole.select("doc_id", (F.col("fold") == held_out_fold).alias("held_out"), "n_tokens", "n_known", F.lit(head.tokens).cast("long").alias("train_tokens"), "base_score", "score")
