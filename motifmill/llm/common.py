@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -37,17 +38,24 @@ def new_path(spark: SparkSession, kind: str) -> str:
     return path
 
 
-def stored(df: DataFrame, kind: str = "table") -> DataFrame:
-    """Write `df` to the shared folder and read it again: cuts the lineage and survives lost executors."""
-    path = new_path(df.sparkSession, kind)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(T._parse_datatype_json_string(df.schema.json())).parquet(path)
+def stored(df: DataFrame, kind: str = "table", by: str | None = None) -> DataFrame:
+    """Write `df` to the shared folder and read it again: cuts the lineage and survives lost executors. `by`: a column of few
+    values whose rows get folders of their own, so that they can be dropped apart."""
+    path, schema = new_path(df.sparkSession, kind), T._parse_datatype_json_string(df.schema.json())
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
 
 
-def drop_stored(spark: SparkSession, *frames: DataFrame) -> None:
-    """Delete stored tables that nothing reads any more."""
+def forget_shuffles(spark: SparkSession) -> None:
+    """Collect garbage on the driver: Spark deletes the shuffle files of a plan when the driver no longer holds it."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def drop_stored(spark: SparkSession, *frames: DataFrame, only: str = "") -> None:
+    """Delete stored tables that nothing reads any more; `only`: of a table stored `by` a column the folder of one value."""
     for df in frames:
-        for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        for file in {f.rpartition("/")[0] for f in df.inputFiles() if f"/{only}" in f}:
             jpath = spark._jvm.org.apache.hadoop.fs.Path(file)
             jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
 

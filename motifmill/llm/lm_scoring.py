@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, small_batches, stored, text_of, token_runs
+from .common import drop_stored, fold, forget_shuffles, small_batches, stored, text_of, token_runs
 
 #: A token that no text has: words hold no space.
 END = " "
@@ -48,8 +48,10 @@ LEVELS = 3
 #: Variances of the prior of class and of word weights, and most updates.
 CLASS_VARIANCE, WORD_VARIANCE, UPDATES = 2.0, 4.0, 30
 #: Tokens of a block of documents and of a segment of a long one, of a shard, and those above which a feature is dealt out further.
-BLOCK_TOKENS, SHARD_TOKENS, HOT_TOKENS = 1 << 20, 1 << 19, 1 << 20
+BLOCK_TOKENS, SHARD_TOKENS, HOT_TOKENS = 1 << 20, 1 << 18, 1 << 19
 BLOCKS = 16
+#: Steps of a log probability that shards send back, for 1.
+STEPS = 1 << 12
 
 
 @dataclass
@@ -136,15 +138,17 @@ def unpacked(data: bytes, kind: str, rising: bool = False) -> np.ndarray:
 
 #: The head words' numbers, one table for all tasks of a worker.
 _NUMBERS: dict[str, dict[bytes, int]] = {}
-_BLOCK = pa.schema([("block", pa.int64()), ("uid", pa.list_(pa.int64())), ("doc_id", pa.list_(pa.int64())), ("fold", pa.list_(pa.int32())), ("size", pa.list_(pa.int64())), ("lead", pa.list_(pa.int32())), ("codes", pa.binary()),
+_BLOCK = pa.schema([("kind", pa.string()), ("block", pa.int64()), ("uid", pa.list_(pa.int64())), ("doc_id", pa.list_(pa.int64())), ("fold", pa.list_(pa.int32())), ("size", pa.list_(pa.int64())), ("lead", pa.list_(pa.int32())), ("codes", pa.binary()),
                     ("of", pa.list_(pa.int64())), ("words", pa.list_(pa.string())), ("times", pa.list_(pa.int64())), ("weight", pa.list_(pa.float64()))])
-_BLOCK_TYPE = "block long, uid array<long>, doc_id array<long>, fold array<int>, size array<long>, lead array<int>, codes binary, of array<long>, words array<string>, times array<long>, weight array<double>"
+_WORDS = ("of", "words", "times")
+_BLOCK_TYPE = "kind string, block long, uid array<long>, doc_id array<long>, fold array<int>, size array<long>, lead array<int>, codes binary, of array<long>, words array<string>, times array<long>, weight array<double>"
 
 
 def coded(docs: DataFrame, head: Head, block_tokens: int) -> DataFrame:
-    """Blocks of about `block_tokens` tokens, a row each. A block has segments of documents: uid, doc_id, fold, size (tokens without
-    the lead), lead (codes of the segment before that come first); the codes of all, packed; and of each document the words without
-    a code of their own (of: its uid), their times, and log10 of their code's weight. END is the last token of every document."""
+    """Blocks of about `block_tokens` tokens, a row of each kind. The kind "codes" has segments of documents: uid, doc_id, fold, size
+    (tokens without the lead), lead (codes of the segment before that come first), weight (the sum of hashed codes' log10 weights),
+    and the codes of all, packed. The kind "words" has the words without a code of their own of each document (of: its uid), and
+    their times. END is the last token of every document."""
     spark, size, key = docs.sparkSession, len(head.words), uuid.uuid4().hex
     shared = spark.sparkContext.broadcast((head.words, np.log10(head.tail + head.unknown).astype(np.float64)))  # bounded by HEAD_WORDS and TAIL_CODES
 
@@ -157,11 +161,12 @@ def coded(docs: DataFrame, head: Head, block_tokens: int) -> DataFrame:
             _NUMBERS.clear()
             numbers = _NUMBERS[key] = {w.encode(): i for i, w in enumerate(words)}
         get, codes = numbers.get, []
-        columns: dict[str, list] = {name: [] for name in _BLOCK.names if name not in ("block", "codes")}
+        columns: dict[str, list] = {name: [] for name in _BLOCK.names if name not in ("kind", "block", "codes")}
 
         def flush():
             nonlocal block, filled
-            row = {"block": [block], "codes": [packed(np.concatenate(codes))]} | {k: [v] for k, v in columns.items()}
+            row = {"kind": ["codes", "words"], "block": [block, block], "codes": [packed(np.concatenate(codes)), None]}
+            row |= {k: [None, v] if k in _WORDS else [v, None] for k, v in columns.items()}
             yield pa.RecordBatch.from_pydict(row, schema=_BLOCK)
             codes.clear()
             for v in columns.values():
@@ -185,7 +190,7 @@ def coded(docs: DataFrame, head: Head, block_tokens: int) -> DataFrame:
                     columns["of"] += repeat(uid, len(rest))
                     columns["words"] += [w.decode() for w in rest]
                     columns["times"] += rest.values()
-                    columns["weight"] += weights[list(hashed.values())].tolist() if rest else []
+                    columns["weight"].append(float(weights[list(hashed.values())] @ np.array(list(rest.values()), float)) if rest else 0.0)
                     codes += [lead, own]
                     lead = np.concatenate([lead, own[-LEVELS:]])[-LEVELS:]
                     filled += len(own)
@@ -222,16 +227,18 @@ class Block:
     def keys(self, head: int) -> np.ndarray:
         """The history of each token: three codes in 64 bits, so that a level's feature is a prefix. Where the word before has a
         hashed code, the word before that comes first, and the top bit is set."""
-        p1, p2, p3 = (self.before(k).astype(np.uint64) for k in (1, 2, 3))
-        skips = p1 > head
-        a, b = np.where(skips, p2, p1), np.where(skips, p1, p2)
-        bits = np.uint64(CODE_BITS)
-        return (((skips.astype(np.uint64) << bits | a) << bits | b) << bits) | p3
+        p1, p2 = self.before(1), self.before(2)
+        skips, bits = p1 > head, np.uint64(CODE_BITS)
+        keys = skips.astype(np.uint64)
+        for code in (np.where(skips, p2, p1), np.where(skips, p1, p2), self.before(3)):
+            keys <<= bits
+            keys |= code.astype(np.uint64)
+        return keys
 
 
 def blocks_of(rows: DataFrame, *more: str) -> DataFrame:
     small_batches(rows.sparkSession)
-    return rows.select("block", "size", "lead", "fold", "codes", *more)
+    return rows.where("kind = 'codes'").select("block", "size", "lead", "fold", "codes", *more)
 
 
 def each_row(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -424,7 +431,8 @@ def train_and_score(keys: np.ndarray, outcome: np.ndarray, n: np.ndarray, log_cl
 
 @dataclass
 class Outcomes:
-    """Codes in the order of their class: the place of each code, and by place the class and the log shares without a history."""
+    """Codes in the order of their class: the place of each code; by place the class and, without a history, the log share in the
+    class; and the log shares of classes."""
 
     place: np.ndarray
     classes: np.ndarray
@@ -434,11 +442,12 @@ class Outcomes:
     @classmethod
     def of(cls, mass: np.ndarray, classes: np.ndarray) -> Outcomes:
         order = np.argsort(classes, kind="stable")
-        place = np.empty(len(order), np.int64)
+        place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order))
         by_class = np.bincount(classes, mass, CLASSES)
         own = classes[order]
-        return cls(place, own, np.log(by_class[own] / mass.sum()), np.log(mass[order] / by_class[own]))
+        with np.errstate(divide="ignore"):  # classes without codes
+            return cls(place, own.astype(np.int8), np.log(by_class / mass.sum()), np.log(mass[order] / by_class[own]))
 
 
 @dataclass
@@ -510,7 +519,7 @@ def find_hot(rows: DataFrame, head: int, tokens: int, hot_tokens: int, shards: i
 
 def events_of(block: Block, head: int, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Keys, outcomes and training counts of a block's distinct events, in order, and the event of each of its own tokens."""
-    keys, outcome, training = block.keys(head)[block.own], place[block.codes[block.own]], block.training[block.own]
+    keys, outcome, training = block.keys(head)[block.own], place[block.codes[block.own]].astype(np.int64), block.training[block.own]
     order = by_key(keys, outcome)
     first = firsts(keys[order], outcome[order])
     back = np.empty(len(order), np.int64)
@@ -543,6 +552,7 @@ def hot_tables(rows: DataFrame, head: int, shared, hot: Hot, held_out_fold: int)
                 yield pa.RecordBatch.from_arrays([pa.array(node[order][first], pa.int64()), pa.array(outcome[order][first], pa.int64()), pa.array(np.add.reduceat(n[order], first), pa.int64())], ["node", "outcome", "n"])
                 node = hot.parent[node]
 
+    forget_shuffles(spark)
     counts = stored(blocks_of(rows).mapInArrow(run, "node long, outcome long, n long").groupBy("node", "outcome").agg(F.sum("n").alias("n")), "hot")
     kinds = "node long, outcome binary, log_class binary, log_word binary"
 
@@ -553,10 +563,11 @@ def hot_tables(rows: DataFrame, head: int, shared, hot: Hot, held_out_fold: int)
             at = np.searchsorted(unpacked(above["outcome"][0].as_py(), "<i8", True), outcome)
             log_class, log_word = (unpacked(above[c][0].as_py(), "<f8")[at] for c in ("log_class", "log_word"))
         else:
-            log_class, log_word = tables.log_class[outcome], tables.log_word[outcome]
+            log_class, log_word = tables.log_class[tables.classes[outcome]], tables.log_word[outcome]
         log_class, log_word = level(np.zeros(len(n), np.int64), outcome, n.astype(float), log_class, log_word, tables.classes)
         return pa.table({"node": pa.array([key[0].as_py()], pa.int64()), "outcome": [packed(outcome.astype("<i8"), True)], "log_class": [packed(log_class)], "log_word": [packed(log_word)]})
 
+    forget_shuffles(spark)
     done = spark.createDataFrame([], kinds)
     for depth in range(1, LEVELS + 1):
         mine = np.flatnonzero(hot.depth == depth)
@@ -569,7 +580,7 @@ def hot_tables(rows: DataFrame, head: int, shared, hot: Hot, held_out_fold: int)
 
 
 def event_scores(rows: DataFrame, head: int, shared, hot: Hot, shards: int, held_out_fold: int) -> DataFrame:
-    """(block, shard, scores): the log probabilities of each block's events in the order of `dealt`."""
+    """(block, shard, scores): the log probabilities of each block's events in the order of `dealt`, rounded to a step."""
     spark = rows.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -599,8 +610,8 @@ def event_scores(rows: DataFrame, head: int, shared, hot: Hot, shards: int, held
             log_class, log_word = (unpacked(given[c][0].as_py(), "<f8")[place] for c in ("log_class", "log_word"))
             above = int(hot.depth[node])
         else:
-            log_class, log_word = tables.log_class[outcome], tables.log_word[outcome]
-        scores = np.add(*train_and_score(keys, outcome, n, log_class, log_word, tables.classes, above)).astype("<f4")[back]
+            log_class, log_word = tables.log_class[tables.classes[outcome]], tables.log_word[outcome]
+        scores = np.rint(-STEPS * np.add(*train_and_score(keys, outcome, n, log_class, log_word, tables.classes, above))).astype("<u4")[back]
         ends = np.cumsum([len(x) for x in columns[0]])
         return pa.table({"block": sent["block"], "shard": pa.array([key[0].as_py()] * sent.num_rows, pa.int64()), "scores": pa.array([packed(x) for x in np.split(scores, ends[:-1])], pa.binary())})
 
@@ -624,9 +635,20 @@ def score_documents(docs: DataFrame, held_out_fold: int = 1, block_tokens: int =
     counts = stored(word_counts(docs.where(fold(F.col("doc_id")) != held_out_fold)), "counts")
     head = head_of(counts)
     size = len(head.words)
-    rows = stored(coded(docs, head, block_tokens), "codes")
+    rows = stored(coded(docs, head, block_tokens), "codes", by="kind")
+    # words without a code of their own: their counts give base scores, and their shares of their codes
+    rest = rows.where("kind = 'words'").select(F.explode(F.arrays_zip("of", "words", "times")).alias("e")).select(F.col("e.of").alias("uid"), F.col("e.words").alias("word"), F.col("e.times").alias("times"))
+    n, nothing = F.coalesce("n", F.lit(0)), lambda kind: F.lit(None).cast(kind)
+    rest = rest.join(counts, "word", "left").groupBy("uid").agg(
+        F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("n_known"),
+        F.sum(F.col("times") * F.log10((n + 0.5) / F.lit(head.total))).alias("base_score"),
+        F.sum(F.col("times") * F.log10(F.when(n > 0, n.cast("double")).otherwise(F.lit(head.unknown)))).alias("score"),
+    )
+    rest = stored(rest.select("uid", nothing("long").alias("doc_id"), nothing("int").alias("fold"), F.lit(0).cast("long").alias("n_tokens"), "n_known", "base_score", "score"), "rest")
+    drop_stored(spark, counts)
+    drop_stored(spark, rows, only="kind=words/")
     shared = spark.sparkContext.broadcast(Outcomes.of(head.mass(), word_classes(rows, head, held_out_fold)))  # bounded by HEAD_WORDS and TAIL_CODES
-    tokens = rows.agg(F.sum(F.aggregate("size", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    tokens = blocks_of(rows).agg(F.sum(F.aggregate("size", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     shards = max(1, -(-tokens // shard_tokens))
     hot = find_hot(rows, size, tokens, hot_tokens, shards)
     scores = event_scores(rows, size, shared, hot, shards, held_out_fold)
@@ -640,22 +662,14 @@ def score_documents(docs: DataFrame, held_out_fold: int = 1, block_tokens: int =
         _, order = dealt(keys, outcome, hot, shards)
         found = np.empty(len(keys))
         answers = answers.sort_by("shard")
-        found[order] = np.concatenate([unpacked(x.as_py(), "<f4") for x in answers["scores"]])
+        found[order] = np.concatenate([unpacked(x.as_py(), "<u4") for x in answers["scores"]])
         codes, plain = block.codes[block.own], np.append(base.value, 0.0)
         at = np.cumsum(block.size) - block.size
         add = lambda x: pa.array(np.add.reduceat(x, at))
         return pa.table({"uid": pa.array(row["uid"], pa.int64()), "doc_id": pa.array(row["doc_id"], pa.int64()), "fold": pa.array(row["fold"], pa.int32()), "n_tokens": pa.array(row["size"], pa.int64()),
-                         "n_known": add((codes < size).astype(np.int64)), "base_score": add(plain[np.minimum(codes, size)]), "score": add(found[back] / np.log(10))})
+                         "n_known": add((codes < size).astype(np.int64)), "base_score": add(plain[np.minimum(codes, size)]), "score": pa.array(np.add.reduceat(found[back], at) / -(STEPS * np.log(10)) - np.array(row["weight"]))})
 
-    blocks = blocks_of(rows, "uid", "doc_id")
+    blocks = blocks_of(rows, "uid", "doc_id", "weight")
     scored = blocks.groupBy("block").cogroup(scores.groupBy("block")).applyInArrow(score, kinds)
-    # words without a code of their own: their counts give base scores, and their shares of their codes
-    rest = rows.select(F.explode(F.arrays_zip("of", "words", "times", "weight")).alias("e")).select(F.col("e.of").alias("uid"), F.col("e.words").alias("word"), F.col("e.times").alias("times"), F.col("e.weight").alias("weight"))
-    n, nothing = F.coalesce("n", F.lit(0)), lambda kind: F.lit(None).cast(kind)
-    rest = rest.join(counts, "word", "left").groupBy("uid").agg(
-        F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("times") * F.log10((n + 0.5) / F.lit(head.total))).alias("base_score"),
-        F.sum(F.col("times") * (F.log10(F.when(n > 0, n.cast("double")).otherwise(F.lit(head.unknown))) - F.col("weight"))).alias("score"),
-    ).select("uid", nothing("long").alias("doc_id"), nothing("int").alias("fold"), F.lit(0).cast("long").alias("n_tokens"), "n_known", "base_score", "score")
     whole = scored.unionByName(rest).groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.max("fold").alias("fold"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
     return whole.select("doc_id", (F.col("fold") == held_out_fold).alias("held_out"), "n_tokens", "n_known", F.lit(head.tokens).cast("long").alias("train_tokens"), "base_score", "score")
