@@ -549,11 +549,11 @@ def hot_tables(rows: DataFrame, head: int, shared, hot: Hot, held_out_fold: int)
                 keys, outcome, n, node = keys[on], outcome[on], n[on], node[on]
                 order = order_of(node, outcome)
                 first = firsts(node[order], outcome[order])
-                yield pa.RecordBatch.from_arrays([pa.array(node[order][first], pa.int64()), pa.array(outcome[order][first], pa.int64()), pa.array(np.add.reduceat(n[order], first), pa.int64())], ["node", "outcome", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(hot.depth[node[order][first]], pa.int32()), pa.array(node[order][first], pa.int64()), pa.array(outcome[order][first], pa.int64()), pa.array(np.add.reduceat(n[order], first), pa.int64())], ["depth", "node", "outcome", "n"])
                 node = hot.parent[node]
 
     forget_shuffles(spark)
-    counts = stored(blocks_of(rows).mapInArrow(run, "node long, outcome long, n long").groupBy("node", "outcome").agg(F.sum("n").alias("n")), "hot")
+    counts = stored(blocks_of(rows).mapInArrow(run, "depth int, node long, outcome long, n long").groupBy("depth", "node", "outcome").agg(F.sum("n").alias("n")), "hot", by="depth")
     kinds = "node long, outcome binary, log_class binary, log_word binary"
 
     def train(key: tuple, own: pa.Table, above: pa.Table) -> pa.Table:
@@ -574,8 +574,7 @@ def hot_tables(rows: DataFrame, head: int, shared, hot: Hot, held_out_fold: int)
         if len(mine):
             links = spark.createDataFrame(pd.DataFrame({"child": mine, "node": hot.parent[mine]}))
             above = done.join(links, "node").drop("node").withColumnRenamed("child", "node")
-            own = counts.join(links.select(F.col("child").alias("node")), "node", "left_semi")
-            done = done.unionByName(stored(own.groupBy("node").cogroup(above.groupBy("node")).applyInArrow(train, kinds), "hot"))
+            done = done.unionByName(stored(counts.where(F.col("depth") == depth).groupBy("node").cogroup(above.groupBy("node")).applyInArrow(train, kinds), "hot"))
     return done
 
 
@@ -594,6 +593,8 @@ def event_scores(rows: DataFrame, head: int, shared, hot: Hot, shards: int, held
                 ["shard", "block", "keys", "outcome", "n"])
 
     def work(key: tuple, sent: pa.Table, given: pa.Table) -> pa.Table:
+        if not sent.num_rows:  # a hot feature's shard that no event fell to
+            return pa.table({"block": pa.array([], pa.int64()), "shard": pa.array([], pa.int64()), "scores": pa.array([], pa.binary())})
         tables = shared.value
         columns = [[unpacked(x.as_py(), kind, c == "keys") for x in sent[c]] for c, kind in (("keys", "<u8"), ("outcome", "<u4"), ("n", "<u4"))]
         keys, outcome, n = (np.concatenate(c) for c in columns)
