@@ -84,13 +84,11 @@ _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def text_runs(text: bytes | memoryview) -> Iterator[bytes]:
-    """A text in runs of about RUN_BYTES that end at white space."""
+    """A text in runs of at most about RUN_BYTES and one word that end at white space."""
     at, size = 0, len(text)
     while at < size:
-        end = at + RUN_BYTES
-        if end < size:
-            found = _SPACE.search(text, end)
-            end = found.end() if found else size
+        found = _SPACE.search(text, at + RUN_BYTES - 1) if at + RUN_BYTES < size else None
+        end = found.end() if found else size
         yield bytes(text[at:end])
         at = end
 
@@ -129,9 +127,10 @@ class Memo(dict):
 
 def map_texts(df: DataFrame, make: Callable[[], Callable[[list, pa.RecordBatch], dict]], schema: str) -> DataFrame:
     """mapInArrow over a frame with a `text` column: `make()` runs once per task and returns a function from the texts as
-    UTF-8 bytes and the batch to columns. Batches are cut small, so that memory holds a few MB of text at a time."""
+    UTF-8 bytes and the batch to columns. Batches end at BATCH_BYTES of text, so that memory holds that or one longer text."""
     names = T._parse_datatype_string(schema).fieldNames()
     arrow = _arrow_schema(df.sparkSession, schema)
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()

@@ -33,14 +33,16 @@ def _words(line: Column) -> Column:
 
 
 def repeated_lines(docs: DataFrame, id_col: str) -> DataFrame:
-    """Every line that occurs twice or more: (doc, line, words, at, name); at is its place, name that of its first copy."""
+    """Every line that occurs twice or more: (doc, line, words, name); name is the place of its first copy. Lines are told apart by
+    their MD5, of 128 bits."""
     lines = docs.select(_doc_key(id_col).alias("doc"), F.posexplode(F.split(text_of(), "\n")).alias("line", "value"))
     lines = lines.select("doc", "line", F.unhex(F.md5("value")).alias("id"), F.when(F.length("value") > 0, _words(F.col("value"))).otherwise(0).alias("words"))
     lines = stored(lines, "lines")
     place = F.struct("doc", "line")
     first = lines.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("name")).where("n > 1").drop("n")
+    first = stored(first, "first")  # both sides of the join are dealt out afresh, so that Spark can split a common line
     found = stored(lines.join(first, "id").select("doc", "line", "words", "name").dropDuplicates(["doc", "line"]), "repeated")
-    drop_stored(docs.sparkSession, lines)
+    drop_stored(docs.sparkSession, lines, first)
     return found
 
 
@@ -93,7 +95,7 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
     deleted.
 
     The first copy in the order of id, then line, stays; a run that repeats within a document loses its later copies too.
-    Lines are split at \\n and must agree byte for byte; runs of fewer than `min_words` words stay. Documents whose text
+    Lines are split at \\n and must agree byte for byte (as their MD5 tells); runs of fewer than `min_words` words stay. Documents whose text
     doesn't change keep it as it is, null included (no lines); a text that loses all its lines becomes empty. Rows that
     repeat both id and text are the same document and get the same result. An empty table gives an empty result. Other
     columns pass through; those named as `counts` are replaced.

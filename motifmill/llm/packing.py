@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_texts, stored, text_of
+from .common import RUN_BYTES, map_texts, stored, text_of, text_runs
 
 WINDOW = 2048
 END_ID = 1
@@ -79,9 +79,14 @@ class WordTokenizer:
         return (text.lower() if plain else text).split()
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        """The ids of each UTF-8 text."""
+        """The ids of each UTF-8 text. Long texts are read in runs, if words are encoded independently."""
         if not self.by_word:
             return [np.array(self._encode(t.decode()), self.kind) for t in texts]
+        if any(len(t) > RUN_BYTES for t in texts):
+            return [np.concatenate([np.empty(0, self.kind), *(self._encode_short([run])[0] for run in text_runs(t))]) for t in texts]
+        return self._encode_short(texts)
+
+    def _encode_short(self, texts: list[bytes]) -> list[np.ndarray]:
         out = []
         for at in range(0, len(texts), 64):
             split = [self._words(t) for t in texts[at : at + 64]]

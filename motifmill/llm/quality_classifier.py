@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import zlib
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import pairwise
 
 import numpy as np
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, fold, map_texts, text_of
+from .common import RUN_BYTES, Memo, fold, map_texts, small_batches, text_of, text_runs
 
 HASH_BITS = 18
 #: Most labelled rows that training takes, those of the lowest hash of their id.
@@ -39,27 +40,50 @@ def _shape(word: bytes) -> int:
 
 
 def features(text: bytes, memo: Memo) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct feature numbers and their values; none for a text without words."""
+    """Distinct feature numbers and their values; none for a text without words. Long texts are read in runs."""
+    if len(text) > RUN_BYTES:
+        counts, last = np.zeros(SIZE), []
+        for run in text_runs(text):
+            words = last + run.split()
+            for numbers in _grams(words, memo, len(last)):
+                counts += np.bincount(numbers, minlength=SIZE)
+            last = words[-3:]
+        distinct = np.flatnonzero(counts)
+        lexical = distinct < 1 << HASH_BITS
+        value = counts[distinct] / np.where(lexical, max(counts[: 1 << HASH_BITS].sum(), 1), max(counts[1 << HASH_BITS :].sum(), 1))
+        return distinct.astype(np.int32), value.astype(np.float32)
     words = text.split()
     if not words:
         return np.empty(0, np.int32), np.empty(0, np.float32)
+    lexical, shapes = _grams(words, memo)
+    value = np.concatenate([np.full(len(lexical), 1 / len(lexical)), np.full(len(shapes), 1 / len(shapes))])
+    distinct, where = np.unique(np.concatenate([lexical, shapes]), return_inverse=True)
+    return distinct, np.bincount(where, value).astype(np.float32)
+
+
+def _grams(words: list[bytes], memo: Memo, known: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the lexical and of the shape features that end after the first `known` words."""
     both = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
     word, shape = both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)
     shape = np.where(np.fromiter((a == b for a, b in pairwise([b"", *words])), bool, len(words)), np.uint64(77), shape)
     mix = lambda a, b: (a * np.uint64(0x9E3779B1) + b) * np.uint64(0x85EBCA6B) >> np.uint64(7) & np.uint64(0xFFFFFFFF)
-    lexical = np.concatenate([word, mix(word[:-1], word[1:])]) & np.uint64((1 << HASH_BITS) - 1)
     pair = mix(shape[:-1], shape[1:])
-    shapes = np.concatenate([shape, pair, mix(pair[:-1], shape[2:])]) & np.uint64((1 << SHAPE_BITS) - 1)
-    at = np.concatenate([lexical, shapes + np.uint64(1 << HASH_BITS)]).astype(np.int32)
-    value = np.concatenate([np.full(len(lexical), 1 / len(lexical)), np.full(len(shapes), 1 / len(shapes))])
-    distinct, where = np.unique(at, return_inverse=True)
-    return distinct, np.bincount(where, value).astype(np.float32)
+    new, new_pair, new_trio = (slice(max(known - k, 0), None) for k in range(3))
+    lexical = np.concatenate([word[new], mix(word[:-1], word[1:])[new_pair]]) & np.uint64((1 << HASH_BITS) - 1)
+    shapes = np.concatenate([shape[new], pair[new_pair], mix(pair[:-1], shape[2:])[new_trio]]) & np.uint64((1 << SHAPE_BITS) - 1)
+    return lexical.astype(np.int32), (shapes + np.uint64(1 << HASH_BITS)).astype(np.int32)
 
 
 def new_memo() -> Memo:
     return Memo(lambda w: zlib.crc32(w.lower()) << 32 | _shape(w))
 
 
+@lru_cache(maxsize=1)
+def shared_memo() -> Memo:
+    """One memo for all tasks and batches of a worker."""
+    return new_memo()
+
+
 @dataclass
 class FtrlModel:
     """Weights of a trained classifier; `bias` is the score's log-odds of a text without words."""
@@ -129,10 +153,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> FtrlMod
 def score_column(model: FtrlModel, text: Column, spark) -> Column:
     """The probability that a text's label is 1, as a column."""
     shared = spark.sparkContext.broadcast(model)  # of fixed size
+    small_batches(spark)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        memo, mine = new_memo(), shared.value
+        memo, mine = shared_memo(), shared.value
         return pd.Series([mine.score((t or "").encode(), memo) for t in texts], dtype="float64")
 
     return score(text)
@@ -145,7 +170,7 @@ def classify(docs: DataFrame, model: FtrlModel, threshold: float = THRESHOLD) ->
     shared = spark.sparkContext.broadcast(model)
 
     def make():
-        memo = new_memo()
+        memo = shared_memo()
         return lambda texts, batch: {"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": [shared.value.score(t, memo) for t in texts]}
 
     scored = map_texts(docs.select(doc_id.cast("long").alias("doc_id"), (fold(doc_id) == 0).alias("held_out"), text_of().alias("text")), make, "doc_id long, held_out boolean, score double")

@@ -12,10 +12,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, text_of
+from .common import RUN_BYTES, map_texts, small_batches, text_of, text_runs
 from .quality_classifier import labelled_sample
 
 #: Most labelled rows that training takes, those of the lowest hash of their id.
@@ -49,6 +50,8 @@ def repeated_words(words: list, size: int = 5) -> int:
 
 def statistics(text: bytes) -> tuple[tuple[int, int, int, int, int], list[float]]:
     """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) and the feature row of a text."""
+    if len(text) > RUN_BYTES:
+        return _long_statistics(text)
     words = text.split()
     n, glued = len(words), b"".join(words)
     chars = len(glued.translate(None, _CONTINUED))
@@ -56,15 +59,62 @@ def statistics(text: bytes) -> tuple[tuple[int, int, int, int, int], list[float]
     lines = [x for x in text.split(b"\n") if x.split(None, 1)]
     dup = len(lines) - len(set(lines))
     repeat = repeated_words(words)
-    m, c, b = max(n, 1), max(chars, 1), max(len(glued), 1)
-    upper, lower = len(glued.translate(None, _NOT_UPPER)), len(glued.translate(None, _NOT_LOWER))
     count = Counter(words)
+    return _row(n, chars, symbols, dup, repeat, len(lines), len(count), max(count.values(), default=0), *(len(glued.translate(None, x)) for x in (_NOT_UPPER, _NOT_LOWER, _NOT_DIGITS, _NOT_MARKS)), len(glued))
+
+
+def _row(n: int, chars: int, symbols: int, dup: int, repeat: int, lines: int, distinct: int, top: int, upper: int, lower: int, digits: int, marks: int, size: int) -> tuple[tuple[int, int, int, int, int], list[float]]:
+    m = max(n, 1)
     return (n, chars, symbols, dup, repeat), [
-        np.log1p(n), chars / m, symbols / m, dup / max(len(lines), 1), repeat / m, len(count) / m, upper / max(upper + lower, 1),
-        len(glued.translate(None, _NOT_DIGITS)) / b, len(glued.translate(None, _NOT_MARKS)) / m, len(lines) / m, max(count.values(), default=0) / m,
+        np.log1p(n), chars / m, symbols / m, dup / max(lines, 1), repeat / m, distinct / m, upper / max(upper + lower, 1),
+        digits / max(size, 1), marks / m, lines / m, top / m,
     ]
 
 
+def _long_statistics(text: bytes) -> tuple[tuple[int, int, int, int, int], list[float]]:
+    """The same for a long text in runs: words are told apart by hashes of 64 bits, so that memory holds some 50 bytes a word."""
+    hashes, totals = [], np.zeros(7, np.int64)
+    for run in text_runs(text):
+        words = run.split()
+        glued = b"".join(words)
+        totals += [len(glued.translate(None, x)) for x in (_CONTINUED, _NOT_SYMBOLS, _NOT_UPPER, _NOT_LOWER, _NOT_DIGITS, _NOT_MARKS)] + [len(glued)]
+        hashes.append(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)))
+    word = np.concatenate(hashes)
+    del hashes
+    lines, dup, seen, at = 0, 0, set(), 0
+    while at <= len(text):
+        end = text.find(b"\n", at)
+        end = len(text) if end < 0 else end
+        line = text[at:end]
+        at = end + 1
+        if line.split(None, 1):
+            lines += 1
+            mark = xxhash.xxh128_digest(line)
+            dup += mark in seen
+            seen.add(mark)
+    ordered = np.sort(word)
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(word) else np.empty(0, np.int64)
+    distinct, top = len(first), int(np.diff(np.append(first, len(word))).max(initial=0))
+    del ordered, first
+    window = word[: max(len(word) - 4, 0)].copy()
+    for k in range(1, 5):
+        window *= np.uint64(0x9E3779B97F4A7C15)
+        window ^= window >> np.uint64(29)
+        window += word[k : len(word) - 4 + k]
+    ordered = np.sort(window)
+    twice = ordered[1:][ordered[1:] == ordered[:-1]]
+    twice = twice[np.append(True, twice[1:] != twice[:-1])] if len(twice) else twice
+    del ordered
+    covered = np.zeros(len(word), bool)
+    for at in range(0, len(window) if len(twice) else 0, 1 << 20):
+        some = window[at : at + (1 << 20)]
+        found = twice[np.minimum(np.searchsorted(twice, some), len(twice) - 1)] == some
+        for k in range(5):
+            covered[at + k : at + k + len(some)] |= found
+    chars, symbols, upper, lower, digits, marks, size = totals.tolist()
+    return _row(len(word), chars, symbols, dup, int(covered.sum()), lines, distinct, top, upper, lower, digits, marks, size)
+
+
 @dataclass
 class Trees:
     """All trees' nodes in flat arrays; a leaf is its own child."""
@@ -176,6 +226,7 @@ def base_failed() -> Column:
 def kept_column(trees: Trees, text: Column, spark, threshold: float = THRESHOLD) -> Column:
     """Whether the rules keep a text, as a column."""
     shared = spark.sparkContext.broadcast(trees)
+    small_batches(spark)
 
     @F.pandas_udf("boolean")
     def kept(texts: pd.Series) -> pd.Series:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, map_texts, text_of
+from .common import RUN_BYTES, Memo, map_texts, text_of
 
 SPACE = "▁"
 #: Stretches up to this length are memoised.
@@ -125,13 +125,25 @@ class PieceCoder:
         return path[::-1]
 
     _STRETCH = re.compile(f"{SPACE}*[^{SPACE}\\n]+|{SPACE}+|\\n")
+    _BORDER = re.compile(f"[^ {SPACE}\\n](?= )")
 
     def encode(self, text: str) -> np.ndarray:
-        """The ids of a text; none for an empty one."""
+        """The ids of a text; none for an empty one. A long text is read in runs that end before a run of spaces."""
         if not text:
             return np.empty(0, "<i4")
+        if len(text) <= RUN_BYTES:
+            return self._encode(SPACE + text.replace(" ", SPACE))
+        out, at = [], 0
+        while at < len(text):
+            found = self._BORDER.search(text, at + RUN_BYTES)
+            end = found.end() if found else len(text)
+            out.append(self._encode((SPACE if at == 0 else "") + text[at:end].replace(" ", SPACE)))
+            at = end
+        return np.concatenate(out)
+
+    def _encode(self, text: str) -> np.ndarray:
         memo = self.memo
-        stretches = self._STRETCH.findall(SPACE + text.replace(" ", SPACE))
+        stretches = self._STRETCH.findall(text)
         if max(map(len, stretches)) <= MEMO_CHARS:
             return np.frombuffer(b"".join(map(memo.__getitem__, stretches)), "<i4")
         return np.frombuffer(b"".join(memo[s] if len(s) <= MEMO_CHARS else array("i", self.search(s)).tobytes() for s in stretches), "<i4")

@@ -5,7 +5,7 @@ positional bytes: of the four bytes of one half they share three or more. Postin
 positions of one half and their bytes, 8 lists a fingerprint; any admissible pair meets in one of them. For pairs that meet,
 the shared positional bytes are tallied, pairs under the guaranteed minimum go, and the rest is verified by differing bits.
 
-Only distinct fingerprints are posted. Of a long list, the fingerprints near its most frequent member (the pivot) hang on
+Only distinct fingerprints are posted, and SHORT_LIST and BLOCK only choose how a list's pairs are compared. Of a long list, the fingerprints near its most frequent member (the pivot) hang on
 that, and only the others are compared with the whole list, in blocks, from which a spanning forest comes back rather than
 the pairs. Nothing is capped or dropped: every link between different fingerprints lies in one component's edges.
 """
@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, stored, text_of
+from .common import map_texts, stored, text_of, token_runs
 from .components import components
 
 MAX_BITS = 3
@@ -30,22 +30,31 @@ LEAST_SHARED = 8 - MAX_BITS
 #: Lists up to this length are paired by a join, longer ones in blocks of this many rows.
 SHORT_LIST = 48
 BLOCK = 1024
+_LOW7 = np.uint64(0x7F7F7F7F7F7F7F7F)
 
 
 def fingerprint(text: bytes, ngram: int = 3, seed: int = 42) -> int:
-    """The signed 64-bit SimHash of an ASCII-lower-cased text's word shingles; 0 without words."""
-    words = text.lower().split()
-    if not words:
-        return 0
+    """The signed 64-bit SimHash of an ASCII-lower-cased text's word shingles; 0 without words. Long texts are read in runs."""
+    ones, shingles, last = np.zeros(64, np.int64), 0, []
+    for run in token_runs(text):
+        words = last + run
+        if len(words) >= ngram:
+            hashes = _shingle_hashes(words, ngram, seed)
+            ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+            shingles += len(hashes)
+        last = words[1 - ngram :] if ngram > 1 else []
+    if not shingles:
+        if not last:
+            return 0
+        ones, shingles = np.unpackbits(_shingle_hashes(last, len(last), seed).view(np.uint8), bitorder="little").astype(np.int64), 1
+    return int(np.packbits(2 * ones > shingles, bitorder="little").view(np.int64)[0])
+
+
+def _shingle_hashes(words: list[bytes], size: int, seed: int) -> np.ndarray:
     joined = b" ".join(words)
     ends = list(accumulate(len(w) + 1 for w in words))
-    starts = [0, *ends[:-1]]
-    size = min(ngram, len(words))
-    pieces = map(joined.__getitem__, map(slice, starts, [e - 1 for e in ends[size - 1 :]]))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, pieces, repeat(seed)), np.uint64, len(words) - size + 1)
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    ones = np.packbits(2 * bits.sum(0, dtype=np.int64) > len(hashes), bitorder="little")
-    return int(ones.view(np.int64)[0])
+    pieces = map(joined.__getitem__, map(slice, [0, *ends[:-1]], [e - 1 for e in ends[size - 1 :]]))
+    return np.fromiter(map(xxhash.xxh64_intdigest, pieces, repeat(seed)), np.uint64, len(words) - size + 1)
 
 
 def text_hash(text: Column) -> Column:
@@ -79,7 +88,9 @@ def _near(a: Column, b: Column) -> Column:
 def _forest(_key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """Edges of a spanning forest of the links between a block of open rows and a block of all rows."""
     a, b = pdf.loc[pdf["open"], "fp"].to_numpy(np.int64), pdf.loc[~pdf["open"], "fp"].to_numpy(np.int64)
-    near = np.bitwise_count((a[:, None] ^ b[None, :]).view(np.uint64)) <= MAX_BITS
+    x = (a[:, None] ^ b[None, :]).view(np.uint64)
+    near = np.bitwise_count(~(((x & _LOW7) + _LOW7) | x | _LOW7)) >= LEAST_SHARED  # the tally: one bit for each shared byte
+    near[near] = np.bitwise_count(x[near]) <= MAX_BITS
     left, right = np.arange(len(a)), np.arange(len(b)) + len(a)
     label = np.concatenate([left, right])
     while True:
@@ -97,6 +108,7 @@ def fingerprint_links(weights: DataFrame) -> DataFrame:
     """weights: distinct (fp, n). Edges (a, b) of a graph with the components of the links at MAX_BITS or fewer bits."""
     posted = weights.select("fp", "n", F.explode(_postings(F.col("fp"))).alias("list"))
     lists = posted.groupBy("list").agg(F.count(F.lit(1)).alias("rows"), F.max(F.struct("n", "fp"))["fp"].alias("pivot")).where("rows > 1")
+    lists = stored(lists, "lists")  # so that both sides of the join are dealt out afresh, and Spark can split a long list
     met = stored(posted.drop("n").join(lists, "list"), "postings")
     short = met.where(F.col("rows") <= SHORT_LIST).select("list", "fp")
     pairs = short.join(short.withColumnRenamed("fp", "other"), "list").where(F.col("fp") < F.col("other"))
@@ -104,7 +116,7 @@ def fingerprint_links(weights: DataFrame) -> DataFrame:
     long_lists = met.where(F.col("rows") > SHORT_LIST)
     star = long_lists.where((F.col("fp") != F.col("pivot")) & _near(F.col("fp"), F.col("pivot"))).select(F.col("fp").alias("a"), F.col("pivot").alias("b"))
     open_rows = long_lists.where((F.col("fp") != F.col("pivot")) & ~_near(F.col("fp"), F.col("pivot"))).select("list", "fp", "rows")
-    opened = open_rows.groupBy("list").agg(F.count(F.lit(1)).alias("open_rows"))
+    opened = stored(open_rows.groupBy("list").agg(F.count(F.lit(1)).alias("open_rows")), "opened")
     blocks = lambda rows: F.ceil(F.col(rows) / BLOCK).cast("int")
     cell = lambda rows: F.pmod(F.xxhash64("fp"), blocks(rows)).cast("int")
     every = lambda rows: F.explode(F.sequence(F.lit(0), blocks(rows) - 1))
@@ -143,5 +155,5 @@ def near_duplicates(docs: DataFrame, ngram: int = 3, seed: int = 42) -> DataFram
     weights, roots = fingerprint_groups(fps)
     least = weights.join(roots, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
     linked = roots.join(least, "root").select("fp", "component_id")
-    ids = weights.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    ids = stored(weights.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "ids")  # a frequent fingerprint's rows can be split
     return fps.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash")
