@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, stored
+from .common import BATCH_BYTES, new_path, small_batches, stored
 
 #: Payloads from this size on are replaced by revisits of an equal one.
 REVISIT_BYTES = 1000
-#: Records of one archive file.
-FILE_RECORDS = 2_000
+#: Bytes of records of one archive file before compression; a longer record has its own.
+FILE_BYTES = 32 << 20
 ARC_DATE = "19960101000000"
 # Fixed values of the ARC formats: the field names of a version's header lines.
 ARC_FIELDS = {
@@ -140,27 +140,35 @@ def page_arc(url: str | None, page_id: int | None, html: bytes) -> ArcRecord:
 
 
 def write_archives(pages: DataFrame, path: str, version_of=lambda page_id: 1 + (page_id or 0) % 2) -> None:
-    """Write WARC files of all rows of `pages` (page_id, url, html), each made from an ARC archive of the row's batch."""
+    """Write WARC files of all rows of `pages` (page_id, url, html), each made from an ARC archive of the row's batch. Revisits are
+    found by ids and digests alone, and joined to the pages by both, so no payload is dealt out by a digest that many share."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("html"))
-    keyed = rows.select("*", F.sha1("html").alias("digest"))
-    groups = keyed.where(F.octet_length("html") >= REVISIT_BYTES).groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    repeated = stored(groups.where("n > 1").select("digest", "first"), "payloads")  # its size decides how it is joined
-    rows = keyed.join(repeated, "digest", "left").select("page_id", "url", "html", F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("first")), F.col("first")).alias("refers_to"))
+    rows = rows.select("*", F.sha1("html").alias("digest"), F.col("page_id").isNull().alias("lost"), F.coalesce("page_id", F.lit(0)).alias("page"))
+    large = stored(rows.where(F.octet_length("html") >= REVISIT_BYTES).groupBy("digest", "page_id", "lost", "page").agg(F.count(F.lit(1)).alias("n")), "payloads")
+    groups = stored(large.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.sum("n").alias("n")).where("n > 1").drop("n"), "groups")
+    revisits = stored(large.join(groups, "digest").where("lost or page_id < refers_to").select("page", "lost", "digest", "refers_to"), "revisits")
+    rows = rows.join(revisits, ["page", "lost", "digest"], "left").select("page_id", "url", "html", "refers_to")
+    small_batches(pages.sparkSession)
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, filled = 0, 0
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256).to_pylist()
-                out = []
+                out, files = [], []
                 for version in (1, 2):
                     mine = [r for r in batch if version_of(r["page_id"]) == version]
                     archive = arc_archive((page_arc(r["url"], r["page_id"], r["html"]) for r in mine), version)
                     for r, arc in zip(mine, arc_records(io.BytesIO(archive)), strict=True):
                         out.append(warc_record(arc, r["page_id"], r["refers_to"])[:-2])  # the writer ends it
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string())], ["value"])
+                        if filled and filled + len(out[-1]) > FILE_BYTES:
+                            file, filled = file + 1, 0
+                        filled += len(out[-1])
+                        files.append(file)
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string()), pa.array(files, pa.int32())], ["value", "file"])
 
-    rows.mapInArrow(convert, "value string").write.option("lineSep", "\r\n").option("maxRecordsPerFile", FILE_RECORDS).text(path, compression="gzip")
+    rows.mapInArrow(convert, "value string, file int").write.partitionBy("file").option("lineSep", "\r\n").text(path, compression="gzip")
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -175,7 +183,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column("content"):
-                rows = []
+                rows, held = [], 0
                 for fields, block in warc_records(gzip.open(io.BytesIO(data.as_py()))):
                     head, payload = split_http(block)
                     kind, digest = fields["warc-type"], base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex()
@@ -183,12 +191,14 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                         raise ValueError(f"the payload of {fields['warc-record-id']} doesn't match its digest")
                     size = len(payload) if kind == "response" else int(re.search(rb"\r\nContent-Length: (\d+)", head)[1])
                     rows.append((number(fields.get("warc-page-id")), fields.get("warc-target-uri"), payload if kind == "response" else None, size, digest, kind, number(fields.get("warc-refers-to-page-id"))))
-                    if len(rows) == 500:
+                    held += len(block)
+                    if len(rows) == 500 or held > BATCH_BYTES:
                         yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, r, strict=True)) for r in rows], schema=arrow)
-                        rows = []
+                        rows, held = [], 0
                 yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, r, strict=True)) for r in rows], schema=arrow)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(read, schema)
+    small_batches(spark)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content").mapInArrow(read, schema)
 
 
 def archive_pages(pages: DataFrame) -> DataFrame:

@@ -40,12 +40,25 @@ def test_archive_pages(spark, tmp_path):
     assert got == sorted(map(str, expected))
     assert warc.archive_pages(df.where("false")).count() == 0
     warc.write_archives(df, str(tmp_path / "w"))
-    data = b"".join(gzip.decompress(f.read_bytes()) for f in (tmp_path / "w").glob("*.gz"))
+    data = b"".join(gzip.decompress(f.read_bytes()) for f in (tmp_path / "w").rglob("*.gz"))
     assert len(list(warc.warc_records(io.BytesIO(data)))) == len(rows)
     back = {r["page_id"]: r["payload"] for r in warc.read_archives(spark, str(tmp_path / "w")).collect()}
     assert bytes(back[7]).decode() == rows[7][2] and back[1] is None and bytes(back[8]) == b"WARC/1.1\r\n"
 
 
+def test_archives_of_long_pages(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 1 << 20)
+    long = "<p>é " * 700_000
+    rows = [(i, "u", "x" * 200_000 + str(i % 9)) for i in range(12)] + [(20, "u", long), (21, "u", long), (None, "u", long)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(df, str(tmp_path / "w"))
+    sizes = [len(gzip.decompress(f.read_bytes())) for f in (tmp_path / "w").rglob("*.gz")]
+    assert len(sizes) > 3 and sum(n > 1 << 21 for n in sizes) == 1  # the one long response has a file of its own
+    got = {(r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.read_archives(spark, str(tmp_path / "w")).collect()}
+    kind = lambda i, to: ("response", None) if i == to else ("revisit", to)
+    assert got == {(i, len(h.encode()), *kind(i, 21 if h == long else i if i % 9 > 2 else 9 + i % 9)) for i, _, h in rows}
+
+
 CALLS = [
     (1, 1, "a", "search", '{"limit":3,"query":"x"}', []), (1, 3, "b", "translate", '{"to":"xx","text":"é"}', ["a"]), (1, 5, "c", "measure", '{"text":1,"scale":2}', ["b", "a"]), (1, 6, "c", "measure", '{"text":"1","scale":2.50}', ["b", "a"]),
     (1, 7, "d", "nope", "[1]", ["zz"]), (1, 8, "e", "search", "oops", ["f"]), (1, 9, "f", "search", '{"query":"q","limit":"1","more":null}', ["e"]), (1, 10, "g", "search", '{"limit":1}', ["f"]),
