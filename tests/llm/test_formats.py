@@ -99,7 +99,7 @@ def brute_query(turns):
     users = {(t["conv_id"], t["turn"]) for t in turns if t["role"] == "user"}
 
     def level(c, t):
-        parent = t % 2 + 2 * (t // 4)
+        parent = t - 2
         return 0 if t < 2 or (c, parent) not in users else 1 + level(c, parent)
 
     return {(c, t): level(c, t) for c, t in users}
