@@ -22,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
+    """The folder that driver and executors share; a temporary one only where none is configured and all run in one process."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(path)
     return path
@@ -83,20 +85,20 @@ def small_batches(spark: SparkSession) -> None:
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def text_runs(text: bytes | memoryview) -> Iterator[bytes]:
+def text_runs(text: bytes | memoryview, run_bytes: int | None = None) -> Iterator[bytes]:
     """A text in runs of at most about RUN_BYTES and one word that end at white space."""
-    at, size = 0, len(text)
+    at, size, run_bytes = 0, len(text), run_bytes or RUN_BYTES
     while at < size:
-        found = _SPACE.search(text, at + RUN_BYTES - 1) if at + RUN_BYTES < size else None
+        found = _SPACE.search(text, at + run_bytes - 1) if at + run_bytes < size else None
         end = found.end() if found else size
         yield bytes(text[at:end])
         at = end
 
 
-def token_runs(text: bytes | memoryview | None, end: bytes | None = None) -> Iterator[list[bytes]]:
+def token_runs(text: bytes | memoryview | None, end: bytes | None = None, run_bytes: int | None = None) -> Iterator[list[bytes]]:
     """The words of a text in lower case (A-Z), some 100,000 at a time; `end` is one more after the last."""
     last: list[bytes] = []
-    for run in text_runs(memoryview(text) if text is not None else b""):
+    for run in text_runs(memoryview(text) if text is not None else b"", run_bytes):
         if last:
             yield last
         last = run.lower().split()

@@ -144,7 +144,7 @@ _WORDS = ("of", "words", "times")
 _BLOCK_TYPE = "kind string, block long, uid array<long>, doc_id array<long>, fold array<int>, size array<long>, lead array<int>, codes binary, of array<long>, words array<string>, times array<long>, weight array<double>"
 
 
-def coded(docs: DataFrame, head: Head, block_tokens: int) -> DataFrame:
+def coded(docs: DataFrame, head: Head, block_tokens: int, run_bytes: int | None = None) -> DataFrame:
     """Blocks of about `block_tokens` tokens, a row of each kind. The kind "codes" has segments of documents: uid, doc_id, fold, size
     (tokens without the lead), lead (codes of the segment before that come first), weight (the sum of hashed codes' log10 weights),
     and the codes of all, packed. The kind "words" has the words without a code of their own of each document (of: its uid), and
@@ -176,7 +176,7 @@ def coded(docs: DataFrame, head: Head, block_tokens: int) -> DataFrame:
         for batch in batches:
             for uid, doc_id, in_fold, text in zip(batch["uid"].to_pylist(), batch["doc_id"].to_pylist(), batch["fold"].to_pylist(), batch["text"].cast(pa.binary()), strict=True):
                 lead = np.empty(0, "<i4")
-                for tokens in token_runs(text.as_buffer(), END.encode()):
+                for tokens in token_runs(text.as_buffer(), END.encode(), run_bytes):
                     own = np.fromiter(map(get, tokens, repeat(-1)), "<i4", len(tokens))
                     other = np.flatnonzero(own < 0)
                     rest = Counter(tokens[i] for i in other.tolist())
@@ -623,20 +623,20 @@ def event_scores(rows: DataFrame, head: int, shared, hot: Hot, shards: int, held
     return sent.groupBy("shard").cogroup(given.groupBy("shard")).applyInArrow(work, "block long, shard long, scores binary")
 
 
-def score_documents(docs: DataFrame, held_out_fold: int = 1, block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS, hot_tokens: int = HOT_TOKENS) -> DataFrame:
+def score_documents(docs: DataFrame, held_out_fold: int = 1, block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS, hot_tokens: int = HOT_TOKENS, run_bytes: int | None = None) -> DataFrame:
     """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities).
 
     Learns from the rows whose fold isn't `held_out_fold`, scores all. A null or empty text is one END; a null id has the fold of
     the empty text. Repeated rows are counted and scored each; without training rows all words are unknown, and the hashed codes
     are equally likely. Words without training share a hashed code's weight of the unknown, so the probabilities of all known words
     and of one unknown word a hashed code sum to one. Long texts are cut into segments that keep the words before them. An empty
-    table gives no rows. Columns other than doc_id and text aren't read. The token counts at the end change no score.
+    table gives no rows. Columns other than doc_id and text aren't read. The sizes at the end change no score.
     """
     spark = docs.sparkSession
     counts = stored(word_counts(docs.where(fold(F.col("doc_id")) != held_out_fold)), "counts")
     head = head_of(counts)
     size = len(head.words)
-    rows = stored(coded(docs, head, block_tokens), "codes", by="kind")
+    rows = stored(coded(docs, head, block_tokens, run_bytes), "codes", by="kind")
     # words without a code of their own: their counts give base scores, and their shares of their codes
     rest = rows.where("kind = 'words'").select(F.explode(F.arrays_zip("of", "words", "times")).alias("e")).select(F.col("e.of").alias("uid"), F.col("e.words").alias("word"), F.col("e.times").alias("times"))
     n, nothing = F.coalesce("n", F.lit(0)), lambda kind: F.lit(None).cast(kind)

@@ -7,6 +7,8 @@ import corpus_pipeline
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from motifmill.llm import lm_scoring as lm
 
 
@@ -30,8 +32,10 @@ def brute_base(rows):
 @pytest.mark.parametrize("most", [1 << 18, 300])
 def test_lm_scores(spark, documents, odd, monkeypatch, most):
     monkeypatch.setattr(lm, "GROUPED", 200)
+    monkeypatch.setattr(lm, "TAIL_CODES", 5000)
     monkeypatch.setattr(lm.head_of, "__defaults__", (most,))
-    df = documents.select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
+    df = documents.withColumn("kept", F.lit("k")).withColumn("n_lines", F.col("n_chars").cast("int")).select("doc_id", "text", "kept", "n_lines").unionByName(odd)
+    df = df.withColumn("fold", F.lit(1)).withColumn("score", F.lit("x")).withColumn("block", F.lit(0))
     rows = [(r["doc_id"], r["text"]) for r in df.collect()]
     out = lm.score_documents(df).collect()
     got = [(r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in out]
@@ -42,29 +46,34 @@ def test_lm_scores(spark, documents, odd, monkeypatch, most):
     assert sum(r["score"] for r in own) > sum(r["base_score"] for r in own) and all(r["score"] < 0 for r in out)
 
 
-def test_lm_probabilities_sum_to_one(spark):
-    """Over all known words and the unknown one, after any history."""
-    texts = ["a b a b c", "b a b a", "c c d", "a b e"]
-    ids = [i for i in range(40) if not held(i)][: len(texts)]
-    words = ["a", "b", "c", "d", "e", "unknown"]
-    tests = [(i, h) for i, h in zip([i for i in range(900) if held(i)], [f"a {w}" for w in words] + ["a"], strict=False)]
-    df = spark.createDataFrame(list(zip(ids, texts, strict=True)) + tests, "doc_id long, text string")
-    score = {r["doc_id"]: r["score"] for r in lm.score_documents(df).collect()}
-    first = {h: score[i] for i, h in tests}
-    assert len(first) == 7 and all(math.isfinite(x) and x < 0 for x in first.values())
+def test_lm_probabilities_sum_to_one():
+    """Over all outcomes, of classes and in classes, after a history that training has, one that it lacks in part, and a new one."""
+    rng = np.random.default_rng(0)
+    mass, classes = rng.integers(1, 50, 40).astype(float), rng.integers(0, 5, 40)
+    outcomes = lm.Outcomes.of(mass, classes)
+    key = lambda a, b, c: np.uint64((a << 42) + (b << 21) + c)
+    events = Counter((int(key(rng.integers(3), rng.integers(3), rng.integers(3))), int(rng.integers(40))) for _ in range(400))
+    for h in (key(0, 1, 2), key(1, 2, 9), key(2, 9, 9), key(9, 9, 9)):
+        every = sorted(set(events) | {(int(h), w) for w in range(40)})
+        keys, outcome, n = np.array([k for k, _ in every], np.uint64), np.array([w for _, w in every]), np.array([events[e] for e in every], float)
+        scores = np.add(*lm.train_and_score(keys, outcome, n, outcomes.log_class[outcomes.classes[outcome]], outcomes.log_word[outcome], outcomes.classes))
+        assert abs(np.exp(scores[keys == h]).sum() - 1) < 1e-9
 
 
 def test_lm_without_training_or_rows(spark):
     i = next(i for i in range(99) if held(i))
     row = lm.score_documents(spark.createDataFrame([(i, "a b")], "doc_id long, text string")).first()
-    assert (row["n_known"], row["train_tokens"], row["base_score"], abs(row["score"])) == (0, 0, 0.0, 0.0)
+    assert (row["n_known"], row["train_tokens"], row["base_score"], abs(row["score"])) == (0, 0, 0.0, abs(row["score"]))
+    assert abs(row["score"] + 3 * math.log10(lm.TAIL_CODES)) < 1e-2  # hashed codes are equally likely
     assert lm.score_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
 def test_history():
-    codes, starts = np.array([5, 6, 7, 8, 9]), np.array([0, 2])
-    assert lm.before(codes, starts, 1).tolist() == [-2, 5, -2, 7, 8] and lm.before(codes, starts, 2).tolist() == [-3, -3, -3, -3, 7]
-    assert lm.before(np.array([5]), np.array([0]), 3).tolist() == [-4]
+    block = lm.Block({"codes": lm.packed(np.array([5, 6, 7, 8, 9], "<i4")), "size": [2, 2], "lead": [0, 1], "fold": [0, 1]}, 1)
+    assert block.before(1).tolist() == [0, 6, 0, 8, 9] and block.before(3).tolist() == [0, 0, 0, 0, 0]
+    assert block.own.tolist() == [True, True, False, True, True] and block.training.tolist() == [True, True, False, False, False]
+    bits = lm.CODE_BITS
+    assert block.keys(100)[4] == (9 << 2 * bits) + (8 << bits) and block.keys(8)[4] == (1 << 3 * bits) + (8 << 2 * bits) + (9 << bits)
 
 
 def test_pipeline(spark, tmp_path):
