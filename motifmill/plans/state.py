@@ -8,6 +8,9 @@ from pyspark.sql import SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
-    """Makes sure that checkpoint() has a folder: the configured one, or a temporary one where none is, as in tests."""
+    """Makes sure that checkpoint() has a folder: the configured one, or a temporary one where none is and all run in one process."""
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(path or tempfile.mkdtemp(prefix="spark-"))
