@@ -535,8 +535,8 @@ def dealt(keys: np.ndarray, outcome: np.ndarray, hot: Hot, shards: int) -> tuple
 
 
 def hot_tables(rows: DataFrame, head: int, shared, hot: Hot, held_out_fold: int) -> DataFrame:
-    """(node, outcome, log_class, log_word) of each hot feature, packed: its events' log probabilities. The features' counts are
-    summed before one task gets those of a feature, of bounded number as outcomes are."""
+    """(node, outcome, log_class, log_word) of each hot feature, packed: its events' log probabilities. Blocks count a feature's
+    outcomes, of bounded number, and their counts are summed 64 at a time."""
     spark = rows.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -549,16 +549,35 @@ def hot_tables(rows: DataFrame, head: int, shared, hot: Hot, held_out_fold: int)
                 keys, outcome, n, node = keys[on], outcome[on], n[on], node[on]
                 order = order_of(node, outcome)
                 first = firsts(node[order], outcome[order])
-                yield pa.RecordBatch.from_arrays([pa.array(hot.depth[node[order][first]], pa.int32()), pa.array(node[order][first], pa.int64()), pa.array(outcome[order][first], pa.int64()), pa.array(np.add.reduceat(n[order], first), pa.int64())], ["depth", "node", "outcome", "n"])
+                yield counted(node[order][first], outcome[order][first], np.add.reduceat(n[order], first), row["block"])
                 node = hot.parent[node]
 
+    def counted(node: np.ndarray, outcome: np.ndarray, n: np.ndarray, part: int) -> pa.RecordBatch:
+        """A row for each feature: its outcomes, sorted, and their counts, packed."""
+        first = firsts(node)
+        parts = [slice(a, b) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(node)], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(hot.depth[node[first]], pa.int32()), pa.array(node[first], pa.int64()), pa.array([part] * len(parts), pa.int64()), pa.array([packed(outcome[x], True) for x in parts], pa.binary()), pa.array([packed(n[x]) for x in parts], pa.binary())], names)
+
+    def merge(key: tuple, found: pa.Table) -> pa.Table:
+        outcome, n = (np.concatenate([unpacked(x.as_py(), "<i8", c == "outcome") for x in found[c]]) for c in ("outcome", "n"))
+        order = np.argsort(outcome, kind="stable")
+        first = firsts(outcome[order])
+        return pa.Table.from_batches([counted(np.full(len(first), key[0].as_py()), outcome[order][first], np.add.reduceat(n[order], first), key[1].as_py())])
+
     forget_shuffles(spark)
-    counts = stored(blocks_of(rows).mapInArrow(run, "depth int, node long, outcome long, n long").groupBy("depth", "node", "outcome").agg(F.sum("n").alias("n")), "hot", by="depth")
+    names, kind = ["depth", "node", "part", "outcome", "n"], "depth int, node long, part long, outcome binary, n binary"
+    blocks = blocks_of(rows)
+    counts, parts = blocks.mapInArrow(run, kind), max(1, blocks.count()) if len(hot.key) else 1
+    while True:  # 64 blocks at a time
+        parts = -(-parts // 64)
+        counts = counts.withColumn("part", F.pmod(F.xxhash64("part"), F.lit(parts))).groupBy("node", "part").applyInArrow(merge, kind)
+        if parts == 1:
+            break
+    counts = stored(counts, "hot", by="depth")
     kinds = "node long, outcome binary, log_class binary, log_word binary"
 
     def train(key: tuple, own: pa.Table, above: pa.Table) -> pa.Table:
-        order = np.argsort(own["outcome"].to_numpy())
-        outcome, n, tables = own["outcome"].to_numpy()[order], own["n"].to_numpy()[order], shared.value
+        outcome, n, tables = unpacked(own["outcome"][0].as_py(), "<i8", True), unpacked(own["n"][0].as_py(), "<i8"), shared.value
         if above.num_rows:
             at = np.searchsorted(unpacked(above["outcome"][0].as_py(), "<i8", True), outcome)
             log_class, log_word = (unpacked(above[c][0].as_py(), "<f8")[at] for c in ("log_class", "log_word"))
