@@ -247,10 +247,11 @@ def _(spark, sf_dir):
     return index.analysis(index.onsequence(occ, lexicon), seqs)
 
 
-@query("bitmap_lexicon", None)
+@query("bitmap_lexicon", f"""WITH {LEX}, p AS (SELECT DISTINCT seq_id, start + j AS pos FROM occ, unnest(range(0, size)) t(j))
+    SELECT seq_id, CASE WHEN pos > 0 THEN 1 + (pos - 1) // 32768 ELSE 0 END AS bucket, count(*) AS covered, count(*) AS bits FROM p GROUP BY ALL""")
 def _(spark, sf_dir):
     _, occ, lexicon = words(spark, sf_dir)
-    return index.bitmaps(occ.where("start > 0"), lexicon).select("seq_id", "bucket", "covered", F.bitmap_count("bitmap").alias("bits"))
+    return index.bitmaps(occ, lexicon).select("seq_id", "bucket", "covered", F.bitmap_count("bitmap").alias("bits"))
 
 
 @query("chain_step", f"WITH {LEX}, pat AS (SELECT label AS pattern, * FROM occ), {chain_sql('pat', 'g1')} SELECT pattern, word, label, count(DISTINCT seq_id) AS q, count(*) AS n, sum(start + size)::BIGINT AS ends FROM g1 GROUP BY ALL")

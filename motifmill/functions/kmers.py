@@ -14,9 +14,9 @@ def heap_code(kmer: Column) -> Column:
     return F.aggregate(F.array_remove(F.split(kmer, ""), ""), F.lit(1).cast("long"), lambda code, letter: 4 * code + 2 - F.instr(F.lit(ALPHABET), letter))
 
 
-def heap_kmer(code: Column, most: int = 24) -> Column:
-    """The k-mer of a code, of at most `most` letters."""
-    step = lambda acc: F.struct(F.floor((acc["code"] + 2) / 4).alias("code"), F.concat(F.substring(F.lit(ALPHABET), (4 - (acc["code"] + 2) % 4).cast("int"), F.lit(1)), acc["kmer"]).alias("kmer"))
+def heap_kmer(code: Column, most: int = 31) -> Column:
+    """The k-mer of a code, of at most `most` letters; a code of 64 bits has 31 at most, and coding longer words is an error."""
+    step = lambda acc: F.struct(F.shiftright(acc["code"] + 2, 2).alias("code"), F.concat(F.substring(F.lit(ALPHABET), (4 - (acc["code"] + 2) % 4).cast("int"), F.lit(1)), acc["kmer"]).alias("kmer"))
     start = F.struct(code.cast("long").alias("code"), F.lit("").alias("kmer"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, lambda acc, _: F.when(acc["code"] > 1, step(acc)).otherwise(acc))["kmer"]
 

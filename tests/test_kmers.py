@@ -21,6 +21,11 @@ def test_heap_codes(spark):
     assert all(r["back"] == r["kmer"] for r in rows)
 
 
+def test_heap_codes_of_long_words(spark):
+    rows = spark.createDataFrame([("ACGT" * 6 + "GC",), ("A" * 31,), ("G" * 31,)], "kmer string").select("kmer", fn.heap_kmer(fn.heap_code(F.col("kmer"))).alias("back")).collect()
+    assert all(r["back"] == r["kmer"] for r in rows)
+
+
 def test_codes_of_a_level_are_contiguous(spark):
     codes = sorted(r[0] for r in neighbourhood.kmers(spark, 4).select(fn.heap_code(F.col("kmer"))).collect())
     assert codes == list(range((4**4 - 1) // 3 + 1, (4**5 - 1) // 3 + 1))
