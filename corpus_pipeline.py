@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from motifmill.llm import line_dedup, packing, quality_classifier, quality_rules, simhash
 from motifmill.llm.common import stored, table
 
-#: Trained trees and searched fingerprints have no SQL; the tests hold run() against the stages' brute-force versions.
+#: Trained trees and searched fingerprints have no SQL; tests hold each stage's operator against brute force, and run() against the stages.
 ORACLE_SQL = None
 
 
