@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import kmers as fn
 from .operators import align, chain, evaluate, index, neighbourhood, observe, pools, scoring, windows
+from .plans.state import stored
 from .sources import readers, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,11 +101,11 @@ def least(seqs: DataFrame, share: float) -> int:
 
 
 def words(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Sequences, the occurrences of the lexicon's words, and the lexicon."""
+    """Sequences, the occurrences of the lexicon's words, and the lexicon; what is found is stored, since plans use it often."""
     seqs = sequences(spark, sf_dir)
     seen = observe.observe(seqs, K)
-    lexicon = observe.lexicon(observe.support(seen), least(seqs, SHARE))
-    return seqs, seen.join(F.broadcast(lexicon.select("label")), "label"), lexicon  # at most 4^K labels
+    lexicon = stored(observe.lexicon(observe.support(seen), least(seqs, SHARE)))
+    return seqs, stored(seen.join(F.broadcast(lexicon.select("label")), "label")), lexicon  # at most 4^K labels
 
 
 def patterns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -117,13 +118,13 @@ def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The letter counts of the windows of six letters that begin with TA."""
     cells = windows.frames(sequences(spark, sf_dir), 6).where(F.col("frame").startswith("TA")).select(F.posexplode(F.array_remove(F.split("frame", ""), "")).alias("pos", "base"))
     spine = spark.range(6).select(F.col("id").cast("int").alias("pos"), F.explode(F.array(*map(F.lit, "ACGT"))).alias("base"))
-    return spine.join(cells.groupBy("pos", "base").agg(F.count(F.lit(1)).alias("count")), ["pos", "base"], "left").select("pos", "base", F.coalesce("count", F.lit(0)).alias("count"))
+    return stored(spine.join(cells.groupBy("pos", "base").agg(F.count(F.lit(1)).alias("count")), ["pos", "base"], "left").select("pos", "base", F.coalesce("count", F.lit(0)).alias("count")))
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     seqs, occ, _ = patterns(spark, sf_dir)
     found = scoring.all_scores(occ, seqs, bundles(spark, sf_dir), scoring.matrix(counts(spark, sf_dir)))
-    return found.select("pattern", F.col("pattern").alias("label"), *[F.round(c, 6).alias(c) for c in ("ssmart", "summit", "jaspar")])
+    return stored(found.select("pattern", F.col("pattern").alias("label"), *[F.round(c, 6).alias(c) for c in ("ssmart", "summit", "jaspar")]))
 
 
 @query("frames_k6", f"WITH {SEQS}, {frames_sql(6)} SELECT seq_id, start, frame FROM fr")
@@ -364,11 +365,11 @@ SITES = f"""{SEQS}, {frames_sql(4, 'fr4')}, marks AS (SELECT frame, seq_id || ':
     mb AS (SELECT id, seq_id, b FROM marks, unnest(range(start, start + 4)) t(b) WHERE frame = 'TATA'), sb AS (SELECT id, seq_id, b FROM marks, unnest(range(start, start + 4)) t(b) WHERE frame = 'ATAT')"""
 
 
-def marks(spark, sf_dir, word, name):
-    """Occurrences of a word as sites, with starts relative to the sequence's end."""
-    seqs = sequences(spark, sf_dir)
-    found = windows.frames(seqs, 4).where(F.col("frame") == word).join(seqs, "seq_id")
-    return found.select(F.concat_ws(":", "seq_id", "start").alias(name), "seq_id", (F.col("start") - F.length("seq")).alias("rel_start"), F.lit(4).alias("length"))
+def marks(spark, sf_dir):
+    """Occurrences of TATA as motifs and of ATAT as sites, with starts relative to the sequence's end."""
+    found = stored(windows.places(sequences(spark, sf_dir), ["TATA", "ATAT"]))
+    site = lambda word, name: found.where(F.col("word") == word).select(F.concat_ws(":", "seq_id", "start").alias(name), "seq_id", (F.col("start") - F.col("seq_length")).alias("rel_start"), F.lit(4).alias("length"))
+    return site("TATA", "motif_id"), site("ATAT", "site_id")
 
 
 @query("raw_statistics", f"""WITH {SITES}, m AS (SELECT DISTINCT seq_id, b FROM mb), s AS (SELECT DISTINCT seq_id, b FROM sb), both_ AS (SELECT * FROM m INTERSECT SELECT * FROM s)
@@ -377,13 +378,13 @@ def marks(spark, sf_dir, word, name):
     (SELECT count(DISTINCT id) FROM sb WHERE (seq_id, b) IN (SELECT (seq_id, b) FROM m)) AS "sTP", (SELECT count(DISTINCT id) FROM sb WHERE id NOT IN (SELECT id FROM sb WHERE (seq_id, b) IN (SELECT (seq_id, b) FROM m))) AS "sFN",
     (SELECT count(DISTINCT id) FROM mb WHERE id NOT IN (SELECT id FROM mb WHERE (seq_id, b) IN (SELECT (seq_id, b) FROM s))) AS "sFP" """)
 def _(spark, sf_dir):
-    return evaluate.raw_statistics(marks(spark, sf_dir, "TATA", "motif_id"), marks(spark, sf_dir, "ATAT", "site_id"), sequences(spark, sf_dir))
+    return evaluate.raw_statistics(*marks(spark, sf_dir), sequences(spark, sf_dir))
 
 
 @query("interval_overlap", f"""WITH {SITES} SELECT a.id AS motif_id, b.id AS site_id, least(a.start, b.start) + 4 - greatest(a.start, b.start) AS overlap
     FROM marks a JOIN marks b USING (seq_id) WHERE a.frame = 'TATA' AND b.frame = 'ATAT' AND a.start < b.start + 4 AND b.start < a.start + 4""")
 def _(spark, sf_dir):
-    return evaluate.site_overlaps(marks(spark, sf_dir, "TATA", "motif_id"), marks(spark, sf_dir, "ATAT", "site_id"), sequences(spark, sf_dir))
+    return evaluate.site_overlaps(*marks(spark, sf_dir), sequences(spark, sf_dir))
 
 
 @query("one_per_sequence", f"""WITH {SCORES}, o AS (SELECT seq_id, start, jaspar AS score, abs(bundles.summit - (2 * start + size) // 2) AS distance FROM occ JOIN scores USING (label) JOIN bundles USING (seq_id)),
@@ -445,9 +446,10 @@ def _(spark, sf_dir):
 
 
 def similar_patterns(spark, sf_dir):
-    seqs = sequences(spark, sf_dir)
-    seen = observe.observe(seqs, 4, 1).withColumnRenamed("label", "pattern")
-    found = scoring.instances(seen, seqs).select("pattern", "text")
+    """Patterns whose instances hold another's label; a window is an instance of itself and of its neighbours."""
+    seen = windows.frames(sequences(spark, sf_dir), 4).select(F.col("frame").alias("text")).distinct()
+    near = neighbourhood.neighbourhood(seen.withColumnRenamed("text", "kmer"), 4, 4, 1)
+    found = near.select(F.col("neighbour").alias("pattern"), F.col("kmer").alias("text")).unionByName(seen.select(F.col("text").alias("pattern"), "text"))
     labels = neighbourhood.kmers(spark, 4).select(F.col("kmer").alias("pattern"), F.col("kmer").alias("label"))
     return evaluate.similar(found, labels)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.state import checkpoint_dir
+from ..plans.state import stored
 from .observe import support
 
 
@@ -17,7 +17,8 @@ def chain_step(patterns: DataFrame, index: DataFrame, sequences: DataFrame, over
     patterns: (pattern, label, seq_id, start, size); index: (seq_id, pos, label). A word may begin from `overlap` letters before a
     pattern's end to `gap` after it, behind the pattern's start and inside the sequence, and must end behind the pattern's end;
     with end_bound 'native' it must also end before the sequence's last letter. Labels are joined without merging the overlap.
-    The band of offsets is exploded, so that the join is an equi-join on sequence and position.
+    The band of offsets is exploded, so that the join is an equi-join on sequence and position. The pairs' occurrences are written
+    once; their supports are counted from that table, and it is read again for those that reach q.
     """
     offsets = F.explode(F.sequence(F.lit(-overlap), F.lit(gap)))
     ends = patterns.join(sequences.select("seq_id", F.length("seq").alias("length")), "seq_id").select("pattern", F.col("label").alias("parent"), "seq_id", "start", "size", "length", offsets.alias("shift"))
@@ -29,8 +30,7 @@ def chain_step(patterns: DataFrame, index: DataFrame, sequences: DataFrame, over
     elif end_bound != "python":
         raise ValueError("end_bound is native or python")
     out = met.select("pattern", "word", F.concat("parent", "word").alias("label"), "seq_id", "start", F.col("grown").alias("size"))
-    if dedup:
-        out = out.distinct()
+    out = stored(out.distinct() if dedup else out)
     kept = support(out, "pattern", "word").where(F.col("q") >= q).select("pattern", "word")
     return out.join(kept, ["pattern", "word"])
 
@@ -39,15 +39,14 @@ def grow(patterns: DataFrame, index: DataFrame, sequences: DataFrame, overlap: i
     """All generations up to `generations`, with a column generation; stops at an empty one.
 
     `prune` gets a generation's occurrences and returns those to grow further. All patterns of a generation are scored together,
-    so the result doesn't depend on an order of work. Each generation is checkpointed to cut its lineage.
+    so the result doesn't depend on an order of work. Each generation is written to cut its lineage.
     """
-    checkpoint_dir(patterns.sparkSession)
     frontier, out = patterns.select("pattern", "label", "seq_id", "start", "size"), patterns.withColumn("generation", F.lit(0))
     for g in range(1, generations + 1):
         if prune:
             frontier = prune(frontier, g)
         step = chain_step(frontier, index, sequences, overlap, gap, q, **options)
-        frontier = step.select(F.concat_ws("|", "pattern", "word").alias("pattern"), "label", "seq_id", "start", "size").checkpoint()
+        frontier = stored(step.select(F.concat_ws("|", "pattern", "word").alias("pattern"), "label", "seq_id", "start", "size"))
         if frontier.isEmpty():
             break
         out = out.unionByName(frontier.withColumn("generation", F.lit(g)))

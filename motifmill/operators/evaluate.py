@@ -6,32 +6,49 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _spans(rows: DataFrame, sequences: DataFrame) -> DataFrame:
+#: Letters of one stretch of a sequence, swept by one task.
+STRETCH = 1 << 16
+
+
+def _spans(rows: DataFrame, sequences: DataFrame, how: str = "inner") -> DataFrame:
     """Absolute starts: a negative rel_start counts from the sequence's end."""
     length = F.length("seq")
     start = F.when(F.col("rel_start") < 0, F.col("rel_start") + length).otherwise(F.col("rel_start"))
-    return rows.join(sequences, "seq_id").select(*rows.columns, start.alias("start"), length.alias("seq_length"))
+    return rows.join(sequences, "seq_id", how).select(*rows.columns, start.alias("start"), length.alias("seq_length"))
 
 
 def raw_statistics(motifs: DataFrame, sites: DataFrame, sequences: DataFrame) -> DataFrame:
     """One row: nTP, nFP, nFN, nTN over bases, sTP and sFN over sites, sFP over motifs that meet no site.
 
-    motifs: (motif_id, seq_id, rel_start, length); sites: (site_id, seq_id, rel_start, length). Bases are exploded and met by
-    (seq_id, base), so that no interval join is needed; bases outside the sequence don't count.
+    motifs: (motif_id, seq_id, rel_start, length); sites: (site_id, seq_id, rel_start, length). Bases outside the sequence don't
+    count. Intervals are cut at every STRETCH letters, and each stretch of a sequence is swept once from left to right: an interval
+    adds the bases beyond the furthest end so far, and meets one of the other kind if such a one began before its own end and ended
+    behind its start. So work grows with the intervals, not with their letters, and no task gets more than one stretch.
     """
-    bases = lambda rows, key: _spans(rows, sequences).where("length > 0").select(key, "seq_id", "seq_length", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("base")).where("base >= 0 and base < seq_length")
-    motif_bases, site_bases = bases(motifs, "motif_id"), bases(sites, "site_id")
-    cover = motif_bases.select("seq_id", "base").distinct().withColumn("m", F.lit(1)).join(site_bases.select("seq_id", "base").distinct().withColumn("s", F.lit(1)), ["seq_id", "base"], "full")
-    n = cover.agg(
-        F.count_if(F.expr("m = 1 and s = 1")).alias("nTP"), F.count_if(F.expr("m = 1 and s is null")).alias("nFP"), F.count_if(F.expr("m is null and s = 1")).alias("nFN"), F.count(F.lit(1)).alias("covered"),
-    )
-    total = sequences.agg(F.sum(F.length("seq")).alias("total"))
-    hit_sites = site_bases.join(motif_bases.select("seq_id", "base").distinct(), ["seq_id", "base"], "left_semi").agg(F.count_distinct("site_id").alias("sTP"))
-    all_sites = sites.agg(F.count_distinct("site_id").alias("sites"))
-    hit_motifs = motif_bases.join(site_bases.select("seq_id", "base").distinct(), ["seq_id", "base"], "left_semi").agg(F.count_distinct("motif_id").alias("met"))
-    all_motifs = motifs.agg(F.count_distinct("motif_id").alias("motifs"))
-    row = n.join(total).join(hit_sites).join(all_sites).join(hit_motifs).join(all_motifs)  # single rows
-    return row.select("nTP", "nFP", "nFN", (F.coalesce("total", F.lit(0)) - F.col("covered")).alias("nTN"), "sTP", (F.col("sites") - F.col("sTP")).alias("sFN"), (F.col("motifs") - F.col("met")).alias("sFP"))
+    spans = motifs.select(F.lit(True).alias("motif"), F.col("motif_id").cast("string").alias("id"), "seq_id", "rel_start", "length").unionByName(
+        sites.select(F.lit(False).alias("motif"), F.col("site_id").cast("string").alias("id"), "seq_id", "rel_start", "length")
+    )
+    placed = _spans(spans, sequences, "left").select("motif", "id", "seq_id", F.greatest("start", F.lit(0)).alias("start"), F.least(F.col("start") + F.col("length"), "seq_length").alias("end"))
+    inside = placed.where("start < end").withColumn("stretch", F.explode(F.sequence((F.col("start") / STRETCH).cast("int"), ((F.col("end") - 1) / STRETCH).cast("int"))))
+    inside = inside.select("motif", "id", "seq_id", "stretch", F.greatest("start", F.col("stretch") * STRETCH).alias("start"), F.least("end", (F.col("stretch") + 1) * STRETCH).alias("end"))
+    # an interval is seen at its start, where it adds its bases, and at its last letter, where it asks for others
+    events = inside.select("*", F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(False).alias("asks")), F.struct((F.col("end") - 1).alias("at"), F.lit(True).alias("asks")))).alias("e")).select("*", "e.at", "e.asks")
+    before = Window.partitionBy("seq_id", "stretch").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, -1)
+    furthest = lambda motif: F.coalesce(F.max(F.when(~F.col("asks") & (F.col("motif") == motif), F.col("end"))).over(before), F.lit(-1))
+    swept = events.withColumns({"m": furthest(True), "s": furthest(False)})
+    new = lambda reach: F.when(~F.col("asks"), F.greatest(F.lit(0), F.col("end") - F.greatest("start", reach))).otherwise(0)
+    other = F.when(F.col("motif"), F.col("s")).otherwise(F.col("m"))
+    one = swept.select("motif", "id", (F.col("asks") & (other > F.col("start"))).alias("met"), F.when(F.col("motif"), new(F.col("m"))).otherwise(0).alias("m"), F.when(~F.col("motif"), new(F.col("s"))).otherwise(0).alias("s"), new(F.greatest("m", "s")).alias("u"))
+    # intervals outside their sequences, or of unknown ones, are met by none
+    outside = placed.where("start is null or end is null or start >= end").select("motif", "id", F.lit(False).alias("met"), *[F.lit(0).alias(c) for c in "msu"])
+    by_id = one.unionByName(outside).groupBy("motif", "id").agg(F.max("met").alias("met"), *[F.sum(c).alias(c) for c in "msu"])
+    count = lambda motif, met: F.count_if(F.col("id").isNotNull() & (F.col("motif") == motif) & (F.col("met") == met))
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in "msu"]
+    n = by_id.agg(*sums, count(False, True).alias("sTP"), count(False, False).alias("sFN"), count(True, False).alias("sFP"))
+    total = sequences.agg(F.coalesce(F.sum(F.length("seq")), F.lit(0)).alias("total"))
+    row = n.join(total)  # single rows
+    both = F.col("m") + F.col("s") - F.col("u")
+    return row.select(both.alias("nTP"), (F.col("m") - both).alias("nFP"), (F.col("s") - both).alias("nFN"), (F.col("total") - F.col("u")).alias("nTN"), "sTP", "sFN", "sFP")
 
 
 def raw_statistics_by(motifs: DataFrame, sites: DataFrame, sequences: DataFrame) -> DataFrame:

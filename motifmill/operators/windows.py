@@ -22,6 +22,18 @@ def frames(sequences: DataFrame, k: int, include_last: bool = False, at_least_on
     return pieces.select("seq_id", "at", "piece", inside.alias("i")).select("seq_id", (F.col("at") + F.col("i")).alias("start"), F.substring("piece", F.col("i") + 1, F.lit(k)).alias("frame"))
 
 
+def places(sequences: DataFrame, words: list[str]) -> DataFrame:
+    """(word, seq_id, start, seq_length) of every window that is one of `words`, all of one length; a piece's windows are looked
+    through before any of them becomes a row."""
+    k = len(words[0])
+    pieces = sequences.select("seq_id", "seq", F.length("seq").alias("seq_length")).where(F.col("seq_length") > k).select("seq_id", "seq", "seq_length", F.explode(F.sequence(F.lit(0), F.col("seq_length") - k - 1, F.lit(PIECE))).alias("at"))
+    pieces = pieces.select("seq_id", "seq_length", "at", F.substring("seq", F.col("at") + 1, F.lit(PIECE + k - 1)).alias("piece"))
+    inside = F.sequence(F.lit(0), F.least(F.lit(PIECE), F.col("seq_length") - k - F.col("at")) - 1)
+    word = lambda i: F.substring(F.col("piece"), i + 1, F.lit(k))
+    found = pieces.select("seq_id", "seq_length", "at", "piece", F.explode(F.filter(inside, lambda i: word(i).isin(words))).alias("i"))
+    return found.select(word(F.col("i")).alias("word"), "seq_id", (F.col("at") + F.col("i")).alias("start"), "seq_length")
+
+
 def multilayer_frames(sequences: DataFrame, layers: list[tuple[int, int]]) -> DataFrame:
     """(seq_id, start, frame, k, d): the windows of several layers of (length, distance), each for itself."""
     out = None

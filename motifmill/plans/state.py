@@ -3,14 +3,30 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpoint_dir(spark: SparkSession) -> None:
-    """Makes sure that checkpoint() has a folder: the configured one, or a temporary one where none is and all run in one process."""
-    if not spark.sparkContext.getCheckpointDir():
-        path = spark.conf.get("spark.checkpoint.dir", None)
-        if not path and not spark.sparkContext.master.startswith("local["):
+def checkpoint_dir(spark: SparkSession) -> str:
+    """Makes sure that there is a folder for intermediate data, and gives it: the configured one, or a temporary one where none is and
+    all run in one process."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path:
+        if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(path or tempfile.mkdtemp(prefix="spark-"))
+        path = tempfile.mkdtemp(prefix="spark-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(path)
+    return path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Writes `df` to the shared folder and reads it again: a table that several branches of a plan use is computed once, its lineage
+    is cut, and lost executors cost nothing. The files are deleted when the driver ends."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
