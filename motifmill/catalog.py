@@ -68,13 +68,20 @@ def chain_sql(source: str, name: str, share: float = CHAIN_SHARE) -> str:
     {name} AS (SELECT * FROM {name}_all WHERE (pattern, word) IN (SELECT (pattern, word) FROM {name}_all GROUP BY pattern, word HAVING count(DISTINCT seq_id) >= {share} * (SELECT n FROM n_seqs)))"""
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents; a table of fewer splits than the session has cores is spread over all of them."""
+    docs, cores = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "n_chars"), spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("seq_id"), F.upper(F.regexp_replace(F.lower("text"), "[^acgt]", "")).alias("seq"))
+    """Stored, since a join that streams over the documents would pick a text's letters out again for every match."""
+    return stored(documents(spark, sf_dir).select(F.col("doc_id").alias("seq_id"), F.upper(F.regexp_replace(F.lower("text"), "[^acgt]", "")).alias("seq")))
 
 
 def bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select(F.col("doc_id").alias("seq_id"), (F.col("n_chars") / 1000.0).alias("maxlog2fc"), F.floor(F.length(F.regexp_replace(F.lower("text"), "[^acgt]", "")) / 2).alias("summit"))
+    docs = documents(spark, sf_dir)
+    return stored(docs.select(F.col("doc_id").alias("seq_id"), (F.col("n_chars") / 1000.0).alias("maxlog2fc"), F.floor(F.length(F.regexp_replace(F.lower("text"), "[^acgt]", "")) / 2).alias("summit")))
 
 
 def query(name: str, sql: str | None):
