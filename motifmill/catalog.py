@@ -209,6 +209,13 @@ def _(spark, sf_dir):
     return observe.observe_support(sequences(spark, sf_dir), K, 1, (K - 1, K + 1))
 
 
+@query("observe_stored", f"""WITH {SEQS}, {frames_sql(4)}, near AS (SELECT w AS frame, x AS label FROM (SELECT DISTINCT frame AS w FROM fr), unnest({NEAR1}) t(x) WHERE length(x) = 4)
+    SELECT label, start, count(*) AS n, count(DISTINCT seq_id) AS q FROM fr JOIN near USING (frame) GROUP BY ALL""")
+def _(spark, sf_dir):
+    known = stored(neighbourhood.neighbourhood(neighbourhood.kmers(spark, 4), 3, 5, 2))
+    return observe.support(observe.observe(sequences(spark, sf_dir), 4, 1, known=known), "label", "start")
+
+
 @query("lexicon_quorum", f"WITH {OBSERVED} SELECT * FROM sup WHERE q >= 0.3 * (SELECT count(*) FROM seqs)")
 def _(spark, sf_dir):
     seqs = sequences(spark, sf_dir)
@@ -325,6 +332,12 @@ def _(spark, sf_dir):
     return scored_texts(spark, sf_dir, False)
 
 
+@query("pwm_mean_score", f"WITH {TEXTS}, {PARTIAL} SELECT round(avg(greatest(fwd, rev)), 5) AS score FROM fr9 JOIN best ON text = frame")
+def _(spark, sf_dir):
+    strings = windows.frames(sequences(spark, sf_dir), 9).select(F.col("frame").alias("text"))
+    return scoring.mean_matrix_score(strings, scoring.matrix(counts(spark, sf_dir))).select(F.round("score", 5).alias("score"))
+
+
 @query("score_pwm", f"WITH {SCORES} SELECT label AS pattern, jaspar FROM scores")
 def _(spark, sf_dir):
     seqs, occ, _ = patterns(spark, sf_dir)

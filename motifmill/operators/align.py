@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.kmers import best_segment, log_odds
+from ..functions.kmers import best_segment, complement, log_odds
 
 
 def columns(aligned: DataFrame) -> DataFrame:
@@ -41,6 +41,12 @@ def segment_matrix(aligned: DataFrame) -> DataFrame:
     return rows.select("group", (F.col("pos") - F.col("first")).alias("pos"), "base", log_odds(F.col("n"), F.sum("n").over(Window.partitionBy("group", "pos"))).alias("fwd"))
 
 
+def reverse_complement(m: DataFrame) -> DataFrame:
+    """(group, pos, base, fwd) of the other strand of a segment's matrix."""
+    last = m.groupBy("group").agg(F.max("pos").alias("last"))
+    return m.join(last, "group").select("group", (F.col("last") - F.col("pos")).alias("pos"), complement(F.col("base")).alias("base"), "fwd")
+
+
 def _pairwise(a: str, b: str) -> tuple[str, str]:
     """Global alignment at unit costs."""
     cost = [list(range(len(b) + 1))] + [[i] + [0] * len(b) for i in range(1, len(a) + 1)]

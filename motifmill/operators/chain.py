@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -35,14 +36,18 @@ def chain_step(patterns: DataFrame, index: DataFrame, sequences: DataFrame, over
     return out.join(kept, ["pattern", "word"])
 
 
-def grow(patterns: DataFrame, index: DataFrame, sequences: DataFrame, overlap: int, gap: int, q: int, generations: int, prune: Callable[[DataFrame, int], DataFrame] | None = None, **options) -> DataFrame:
+def grow(patterns: DataFrame, index: DataFrame, sequences: DataFrame, overlap: int, gap: int, q: int, generations: int, prune: Callable[[DataFrame, int], DataFrame] | None = None, seconds: float | None = None, **options) -> DataFrame:
     """All generations up to `generations`, with a column generation; stops at an empty one.
 
     `prune` gets a generation's occurrences and returns those to grow further. All patterns of a generation are scored together,
-    so the result doesn't depend on an order of work. Each generation is written to cut its lineage.
+    so the result doesn't depend on an order of work. Each generation is written to cut its lineage. No generation begins
+    after `seconds`; those made by then are the result.
     """
     frontier, out = patterns.select("pattern", "label", "seq_id", "start", "size"), patterns.withColumn("generation", F.lit(0))
+    began = time.monotonic()
     for g in range(1, generations + 1):
+        if seconds is not None and time.monotonic() - began >= seconds:
+            break
         if prune:
             frontier = prune(frontier, g)
         step = chain_step(frontier, index, sequences, overlap, gap, q, **options)

@@ -28,7 +28,7 @@ def raw_statistics(motifs: DataFrame, sites: DataFrame, sequences: DataFrame) ->
     spans = motifs.select(F.lit(True).alias("motif"), F.col("motif_id").cast("string").alias("id"), "seq_id", "rel_start", "length").unionByName(
         sites.select(F.lit(False).alias("motif"), F.col("site_id").cast("string").alias("id"), "seq_id", "rel_start", "length")
     )
-    placed = _spans(spans, sequences, "left").select("motif", "id", "seq_id", F.greatest("start", F.lit(0)).alias("start"), F.least(F.col("start") + F.col("length"), "seq_length").alias("end"))
+    placed = _spans(spans, sequences, "left").select("motif", "id", "seq_id", F.greatest("start", F.lit(0)).alias("start"), F.when(F.col("seq_length").isNotNull(), F.least(F.col("start") + F.col("length"), "seq_length")).alias("end"))
     inside = placed.where("start < end").withColumn("stretch", F.explode(F.sequence((F.col("start") / STRETCH).cast("int"), ((F.col("end") - 1) / STRETCH).cast("int"))))
     inside = inside.select("motif", "id", "seq_id", "stretch", F.greatest("start", F.col("stretch") * STRETCH).alias("start"), F.least("end", (F.col("stretch") + 1) * STRETCH).alias("end"))
     # an interval is seen at its start, where it adds its bases, and at its last letter, where it asks for others

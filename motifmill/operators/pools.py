@@ -10,26 +10,26 @@ SIGNS = {"ssmart": -1, "summit": 1, "jaspar": -1}
 POOL_SIZE, GOOD_RANK, PERMITTED_LENGTH, LEAST_HITS = 100, 25, 30, 2
 
 
-def ranked(scores: DataFrame, score: str, most: int = POOL_SIZE) -> DataFrame:
+def ranked(scores: DataFrame, score: str, most: int = POOL_SIZE, signs: dict[str, int] = SIGNS) -> DataFrame:
     """The pool of one score with its rank from 0; ties by label, then pattern. The limit lets every task keep its best alone."""
-    signed = F.col(score) * SIGNS[score]
+    signed = F.col(score) * signs[score]
     top = scores.where(F.col(score).isNotNull()).orderBy(signed, "label", "pattern").limit(most)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(signed, "label", "pattern")) - 1)  # at most `most` rows
 
 
-def pools(scores: DataFrame, most: int = POOL_SIZE) -> DataFrame:
-    """(pool, rank, pattern, label, score) of all three pools."""
+def pools(scores: DataFrame, most: int = POOL_SIZE, signs: dict[str, int] = SIGNS) -> DataFrame:
+    """(pool, rank, pattern, label, score) of all pools: the three usual ones, or one for each score column that `signs` names."""
     out = None
-    for name in SIGNS:
-        one = ranked(scores, name, most).select(F.lit(name).alias("pool"), "rank", "pattern", "label", F.col(name).alias("score"))
+    for name in signs:
+        one = ranked(scores, name, most, signs).select(F.lit(name).alias("pool"), "rank", "pattern", "label", F.col(name).alias("score"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
-def merged(a: DataFrame, b: DataFrame, most: int = POOL_SIZE) -> DataFrame:
+def merged(a: DataFrame, b: DataFrame, most: int = POOL_SIZE, signs: dict[str, int] = SIGNS) -> DataFrame:
     """The pools of two sets of pools; an entry of the same label and score in both counts once."""
     both = a.unionByName(b).groupBy("pool", "label", "score").agg(F.min("pattern").alias("pattern"))
-    sign = F.element_at(F.create_map(*[x for k, v in SIGNS.items() for x in (F.lit(k), F.lit(v))]), F.col("pool"))
+    sign = F.element_at(F.create_map(*[x for k, v in signs.items() for x in (F.lit(k), F.lit(v))]), F.col("pool"))
     rank = F.row_number().over(Window.partitionBy("pool").orderBy(sign * F.col("score"), "label", "pattern")) - 1
     return both.withColumn("rank", rank).where(F.col("rank") < most).select("pool", "rank", "pattern", "label", "score")
 

@@ -43,6 +43,20 @@ def matrix_scores(strings: DataFrame, pwm: DataFrame, partial: bool = True) -> D
     return best.select("text", F.col("f.fwd").alias("fwd"), F.col("f.end").alias("fwd_end"), F.col("r.rev").alias("rev"), F.col("r.end").alias("rev_end"))
 
 
+def mean_matrix_score(strings: DataFrame, pwm: DataFrame) -> DataFrame:
+    """One row (score): the mean over strings (text), repeated ones included, of the better strand's best score. Empty strings don't
+    count."""
+    times = strings.groupBy("text").agg(F.count(F.lit(1)).alias("times"))
+    scored = times.join(matrix_scores(times, pwm), "text")
+    return scored.agg((F.sum(F.greatest("fwd", "rev") * F.col("times")) / F.sum("times")).alias("score"))
+
+
+def site_centrality(sites: DataFrame, bundles: DataFrame) -> DataFrame:
+    """One row (summit): the mean distance of parsed sites (seq_id, start, end), counted from 1 with the end itself, from the summits."""
+    placed = sites.select(F.lit("sites").alias("pattern"), "seq_id", (F.col("start") - 1).alias("start"), (F.col("end") - F.col("start") + 1).alias("size"))
+    return summit_distance(placed, bundles).select("summit")
+
+
 def instances(occurrences: DataFrame, sequences: DataFrame) -> DataFrame:
     """Occurrences with their letters, clipped at the sequence's end: column text."""
     return occurrences.join(sequences, "seq_id").withColumn("text", piece_of(F.col("seq"), F.col("start"), F.col("size"))).drop("seq")

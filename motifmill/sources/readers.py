@@ -16,6 +16,12 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).where("length(value) > 0").select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split(text, r"\r?\n")).alias("at", "line"))
 
 
+def allowed(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """The rows of the files whose name, without its folder, is in `names` (name)."""
+    wanted = names.select(F.col("name").alias("__name")).distinct()
+    return rows.join(wanted, F.element_at(F.split("file", "/"), -1) == wanted["__name"], "left_semi")
+
+
 def _by_file(*order: str) -> Window:
     return Window.partitionBy("file").orderBy(*order)
 
