@@ -1,4 +1,4 @@
-"""The queries op1 to op10 and their SQL, where SQL can express them."""
+"""The queries op1 to op13 and their SQL, where SQL can express them."""
 
 from __future__ import annotations
 
@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality_classifier, quality_rules
+from . import merkle, quality_classifier, quality_rules
 from .chat import format_conversations
 from .common import table
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .lm_scoring import score_documents
+from .merkle_sql import SQL as MERKLE_SQL
 from .packing import pack
 from .sentencepieces import round_trip
 from .simhash import near_duplicates
@@ -61,6 +63,10 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), found={"text": merkle.tampered(F.col("doc_id"), F.col("text"))})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_dedup": op6_exact_dedup,
     "op1_simhash": op1_simhash,
@@ -72,9 +78,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_warc": op9_warc,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_merkle_manifest": MERKLE_SQL,
     "op6_exact_dedup": """
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256
         FROM (SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
