@@ -24,7 +24,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, map_texts, new_path, small_batches, text_of
+from .common import map_texts, new_path, small_batches, stored, text_of
 
 #: Words of the lexicon: so many of the most frequent ones, found twice at least, of at most so many bytes.
 LEXICON_WORDS = 1 << 16
@@ -34,8 +34,9 @@ WORD_BYTES = 64
 COUNTED_WORDS = 400_000
 #: Characters of a text that are split into words at a time.
 RUN_CHARS = 1 << 20
-#: Symbols of a word above which the next merge is found by a heap.
+#: Bytes of a word above which the next merge is found by a heap, and shorter words that are merged together.
 SHORT_WORD = 48
+SIDE_BY_SIDE = 4096
 #: Fixed value: the pattern that splits text in front of byte-level merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _WORDS = regex.compile(PATTERN)
@@ -76,25 +77,55 @@ class Vocabulary:
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.merges[ids[a], ids[b]] = rank << _ID_BITS | ids[a + b]
+        pairs = sorted((a << _ID_BITS | b, code) for (a, b), code in self.merges.items())
+        self.pairs, self.codes = np.array([k for k, _ in pairs] or [-1], np.int64), np.array([c for _, c in pairs] or [_NEVER], np.int64)
+        self.letters = np.array(self.bytes, np.int64)
         longest_first = sorted(self.specials, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if longest_first else None
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of one word: of all adjacent pairs the one merged earliest in the vocabulary goes first, the leftmost of equals."""
-        ids = [self.bytes[b] for b in word]
-        if len(ids) > SHORT_WORD:
-            return self._merge_long(ids)
-        get = self.merges.get
-        ranks = [get(p, _NEVER) for p in zip(ids, ids[1:], strict=False)]
-        while ranks and (best := min(ranks)) != _NEVER:
-            i = ranks.index(best)
-            ids[i] = best & _ID
-            del ids[i + 1], ranks[i]
-            if i:
-                ranks[i - 1] = get((ids[i - 1], ids[i]), _NEVER)
-            if i < len(ranks):
-                ranks[i] = get((ids[i], ids[i + 1]), _NEVER)
-        return ids
+        if len(word) > SHORT_WORD:
+            return self._merge_long([self.bytes[b] for b in word])
+        return self.merge_many([word])[0].view("<u4").tolist()
+
+    def _codes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """For pairs of ids the rank and result of their merge, _NEVER where there is none."""
+        key = a << _ID_BITS | b
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where((self.pairs[at] == key) & (a >= 0) & (b >= 0), self.codes[at], _NEVER)
+
+    def merge_many(self, words: list[bytes]) -> list[np.ndarray]:
+        """The ids of short words, as bytes. Every round does each word's next merge, in all words at once; symbols are linked lists in
+        the rows of a matrix."""
+        out: list[np.ndarray] = [np.empty(0, np.uint8)] * len(words)
+        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        for first in range(0, len(order), SIDE_BY_SIDE):
+            some = order[first : first + SIDE_BY_SIDE]
+            size = np.fromiter((len(words[i]) for i in some), np.int64, len(some))
+            n, width = len(some), int(size[-1])
+            used = np.arange(width) < size[:, None]
+            ids = np.full((n, width + 1), -1, np.int64)  # the last column ends all lists
+            ids[:, :width][used] = self.letters[np.frombuffer(b"".join(words[i] for i in some), np.uint8)]
+            codes = self._codes(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(n, width)
+            after, before = np.tile(np.arange(1, width + 2), (n, 1)), np.tile(np.arange(-1, width), (n, 1))
+            rows = np.arange(n)
+            while len(rows):
+                at = codes[rows].argmin(1) if width else rows
+                best = codes[rows, at] if width else np.full(n, _NEVER)
+                going = best != _NEVER
+                rows, at, best = rows[going], at[going], best[going]
+                gone = after[rows, at]
+                nxt, prior = after[rows, gone], before[rows, at]
+                ids[rows, at], used[rows, gone], codes[rows, gone] = best & _ID, False, _NEVER
+                after[rows, at], before[rows, np.minimum(nxt, width)] = nxt, at
+                codes[rows, at] = self._codes(ids[rows, at], ids[rows, np.minimum(nxt, width)])
+                led = prior >= 0
+                codes[rows[led], prior[led]] = self._codes(ids[rows[led], prior[led]], ids[rows[led], at[led]])
+            raw, ends = ids[:, :width][used].astype("<u4").view(np.uint8), 4 * np.cumsum(used.sum(1))
+            for i, a, b in zip(some, [0, *ends.tolist()], ends.tolist(), strict=False):
+                out[i] = raw[a:b]
+        return out
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same with a heap of pairs over a linked list: each entry holds a rank and a place, and is stale once its pair is gone."""
@@ -234,35 +265,32 @@ class Codec:
     def __init__(self, path: str, lexicon: str | None = None):
         self.vocabulary = Vocabulary(path)
         self.lexicon = Lexicon(lexicon) if lexicon else None
-        self.unseen = Memo(lambda w: np.array(self.vocabulary.merge(w), "<u4").tobytes())
 
     def codes(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of distinct words, as little-endian 32-bit integers."""
+        """The ids of distinct words, as little-endian 32-bit integers: from the lexicon, or by merging."""
         raw = [w.encode("utf-8", "replace") for w in words]
-        if self.lexicon is None:
-            return {w: self._unseen(r) for w, r in zip(words, raw, strict=True)}
-        places = self.lexicon.places(raw)
+        places = self.lexicon.places(raw) if self.lexicon is not None else np.full(len(raw), -1, np.int64)
+        out: dict[str, bytes] = {}
         known = np.flatnonzero(places >= 0)
-        if not len(known):
-            return {w: self._unseen(r) for w, r in zip(words, raw, strict=True)}
-        first, end = self.lexicon.ends[places[known]] * 4, self.lexicon.ends[places[known] + 1] * 4
-        data = self.lexicon.raw
-        out = {}
-        size = end - first
-        picked = data[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))].tobytes()
-        cut = np.cumsum(size).tolist()
-        out.update(zip([words[i] for i in known.tolist()], map(picked.__getitem__, map(slice, [0, *cut], cut)), strict=False))
-        for i in np.flatnonzero(places < 0).tolist():
-            out[words[i]] = self._unseen(raw[i])
+        if len(known):
+            first, end = self.lexicon.ends[places[known]] * 4, self.lexicon.ends[places[known] + 1] * 4
+            size = end - first
+            cut = np.cumsum(size)
+            picked = self.lexicon.raw[np.repeat(first - (cut - size), size) + np.arange(int(cut[-1]))].tobytes()
+            out.update(zip([words[i] for i in known.tolist()], map(picked.__getitem__, map(slice, [0, *cut.tolist()], cut.tolist())), strict=True))
+        unseen = np.flatnonzero(places < 0).tolist()
+        short = [i for i in unseen if len(raw[i]) <= SHORT_WORD]
+        out.update(zip([words[i] for i in short], [x.tobytes() for x in self.vocabulary.merge_many([raw[i] for i in short])], strict=True))
+        out.update((words[i], np.array(self.vocabulary.merge(raw[i]), "<u4").tobytes()) for i in unseen if len(raw[i]) > SHORT_WORD)
         return out
 
-    def _unseen(self, word: bytes) -> bytes:
-        return self.unseen[word] if len(word) <= 4 * WORD_BYTES else np.array(self.vocabulary.merge(word), "<u4").tobytes()
-
     def encode(self, texts: list[str], size: int | None = None) -> list[Iterator[bytes]]:
         """For each text an iterator over the ids of its runs. The words of short texts are looked up together."""
         split_texts = [list(split(t, self.vocabulary, size)) if len(t) <= RUN_CHARS else None for t in texts]
-        codes = self.codes(list(dict.fromkeys(w for parts in split_texts if parts for part in parts if not isinstance(part, int) for w in part)))
+        words: set[str] = set()
+        for parts in split_texts:
+            words.update(*[part for part in parts or () if not isinstance(part, int)])
+        codes = self.codes(list(words))
         return [self._joined(parts, codes) if parts is not None else self._by_run(text, size) for text, parts in zip(texts, split_texts, strict=True)]
 
     def _joined(self, parts: list[list[str] | int], codes: dict[str, bytes]) -> Iterator[bytes]:
@@ -271,7 +299,7 @@ class Codec:
 
     def _by_run(self, text: str, size: int | None) -> Iterator[bytes]:
         for part in split(text, self.vocabulary, size):
-            yield from self._joined([part], {} if isinstance(part, int) else self.codes(list(dict.fromkeys(part))))
+            yield from self._joined([part], {} if isinstance(part, int) else self.codes(list(set(part))))
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The decoded text in UTF-8; bytes that aren't become U+FFFD."""
@@ -307,14 +335,27 @@ def word_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame
     return docs.select(text_of(text_col).alias("text")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent_words(counts: DataFrame, most: int) -> list[bytes]:
+    """At most `most` words of counts (word, n), sorted. The least count is set from a histogram of counts by sixteenths of octaves,
+    so no task sends more than its share of these words to the driver."""
+    level = F.floor(F.log2("n") * 16)
+    above, least = 0, None
+    for row in counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("level")).collect():  # at most 1024
+        above += row["words"]
+        if above > most:
+            break
+        least = row["level"]
+    return sorted(bytes(r["word"]) for r in counts.where(level >= least).select("word").collect()) if least is not None else []
+
+
 def publish_lexicon(docs: DataFrame, path: str, text_col: str = "text", words: int = LEXICON_WORDS) -> str:
     """Compile the most frequent words of all texts and give the file to all executors; returns its name for `SparkFiles`. At most
     `words` words of WORD_BYTES bytes come to the driver."""
     spark = docs.sparkSession
     counts = word_counts(docs, path, text_col).where(f"n >= {LEAST_COUNT} and length(word) between 1 and {WORD_BYTES}")
-    frequent = sorted(bytes(r["word"]) for r in counts.orderBy(F.desc("n"), "word").limit(words).collect())
+    frequent = frequent_words(stored(counts, "words"), words)
     vocabulary = Vocabulary(path)
-    data = compile_lexicon(frequent, [vocabulary.merge(w) for w in frequent])
+    data = compile_lexicon(frequent, [ids.view("<u4").tolist() for ids in vocabulary.merge_many(frequent)])
     name = f"lexicon-{uuid.uuid4().hex}"
     file = f"{new_path(spark, 'lexicon')}/{name}"
     jpath = spark._jvm.org.apache.hadoop.fs.Path(file)

@@ -119,3 +119,10 @@ def test_columns_keep_others(spark, library):
 def test_counts_cover_all_texts(spark, monkeypatch):
     frame = spark.createDataFrame([("the cat the",), ("cat  the",), (None,)], "text string").repartition(3)
     assert {bytes(r["word"]).decode(): r["n"] for r in bpe.word_counts(frame, PATH).collect()} == {"the": 1, " the": 2, " cat": 1, "cat": 1, " ": 1}
+
+
+def test_frequent_words_are_whole_levels(spark):
+    counts = spark.createDataFrame([(f"w{i:03}".encode(), 1 + 300 // (i + 1)) for i in range(300)], "word binary, n long")
+    got = bpe.frequent_words(counts, 40)
+    assert 20 < len(got) <= 40 and got == [f"w{i:03}".encode() for i in range(len(got))]
+    assert bpe.frequent_words(counts, 0) == [] and len(bpe.frequent_words(counts, 300)) == 300
