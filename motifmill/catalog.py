@@ -7,13 +7,15 @@ fold change and the middle of the sequence for the summit.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import kmers as fn
-from .operators import align, chain, evaluate, index, neighbourhood, observe, pools, scoring, windows
-from .plans.state import stored
+from .operators import align, chain, evaluate, index, neighbourhood, observe, pools, scorers, scoring, windows
+from .plans import discovery
+from .plans.state import new_path, stored
 from .sources import readers, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,7 +132,7 @@ def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     seqs, occ, _ = patterns(spark, sf_dir)
-    found = scoring.all_scores(occ, seqs, bundles(spark, sf_dir), scoring.matrix(counts(spark, sf_dir)))
+    found = scorers.score_patterns(occ, scorers.Context(seqs, bundles(spark, sf_dir), scoring.matrix(counts(spark, sf_dir))))
     return stored(found.select("pattern", F.col("pattern").alias("label"), *[F.round(c, 6).alias(c) for c in ("ssmart", "summit", "jaspar")]))
 
 
@@ -212,7 +214,8 @@ def _(spark, sf_dir):
 @query("observe_stored", f"""WITH {SEQS}, {frames_sql(4)}, near AS (SELECT w AS frame, x AS label FROM (SELECT DISTINCT frame AS w FROM fr), unnest({NEAR1}) t(x) WHERE length(x) = 4)
     SELECT label, start, count(*) AS n, count(DISTINCT seq_id) AS q FROM fr JOIN near USING (frame) GROUP BY ALL""")
 def _(spark, sf_dir):
-    known = stored(neighbourhood.neighbourhood(neighbourhood.kmers(spark, 4), 3, 5, 2))
+    path = new_path(spark, "neighbourhood")
+    known = neighbourhood.write_neighbourhood(neighbourhood.neighbourhood(neighbourhood.kmers(spark, 4), 3, 5, 2), path, 3, 5, 2, [4])
     return observe.support(observe.observe(sequences(spark, sf_dir), 4, 1, known=known), "label", "start")
 
 
@@ -361,6 +364,48 @@ def _(spark, sf_dir):
     return pools.report(pools.pools(scores(spark, sf_dir))).drop("pattern")
 
 
+@query("rank_entries", "SELECT source, doc_id AS id, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) - 1 AS rank, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS overall FROM documents")
+def _(spark, sf_dir):
+    entries = spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", F.col("doc_id").alias("id"), F.col("n_chars").alias("score"))
+    return evaluate.rank_entries(evaluate.rank_entries(entries).withColumnRenamed("rank", "overall"), "source").select("source", "id", "rank", "overall")
+
+
+@query("scorer_registry", f"""WITH {SCORES}, four AS (SELECT label, ssmart, summit, jaspar, round(n / q, 6) AS density FROM scores JOIN lex USING (label)),
+    u AS (SELECT 'ssmart' AS pool, label, ssmart AS score, -ssmart AS o FROM four UNION ALL SELECT 'summit', label, summit, summit FROM four UNION ALL SELECT 'jaspar', label, jaspar, -jaspar FROM four UNION ALL SELECT 'density', label, density, -density FROM four)
+    SELECT pool, label, score, row_number() OVER (PARTITION BY pool ORDER BY o, label) - 1 AS rank FROM u QUALIFY rank < 60""")
+def _(spark, sf_dir):
+    seqs, occ, _ = patterns(spark, sf_dir)
+    names = ("ssmart", "summit", "jaspar", "density")
+    found = scorers.score_patterns(occ, scorers.Context(seqs, bundles(spark, sf_dir), scoring.matrix(counts(spark, sf_dir))), names)
+    found = stored(found.select("pattern", F.col("pattern").alias("label"), *[F.round(c, 6).alias(c) for c in names]))
+    return pools.pools(found, 60, scorers.signs(names)).drop("pattern")
+
+
+def grown_sql(i: int) -> str:
+    """The two plain scores of generation i's patterns g{i} (pattern, label, seq_id, start, size), the pools so far, and what they take."""
+    pool = lambda c, sign: f"(SELECT pattern FROM e{i} ORDER BY {sign}{c}, label, pattern LIMIT 40)"
+    before = f" UNION ALL SELECT * FROM b{i - 1}" if i else ""
+    return f"""i{i} AS (SELECT pattern, count(*) AS card, sum(maxlog2fc) AS inside FROM (SELECT DISTINCT pattern, seq_id FROM g{i}) JOIN bundles USING (seq_id) GROUP BY pattern),
+    d{i} AS (SELECT pattern, label, round(avg(abs(summit - (2 * start + size) // 2)), 9) AS summit FROM g{i} JOIN bundles USING (seq_id) GROUP BY ALL),
+    f{i} AS MATERIALIZED (SELECT pattern, label, round(inside / card - CASE WHEN round(total - inside, 6) = 0 OR n = card THEN 0 ELSE round(total - inside, 6) / (n - card) END, 9) AS ssmart, summit FROM i{i} JOIN d{i} USING (pattern), tb),
+    e{i} AS MATERIALIZED (SELECT * FROM f{i}{before}), b{i} AS MATERIALIZED (SELECT * FROM e{i} WHERE pattern IN {pool('ssmart', '-')} OR pattern IN {pool('summit', '')}),
+    k{i} AS MATERIALIZED (SELECT * FROM g{i} WHERE pattern IN (SELECT pattern FROM f{i}) AND pattern IN {pool('summit', '')})"""
+
+
+@query("discover_pruned", f"""WITH {LEX}, {BUNDLES}, tb AS (SELECT sum(maxlog2fc) AS total, count(*) AS n FROM bundles), g0 AS (SELECT label AS pattern, label, seq_id, start, size FROM occ), {grown_sql(0)},
+    {chain_sql('k0', 's1')}, g1 AS (SELECT pattern || '|' || word AS pattern, label, seq_id, start, size FROM s1), {grown_sql(1)},
+    {chain_sql('k1', 's2')}, g2 AS (SELECT pattern || '|' || word AS pattern, label, seq_id, start, size FROM s2),
+    every AS (SELECT 0 AS generation, * FROM g0 UNION ALL SELECT 1, * FROM g1 UNION ALL SELECT 2, * FROM g2)
+    SELECT generation, pattern, label, count(DISTINCT seq_id) AS q, count(*) AS n FROM every GROUP BY ALL""")
+def _(spark, sf_dir):
+    seqs = sequences(spark, sf_dir)
+    found = discovery.discover(
+        seqs, bundles(spark, sf_dir), counts(spark, sf_dir), [(K, 0)], OVERLAP, GAP, least(seqs, SHARE), generations=2, briefing=False, accept=F.col("summit_rank") >= 0, chain_q=least(seqs, CHAIN_SHARE),
+        scorers=[replace(scorers.REGISTRY[n], score=f"round({scorers.REGISTRY[n].score}, 9)") for n in ("ssmart", "summit")], most=40,
+    )
+    return observe.support(found.occurrences, "generation", "pattern", "label")
+
+
 @query("prune_native", f"WITH {SCORES}, {RANKS} SELECT label FROM ranks WHERE r2 <> -1 OR r3 <> -1")
 def _(spark, sf_dir):
     return pools.ranks(scores(spark, sf_dir)).where(pools.accepted_native()).select("label")
@@ -407,6 +452,46 @@ def _(spark, sf_dir):
     return evaluate.site_overlaps(*marks(spark, sf_dir), sequences(spark, sf_dir))
 
 
+ANY = f"""{SEQS}, iv AS (SELECT doc_id, j, CASE WHEN doc_id % 7 = 0 THEN -1 - doc_id ELSE doc_id END AS seq_id, (n_chars * 13 + 97 * j) % 900 - 450 AS rel, greatest(0, (n_chars + 11 * j) % 45 - 5) AS len FROM documents, unnest(range(0, 6)) t(j)),
+    placed AS (SELECT doc_id, j, seq_id, CASE WHEN rel < 0 THEN rel + length(seq) ELSE rel END AS s, len, length(seq) AS n FROM iv LEFT JOIN seqs USING (seq_id)),
+    ib AS (SELECT doc_id, j, seq_id, b FROM placed, unnest(range(s, s + len)) t(b) WHERE b >= 0 AND b < n),
+    mo AS (SELECT doc_id || ':' || j AS motif_id, 'p' || ((doc_id + j) % 5) AS pattern, doc_id, j FROM iv WHERE j < 4), si AS (SELECT doc_id || ':' || j AS site_id, doc_id, j FROM iv WHERE j >= 4),
+    mb AS (SELECT motif_id, pattern, seq_id, b FROM mo JOIN ib USING (doc_id, j)), sb AS (SELECT site_id, seq_id, b FROM si JOIN ib USING (doc_id, j))"""
+
+
+def any_intervals(spark, sf_dir):
+    """Motifs and sites of all lengths, among them empty ones, some outside their sequences, and some of unknown sequences."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "n_chars", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("j"))
+    rows = docs.select(
+        F.concat_ws(":", "doc_id", "j").alias("id"), F.concat(F.lit("p"), (F.col("doc_id") + F.col("j")) % 5).alias("pattern"), "j", F.when(F.col("doc_id") % 7 == 0, -1 - F.col("doc_id")).otherwise(F.col("doc_id")).alias("seq_id"),
+        ((F.col("n_chars") * 13 + F.col("j") * 97) % 900 - 450).cast("int").alias("rel_start"), F.greatest(F.lit(0), (F.col("n_chars") + F.col("j") * 11) % 45 - 5).cast("int").alias("length"),
+    )
+    rows = stored(rows)
+    return rows.where("j < 4").withColumnRenamed("id", "motif_id").drop("j"), rows.where("j >= 4").withColumnRenamed("id", "site_id").drop("j", "pattern")
+
+
+@query("raw_statistics_by", f"""WITH {ANY}, m AS (SELECT DISTINCT pattern, seq_id, b FROM mb), s AS (SELECT DISTINCT seq_id, b FROM sb), bs AS (SELECT pattern, count(*) AS bases, count(s.b) AS hit FROM m LEFT JOIN s USING (seq_id, b) GROUP BY pattern),
+    st AS (SELECT pattern, count(DISTINCT site_id) AS n FROM m JOIN sb USING (seq_id, b) GROUP BY pattern), mt AS (SELECT pattern, count(DISTINCT motif_id) AS n FROM mb JOIN s USING (seq_id, b) GROUP BY pattern),
+    p AS (SELECT pattern, count(*) AS motifs FROM mo GROUP BY pattern), c AS (SELECT (SELECT count(*) FROM s) AS sites, (SELECT sum(length(seq))::BIGINT FROM seqs) AS total, (SELECT count(*) FROM si) AS n_sites)
+    SELECT pattern, coalesce(hit, 0) AS "nTP", coalesce(bases - hit, 0) AS "nFP", sites - coalesce(hit, 0) AS "nFN", total - sites - coalesce(bases - hit, 0) AS "nTN",
+           coalesce(st.n, 0) AS "sTP", n_sites - coalesce(st.n, 0) AS "sFN", motifs - coalesce(mt.n, 0) AS "sFP" FROM p LEFT JOIN bs USING (pattern) LEFT JOIN st USING (pattern) LEFT JOIN mt USING (pattern), c""")
+def _(spark, sf_dir):
+    return evaluate.raw_statistics_by(*any_intervals(spark, sf_dir), sequences(spark, sf_dir))
+
+
+@query("raw_statistics_any", f"""WITH {ANY}, m AS (SELECT DISTINCT seq_id, b FROM mb), s AS (SELECT DISTINCT seq_id, b FROM sb), c AS (SELECT count(*) AS n FROM m JOIN s USING (seq_id, b)),
+    x AS (SELECT (SELECT count(*) FROM m) AS m, (SELECT count(*) FROM s) AS s, (SELECT n FROM c) AS n, (SELECT sum(length(seq))::BIGINT FROM seqs) AS total, (SELECT count(DISTINCT site_id) FROM sb JOIN m USING (seq_id, b)) AS tp,
+          (SELECT count(DISTINCT motif_id) FROM mb JOIN s USING (seq_id, b)) AS met)
+    SELECT n AS "nTP", m - n AS "nFP", s - n AS "nFN", total - m - s + n AS "nTN", tp AS "sTP", (SELECT count(*) FROM si) - tp AS "sFN", (SELECT count(*) FROM mo) - met AS "sFP" FROM x""")
+def _(spark, sf_dir):
+    return evaluate.raw_statistics(*any_intervals(spark, sf_dir), sequences(spark, sf_dir))
+
+
+@query("interval_overlap_any", f"WITH {ANY} SELECT motif_id, site_id, count(*) AS overlap FROM mb JOIN sb USING (seq_id, b) GROUP BY ALL")
+def _(spark, sf_dir):
+    return evaluate.site_overlaps(*any_intervals(spark, sf_dir), sequences(spark, sf_dir))
+
+
 @query("one_per_sequence", f"""WITH {SCORES}, o AS (SELECT seq_id, start, jaspar AS score, abs(bundles.summit - (2 * start + size) // 2) AS distance FROM occ JOIN scores USING (label) JOIN bundles USING (seq_id)),
     b AS (SELECT * FROM o WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY seq_id ORDER BY score DESC, start) = 1), c AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY seq_id ORDER BY distance, start) = 1)
     SELECT round(avg(b.score), 6) AS best_score, round(avg(b.distance), 6) AS best_score_distance, round(avg(c.distance), 6) AS least_distance, round(avg(c.score), 6) AS least_distance_score FROM c LEFT JOIN b USING (seq_id)""")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.runs import Stop
 from ..plans.state import stored
 from .observe import support
 
@@ -36,23 +36,31 @@ def chain_step(patterns: DataFrame, index: DataFrame, sequences: DataFrame, over
     return out.join(kept, ["pattern", "word"])
 
 
-def grow(patterns: DataFrame, index: DataFrame, sequences: DataFrame, overlap: int, gap: int, q: int, generations: int, prune: Callable[[DataFrame, int], DataFrame] | None = None, seconds: float | None = None, **options) -> DataFrame:
+def grow(
+    patterns: DataFrame, index: DataFrame, sequences: DataFrame, overlap: int, gap: int, q: int, generations: int, prune: Callable[[DataFrame, int], DataFrame] | None = None, seconds: float | None = None,
+    stop_file: str | None = None, keep: Callable[[int, DataFrame], DataFrame] | None = None, grown: list[DataFrame] | None = None, **options,
+) -> DataFrame:
     """All generations up to `generations`, with a column generation; stops at an empty one.
 
     `prune` gets a generation's occurrences and returns those to grow further. All patterns of a generation are scored together,
-    so the result doesn't depend on an order of work. Each generation is written to cut its lineage. No generation begins
-    after `seconds`; those made by then are the result.
+    so the result doesn't depend on an order of work. Each generation is written to cut its lineage: by `keep`, which gets its number and
+    occurrences and returns them as written, or into the shared folder. `grown`: generations that are there already, from the first on.
+
+    After `seconds`, or once `stop_file` exists, the jobs of the generation in work are ended; those finished by then are the result.
     """
-    frontier, out = patterns.select("pattern", "label", "seq_id", "start", "size"), patterns.withColumn("generation", F.lit(0))
-    began = time.monotonic()
-    for g in range(1, generations + 1):
-        if seconds is not None and time.monotonic() - began >= seconds:
-            break
-        if prune:
-            frontier = prune(frontier, g)
-        step = chain_step(frontier, index, sequences, overlap, gap, q, **options)
-        frontier = stored(step.select(F.concat_ws("|", "pattern", "word").alias("pattern"), "label", "seq_id", "start", "size"))
-        if frontier.isEmpty():
-            break
-        out = out.unionByName(frontier.withColumn("generation", F.lit(g)))
+    keep = keep or (lambda _, rows: stored(rows))
+    found = list(grown or [])
+    first = patterns.select("pattern", "label", "seq_id", "start", "size")
+    frontier = found[-1] if found else first
+    with Stop(patterns.sparkSession, seconds, stop_file) as stop:
+        for g in range(len(found) + 1, generations + 1):
+            if stop.fired or (found and found[-1].isEmpty()):
+                break
+            front = prune(frontier, g) if prune else frontier
+            step = chain_step(front, index, sequences, overlap, gap, q, **options)
+            frontier = keep(g, step.select(F.concat_ws("|", "pattern", "word").alias("pattern"), "label", "seq_id", "start", "size"))
+            found.append(frontier)
+    out = patterns.withColumn("generation", F.lit(0))
+    for g, rows in enumerate(found, 1):
+        out = out.unionByName(rows.withColumn("generation", F.lit(g)), allowMissingColumns=True)
     return out

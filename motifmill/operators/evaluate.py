@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.kmers import overlap
+from ..plans.state import stored
+from .numbering import numbered
 
-#: Letters of one stretch of a sequence, swept by one task.
+#: Letters of one stretch of a sequence, swept by one task, and of a bin in which intervals are compared.
 STRETCH = 1 << 16
+BIN = 1 << 9
 
 
 def _spans(rows: DataFrame, sequences: DataFrame, how: str = "inner") -> DataFrame:
@@ -51,26 +55,61 @@ def raw_statistics(motifs: DataFrame, sites: DataFrame, sequences: DataFrame) ->
     return row.select(both.alias("nTP"), (F.col("m") - both).alias("nFP"), (F.col("s") - both).alias("nFN"), (F.col("total") - F.col("u")).alias("nTN"), "sTP", "sFN", "sFP")
 
 
+def _pieces(rows: DataFrame, sequences: DataFrame, *keys: str) -> DataFrame:
+    """(keys, seq_id, bin, start, end): the parts of intervals inside their sequences, cut at every BIN letters."""
+    placed = _spans(rows, sequences).select(*keys, "seq_id", F.greatest("start", F.lit(0)).alias("start"), F.least(F.col("start") + F.col("length"), "seq_length").alias("end")).where("start < end")
+    cut = placed.withColumn("bin", F.explode(F.sequence((F.col("start") / BIN).cast("int"), ((F.col("end") - 1) / BIN).cast("int"))))
+    return cut.select(*keys, "seq_id", "bin", F.greatest("start", F.col("bin") * BIN).alias("start"), F.least("end", (F.col("bin") + 1) * BIN).alias("end"))
+
+
+def _joined_up(pieces: DataFrame, *keys: str) -> DataFrame:
+    """Pieces that touch or overlap become one, so that those of a bin are disjoint. Equal pieces meet before they are shuffled."""
+    lanes = Window.partitionBy(*keys, "seq_id", "bin").orderBy("start")
+    longest = pieces.groupBy(*keys, "seq_id", "bin", "start").agg(F.max("end").alias("end"))
+    before = F.max("end").over(lanes.rowsBetween(Window.unboundedPreceding, -1))
+    islands = longest.withColumn("new", F.when(F.col("start") <= before, 0).otherwise(1)).withColumn("island", F.sum("new").over(lanes))
+    return islands.groupBy(*keys, "seq_id", "bin", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+
+
+def _meeting(a: DataFrame, b: DataFrame) -> DataFrame:
+    """All pairs of pieces of a and b that share a base, with their `overlap`: joined by bin, compared by their ends."""
+    other = b.withColumnsRenamed({"start": "__start", "end": "__end"})
+    both = overlap(F.col("start"), F.col("end") - F.col("start"), F.col("__start"), F.col("__end") - F.col("__start"))
+    return a.join(other, ["seq_id", "bin"]).withColumn("overlap", both).where("overlap > 0").drop("__start", "__end")
+
+
 def raw_statistics_by(motifs: DataFrame, sites: DataFrame, sequences: DataFrame) -> DataFrame:
     """The statistics of `raw_statistics` for each pattern against the same sites; motifs: (pattern, motif_id, seq_id, rel_start,
-    length). Patterns whose motifs all lie outside their sequences have no row."""
-    spread = lambda rows, *keys: _spans(rows, sequences).where("length > 0").select(*keys, "seq_id", "seq_length", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("base")).where("base >= 0 and base < seq_length")
-    motif_bases, site_bases = spread(motifs, "pattern", "motif_id"), spread(sites, "site_id")
-    known = site_bases.groupBy("seq_id", "base").agg(F.collect_set("site_id").alias("sites"))  # the sites over one base
-    met = motif_bases.join(known, ["seq_id", "base"], "left")
-    bases = met.select("pattern", "seq_id", "base", F.col("sites").isNotNull().alias("hit")).distinct().groupBy("pattern").agg(F.count_if("hit").alias("nTP"), F.count_if(~F.col("hit")).alias("nFP"))
-    hits = met.select("pattern", F.explode("sites").alias("site_id")).distinct().groupBy("pattern").agg(F.count(F.lit(1)).alias("sTP"))
-    unmet = met.groupBy("pattern", "motif_id").agg(F.max(F.col("sites").isNotNull()).alias("hit")).groupBy("pattern").agg(F.count_if(~F.col("hit")).alias("sFP"))
-    totals = sequences.agg(F.sum(F.length("seq")).alias("total")).join(known.agg(F.count(F.lit(1)).alias("site_bases"))).join(sites.agg(F.count_distinct("site_id").alias("n_sites")))  # single rows
-    rows = bases.join(unmet, "pattern").join(hits, "pattern", "left").join(F.broadcast(totals)).withColumn("sTP", F.coalesce("sTP", F.lit(0)))
-    false = F.col("site_bases") - F.col("nTP")
-    return rows.select("pattern", "nTP", "nFP", false.alias("nFN"), (F.col("total") - F.col("nTP") - F.col("nFP") - false).alias("nTN"), "sTP", (F.col("n_sites") - F.col("sTP")).alias("sFN"), "sFP")
+    length). Motifs that are empty, outside their sequences or of unknown ones meet no site, and their pattern has a row all the same.
+
+    Intervals are cut into bins of BIN letters and joined by bin. Those of a pattern, and those of all sites, are joined up first, so a
+    bin holds few of them, whatever the number of motifs; no base becomes a row.
+    """
+    motif_pieces, site_pieces = stored(_pieces(motifs, sequences, "pattern", "motif_id")), stored(_pieces(sites, sequences, "site_id"))
+    found, known = stored(_joined_up(motif_pieces, "pattern")), stored(_joined_up(site_pieces))
+    length = (F.col("end") - F.col("start")).cast("long")
+    counts = [
+        found.groupBy("pattern").agg(F.sum(length).alias("bases")),
+        _meeting(found, known).groupBy("pattern").agg(F.sum("overlap").alias("nTP")),
+        _meeting(site_pieces, found).select("pattern", "site_id").distinct().groupBy("pattern").agg(F.count(F.lit(1)).alias("sTP")),
+        _meeting(motif_pieces, known).select("pattern", "motif_id").distinct().groupBy("pattern").agg(F.count(F.lit(1)).alias("met")),
+    ]
+    rows = motifs.groupBy("pattern").agg(F.count_distinct("motif_id").alias("motifs"))
+    for one in counts:
+        rows = rows.join(one, "pattern", "left")
+    rows = rows.fillna(0, ["bases", "nTP", "sTP", "met"])
+    totals = sequences.agg(F.coalesce(F.sum(F.length("seq")), F.lit(0)).alias("total")).join(known.agg(F.coalesce(F.sum(length), F.lit(0)).alias("site_bases"))).join(sites.agg(F.count_distinct("site_id").alias("n_sites")))  # single rows
+    false_found, false_left = F.col("bases") - F.col("nTP"), F.col("site_bases") - F.col("nTP")
+    return rows.join(F.broadcast(totals)).select(
+        "pattern", "nTP", false_found.alias("nFP"), false_left.alias("nFN"), (F.col("total") - F.col("nTP") - false_found - false_left).alias("nTN"), "sTP", (F.col("n_sites") - F.col("sTP")).alias("sFN"),
+        (F.col("motifs") - F.col("met")).alias("sFP"),
+    )
 
 
 def site_overlaps(motifs: DataFrame, sites: DataFrame, sequences: DataFrame) -> DataFrame:
-    """(motif_id, site_id, overlap) of all pairs that share a base, by counting common bases."""
-    bases = lambda rows, key: _spans(rows, sequences).where("length > 0").select(key, "seq_id", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("base"))
-    return bases(motifs, "motif_id").join(bases(sites, "site_id"), ["seq_id", "base"]).groupBy("motif_id", "site_id").agg(F.count(F.lit(1)).alias("overlap"))
+    """(motif_id, site_id, overlap) of all pairs that share a base inside their sequence; the overlaps of their pieces are summed."""
+    pairs = _meeting(_pieces(motifs, sequences, "motif_id"), _pieces(sites, sequences, "site_id"))
+    return pairs.groupBy("motif_id", "site_id").agg(F.sum("overlap").alias("overlap"))
 
 
 def one_per_sequence(scored: DataFrame) -> DataFrame:
@@ -117,5 +156,5 @@ def distance_matrix(members: DataFrame) -> DataFrame:
 
 
 def rank_entries(entries: DataFrame, *keys: str) -> DataFrame:
-    """Rank from 0 by ascending score within keys; ties by id."""
-    return entries.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("score", "id")) - 1)
+    """Rank from 0 by ascending score within keys; ties by id. Keys of any size are spread over range partitions."""
+    return numbered(entries, list(keys), "score", "id", name="rank")

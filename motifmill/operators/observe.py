@@ -8,16 +8,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .neighbourhood import neighbourhood
+from .neighbourhood import Neighbourhood, neighbourhood
 from .windows import frames
 
 
-def observe(sequences: DataFrame, k: int, d: int = 0, span: tuple[int, int] | None = None, known: DataFrame | None = None, **window) -> DataFrame:
+def observe(sequences: DataFrame, k: int, d: int = 0, span: tuple[int, int] | None = None, known: Neighbourhood | None = None, **window) -> DataFrame:
     """Every window as an occurrence of itself and of all words within distance d (of the lengths in `span`, k by default).
 
     A neighbour's occurrence begins where the window does and has the neighbour's length, so it may go beyond the sequence.
-    The distinct windows, at most 4^k, are expanded once and joined with the windows' places; `known`, a stored neighbourhood
-    (kmer, neighbour, distance), takes the place of their expansion.
+    The distinct windows, at most 4^k, are expanded once and joined with the windows' places; `known`, a stored neighbourhood, takes the
+    place of their expansion and is read by bucket.
     """
     places = frames(sequences, k, **window)
     own = places.select(F.col("frame").alias("label"), "seq_id", "start", F.lit(k).alias("size"))
@@ -27,7 +27,7 @@ def observe(sequences: DataFrame, k: int, d: int = 0, span: tuple[int, int] | No
     if known is None:
         near = neighbourhood(places.select(F.col("frame").alias("kmer")).distinct(), first, last, d)
     else:
-        near = known.where((F.length("kmer") == k) & (F.col("distance") <= d) & F.length("neighbour").between(first, last)).select("kmer", "neighbour")
+        near = known.near(k, d, first, last)
     others = places.join(near, places["frame"] == near["kmer"]).select(F.col("neighbour").alias("label"), "seq_id", "start", F.length("neighbour").alias("size"))
     return own.unionByName(others)
 

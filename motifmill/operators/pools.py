@@ -40,14 +40,20 @@ def report(pool: DataFrame, first: int = 10) -> DataFrame:
     return pool.withColumn("last", last).where((F.col("rank") < first) | (F.col("rank") == F.col("last"))).drop("last")
 
 
-def ranks(scores: DataFrame, most: int = POOL_SIZE) -> DataFrame:
-    """Every pattern's rank in each pool, -1 where it has none."""
+def ranks(scores: DataFrame, most: int = POOL_SIZE, signs: dict[str, int] = SIGNS) -> DataFrame:
+    """Every pattern's rank in each pool, -1 where it has none: (pattern, label, one column `<score>_rank` a score)."""
     out = scores.select("pattern", "label")
-    for name in SIGNS:
-        out = out.join(F.broadcast(ranked(scores, name, most).select("pattern", F.col("rank").alias(f"{name}_rank"))), "pattern", "left").withColumn(f"{name}_rank", F.coalesce(f"{name}_rank", F.lit(-1)))
+    for name in signs:
+        rank = F.col(f"{name}_rank")
+        out = out.join(F.broadcast(ranked(scores, name, most, signs).select("pattern", F.col("rank").alias(f"{name}_rank"))), "pattern", "left").withColumn(f"{name}_rank", F.coalesce(rank, F.lit(-1)))  # at most `most` rows
     return out
 
 
+def in_any_pool(signs: dict[str, int] = SIGNS) -> Column:
+    """For `ranks`: the pattern is in one of the pools."""
+    return F.greatest(F.lit(-1), *[F.col(f"{name}_rank") for name in signs]) >= 0
+
+
 def accepted_native() -> Column:
     """Grow on if the pattern is in the summit or the matrix pool."""
     return (F.col("summit_rank") != -1) | (F.col("jaspar_rank") != -1)

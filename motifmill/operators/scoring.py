@@ -85,8 +85,3 @@ def matrix_score(occurrences: DataFrame, sequences: DataFrame, pwm: DataFrame, c
     if clip == "native":
         scored = scored.withColumn("best", F.when(F.col("cut"), F.greatest("best", F.lit(0.0))).otherwise(F.col("best")))
     return scored.groupBy("pattern").agg((F.sum(F.col("best") * F.col("times")) / F.sum("times")).alias("jaspar"))
-
-
-def all_scores(occurrences: DataFrame, sequences: DataFrame, bundles: DataFrame, pwm: DataFrame) -> DataFrame:
-    """(pattern, ssmart, summit, jaspar)."""
-    return ssmart(occurrences, bundles).join(summit_distance(occurrences, bundles), "pattern").join(matrix_score(occurrences, sequences, pwm), "pattern")

@@ -21,12 +21,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def new_path(spark: SparkSession, kind: str = "table") -> str:
+    """A fresh path in the shared folder, deleted when the driver ends."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Writes `df` to the shared folder and reads it again: a table that several branches of a plan use is computed once, its lineage
     is cut, and lost executors cost nothing. The files are deleted when the driver ends."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

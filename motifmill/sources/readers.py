@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.numbering import numbered
+
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, at, line) of every line; the empty one after a last line break doesn't count."""
@@ -62,11 +64,13 @@ def peak_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def by_rank(rows: DataFrame, group: str, order: str) -> DataFrame:
-    """First row of each rank in `order`, ranks below the group's row count only, seq_id by rank from 0."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(group))
-    first = F.row_number().over(Window.partitionBy(group, "rank").orderBy(order))
-    kept = rows.withColumn("n", n).withColumn("first", first).where("first = 1 and rank >= 0 and rank < n").drop("n", "first")
-    return kept.withColumn("seq_id", F.row_number().over(Window.partitionBy(group).orderBy("rank")) - 1).drop(order)
+    """First row of each rank in `order`, ranks below the group's row count only, seq_id by rank from 0.
+
+    Counts and first rows are summed up before they are shuffled, and numbers come from range partitions, so a group may be the table."""
+    sizes = rows.groupBy(F.col(group).alias("__group")).agg(F.count(F.lit(1)).alias("__n"))
+    first = rows.where("rank >= 0").groupBy(F.col(group).alias("__group"), F.col("rank").alias("__rank")).agg(F.min_by(F.struct(*rows.columns), order).alias("__row"))
+    kept = first.join(sizes.withColumnRenamed("__group", "__of"), F.col("__group").eqNullSafe(F.col("__of"))).where("__rank < __n").select("__row.*")
+    return numbered(kept, [group], "rank", name="seq_id").drop(order)
 
 
 def known_instances(spark: SparkSession, path: str, dataset: str) -> DataFrame:

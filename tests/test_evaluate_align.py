@@ -1,3 +1,7 @@
+import random
+
+from pyspark.sql import functions as F
+
 from motifmill.operators import align, evaluate
 
 
@@ -47,3 +51,19 @@ def test_alignment(spark):
     assert (part["first"], part["last"]) == (1, 3)
     m = align.segment_matrix(spark.createDataFrame([("g", 0, "-ACG-"), ("g", 1, "-ACG-")], "group string, id long, text string")).collect()
     assert len(m) == 12 and max(m, key=lambda r: (r["pos"] == 0, r["fwd"]))["base"] == "A"
+
+
+def test_statistics_by_pattern_count_motifs_that_meet_nothing(spark):
+    """For each pattern the same as raw_statistics of its motifs alone: empty ones, some outside their sequence, some of unknown ones."""
+    pick = random.Random(6)
+    seqs = spark.createDataFrame([(i, "A" * n) for i, n in enumerate([0, 30, 1500, 700])], "seq_id long, seq string")
+    interval = lambda: (pick.randint(0, 5), pick.randint(-1600, 1600), pick.choice([0, 1, 4, 40, 900]))
+    sites = spark.createDataFrame([(f"s{i}", *interval()) for i in range(25)], "site_id string, seq_id long, rel_start int, length int")
+    rows = [(pick.choice("pqr"), f"m{i}", *interval()) for i in range(120)] + [("out", "mx", 9, 0, 5), ("out", "my", 1, 40, 5)]
+    motifs = spark.createDataFrame(rows, "pattern string, motif_id string, seq_id long, rel_start int, length int")
+    by = {r["pattern"]: r.asDict() for r in evaluate.raw_statistics_by(motifs, sites, seqs).collect()}
+    assert set(by) == {"p", "q", "r", "out"}
+    for pattern, got in by.items():
+        assert got == evaluate.raw_statistics(motifs.where(F.col("pattern") == pattern), sites, seqs).first().asDict() | {"pattern": pattern}
+    assert evaluate.raw_statistics_by(motifs, sites.limit(0), seqs).where("pattern = 'out' and sFP = 2 and sTP = 0 and nFN = 0").count() == 1
+    assert evaluate.raw_statistics_by(motifs.limit(0), sites, seqs).count() == 0

@@ -62,6 +62,6 @@ def test_best_segment(spark, values):
 def test_store_and_repair(spark, tmp_path):
     path = str(tmp_path / "n")
     all_words = neighbourhood.kmers(spark, 3)
-    neighbourhood.write_neighbourhood(neighbourhood.neighbourhood(all_words.where("kmer < 'T'"), 3, 3, 1), path)
-    assert neighbourhood.repair(path, all_words, 3, 3, 1).count() == 16
+    neighbourhood.write_neighbourhood(neighbourhood.neighbourhood(all_words.where("kmer < 'T'"), 3, 3, 1), path, 3, 3, 1, [3], buckets=3)
+    assert neighbourhood.repair(spark, path).count() == 16
     assert spark.read.parquet(path).groupBy("kmer").count().where("count = 9").count() == 64

@@ -1,5 +1,7 @@
 """Options and small operators: deadlines, pools of other scores, stored neighbourhoods, allow-lists, other strands, odd intervals."""
 
+import pytest
+
 from motifmill.operators import align, chain, evaluate, neighbourhood, observe, pools, scoring
 from motifmill.sources import readers
 
@@ -20,10 +22,27 @@ def test_pools_of_other_scores(spark):
 
 def test_stored_neighbourhood(spark, tmp_path):
     seqs = spark.createDataFrame([(0, "ACGTTA"), (1, "CCGA")], "seq_id long, seq string")
-    neighbourhood.write_neighbourhood(neighbourhood.neighbourhood(neighbourhood.kmers(spark, 3), 2, 4, 2), str(tmp_path / "n"))
-    known = spark.read.parquet(str(tmp_path / "n"))
+    known = neighbourhood.write_neighbourhood(neighbourhood.neighbourhood(neighbourhood.kmers(spark, 3), 2, 4, 2), str(tmp_path / "n"), 2, 4, 2, [3], buckets=4)
+    again = neighbourhood.open_neighbourhood(spark, str(tmp_path / "n"))
+    assert (again.kmin, again.kmax, again.dmax, again.levels) == (2, 4, 2, (3,))
     for d, span in ((1, None), (2, (2, 4))):
-        assert sorted(observe.observe(seqs, 3, d, span, known=known).collect()) == sorted(observe.observe(seqs, 3, d, span).collect())
+        for store in (known, again):
+            assert sorted(observe.observe(seqs, 3, d, span, known=store).collect()) == sorted(observe.observe(seqs, 3, d, span).collect())
+    for k, d, span in ((4, 1, None), (3, 3, (2, 4)), (3, 1, (1, 3)), (3, 1, (3, 5)), (3, 2, (3, 3))):
+        with pytest.raises(ValueError, match="holds 2 to 4 letters within 2"):
+            observe.observe(seqs, k, d, span, known=known)
+
+
+def test_stored_neighbourhood_is_joined_by_bucket(spark, tmp_path):
+    seqs = spark.createDataFrame([(0, "ACGTTA"), (1, "CCGA")], "seq_id long, seq string")
+    known = neighbourhood.write_neighbourhood(neighbourhood.neighbourhood(neighbourhood.kmers(spark, 3), 3, 3, 1), str(tmp_path / "n"), 3, 3, 1, [3], buckets=4)
+    least, spark_conf = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), spark.conf
+    try:
+        spark_conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = observe.observe(seqs, 3, 1, known=known)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark_conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
 
 
 def test_allowed_files(spark, tmp_path):

@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from motifmill.operators import pools, scoring
+from motifmill.operators import pools, scorers, scoring
 
 PFM = {"A": [8, 1, 0, 10, 2, 4], "C": [1, 7, 0, 0, 2, 3], "G": [1, 1, 10, 0, 2, 2], "T": [0, 1, 0, 0, 4, 2]}
 
@@ -32,7 +32,7 @@ def test_three_scores(spark, pwm):
     seqs = spark.createDataFrame([(0, "ACGATAACGA"), (1, "GGGGACGATA"), (2, "TTTTTTTTTT")], "seq_id long, seq string")
     bundles = spark.createDataFrame([(0, 3.0, 5), (1, 1.0, 5), (2, 0.5, 5)], "seq_id long, maxlog2fc double, summit long")
     occ = spark.createDataFrame([("p", 0, 0, 6), ("p", 0, 6, 6), ("p", 1, 4, 6), ("q", 2, 0, 4)], "pattern string, seq_id long, start int, size int")
-    got = {r["pattern"]: r for r in scoring.all_scores(occ, seqs, bundles, pwm).collect()}
+    got = {r["pattern"]: r for r in scorers.score_patterns(occ, scorers.Context(seqs, bundles, pwm)).collect()}
     assert got["p"]["ssmart"] == 2.0 - 0.5 and got["q"]["ssmart"] == 0.5 - 2.0
     assert got["p"]["summit"] == (2 + 4 + 2) / 3 and got["q"]["summit"] == 3
     best = {r["text"]: max(r["fwd"], r["rev"]) for r in scoring.matrix_scores(spark.createDataFrame([("ACGATA",), ("ACGA",)], "text string"), pwm).collect()}
