@@ -272,6 +272,46 @@ def _(spark, sf_dir):
     return index.bitmaps(occ, lexicon).select("seq_id", "bucket", "covered", F.bitmap_count("bitmap").alias("bits"))
 
 
+BAND = f"SELECT DISTINCT o.label AS pattern, o.seq_id, o.start + o.size + s AS pos FROM occ o, unnest(range(-{OVERLAP}, {GAP + 1})) t(s)"
+
+
+@query("next_positions", f"WITH {LEX}, band AS ({BAND}) SELECT pattern, seq_id, pos FROM band WHERE (seq_id, pos) IN (SELECT (seq_id, start) FROM occ)")
+def _(spark, sf_dir):
+    _, first, found = patterns(spark, sf_dir)
+    return index.positions(index.candidates(first, found, OVERLAP, GAP))
+
+
+@query("pair_supports", f"WITH {LEX}, band AS ({BAND}) SELECT pattern, label, count(DISTINCT seq_id) AS q FROM band JOIN (SELECT label, seq_id, start AS pos FROM occ) USING (seq_id, pos) GROUP BY ALL")
+def _(spark, sf_dir):
+    _, first, found = patterns(spark, sf_dir)
+    return index.pair_supports(first, found, OVERLAP, GAP)
+
+
+@query("coloured_starts", f"""WITH {SEQS}, {frames_sql(4)}, lens AS (SELECT seq_id, coalesce(sum(length(seq)) OVER (ORDER BY seq_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM seqs),
+    col AS (SELECT frame, (min(before + start) // 100)::BIGINT AS colour FROM fr JOIN lens USING (seq_id) GROUP BY frame) SELECT colour, seq_id, start, count(*) AS n FROM fr JOIN col USING (frame) GROUP BY ALL""")
+def _(spark, sf_dir):
+    seqs = sequences(spark, sf_dir)
+    found = stored(windows.frames(seqs, 4).select(F.col("frame").alias("pattern"), "seq_id", "start"))
+    return evaluate.coloured_starts(found, evaluate.colours(found, seqs, 100))
+
+
+@query("fasta_written", f"WITH {SEQS} SELECT seq_id AS doc_id, seq FROM seqs WHERE seq <> ''")
+def _(spark, sf_dir):
+    """Sequences written as FASTA text and read back."""
+    path = new_path(spark, "fasta")
+    sequences(spark, sf_dir).where("seq <> ''").repartitionByRange("seq_id").sortWithinPartitions("seq_id").select(F.concat(F.lit("> "), F.col("seq_id").cast("string"), F.lit("\n"), "seq")).write.text(path)
+    return readers.fasta(spark, path, names=True).select(F.col("name").cast("long").alias("doc_id"), "seq")
+
+
+@query("bundle_written", f"WITH {SEQS}, {BUNDLES} SELECT seq_id AS rank, 0.5::DOUBLE AS fdr, maxlog2fc, summit FROM bundles")
+def _(spark, sf_dir):
+    """Bundles written as text and read back."""
+    path = new_path(spark, "bundle")
+    text = F.concat(F.lit("> id="), F.col("seq_id").cast("string"), F.lit("\nFDR,0.5\nmaxlog2FC,"), F.col("maxlog2fc").cast("string"), F.lit("\nsummit,"), F.col("summit").cast("string"))
+    bundles(spark, sf_dir).select(text).write.text(path)
+    return readers.bundle(spark, path).select("rank", "fdr", "maxlog2fc", "summit")
+
+
 @query("chain_step", f"WITH {LEX}, pat AS (SELECT label AS pattern, * FROM occ), {chain_sql('pat', 'g1')} SELECT pattern, word, label, count(DISTINCT seq_id) AS q, count(*) AS n, sum(start + size)::BIGINT AS ends FROM g1 GROUP BY ALL")
 def _(spark, sf_dir):
     seqs, first, lexicon = patterns(spark, sf_dir)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.kmers import overlap
 from ..plans.state import stored
-from .numbering import numbered
+from .numbering import numbered, running_sum
 
 #: Letters of one stretch of a sequence, swept by one task, and of a bin in which intervals are compared.
 STRETCH = 1 << 16
@@ -136,6 +136,20 @@ def start_histogram(occurrences: DataFrame) -> DataFrame:
     return occurrences.groupBy("seq_id", "start").agg(F.count(F.lit(1)).alias("n"))
 
 
+def colours(occurrences: DataFrame, sequences: DataFrame, stretch: int, *keys: str) -> DataFrame:
+    """(keys, pattern, colour): all sequences, one after another by seq_id, are cut into stretches of `stretch` letters, and a pattern has
+    the number of the first one in which it begins. `keys` tell sets of patterns apart. Occurrences that begin outside their sequence
+    colour nothing."""
+    laid = running_sum(sequences.select("seq_id", F.length("seq").cast("long").alias("length")), [], F.col("length"), "seq_id", name="before")
+    touched = occurrences.join(laid, "seq_id").where("start >= 0 and start < length")
+    return touched.groupBy(*keys, "pattern").agg(F.floor(F.min(F.col("before") + F.col("start")) / stretch).alias("colour"))
+
+
+def coloured_starts(occurrences: DataFrame, coloured: DataFrame, *keys: str) -> DataFrame:
+    """(keys, colour, seq_id, start, n): for each colour and sequence, how often patterns of that colour begin at a position."""
+    return occurrences.join(coloured, [*keys, "pattern"]).groupBy(*keys, "colour", "seq_id", "start").agg(F.count(F.lit(1)).alias("n"))
+
+
 def similar(instances: DataFrame, labels: DataFrame) -> DataFrame:
     """(src, dst) of different patterns of which dst's label is among src's instance texts. instances: (pattern, text); labels:
     (pattern, label)."""
