@@ -580,16 +580,31 @@ def _(spark, sf_dir):
     return sequences(spark, sf_dir).where("length(seq) > 0").select("seq_id", fn.best_segment(letters).alias("s")).select("seq_id", "s.*")
 
 
-@query("alignment_segments", None)
+SEGMENTS = f"""{ALIGNED}, nl AS (SELECT "group" AS id, pos, coalesce(sum(n) FILTER (letter <> '-'), 0) AS n FROM cl GROUP BY ALL), vals AS (SELECT id, pos, round(n - avg(n) OVER (PARTITION BY id), 6) AS x FROM nl),
+    p AS (SELECT id, pos, round(sum(x) OVER w, 6) AS p, round(sum(x) OVER w - x, 6) AS before FROM vals WINDOW w AS (PARTITION BY id ORDER BY pos)),
+    lows AS (SELECT id, pos, p, before, min(before) OVER (PARTITION BY id ORDER BY pos) AS low FROM p),
+    b AS (SELECT id, pos AS last, round(p - low, 6) AS best, low FROM lows QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(p - low, 6) DESC, pos) = 1),
+    seg AS (SELECT b.id AS "group", best, min(lows.pos) AS first, last FROM b JOIN lows ON lows.id = b.id AND lows.before = b.low AND lows.pos <= b.last GROUP BY ALL),
+    spine AS (SELECT "group", first, pos, base FROM seg, unnest(range(first, last + 1)) t(pos), unnest(['A', 'C', 'G', 'T']) u(base)),
+    filled AS (SELECT spine.*, coalesce(cl.n, 0) AS n FROM spine LEFT JOIN cl ON cl."group" = spine."group" AND cl.pos = spine.pos AND cl.letter = base),
+    logo AS (SELECT "group", pos - first AS pos, base, round(log2((n + 0.25) / (sum(n) OVER (PARTITION BY "group", pos) + 1) / 0.25), 6) AS fwd FROM filled)"""
+
+
+@query("alignment_segments", f'WITH {SEGMENTS} SELECT "group", best, first, last FROM seg')
 def _(spark, sf_dir):
-    return align.segment(aligned(spark, sf_dir))
+    return align.segment(aligned(spark, sf_dir)).withColumn("best", F.round("best", 6))
 
 
-@query("alignment_matrix", None)
+@query("alignment_matrix", f'WITH {SEGMENTS} SELECT "group", pos, base, fwd FROM logo')
 def _(spark, sf_dir):
     return align.segment_matrix(aligned(spark, sf_dir)).withColumn("fwd", F.round("fwd", 6))
 
 
+@query("alignment_logo", f'WITH {SEGMENTS} SELECT "group", pos, base, greatest(fwd, 0) AS fwd FROM logo')
+def _(spark, sf_dir):
+    return align.without_negatives(align.segment_matrix(aligned(spark, sf_dir))).withColumn("fwd", F.round("fwd", 6))
+
+
 def similar_patterns(spark, sf_dir):
     """Patterns whose instances hold another's label; a window is an instance of itself and of its neighbours."""
     seen = windows.frames(sequences(spark, sf_dir), 4).select(F.col("frame").alias("text")).distinct()
@@ -670,3 +685,140 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     suffix = F.element_at(F.array(*map(F.lit, ["x", "b", "KB", "MB", "GB"])), (F.col("doc_id") % 5 + 1).cast("int"))
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", fn.text_to_size(F.concat((F.col("n_chars") % 1000).cast("string"), suffix)).alias("bytes"))
+
+
+@query("pwm_best_ends", f"WITH {TEXTS}, {PARTIAL} SELECT text, fwd_end, rev_end FROM best")
+def _(spark, sf_dir):
+    return scoring.matrix_scores(texts(spark, sf_dir), scoring.matrix(counts(spark, sf_dir))).select("text", "fwd_end", "rev_end")
+
+
+@query("score_pwm_clipped", f"""WITH {SEQS}, {PFM}, ends AS (SELECT substr(seq, length(seq) - 2, 3) AS text FROM seqs WHERE length(seq) >= 3), texts AS (SELECT DISTINCT text FROM ends), {PARTIAL}
+    SELECT text AS pattern, round(avg(greatest(fwd, rev, 0)), 5) AS jaspar FROM ends JOIN best USING (text) GROUP BY text""")
+def _(spark, sf_dir):
+    """Occurrences of six letters of which the sequence's end leaves three."""
+    seqs = sequences(spark, sf_dir).where("length(seq) >= 3")
+    cut = seqs.select(F.substring("seq", -3, 3).alias("pattern"), "seq_id", (F.length("seq") - 3).alias("start"), F.lit(6).alias("size"))
+    return scoring.matrix_score(cut, seqs, scoring.matrix(counts(spark, sf_dir))).select("pattern", F.round("jaspar", 5).alias("jaspar"))
+
+
+@query("chain_step_python", f"""WITH {LEX}, n_all AS (SELECT DISTINCT e.label AS pattern, w.label AS word, e.label || w.label AS label, e.seq_id, e.start, e.size + length(w.label) + e.s AS size
+        FROM (SELECT o.*, length(seq) AS len, s FROM occ o JOIN seqs USING (seq_id), unnest(range(-{OVERLAP}, {GAP + 1})) t(s)) e JOIN occ w ON w.seq_id = e.seq_id AND w.start = e.start + e.size + e.s
+        WHERE w.start < e.len AND w.start > e.start AND length(w.label) + e.s > 0)
+    SELECT pattern, word, label, count(DISTINCT seq_id) AS q, count(*) AS n, sum(start + size)::BIGINT AS ends FROM n_all GROUP BY ALL HAVING count(DISTINCT seq_id) >= {CHAIN_SHARE} * (SELECT n FROM n_seqs)""")
+def _(spark, sf_dir):
+    seqs, first, lexicon = patterns(spark, sf_dir)
+    grown = chain.chain_step(first, lexicon, seqs, OVERLAP, GAP, least(seqs, CHAIN_SHARE), end_bound="python", dedup=True)
+    ends = grown.groupBy("pattern", "word", "label").agg(F.sum(F.col("start") + F.col("size")).alias("ends"))
+    return observe.support(grown, "pattern", "word", "label").join(ends, ["pattern", "word", "label"])
+
+
+@query("instance_parse_any", """WITH l AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN concat(doc_id, ',', -n_chars, ', AC ,', n_chars % 90) WHEN 1 THEN concat('x', doc_id, ',1') WHEN 2 THEN concat(doc_id, ',,,') WHEN 3 THEN lang ELSE concat(doc_id, ', 12,T,', source) END AS line FROM documents),
+    p AS (SELECT doc_id, string_split(line, ',') AS p FROM l), v AS (SELECT doc_id, try_cast(trim(p[1]) AS INT) AS seq_id, try_cast(trim(p[2]) AS INT) AS start, trim(p[3]) AS substring, try_cast(trim(p[4]) AS INT) AS length FROM p)
+    SELECT doc_id, coalesce(seq_id, -1) AS seq_id, coalesce(start, -1) AS start, coalesce(substring, '-') AS substring, coalesce(length, -1) AS length, coalesce(start + length, -1) AS "end" FROM v""")
+def _(spark, sf_dir):
+    """Lines of which most don't parse as a whole."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    i, n = F.col("doc_id"), F.col("n_chars")
+    line = F.when(i % 5 == 0, text(i, ",", -n, ", AC ,", n % 90)).when(i % 5 == 1, text("x", i, ",1")).when(i % 5 == 2, text(i, ",,,")).when(i % 5 == 3, F.col("lang")).otherwise(text(i, ", 12,T,", F.col("source")))
+    return docs.select("doc_id", readers.instance(line).alias("i")).select("doc_id", "i.*").fillna(-1).fillna("-")
+
+
+@query("site_centrality", f"""WITH {SEQS}, {BUNDLES}, st AS (SELECT seq_id, n_chars % 60 + 1 AS s, n_chars % 60 + 1 + seq_id % 9 AS e FROM seqs)
+    SELECT round(avg(abs(summit - (2 * (s - 1) + e - s + 1) // 2)), 6) AS summit FROM st JOIN bundles USING (seq_id)""")
+def _(spark, sf_dir):
+    first = F.col("n_chars") % 60 + 1
+    sites = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("seq_id"), first.alias("start"), (first + F.col("doc_id") % 9).alias("end"))
+    return scoring.site_centrality(sites, bundles(spark, sf_dir)).select(F.round("summit", 6).alias("summit"))
+
+
+@query("matrix_names", """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'MA0083.2' WHEN 1 THEN 'MA0466.1' WHEN 2 THEN 'MA0829.2' END AS matrix FROM documents""")
+def _(spark, sf_dir):
+    paths = F.array(*[F.lit(f"data/{n}") for n in scoring.MATRICES], F.lit("data/other"))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", scoring.matrix_name(F.get(paths, (F.col("doc_id") % 4).cast("int"))).alias("matrix"))
+
+
+@query("rank_table", f"""WITH {SCORES}, {RANKS} SELECT pool, rank, '[' || rank || '] "' || label || '"' || chr(9) || printf('%.2f', score) AS line FROM pool WHERE rank < 10
+    UNION ALL SELECT DISTINCT pool, -1, '[rank] "sequence"' || chr(9) || 'SCORE' FROM pool""")
+def _(spark, sf_dir):
+    return writers.rank_table(pools.pools(scores(spark, sf_dir)))
+
+
+@query("ranks_report", f"""WITH {SCORES}, {RANKS}, p AS (SELECT pool, rank, label, score FROM pool WHERE rank < 5)
+    SELECT pool, rank, -1 AS seq_id, -1 AS start, 'index:' || rank || '|score:' || printf('%.6f', CASE WHEN pool = 'summit' THEN score ELSE -score END) AS line FROM p
+    UNION ALL SELECT pool, rank, seq_id, start, seq_id || ',' || (start - length(seq)) || ',' || substr(seq, start + 1, size) || ',' || size FROM p JOIN occ USING (label) JOIN seqs USING (seq_id)""")
+def _(spark, sf_dir):
+    seqs, occ, _ = patterns(spark, sf_dir)
+    return writers.ranks_report(pools.pools(scores(spark, sf_dir), 5), occ, seqs, pools.SIGNS).fillna(-1, ["seq_id", "start"])
+
+
+@query("checkpoint_saved", f"WITH {LEX} SELECT label, q, n FROM lex WHERE label IN (SELECT label FROM occ)")
+def _(spark, sf_dir):
+    _, occ, lexicon = words(spark, sf_dir)
+    path = new_path(spark, "checkpoint")
+    writers.save_checkpoint(path, lexicon=lexicon, occurrences=occ)
+    back = writers.load_checkpoint(spark, path)
+    return back["lexicon"].join(back["occurrences"].select("label"), "label", "left_semi")
+
+
+@query("pfm_written", f"WITH {SEQS}, {PFM} SELECT pos, base, count FROM pfm")
+def _(spark, sf_dir):
+    """The matrix of counts written as four rows of text and read back."""
+    path, by_base = new_path(spark, "pfm"), counts(spark, sf_dir).groupBy("base").agg(F.sort_array(F.collect_list(F.struct("pos", "count"))).alias("c"))
+    row = by_base.select(F.lit("matrix").alias("name"), F.ascii("base").alias("at"), F.concat(F.col("base"), F.lit(" [ "), F.array_join(F.transform("c", lambda x: x["count"].cast("string")), " "), F.lit(" ]")).alias("value"))
+    head = spark.range(1).select(F.lit("matrix").alias("name"), F.lit(0).alias("at"), F.lit("> matrix").alias("value"))
+    readers.write_by_name(head.unionByName(row), path, ".pfm", "at", whole=True)
+    return readers.pfm(spark, f"{path}/matrix.pfm").select("pos", "base", "count")
+
+
+@query("matrix_written", f"WITH {SEQS}, {PFM} SELECT base, pos, round(fwd, 6) AS fwd FROM pwm")
+def _(spark, sf_dir):
+    path = new_path(spark, "matrix")
+    writers.matrix_csv(scoring.matrix(counts(spark, sf_dir)), path)
+    table = spark.read.option("header", True).csv(path)
+    return table.unpivot("base", [c for c in table.columns if c != "base"], "pos", "fwd").select("base", F.col("pos").cast("long").alias("pos"), F.round(F.col("fwd").cast("double"), 6).alias("fwd"))
+
+
+def text_files(spark, sf_dir, suffix, row, head):
+    """The path of text files, one for every thousand documents: each document's row after a head."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "n_chars", F.substring(F.upper(F.regexp_replace(F.lower("text"), "[^acgt]", "")), 1, 20).alias("seq"))
+    named = docs.withColumn("name", F.concat(F.lit("f"), F.floor(F.col("doc_id") / 1000)))
+    rows = named.select("name", F.col("doc_id").alias("at"), row.alias("value"))
+    heads = named.select("name").distinct().select("name", F.explode(F.array(*[F.struct(F.lit(at).cast("long").alias("at"), F.lit(text).alias("value")) for at, text in head or [(0, None)]])).alias("h")).where("h.value is not null").select("name", "h.at", "h.value")
+    path = new_path(spark, "text")
+    readers.write_by_name(heads.unionByName(rows), path, suffix, "at", whole=True)
+    return f"{path}/*{suffix}"
+
+
+DOCS20 = "d AS (SELECT doc_id, n_chars, substr(upper(regexp_replace(lower(text), '[^acgt]', '', 'g')), 1, 20) AS seq FROM documents)"
+
+
+@query("gff_written", f"WITH {DOCS20} SELECT seq, count(*) AS n FROM d WHERE seq <> '' GROUP BY seq")
+def _(spark, sf_dir):
+    row = F.concat(F.concat_ws("\t", *[F.lit(str(i)) for i in range(8)]), F.lit("\tID=x; sequence="), F.col("seq"), F.lit(";score=1"))
+    return readers.gff_sequences(spark, text_files(spark, sf_dir, ".gff", row, [(-1, "##head")])).groupBy("seq").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("sites_written", f"WITH {DOCS20} SELECT doc_id AS seq_id, -n_chars AS start, seq AS substring, length(seq) AS length, length(seq) - n_chars AS \"end\" FROM d")
+def _(spark, sf_dir):
+    row = F.concat_ws(",", F.col("doc_id").cast("string"), (-F.col("n_chars")).cast("string"), "seq", F.length("seq").cast("string"))
+    return readers.known_instances(spark, text_files(spark, sf_dir, ".sites", row, [(-3, "other"), (-2, "1,2,A,1"), (-1, "> mine"), (1 << 40, "> next"), ((1 << 40) + 1, "3,4,C,1")]), "mine").select("seq_id", "start", "substring", "length", "end")
+
+
+@query("glam_written", f"WITH {DOCS20} SELECT doc_id AS seq_id, n_chars % 50 AS start, n_chars % 50 + length(seq) AS \"end\", seq AS text FROM d WHERE seq <> ''")
+def _(spark, sf_dir):
+    letters = F.concat(F.lower(F.substring("seq", 1, 3)), F.lit(". "), F.substring("seq", 4, 20))
+    row = F.concat_ws(" ", F.col("doc_id").cast("string"), (F.col("n_chars") % 50).cast("string"), letters, (F.col("n_chars") % 50 + F.length("seq")).cast("string"), F.lit("+ 1.5"))
+    return readers.glam_sites(spark, text_files(spark, sf_dir, ".glam", row, [(-1, "head")])).where("text <> ''").select("seq_id", "start", "end", "text")
+
+
+@query("meme_written", "WITH d AS (SELECT doc_id // 1000 AS f, doc_id, n_chars, row_number() OVER (PARTITION BY doc_id // 1000 ORDER BY doc_id) - 1 AS pos FROM documents) SELECT pos, base, sum(n)::BIGINT AS count FROM (SELECT pos, unnest(['A', 'C', 'G', 'T']) AS base, unnest([n_chars, n_chars % 7, n_chars % 11, 1]) AS n FROM d) GROUP BY ALL")
+def _(spark, sf_dir):
+    row = F.concat_ws("  ", *[c.cast("string") for c in (F.col("n_chars"), F.col("n_chars") % 7, F.col("n_chars") % 11, F.lit(1))])
+    return readers.meme_counts(spark, text_files(spark, sf_dir, ".meme", row, [(-1, "")])).groupBy("pos", "base").agg(F.sum("count").alias("count"))
+
+
+@query("reports_written", "SELECT doc_id // 1000 AS f, sum(doc_id)::BIGINT AS third, sum(n_chars)::BIGINT AS eleventh, sum(n_chars % 13)::BIGINT AS new_patterns FROM documents GROUP BY 1")
+def _(spark, sf_dir):
+    row = F.concat_ws(" ", F.lit("a b"), F.col("doc_id").cast("string"), F.lit("d e f g h i j"), F.col("n_chars").cast("string"), F.format_string("NEW-PATTERNS(%d)", F.col("n_chars") % 13))
+    return readers.worker_reports(spark, text_files(spark, sf_dir, ".report", row, [])).select(F.regexp_extract("file", r"f(\d+)\.report", 1).cast("long").alias("f"), "third", "eleventh", "new_patterns")

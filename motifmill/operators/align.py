@@ -41,6 +41,11 @@ def segment_matrix(aligned: DataFrame) -> DataFrame:
     return rows.select("group", (F.col("pos") - F.col("first")).alias("pos"), "base", log_odds(F.col("n"), F.sum("n").over(Window.partitionBy("group", "pos"))).alias("fwd"))
 
 
+def without_negatives(m: DataFrame) -> DataFrame:
+    """A matrix (group, pos, base, fwd) whose negative values are 0, as a logo shows it."""
+    return m.withColumn("fwd", F.greatest("fwd", F.lit(0.0)))
+
+
 def reverse_complement(m: DataFrame) -> DataFrame:
     """(group, pos, base, fwd) of the other strand of a segment's matrix."""
     last = m.groupBy("group").agg(F.max("pos").alias("last"))

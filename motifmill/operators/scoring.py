@@ -5,7 +5,7 @@ A matrix is a table (pos, base, fwd, rev); counts are (pos, base, count). Occurr
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kmers import complement, log_odds
@@ -85,3 +85,16 @@ def matrix_score(occurrences: DataFrame, sequences: DataFrame, pwm: DataFrame, c
     if clip == "native":
         scored = scored.withColumn("best", F.when(F.col("cut"), F.greatest("best", F.lit(0.0))).otherwise(F.col("best")))
     return scored.groupBy("pattern").agg((F.sum(F.col("best") * F.col("times")) / F.sum("times")).alias("jaspar"))
+
+
+#: The matrices of three data sets.
+MATRICES = {
+    "ENCODE_HAIB_GM12878_SRF_peak": "MA0083.2",
+    "ENCODE_Stanford_HepG2_CEBPB_peak": "MA0466.1",
+    "ENCODE_Yale_HepG2_SREBF1_peak": "MA0829.2",
+}
+
+
+def matrix_name(dataset: Column) -> Column:
+    """The matrix of a data set, whose name is the last part of its path; null for others."""
+    return F.create_map(*[F.lit(x) for pair in MATRICES.items() for x in pair])[F.element_at(F.split(dataset, "/"), -1)]

@@ -156,11 +156,13 @@ def convert_peaks(spark: SparkSession, folder: str, genome: DataFrame, destinati
     return rows.groupBy("name").agg(F.count(F.lit(1)).alias("peaks"))
 
 
-def write_by_name(rows: DataFrame, destination: str, suffix: str, *order: str) -> None:
-    """rows: (name, value, ...). Write one text file, or a folder of part files in order, for each name."""
+def write_by_name(rows: DataFrame, destination: str, suffix: str, *order: str, whole: bool = False) -> None:
+    """rows: (name, value, ...). Write one text file, or a folder of part files in order, for each name; with `whole` always one file,
+    which is then written by one task."""
     folder = Folder(rows.sparkSession, destination)
     attempt = f"_attempt-{uuid.uuid4().hex}"
-    rows.repartitionByRange("name", *order).sortWithinPartitions("name", *order).select("name", "value").write.partitionBy("name").text(folder.at(attempt))
+    dealt = rows.repartition("name") if whole else rows.repartitionByRange("name", *order)
+    dealt.sortWithinPartitions("name", *order).select("name", "value").write.partitionBy("name").text(folder.at(attempt))
     for part in Folder(rows.sparkSession, folder.at(attempt)).names():
         if part.startswith("name="):
             files = [f for f in Folder(rows.sparkSession, folder.at(f"{attempt}/{part}")).names() if f.startswith("part-")]
@@ -193,7 +195,7 @@ def gff_sequences(spark: SparkSession, path: str) -> DataFrame:
 def glam_sites(spark: SparkSession, path: str) -> DataFrame:
     """(file, at, seq_id, start, end, text): one header line; a site's tokens lie between the second and the third last."""
     part = F.split(F.trim("line"), r"\s+")
-    text = F.translate(F.upper(F.array_join(F.slice(part, 3, F.size(part) - 5), "")), ".", "")
+    text = F.translate(F.upper(F.array_join(F.slice(part, 3, F.greatest(F.size(part) - 5, F.lit(0))), "")), ".", "")
     return lines(spark, path).where("at > 0 and length(trim(line)) > 0").select("file", "at", part[0].cast("int").alias("seq_id"), part[1].cast("int").alias("start"), F.get(part, F.size(part) - 3).cast("int").alias("end"), text.alias("text"))
 
 

@@ -44,3 +44,18 @@ def load_checkpoint(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 def matrix_csv(pwm: DataFrame, path: str) -> None:
     """A row a base, a column a position."""
     pwm.groupBy("base").pivot("pos").agg(F.first("fwd")).orderBy("base").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def rank_table(pool: DataFrame, first: int = 10) -> DataFrame:
+    """(pool, rank, line) of the first entries of pools, as a table of labels and scores; its head has rank -1."""
+    head = pool.select("pool").distinct().select("pool", F.lit(-1).alias("rank"), F.lit('[rank] "sequence"\tSCORE').alias("line"))
+    return head.unionByName(pool.where(F.col("rank") < first).select("pool", "rank", F.format_string('[%d] "%s"\t%.2f', "rank", "label", "score").alias("line")))
+
+
+def ranks_report(pool: DataFrame, occurrences: DataFrame, sequences: DataFrame, signs: dict[str, int]) -> DataFrame:
+    """(pool, rank, seq_id, start, line): for every entry a line of its rank and signed score, without seq_id and start, and those of its
+    instances."""
+    sign = F.element_at(F.create_map(*[x for k, v in signs.items() for x in (F.lit(k), F.lit(v))]), F.col("pool"))
+    head = pool.select("pool", "rank", F.lit(None).cast("long").alias("seq_id"), F.lit(None).cast("int").alias("start"), F.format_string("index:%d|score:%.6f", F.col("rank"), sign * F.col("score")).alias("line"))
+    body = instance_lines(occurrences.join(pool.select("pattern").distinct(), "pattern", "left_semi"), sequences)
+    return head.unionByName(pool.select("pool", "rank", "pattern").join(body, "pattern").select("pool", "rank", F.col("seq_id").cast("long").alias("seq_id"), F.col("start").cast("int").alias("start"), "line"))
