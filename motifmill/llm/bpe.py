@@ -24,14 +24,16 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, new_path, small_batches, stored, text_of
+from .common import map_texts, new_path, small_batches, stored, text_of, text_runs
 
-#: Words of the lexicon: so many of the most frequent ones, found twice at least, of at most so many bytes.
+#: Words of the lexicon: about so many of the most frequent ones, found twice at least, of at most so many bytes.
 LEXICON_WORDS = 1 << 16
 LEAST_COUNT = 2
 WORD_BYTES = 64
 #: Distinct words that a task counts before it hands its counts on.
 COUNTED_WORDS = 400_000
+#: Words of a worker's memo, and their letters in all; as many old ones.
+RECENT_WORDS, RECENT_LETTERS = 150_000, 1 << 24
 #: Characters of a text that are split into words at a time.
 RUN_CHARS = 1 << 20
 #: Bytes of a word above which the next merge is found by a heap, and shorter words that are merged together.
@@ -42,6 +44,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _WORDS = regex.compile(PATTERN)
 _ID_BITS = 24
 _ID, _NEVER = (1 << _ID_BITS) - 1, 1 << 62
+_LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 _CUT = regex.compile(r"(?<=\S)(?=\s)")
 
 
@@ -265,9 +268,24 @@ class Codec:
     def __init__(self, path: str, lexicon: str | None = None):
         self.vocabulary = Vocabulary(path)
         self.lexicon = Lexicon(lexicon) if lexicon else None
-
-    def codes(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of distinct words, as little-endian 32-bit integers: from the lexicon, or by merging."""
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.held = 0
+
+    def codes(self, words: set[str]) -> dict[str, bytes]:
+        """A dictionary that holds the ids of all the given words, as little-endian 32-bit integers. It is a memo of recent words: those
+        that it lacks are looked up; when it is full, it becomes the old one, from which words still in use come back."""
+        if len(self.recent) > RECENT_WORDS or self.held > RECENT_LETTERS:
+            self.recent, self.older, self.held = {}, self.recent, 0
+        new = words - self.recent.keys()
+        back = new & self.older.keys()
+        self.recent.update((w, self.older[w]) for w in back)
+        self.recent.update(self._looked_up(list(new - back)))
+        self.held += sum(map(len, new))
+        return self.recent
+
+    def _looked_up(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of distinct words, from the lexicon or by merging."""
         raw = [w.encode("utf-8", "replace") for w in words]
         places = self.lexicon.places(raw) if self.lexicon is not None else np.full(len(raw), -1, np.int64)
         out: dict[str, bytes] = {}
@@ -277,7 +295,7 @@ class Codec:
             size = end - first
             cut = np.cumsum(size)
             picked = self.lexicon.raw[np.repeat(first - (cut - size), size) + np.arange(int(cut[-1]))].tobytes()
-            out.update(zip([words[i] for i in known.tolist()], map(picked.__getitem__, map(slice, [0, *cut.tolist()], cut.tolist())), strict=True))
+            out.update(zip([words[i] for i in known.tolist()], map(picked.__getitem__, map(slice, [0, *cut.tolist()], cut.tolist())), strict=False))
         unseen = np.flatnonzero(places < 0).tolist()
         short = [i for i in unseen if len(raw[i]) <= SHORT_WORD]
         out.update(zip([words[i] for i in short], [x.tobytes() for x in self.vocabulary.merge_many([raw[i] for i in short])], strict=True))
@@ -290,7 +308,7 @@ class Codec:
         words: set[str] = set()
         for parts in split_texts:
             words.update(*[part for part in parts or () if not isinstance(part, int)])
-        codes = self.codes(list(words))
+        codes = self.codes(words)
         return [self._joined(parts, codes) if parts is not None else self._by_run(text, size) for text, parts in zip(texts, split_texts, strict=True)]
 
     def _joined(self, parts: list[list[str] | int], codes: dict[str, bytes]) -> Iterator[bytes]:
@@ -299,9 +317,9 @@ class Codec:
 
     def _by_run(self, text: str, size: int | None) -> Iterator[bytes]:
         for part in split(text, self.vocabulary, size):
-            yield from self._joined([part], {} if isinstance(part, int) else self.codes(list(set(part))))
+            yield from self._joined([part], {} if isinstance(part, int) else self.codes(set(part)))
 
-    def decode(self, ids: np.ndarray) -> bytes:
+    def decode(self, ids: np.ndarray | memoryview) -> bytes:
         """The decoded text in UTF-8; bytes that aren't become U+FFFD."""
         raw = self.vocabulary.decode(ids.tolist())
         try:
@@ -311,23 +329,23 @@ class Codec:
         return raw
 
 
-def word_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """(word, n) over whole texts: the words that merges work on, in UTF-8. Each task sums its counts before they are shuffled."""
+def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(word, n) over whole texts: runs of letters, here all bytes but ASCII white space, digits and marks. Each task sums its counts before
+    they are shuffled."""
     small_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, found = Vocabulary(path), Counter()
+        found: Counter[bytes] = Counter()
 
         def give() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array([w.encode("utf-8", "replace") for w in found], pa.binary()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
+            batch = pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
             found.clear()
             return batch
 
         for batch in batches:
-            for text in batch.column(0):
-                for part in split(text.as_py(), vocabulary):
-                    if not isinstance(part, int):
-                        found.update(part)
+            for text in batch.column(0).cast(pa.binary()):
+                for run in text_runs(text.as_py()):
+                    found.update(run.translate(_LETTERS).split())
                     if len(found) > COUNTED_WORDS:
                         yield give()
         yield give()
@@ -349,13 +367,13 @@ def frequent_words(counts: DataFrame, most: int) -> list[bytes]:
 
 
 def publish_lexicon(docs: DataFrame, path: str, text_col: str = "text", words: int = LEXICON_WORDS) -> str:
-    """Compile the most frequent words of all texts and give the file to all executors; returns its name for `SparkFiles`. At most
-    `words` words of WORD_BYTES bytes come to the driver."""
+    """Compile the most frequent words of all texts, each with and without a space in front, and give the file to all executors; returns
+    its name for `SparkFiles`. At most half as many words as `words`, of WORD_BYTES bytes each, come to the driver."""
     spark = docs.sparkSession
-    counts = word_counts(docs, path, text_col).where(f"n >= {LEAST_COUNT} and length(word) between 1 and {WORD_BYTES}")
-    frequent = frequent_words(stored(counts, "words"), words)
-    vocabulary = Vocabulary(path)
-    data = compile_lexicon(frequent, [ids.view("<u4").tolist() for ids in vocabulary.merge_many(frequent)])
+    counts = word_counts(docs, text_col).where(f"n >= {LEAST_COUNT} and length(word) between 1 and {WORD_BYTES}")
+    letters = [w.decode("utf-8", "ignore") for w in frequent_words(stored(counts, "words"), words // 2)]
+    frequent = sorted({part.encode() for w in letters for part in (*_WORDS.findall(w), *_WORDS.findall(" " + w))})
+    data = compile_lexicon(frequent, [ids.view("<u4").tolist() for ids in Vocabulary(path).merge_many(frequent)])
     name = f"lexicon-{uuid.uuid4().hex}"
     file = f"{new_path(spark, 'lexicon')}/{name}"
     jpath = spark._jvm.org.apache.hadoop.fs.Path(file)
