@@ -123,16 +123,16 @@ def patterns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
     return seqs, occ.withColumn("pattern", F.col("label")), occ.select("seq_id", F.col("start").alias("pos"), "label")
 
 
-def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def counts(spark: SparkSession, sf_dir: str, seqs: DataFrame | None = None) -> DataFrame:
     """The letter counts of the windows of six letters that begin with TA."""
-    cells = windows.frames(sequences(spark, sf_dir), 6).where(F.col("frame").startswith("TA")).select(F.posexplode(F.array_remove(F.split("frame", ""), "")).alias("pos", "base"))
+    cells = windows.frames(sequences(spark, sf_dir) if seqs is None else seqs, 6).where(F.col("frame").startswith("TA")).select(F.posexplode(F.array_remove(F.split("frame", ""), "")).alias("pos", "base"))
     spine = spark.range(6).select(F.col("id").cast("int").alias("pos"), F.explode(F.array(*map(F.lit, "ACGT"))).alias("base"))
     return stored(spine.join(cells.groupBy("pos", "base").agg(F.count(F.lit(1)).alias("count")), ["pos", "base"], "left").select("pos", "base", F.coalesce("count", F.lit(0)).alias("count")))
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     seqs, occ, _ = patterns(spark, sf_dir)
-    found = scorers.score_patterns(occ, scorers.Context(seqs, bundles(spark, sf_dir), scoring.matrix(counts(spark, sf_dir))))
+    found = scorers.score_patterns(occ, scorers.Context(seqs, bundles(spark, sf_dir), scoring.matrix(counts(spark, sf_dir, seqs))))
     return stored(found.select("pattern", F.col("pattern").alias("label"), *[F.round(c, 6).alias(c) for c in ("ssmart", "summit", "jaspar")]))
 
 
@@ -384,7 +384,7 @@ def _(spark, sf_dir):
 @query("score_pwm", f"WITH {SCORES} SELECT label AS pattern, jaspar FROM scores")
 def _(spark, sf_dir):
     seqs, occ, _ = patterns(spark, sf_dir)
-    return scoring.matrix_score(occ, seqs, scoring.matrix(counts(spark, sf_dir))).select("pattern", F.round("jaspar", 6).alias("jaspar"))
+    return scoring.matrix_score(occ, seqs, scoring.matrix(counts(spark, sf_dir, seqs))).select("pattern", F.round("jaspar", 6).alias("jaspar"))
 
 
 @query("pool_top100", f"WITH {SCORES}, {RANKS} SELECT pool, rank, label, score FROM pool")
@@ -416,7 +416,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     seqs, occ, _ = patterns(spark, sf_dir)
     names = ("ssmart", "summit", "jaspar", "density")
-    found = scorers.score_patterns(occ, scorers.Context(seqs, bundles(spark, sf_dir), scoring.matrix(counts(spark, sf_dir))), names)
+    found = scorers.score_patterns(occ, scorers.Context(seqs, bundles(spark, sf_dir), scoring.matrix(counts(spark, sf_dir, seqs))), names)
     found = stored(found.select("pattern", F.col("pattern").alias("label"), *[F.round(c, 6).alias(c) for c in names]))
     return pools.pools(found, 60, scorers.signs(names)).drop("pattern")
 
@@ -440,7 +440,7 @@ def grown_sql(i: int) -> str:
 def _(spark, sf_dir):
     seqs = sequences(spark, sf_dir)
     found = discovery.discover(
-        seqs, bundles(spark, sf_dir), counts(spark, sf_dir), [(K, 0)], OVERLAP, GAP, least(seqs, SHARE), generations=2, briefing=False, accept=F.col("summit_rank") >= 0, chain_q=least(seqs, CHAIN_SHARE),
+        seqs, bundles(spark, sf_dir), counts(spark, sf_dir, seqs), [(K, 0)], OVERLAP, GAP, least(seqs, SHARE), generations=2, briefing=False, accept=F.col("summit_rank") >= 0, chain_q=least(seqs, CHAIN_SHARE),
         scorers=[replace(scorers.REGISTRY[n], score=f"round({scorers.REGISTRY[n].score}, 9)") for n in ("ssmart", "summit")], most=40,
     )
     return observe.support(found.occurrences, "generation", "pattern", "label")

@@ -9,9 +9,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .neighbourhood import Neighbourhood, neighbourhood
+from .numbering import numbered
 from .windows import frames
 
 
+#: Ids are numbered anew for bitmaps where less than one in so many is used.
+SPARSE = 64
+
+
 def observe(sequences: DataFrame, k: int, d: int = 0, span: tuple[int, int] | None = None, known: Neighbourhood | None = None, **window) -> DataFrame:
     """Every window as an occurrence of itself and of all words within distance d (of the lengths in `span`, k by default).
 
@@ -35,10 +40,12 @@ def observe(sequences: DataFrame, k: int, d: int = 0, span: tuple[int, int] | No
 def observe_support(sequences: DataFrame, k: int, d: int, span: tuple[int, int] | None = None) -> DataFrame:
     """(label, q, n) as `support(observe(...))` gives them, without making the occurrences.
 
-    The sequences of each distinct window, at most 4^k, are kept as bitmaps over their ids, which are places in a list and so lie
-    close; a label's support is the number of bits in the union of its neighbours' bitmaps.
+    The sequences of each distinct window, at most 4^k, are kept as bitmaps over their ids; a label's support is the number of bits in
+    the union of its neighbours' bitmaps. Ids that don't lie close, such as hashes, are numbered first, so that bitmaps stay full.
     """
-    seqs = F.col("seq_id").cast("long")
+    seqs, (rows, least, most) = F.col("seq_id").cast("long"), sequences.agg(F.count("seq_id"), F.min("seq_id"), F.max("seq_id")).first()
+    if rows and most - least > SPARSE * rows:
+        sequences = numbered(sequences, [], "seq_id", name="__dense").withColumn("seq_id", F.col("__dense")).drop("__dense")
     counted = frames(sequences, k).groupBy("frame", "seq_id").agg(F.count(F.lit(1)).alias("n"))
     windows = counted.groupBy("frame", F.bitmap_bucket_number(seqs).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(seqs)).alias("bits"), F.sum("n").alias("n"))
     first, last = span or (k, k)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The scores' order and signs: a pool is ascending in sign * score.
+#: The scores' order and signs (a pool is ascending in sign * score), the pools' size, and what counts as a hit when patterns
+#: are pruned.
 SIGNS = {"ssmart": -1, "summit": 1, "jaspar": -1}
 POOL_SIZE, GOOD_RANK, PERMITTED_LENGTH, LEAST_HITS = 100, 25, 30, 2
 

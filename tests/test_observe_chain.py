@@ -79,3 +79,9 @@ def test_brief_and_index(spark):
     occ = observe.observe(seqs, 3).where("label = 'CGT'")
     row = index.bitmaps(occ, spark.createDataFrame([("CGT",)], "label string")).select(F.bitmap_count("bitmap").alias("bits"), "covered").first()
     assert row["bits"] == row["covered"] == 6
+
+
+def test_supports_by_bitmaps_of_sparse_ids(spark):
+    seqs = spark.createDataFrame([(i, s) for i, (_, s) in zip((-(1 << 62), 1 << 61, 7), [*SEQS, (2, "ACGTAC")], strict=True)], "seq_id long, seq string")
+    want = {r["label"]: (r["q"], r["n"]) for r in observe.support(observe.observe(seqs, 3, 1, (2, 4))).collect()}
+    assert {r["label"]: (r["q"], r["n"]) for r in observe.observe_support(seqs, 3, 1, (2, 4)).collect()} == want
