@@ -62,6 +62,27 @@ def drop_stored(spark: SparkSession, *frames: DataFrame, only: str = "") -> None
             jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+#: Bits of a row of a table of marks (512 words of 64), and most bits of all, so that 8 MB are broadcast at most.
+CHUNK_BITS, MOST_MARK_BITS = 1 << 15, 1 << 26
+
+
+def split_by_marks(rows: DataFrame, key: str, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`rows` in two, without a shuffle: those whose `key` (a long column) may be among `marks` (key), and those whose key isn't.
+
+    A bitmap of 8 to 16 bits a mark is broadcast; with more marks than it has room for, more rows are in the first part for nothing.
+    """
+    bits = min(MOST_MARK_BITS, max(CHUNK_BITS, 1 << (8 * marks.count()).bit_length()))
+    place = lambda k: F.pmod(F.xxhash64(k), F.lit(bits))
+    words = marks.select(place("key").alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("set"))
+    chunks = words.groupBy(F.shiftright("word", 9).alias("__chunk")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("word").bitwiseAND(511), "set"))).alias("sets"))
+    every = F.sequence(F.lit(0).cast("long"), F.lit(511).cast("long"))
+    chunks = stored(chunks.select("__chunk", F.transform(every, lambda i: F.coalesce(F.col("sets")[i], F.lit(0).cast("long"))).alias("__bits")), "marks")
+    met = rows.withColumn("__place", place(key)).join(F.broadcast(chunks), F.shiftright("__place", 15) == F.col("__chunk"), "left")
+    hit = F.coalesce(F.expr("shiftright(__bits[cast(shiftright(__place, 6) & 511 as int)], cast(__place & 63 as int)) & 1L") == 1, F.lit(False))
+    part = lambda where: met.where(where).drop("__place", "__chunk", "__bits")
+    return part(hit), part(~hit)
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 5; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_stored, stored, text_of
+from .common import drop_stored, split_by_marks, stored, text_of
 
 MIN_WORDS = 50
 _BLANK = r"[\x20\x09-\x0D]+"
@@ -77,12 +77,14 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc
         named = sized.join(classes.withColumnRenamed("name", "head"), ["doc", "line"]).join(classes.select("doc", F.col("line").alias("last"), F.col("name").alias("tail")), ["doc", "last"])
         named = stored(named.select("doc", "line", "n", "head", "tail"), "named")
         copies = named.groupBy("n", "head", "tail").agg(F.min(F.struct("doc", "line")).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
+        copies = stored(copies, "copies")  # as in repeated_lines: a window that most documents share can be split
         found.append(named.join(copies, ["n", "head", "tail"]).where(F.struct("doc", "line") > F.col("first")).select("doc", F.explode(F.sequence(F.col("line"), F.col("line") + F.col("n") - 1)).alias("line")))
         if 2 * size <= longest:
             pairs = stored(classes.join(classes.select("doc", (F.col("line") - size).alias("line"), F.col("name").alias("next")), ["doc", "line"]), "pairs")
             first = pairs.groupBy("name", "next").agg(F.min(F.struct("doc", "line")).alias("longer"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
+            first = stored(first, "first")
             classes = stored(pairs.join(first, ["name", "next"]).select("doc", "line", F.col("longer").alias("name")), "classes")
-            drop_stored(docs.sparkSession, pairs)
+            drop_stored(docs.sparkSession, pairs, first)
         size *= 2
     lines = found[0] if found else repeated.select("doc", "line").where("false")
     for more in found[1:]:
@@ -104,8 +106,11 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
     w = Window.partitionBy("doc").orderBy("line")
     islands = gone.withColumn("island", F.col("line") - F.row_number().over(w)).groupBy("doc", "island").agg(F.min("line").alias("s"), F.max("line").alias("e"))
     cuts = islands.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("__cuts")).select(F.col("doc.d").alias("__d"), F.col("doc.h").alias("__h"), "__cuts")
+    cuts = stored(cuts, "cuts")
     key, names = _doc_key(id_col), [c for c in docs.columns if c not in counts]
-    joined = docs.select(*[F.col(f"`{c}`") for c in names], key["d"].alias("__d"), key["h"].alias("__h")).join(cuts, ["__d", "__h"], "left")
+    keyed = docs.select(*[F.col(f"`{c}`") for c in names], key["d"].alias("__d"), key["h"].alias("__h"))
+    cut, whole = split_by_marks(keyed, "__h", cuts.select(F.col("__h").alias("key")))  # texts without cuts stay where they are
+    joined = cut.join(cuts, ["__d", "__h"], "left").unionByName(whole.withColumn("__cuts", F.lit(None).cast(cuts.schema["__cuts"].dataType)))
     lines = F.split(text_of(), "\n")
     from_line = F.concat(F.array(F.lit(0)), F.transform("__cuts", lambda c: c["e"] + 1))
     to_line = F.concat(F.transform("__cuts", lambda c: c["s"]), F.array(F.size(lines)))

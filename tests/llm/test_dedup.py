@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from motifmill.llm import components, exact_dedup, line_dedup, simhash
+from motifmill.llm import common, components, exact_dedup, line_dedup, simhash
 from motifmill.llm.components import components as connected
 
 
@@ -146,3 +146,26 @@ def test_line_dedup_odd(odd, documents):
     rows = pairs(documents)
     got = {(r["doc_id"]): r["text"] for r in line_dedup.line_dedup(documents).collect()}
     assert got == {i: t for (i, _), t in brute_lines(rows, 50).items()}
+
+
+def test_texts_without_cuts_stay_in_place(spark):
+    """Only documents that may lose lines are shuffled with their texts: a bitmap of those with cuts tells the two apart."""
+    keys = [r.randrange(-(2**63), 2**63) for r in [random.Random(4)] for _ in range(3000)]
+    rows = spark.createDataFrame([(k, str(k)) for k in keys] + [(7, "7")], "key long, text string")
+    marks = spark.createDataFrame([(k,) for k in keys[:900]], "key long")
+    may, no = common.split_by_marks(rows, "key", marks)
+    found, rest = ({x["text"] for x in part.collect()} for part in (may, no))
+    assert {str(k) for k in keys[:900]} <= found and not found & rest and len(found) + len(rest) == 3001 and len(found) < 900 + 2100 / 6
+    none, every = common.split_by_marks(rows, "key", marks.where("false"))
+    assert none.count() == 0 and every.count() == 3001 and set(every.columns) == {"key", "text"}
+    plan = no._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_line_run_in_most_documents(spark):
+    """A block that half of all documents share, and one that only their later halves do."""
+    block = "\n".join(f"word{i} a b c d e f g h" for i in range(8))
+    rows = [(i, f"own {i}\n" + (block if i % 2 else f"text {i}") + f"\nend {i}") for i in range(2000)]
+    out = {r["doc_id"]: r for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[1]["text"] == rows[1][1] and all(out[i]["text"] == f"own {i}\nend {i}" and out[i]["n_deleted"] == 8 for i in range(3, 2000, 2))
+    assert all(out[i]["text"] == rows[i][1] and out[i]["n_lines"] == 3 for i in range(0, 2000, 2))
