@@ -78,11 +78,15 @@ def _postings(fp: Column) -> Column:
     return F.array(*lists)
 
 
+def tally(a: Column, b: Column) -> Column:
+    """Positions at which two fingerprints have the same byte."""
+    x = a.bitwiseXOR(b)
+    return sum((F.when(F.shiftrightunsigned(x, 8 * p).bitwiseAND(F.lit(255)) == 0, 1).otherwise(0) for p in range(8)), F.lit(0))
+
+
 def _near(a: Column, b: Column) -> Column:
     """Count filter, then verification."""
-    x = a.bitwiseXOR(b)
-    shared = sum((F.when(F.shiftrightunsigned(x, 8 * p).bitwiseAND(F.lit(255)) == 0, 1).otherwise(0) for p in range(8)), F.lit(0))
-    return (shared >= LEAST_SHARED) & (F.bit_count(x) <= MAX_BITS)
+    return (tally(a, b) >= LEAST_SHARED) & (F.bit_count(a.bitwiseXOR(b)) <= MAX_BITS)
 
 
 def _forest(_key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

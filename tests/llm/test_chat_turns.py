@@ -38,3 +38,11 @@ def test_odd_roles_and_repeats(spark):
     assert lines == Counter((c, text) for c, _, role, text in turns if role != "user")
     (call,) = [r for r in out if r["name"]]
     assert json.loads(call["line"])["result"] == "a" and not any("duplicate" in e for e in call["errors"])
+
+
+def test_clashing_names(spark):
+    turns = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").limit(60)
+    more = turns.selectExpr("*", "'x' as name", "1 as call_id", "2 as level", "'y' as line", "'z' as result", "3 as errors", "4 as arguments", "5 as n")
+    schemas = spark.createDataFrame(chat.TOOLS, "name string, schema string")
+    plain, found = ([tuple(r) for r in chat.link_tool_calls(*chat.calls_of_turns(t), schemas).select("conv_id", "turn", "line", "errors").collect()] for t in (turns, more))
+    assert plain and sorted(map(str, plain)) == sorted(map(str, found))

@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from motifmill.llm import common, components, exact_dedup, line_dedup, simhash
 from motifmill.llm.components import components as connected
@@ -169,3 +170,26 @@ def test_line_run_in_most_documents(spark):
     out = {r["doc_id"]: r for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert out[1]["text"] == rows[1][1] and all(out[i]["text"] == f"own {i}\nend {i}" and out[i]["n_deleted"] == 8 for i in range(3, 2000, 2))
     assert all(out[i]["text"] == rows[i][1] and out[i]["n_lines"] == 3 for i in range(0, 2000, 2))
+
+
+def test_simhash_count_filter(spark):
+    """Of the pairs that meet in a list, the tally of shared bytes alone rejects most, and none that is near."""
+    r, prints = random.Random(8), set()
+    alphabet = [[r.randrange(256) for _ in range(5)] for _ in range(8)]
+    for _ in range(500):
+        fp = sum(r.choice(a) << 8 * p for p, a in enumerate(alphabet))
+        prints |= {fp, fp ^ 1 << r.randrange(64) ^ 1 << r.randrange(64)}
+    signed = [x - (1 << 64) if x >> 63 else x for x in prints]
+    posted = spark.createDataFrame([(x,) for x in signed], "fp long").select("fp", F.explode(simhash._postings(F.col("fp"))).alias("list"))
+    met = posted.join(posted.withColumnRenamed("fp", "other"), "list").where("fp < other").select("fp", "other").distinct()
+    rows = met.select("fp", "other", simhash.tally(F.col("fp"), F.col("other")).alias("shared")).collect()
+    kept = {(x["fp"], x["other"]) for x in rows if x["shared"] >= simhash.LEAST_SHARED}
+    assert all(x["shared"] == sum(((x["fp"] ^ x["other"]) >> 8 * p & 255) == 0 for p in range(8)) >= 3 for x in rows)
+    near = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 3}
+    assert near and near <= kept and 2 * len(kept) < len(rows)
+
+
+def test_simhash_clashing_names(odd):
+    plain = [tuple(r) for r in simhash.near_duplicates(odd).collect()]
+    more = odd.selectExpr("doc_id", "text", "kept as fp", "n_lines as component_id", "kept as fingerprint", "kept as text_hash", "n_lines as list", "n_lines as least", "n_lines as root")
+    assert sorted(map(str, plain)) == sorted(map(str, [tuple(r) for r in simhash.near_duplicates(more).collect()]))
