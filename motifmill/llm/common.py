@@ -148,14 +148,35 @@ class Memo(dict):
         return value
 
 
-def map_texts(df: DataFrame, make: Callable[[], Callable[[list, pa.RecordBatch], dict]], schema: str) -> DataFrame:
+#: What a worker keeps between tasks, by what it is for: at most one memo or tokenizer.
+_KEPT: dict = {}
+
+
+def kept(key: tuple, make: Callable):
+    """What `make` returned for `key`, for all tasks of a worker until one asks for another key. A worker that serves one stage
+    after the other holds the memo of one only."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def forget_kept() -> None:
+    """A task that needs nothing of what its worker keeps lets it go."""
+    _KEPT.clear()
+
+
+def map_texts(df: DataFrame, make: Callable[[], Callable[[list, pa.RecordBatch], dict]], schema: str, keeps: bool = False) -> DataFrame:
     """mapInArrow over a frame with a `text` column: `make()` runs once per task and returns a function from the texts as
-    UTF-8 bytes and the batch to columns. Batches end at BATCH_BYTES of text, so that memory holds that or one longer text."""
+    UTF-8 bytes and the batch to columns. Batches end at BATCH_BYTES of text, so that memory holds that or one longer text.
+    `keeps`: what the worker keeps is used, else it is let go."""
     names = T._parse_datatype_string(schema).fieldNames()
     arrow = _arrow_schema(df.sparkSession, schema)
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            forget_kept()
         work = make()
         for whole in batches:
             for at in range(0, whole.num_rows, 512):

@@ -11,14 +11,13 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import RUN_BYTES, map_texts, stored, text_of, text_runs
+from .common import RUN_BYTES, kept, map_texts, stored, text_of, text_runs
 
 WINDOW = 2048
 END_ID = 1
@@ -101,10 +100,9 @@ class WordTokenizer:
         return out
 
 
-@lru_cache(maxsize=2)
 def tokenizer_for(path: str) -> WordTokenizer:
     """One tokenizer for all tasks of a worker, so that they share its memo."""
-    return WordTokenizer(path)
+    return kept(("words", path), lambda: WordTokenizer(path))
 
 
 def crc(ids: np.ndarray) -> int:
@@ -130,7 +128,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, window: int, end_id: int) ->
 
         return work
 
-    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")), make, "doc_id long, n long, fulls array<long>, rest binary, rest_crc long")
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")), make, "doc_id long, n long, fulls array<long>, rest binary, rest_crc long", keeps=True)
 
 
 def combinations(window: int, present: np.ndarray) -> np.ndarray:

@@ -10,7 +10,6 @@ from __future__ import annotations
 import re
 import zlib
 from dataclasses import dataclass
-from functools import lru_cache
 from itertools import pairwise
 
 import numpy as np
@@ -19,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import RUN_BYTES, Memo, fold, map_texts, small_batches, text_of, text_runs
+from .common import RUN_BYTES, Memo, fold, kept, map_texts, small_batches, text_of, text_runs
 
 HASH_BITS = 18
 #: Most labelled rows that training takes, those of the lowest hash of their id.
@@ -78,10 +77,9 @@ def new_memo() -> Memo:
     return Memo(lambda w: zlib.crc32(w.lower()) << 32 | _shape(w))
 
 
-@lru_cache(maxsize=1)
 def shared_memo() -> Memo:
     """One memo for all tasks and batches of a worker."""
-    return new_memo()
+    return kept(("features",), new_memo)
 
 
 @dataclass
@@ -173,5 +171,5 @@ def classify(docs: DataFrame, model: FtrlModel, threshold: float = THRESHOLD) ->
         memo = shared_memo()
         return lambda texts, batch: {"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": [shared.value.score(t, memo) for t in texts]}
 
-    scored = map_texts(docs.select(doc_id.cast("long").alias("doc_id"), (fold(doc_id) == 0).alias("held_out"), text_of().alias("text")), make, "doc_id long, held_out boolean, score double")
+    scored = map_texts(docs.select(doc_id.cast("long").alias("doc_id"), (fold(doc_id) == 0).alias("held_out"), text_of().alias("text")), make, "doc_id long, held_out boolean, score double", keeps=True)
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import RUN_BYTES, map_texts, small_batches, text_of, text_runs
+from .common import RUN_BYTES, forget_kept, map_texts, small_batches, text_of, text_runs
 from .quality_classifier import labelled_sample
 
 #: Most labelled rows that training takes, those of the lowest hash of their id.
@@ -230,6 +230,7 @@ def kept_column(trees: Trees, text: Column, spark, threshold: float = THRESHOLD)
 
     @F.pandas_udf("boolean")
     def kept(texts: pd.Series) -> pd.Series:
+        forget_kept()
         found = [statistics((t or "").encode()) for t in texts]
         score = shared.value.score(np.array([x for _, x in found]).reshape(len(found), len(STATISTICS)))
         return pd.Series([c[0] >= 10 and 100 * c[4] <= 20 * c[0] and s >= threshold for (c, _), s in zip(found, score, strict=True)], dtype="bool")

@@ -7,7 +7,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from motifmill.llm import packing, sentencepieces
+from motifmill.llm import common, packing, quality_classifier, sentencepieces
 
 WORDS, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
@@ -96,3 +96,14 @@ def test_pieces_over_frames(spark, odd):
     out = sentencepieces.round_trip(odd, PIECES).collect()
     assert len(out) == odd.count() and {r["doc_id"] for r in out if not r["same_text"]} == {7}
     assert sentencepieces.round_trip(odd.where("false"), PIECES).count() == 0
+
+
+def test_a_worker_keeps_one_memo_at_a_time():
+    """Memos of stages that the same workers serve one after the other don't add up."""
+    memo = quality_classifier.shared_memo()
+    assert quality_classifier.shared_memo() is memo
+    coder = packing.tokenizer_for(WORDS)
+    assert packing.tokenizer_for(WORDS) is coder and list(common._KEPT.values()) == [coder]
+    assert quality_classifier.shared_memo() is not memo and packing.tokenizer_for(WORDS) is not coder
+    common.forget_kept()
+    assert not common._KEPT
