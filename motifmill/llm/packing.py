@@ -9,19 +9,38 @@ sequence is padded. The histogram and the plan have a size bounded by the window
 
 from __future__ import annotations
 
+import json
+import os
+import re
+import string
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import RUN_BYTES, kept, map_texts, stored, text_of, text_runs
+from .common import RUN_BYTES, Memo, kept, map_texts, stored, text_of, text_runs
 
 WINDOW = 2048
 END_ID = 1
 _MARK = "|"
+#: The splitting for which letters and marks are encoded apart.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLITTING = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+_MARKS = string.punctuation.encode()
+#: Lower-case letters of ASCII and Latin-1, as UTF-8: they compose with nothing and have no other form.
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+#: How a byte-level model spells the letters of Latin-1 in the letters of their bytes, the second of which begin at U+0122 up to 0xA0.
+_BYTE_LETTERS = {c: "\xc3" + (chr(b) if (b := c - 0x40) > 0xA0 and b != 0xAD else chr(b + 0xA2) if b <= 0xA0 else "\u0143") for c in range(0xDF, 0x100)}
 #: Words of a worker's memo, and as many old ones.
 TOKEN_MEMO = 500_000
 
@@ -36,16 +55,30 @@ class WordTokenizer:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tok, self.memo, self.old = Tokenizer.from_file(path), {}, {}
         mark = self._encode(_MARK)
         self.by_word = len(mark) == 1 and self._encode(f" b a\n{_MARK} c ") == [*self._encode("b"), *self._encode("a"), *mark, *self._encode("c")]
         self.lowers = self._encode("AB Cd") == self._encode("ab cd")
         self.mark = mark[0] if mark else -1
         self.kind = np.dtype("<u2") if self.tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.ends = {e[0]: self._bytes(e) for e in (b",", b".") if self._encode("ab" + e.decode()) == [*self._encode("ab"), *self._encode(e.decode())]}
+        self.tails, self.bare = Memo(self._bytes, 10_000), self._model_alone()
+
+    def _model_alone(self):
+        """The tokenizer's model without its normalizer and its splitting, where these let lower-case Latin letters pass as they are
+        (in the letters of their bytes) and split them from marks; else None."""
+        from tokenizers import Tokenizer
+
+        spec = json.loads(self.tok.to_str())
+        model = spec["model"]
+        if (spec["normalizer"], spec["pre_tokenizer"]) != (_NORMALIZER, _SPLITTING) or model["type"] != "BPE" or not model["end_of_word_suffix"]:
+            return None
+        self.ends = np.zeros(max(model["vocab"].values()) + 1 + len(spec["added_tokens"]), bool)
+        self.ends[[i for word, i in model["vocab"].items() if word.endswith(model["end_of_word_suffix"])]] = True
+        return Tokenizer(self.tok.model)
 
     def _encode(self, text: str) -> list[int]:
-        return self.tok.encode(text, add_special_tokens=False).ids
+        return self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids  # without offsets, which aren't used
 
     def _bytes(self, word: bytes) -> bytes:
         return np.array(self._encode(word.decode()), self.kind).tobytes()
@@ -57,25 +90,44 @@ class WordTokenizer:
             self.old, self.memo = self.memo, {}
         memo, old = self.memo, self.old
         memo.update((w, old[w]) for w in new if w in old)
-        new = {w for w in new if w not in old}
-        ended = [w for w in new if w[-1] in self.ends and len(w) > 1 and 97 <= w[-2] <= 122]  # a letter, then one mark
-        new.difference_update(ended)
-        new.update(w[:-1] for w in ended if w[:-1] not in memo)
+        new = {w for w in new if w not in memo}
+        if self.bare is not None:  # letters and the marks after them are encoded apart
+            cores = {w: core for w in new if (core := w.rstrip(_MARKS)) and (core.isalpha() and core.islower() or _LETTERS.fullmatch(core))}
+            letters = {core for core in cores.values() if core not in memo}
+            memo.update((w, old[w]) for w in letters if w in old)
+            self._learn_letters([w for w in letters if w not in memo])
+            memo.update((w, memo[core] + self.tails[w[len(core) :]]) for w, core in cores.items() if len(w) > len(core))
+            new.difference_update(cores)
         plain = [w for w in new if b"|" not in w]
         for at in range(0, len(plain), 20_000):
             some = plain[at : at + 20_000]
-            ids = np.array(self._encode(f" {_MARK} ".join(w.decode() for w in some)), self.kind)
-            cuts = np.flatnonzero(ids == self.mark)
-            if len(cuts) == len(some) - 1:
-                data, edge = ids.tobytes(), self.kind.itemsize
-                memo.update(zip(some, map(data.__getitem__, map(slice, [0, *((cuts + 1) * edge).tolist()], [*(cuts * edge).tolist(), len(data)])), strict=True))
+            self._learn_cut(some, self._encode(f" {_MARK} ".join(w.decode() for w in some)))
         memo.update((w, self._bytes(w)) for w in new if w not in memo)
-        memo.update((w, memo[w[:-1]] + self.ends[w[-1]]) for w in ended)
 
-    def _words(self, text: bytes) -> list[bytes]:
+    def _learn_letters(self, words: list[bytes]) -> None:
+        """Words of letters only: each is one word for the model, whose last token ends a word."""
+        for at in range(0, len(words), 20_000):
+            some = words[at : at + 20_000]
+            ids = np.array(self.bare.encode_batch_fast([[w.decode() if w.isascii() else w.decode().translate(_BYTE_LETTERS) for w in some]], is_pretokenized=True, add_special_tokens=False)[0].ids, self.kind)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(some):
+                self._add(some, ids, np.append(0, ends[:-1]), ends)
+        self.memo.update((w, self._bytes(w)) for w in words if w not in self.memo)
+
+    def _learn_cut(self, words: list[bytes], ids: list[int]) -> None:
+        """Words whose ids are set apart by marks."""
+        ids = np.array(ids, self.kind)
+        cuts = np.flatnonzero(ids == self.mark)
+        if len(cuts) == len(words) - 1:
+            self._add(words, ids, np.append(0, cuts + 1), np.append(cuts, len(ids)))
+
+    def _add(self, words: list[bytes], ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        data, edge = ids.tobytes(), self.kind.itemsize
+        self.memo.update(zip(words, map(data.__getitem__, map(slice, (starts * edge).tolist(), (ends * edge).tolist())), strict=True))
+
+    def _cased(self, text: bytes) -> bytes:
         # A lower-cased word has the ids of the word, unless it may be a special token or compose with a combining mark.
-        plain = self.lowers and b"<|" not in text and b"\xcc" not in text and b"\xcd" not in text
-        return (text.lower() if plain else text).split()
+        return text.lower() if self.lowers and b"<|" not in text and b"\xcc" not in text and b"\xcd" not in text else text
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each UTF-8 text. Long texts are read in runs, if words are encoded independently."""
@@ -86,18 +138,20 @@ class WordTokenizer:
         return self._encode_short(texts)
 
     def _encode_short(self, texts: list[bytes]) -> list[np.ndarray]:
-        out = []
-        for at in range(0, len(texts), 64):
-            split = [self._words(t) for t in texts[at : at + 64]]
-            found = [list(map(self.memo.get, words)) for words in split]
-            unknown = {w for words, ids in zip(split, found, strict=True) if None in ids for w, x in zip(words, ids, strict=True) if x is None}
-            if unknown:
-                self.learn(unknown)
-            for words, ids in zip(split, found, strict=True):
-                if None in ids:
-                    ids = [self.memo[w] if x is None else x for w, x in zip(words, ids, strict=True)]
-                out.append(np.frombuffer(b"".join(ids), self.kind))
-        return out
+        """Each distinct word of the texts is looked up once; then all ids are gathered at a time."""
+        split = pc.ascii_split_whitespace(pa.array(map(self._cased, texts), pa.binary()).cast(pa.string()))
+        coded = split.values.dictionary_encode()
+        words = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()  # a fraction of to_pylist's time
+        found = list(map(self.memo.get, words))
+        if None in found:
+            self.learn({w for w, x in zip(words, found, strict=True) if x is None})
+            found = [self.memo[w] if x is None else x for w, x in zip(words, found, strict=True)]
+        ids, size = np.frombuffer(b"".join(found), self.kind), np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
+        number = coded.indices.to_numpy()
+        times = size[number]
+        end = np.cumsum(times)
+        out = ids[np.arange(times.sum()) + np.repeat((np.cumsum(size) - size)[number] - end + times, times)]
+        return np.split(out, np.append(0, end)[split.offsets.to_numpy()[1:-1]]) if texts else []
 
 
 def tokenizer_for(path: str) -> WordTokenizer:

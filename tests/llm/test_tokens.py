@@ -98,6 +98,27 @@ def test_pieces_over_frames(spark, odd):
     assert sentencepieces.round_trip(odd.where("false"), PIECES).count() == 0
 
 
+def test_words_have_the_ids_of_the_library():
+    """Letters and the marks after them are encoded apart, each distinct word once."""
+    tok, coder = Tokenizer.from_file(WORDS), packing.WordTokenizer(WORDS)
+    assert coder.bare is not None
+    r = random.Random(3)
+    parts = ["a", "the", "ing", "s", "t", "ll", "'", "'s", "''", ".", ",", "%%%", "|", "-", "<|", "<|endoftext|>", "7", "20", "A", "É", "ß", "é", "÷", "ÿ", "à", "µ", "ª", "é", "ñ", "日本", "İ", "ſ", "\x1c", "\x85", "\xa0", " "]
+    words = [bytes([97 + i]).decode() for i in range(26)] + [chr(c) for c in range(0xA1, 0x180)] + [chr(c) + "." for c in range(0xDF, 0x100)]
+    words += ["".join(r.choice(parts) for _ in range(r.randrange(1, 7))) for _ in range(20_000)]
+    texts = ["".join(w + r.choice(" \t\n\v\f\r") * r.randrange(1, 3) for w in words[at : at + 40]) for at in range(0, len(words), 40)] + ["", " ", "\n a"]
+    for some in (texts, texts[::-1], []):
+        assert [x.tolist() for x in coder.encode([t.encode() for t in some])] == [tok.encode(t, add_special_tokens=False).ids for t in some]
+
+
+def test_memo_of_words_turns_over(monkeypatch):
+    monkeypatch.setattr(packing, "TOKEN_MEMO", 50)
+    tok, coder = Tokenizer.from_file(WORDS), packing.WordTokenizer(WORDS)
+    r = random.Random(4)
+    texts = [" ".join("".join(r.choice("abcé") for _ in range(r.randrange(1, 4))) + r.choice(["", ".", "!?"]) for _ in range(30)) for _ in range(40)]
+    assert [x.tolist() for t in texts for x in coder.encode([t.encode()])] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_a_worker_keeps_one_memo_at_a_time():
     """Memos of stages that the same workers serve one after the other don't add up."""
     memo = quality_classifier.shared_memo()
