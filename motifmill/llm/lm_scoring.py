@@ -362,6 +362,21 @@ def by_key(keys: np.ndarray, outcomes: np.ndarray) -> np.ndarray:
     return order_of(rank, outcomes)
 
 
+def trained_alone(n: np.ndarray, q: np.ndarray, variance: float, updates: int) -> np.ndarray:
+    """The weights of cells that are the only ones of their features, by the updates of `trained`."""
+    weight, on = np.zeros(len(n)), np.arange(len(n))
+    while len(on) and updates:
+        updates -= 1
+        mine, w, own = n[on], weight[on], q[on]
+        e = own * np.exp(w)
+        z = 1 + e - own
+        p, others = e / z, (1 - own) / z
+        step = (mine * others - w / variance) / (mine * p * others + 1 / variance)
+        weight[on] = w + np.clip(step, -2, 2)
+        on = on[np.abs(step) > 1e-7]
+    return weight
+
+
 def trained(first: np.ndarray, n: np.ndarray, q: np.ndarray, variance: float, updates: int = UPDATES) -> np.ndarray:
     """The log probabilities of outcomes under features whose weights are trained, in the order of the cells.
 
@@ -374,6 +389,9 @@ def trained(first: np.ndarray, n: np.ndarray, q: np.ndarray, variance: float, up
     weight = np.zeros(len(n))
     feature = np.repeat(np.arange(len(first)), size)
     cells = np.flatnonzero(n > 0)
+    single = np.bincount(feature[cells], minlength=len(first))[feature[cells]] == 1  # most features have one cell
+    weight[cells[single]] = trained_alone(n[cells[single]], q[cells[single]], variance, updates)
+    cells = cells[~single]
     at = firsts(feature[cells]) if len(cells) else np.empty(0, np.int64)
     while len(cells) and updates:
         updates -= 1

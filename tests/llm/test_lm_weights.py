@@ -113,3 +113,18 @@ def test_training_lowers_held_out_loss(spark):
     out = lm.score_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").collect()
     base, score, tokens = (sum(r[c] for r in out) for c in ("base_score", "score", "n_tokens"))
     assert score / tokens - base / tokens > 0.5
+
+
+def test_cells_alone_have_the_weights_of_plain_python(monkeypatch):
+    """Features of one cell are trained apart; the others, and cells without tokens, aren't."""
+    r = np.random.default_rng(5)
+    size = r.integers(1, 4, 60)
+    first = np.cumsum(size) - size
+    n, q = r.integers(0, 4, size.sum()).astype(float), r.random(size.sum()) / 4
+    given, alone = [], lm.trained_alone
+    monkeypatch.setattr(lm, "trained_alone", lambda n, *rest: given.append(len(n)) or alone(n, *rest))
+    found = lm.trained(first, n, q, 4.0)
+    for a, k in zip(first, size, strict=True):
+        w, log_z = weights({i: n[i] for i in range(a, a + k) if n[i]}, {i: q[i] for i in range(a, a + k)}, 4.0)
+        assert found[a : a + k] == pytest.approx([math.log(q[i]) + w.get(i, 0) - log_z for i in range(a, a + k)], abs=1e-5)
+    assert given == [sum((n[a : a + k] > 0).sum() == 1 for a, k in zip(first, size, strict=True))] and 0 < given[0] < 60
