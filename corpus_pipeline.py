@@ -36,9 +36,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies: that with the least doc_id, then text hash, of repeated rows one. A document
     without an id stays only if no other of its group has one."""
-    names, numbered = docs.columns, stored(docs.withColumn("__uid", F.monotonically_increasing_id()), "numbered")
-    kept = stored(simhash.one_of_each_group(numbered, "__uid"), "kept")
-    return numbered.join(kept, "__uid", "left_semi").select(*[F.col(f"`{c}`") for c in names])
+    return simhash.one_of_each_group(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, stored, text_of, token_runs
+from .common import map_texts, split_by_marks, stored, text_of, token_runs
 from .components import components
 
 MAX_BITS = 3
@@ -137,15 +137,30 @@ def fingerprint_groups(fps: DataFrame) -> tuple[DataFrame, DataFrame]:
     return weights, stored(components(fingerprint_links(weights.select("fp", "n"))).withColumnRenamed("node", "fp"), "roots")
 
 
-def one_of_each_group(docs: DataFrame, uid: str) -> DataFrame:
-    """(uid): of each component of `docs` the row with the least (doc_id, text hash, uid), null ids last. `uid` is a long column
-    that tells rows apart and is stored."""
-    make = lambda: lambda texts, batch: {"uid": batch["uid"], "doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "fp": [fingerprint(t) for t in texts]}
-    rows = docs.select(F.col(uid).alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), text_hash(F.col("text")).alias("text_hash"), text_of().alias("text"))
-    fps = stored(map_texts(rows, make, "uid long, doc_id long, text_hash long, fp long"), "fingerprints")
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "text_hash", "uid")).alias("least")
-    best = fps.groupBy("fp").agg(least).join(fingerprint_groups(fps)[1], "fp", "left")
-    return best.groupBy(F.coalesce("root", "fp")).agg(F.min("least").alias("least")).select(F.col("least.uid").alias(uid))
+def one_of_each_group(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` with the least (doc_id, text hash) of their component, null ids last; of repeated rows one. `docs` is
+    read again, so it must give the same rows every time, as a stored table does.
+
+    Rows that go and rows that are repeated are told by their ids and hashes. Texts are shuffled only where a bitmap of these
+    doesn't clear them; the others stay where they are.
+    """
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    fps = stored(fingerprints(docs), "fingerprints")
+    roots = fingerprint_groups(fps)[1]
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "text_hash")).alias("least")
+    best = stored(fps.groupBy("fp").agg(least).join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "best")
+    of_root = stored(best.groupBy("root").agg(F.min("least").alias("least")), "least")  # a large component's rows can be split
+    of_fp = stored(best.select("fp", "root").join(of_root, "root").select("fp", "least"), "least")  # and a frequent fingerprint's
+    keys = fps.groupBy("doc_id", "text_hash").agg(F.min("fp").alias("fp"), F.count(F.lit(1)).alias("n")).join(of_fp, "fp")
+    stays = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_hash") == F.col("least.text_hash"))
+    marks = keys.select(F.col("doc_id").alias("__mark_id"), F.col("text_hash").alias("__mark_hash"), stays.alias("__stays"), "n").where("n > 1 or not __stays").drop("n")
+    marks = stored(marks, "marks")
+    keyed = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__hash", text_hash(F.col("text"))).withColumn("__key", F.xxhash64("__id", "__hash"))
+    met, clear = split_by_marks(keyed, "__key", marks.select(F.xxhash64("__mark_id", "__mark_hash").alias("key")))
+    told = met.join(marks, F.col("__id").eqNullSafe(F.col("__mark_id")) & (F.col("__hash") == F.col("__mark_hash")), "left")
+    told = stored(told.where("__stays is null or __stays"), "told")
+    kept = clear.select(*names).unionByName(told.where("__stays is null").select(*names))
+    return kept.unionByName(told.where("__stays").dropDuplicates(["__id", "__hash"]).select(*names))
 
 
 def near_duplicates(docs: DataFrame, ngram: int = 3, seed: int = 42) -> DataFrame:

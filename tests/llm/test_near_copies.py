@@ -1,6 +1,8 @@
+import random
+
 import corpus_pipeline
 
-from motifmill.llm import simhash
+from motifmill.llm import common, simhash
 
 
 def brute_kept(rows):
@@ -28,3 +30,24 @@ def test_one_document_of_each_group(spark, odd, documents):
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in out) == brute_kept(rows)
     assert len(out) < len(rows) and {tuple(r) for r in out} <= set(rows)
     assert sum(r["text"] == "lost id" for r in out) == 1 and sum((r["text"] or "").startswith("w0 w1 ") for r in out) == 1
+
+
+def test_texts_that_stay_are_not_moved(spark, monkeypatch, tmp_path):
+    """Of a table too large for broadcasts, texts without a copy are neither stored again nor shuffled; copies go all the same."""
+    r = random.Random(5)
+    rows = [(i, " ".join(f"{r.getrandbits(60):x}" for _ in range(400))) for i in range(600)]
+    docs = tmp_path / "docs"
+    spark.createDataFrame([*rows, *((1000 + i, rows[i][1]) for i in range(12)), *[rows[20]] * 3], "doc_id long, text string").write.parquet(str(docs))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    monkeypatch.setattr(common, "shared_dir", lambda spark: str(tmp_path / "shared"))
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    try:
+        before = written()
+        out = corpus_pipeline.dedup_near_copies(spark, spark.read.parquet(str(docs)), "").collect()
+        moved = written() - before
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    again = sum(f.stat().st_size for f in (tmp_path / "shared").rglob("*.parquet"))
+    assert sorted(tuple(x) for x in out) == rows
+    size = sum(len(t) for _, t in rows)
+    assert moved < 0.3 * size and again < 0.3 * size
