@@ -141,11 +141,14 @@ class Memo(dict):
         value = self.old.get(word)
         if value is None:
             value = self.make(word)
+        self.put(word, value)
+        return value
+
+    def put(self, word, value) -> None:
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
         self[word] = value
-        return value
 
 
 #: What a worker keeps between tasks, by what it is for: at most one memo or tokenizer.

@@ -4,8 +4,9 @@ The search runs over the positions of a text. A state is a position and the last
 if the merges of the two pieces' text would keep them apart, so the one path through admissible steps is exactly what the
 library's merging finds. Only positions within the longest piece's reach of the newest one can still be extended; when all their
 backpointer paths meet in one boundary, the ids before it are committed and forgotten. No piece goes over the start of a run of
-spaces or over a character without a piece, so there all paths meet by construction: a text is searched between such places,
-and the ids of short stretches are memoised.
+spaces, over a border of letters and other characters that no piece holds, or over a character without a piece, so there all
+paths meet by construction: a text is searched between such places, and the ids of short stretches are memoised. New stretches
+of a batch are searched in order, and each goes on from the states that it shares with the one before.
 """
 
 from __future__ import annotations
@@ -13,7 +14,9 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -57,7 +60,20 @@ class PieceCoder:
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("a piece goes over the start of a run of spaces")
         self.apart = Memo(self._apart, 1_000_000)
-        self.memo = Memo(lambda s: array("i", self.search(s)).tobytes())
+        self.memo = Memo(self.searched)
+        self.stretch = self._stretches()
+
+    def _stretches(self) -> re.Pattern:
+        """Spaces and the letters, or the other characters, that follow. A text may be cut between two characters that stand beside
+        each other in no piece, since every merge over their border would make such a piece. Letters that have pieces with
+        others count as others; without such borders only runs of spaces start a stretch."""
+        pairs = {pair for p in self.ids for pair in zip(p, p[1:], strict=False) if pair[0] != SPACE or pair[1] == "\n"}
+        letter = re.compile(r"[^\W\d_]")
+        mixed = {c for pair in pairs for c in pair if len({bool(letter.match(x)) for x in pair}) == 2 and letter.match(c)}
+        odd = "".join(map(re.escape, sorted(mixed)))
+        if any(("\n" in pair) or (pair[0] in mixed) != (pair[1] in mixed) and all(map(letter.match, pair)) for pair in pairs):
+            return re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        return re.compile(rf"{SPACE}*[^\W\d_{odd}]+|{SPACE}*(?:[^\w{SPACE}\n]|[\d_{odd}])+|{SPACE}+|\n")
 
     def merged(self, text: str) -> list[str]:
         """Plain merging of a piece's text up to its last step: always the pair whose whole has the best score, the leftmost
@@ -116,6 +132,38 @@ class PieceCoder:
                     last, back, base = last[meet - base :], back[meet - base :], meet
         return out + self._path(last, back, base, len(text))
 
+    def searched(self, text: str) -> bytes:
+        return array("i", self.search(text)).tobytes()
+
+    def search_sorted(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of short stretches in order: the states up to where one differs from the one before are still those of its
+        own search. One with a character that has no piece is searched alone."""
+        ends, apart = self.ends.get, self.apart
+        before, last, back = "", [-1], [0]
+        for text in texts:
+            shared = 0
+            for a, b in zip(before, text, strict=False):
+                if a != b:
+                    break
+                shared += 1
+            shared = min(shared, len(last) - 1)
+            del last[shared + 1 :], back[shared + 1 :]
+            for p in range(shared + 1, len(text) + 1):
+                for q in range(p - 1, -1, -1):
+                    piece = ends(text[q:p])
+                    if piece is None:
+                        break
+                    if piece >= 0 and ((to := last[q]) < 0 or apart[to << 32 | piece]):
+                        last.append(piece)
+                        back.append(q)
+                        break
+                if len(last) == p:
+                    yield self.searched(text)
+                    break
+            else:
+                yield array("i", self._path(last, back, 0, len(text))).tobytes()
+            before = text
+
     @staticmethod
     def _path(last: list[int], back: list[int], base: int, end: int) -> list[int]:
         path = []
@@ -124,29 +172,46 @@ class PieceCoder:
             end = back[end - base]
         return path[::-1]
 
-    _STRETCH = re.compile(f"{SPACE}*[^{SPACE}\\n]+|{SPACE}+|\\n")
     _BORDER = re.compile(f"[^ {SPACE}\\n](?= )")
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text; none for an empty one. A long text is read in runs that end before a run of spaces."""
-        if not text:
-            return np.empty(0, "<i4")
-        if len(text) <= RUN_BYTES:
-            return self._encode(SPACE + text.replace(" ", SPACE))
-        out, at = [], 0
-        while at < len(text):
-            found = self._BORDER.search(text, at + RUN_BYTES)
-            end = found.end() if found else len(text)
-            out.append(self._encode((SPACE if at == 0 else "") + text[at:end].replace(" ", SPACE)))
-            at = end
-        return np.concatenate(out)
-
-    def _encode(self, text: str) -> np.ndarray:
-        memo = self.memo
-        stretches = self._STRETCH.findall(text)
-        if max(map(len, stretches)) <= MEMO_CHARS:
-            return np.frombuffer(b"".join(map(memo.__getitem__, stretches)), "<i4")
-        return np.frombuffer(b"".join(memo[s] if len(s) <= MEMO_CHARS else array("i", self.search(s)).tobytes() for s in stretches), "<i4")
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text of a batch; runs are encoded together up to some RUN_BYTES."""
+        coded, ends, runs, size = [], [0], [], 0
+        for text in texts:
+            at = 0
+            while at < len(text):
+                found = self._BORDER.search(text, at + RUN_BYTES) if len(text) > at + RUN_BYTES else None
+                end = found.end() if found else len(text)
+                runs.append(((SPACE if at == 0 else "") + text[at:end]).replace(" ", SPACE))
+                size, at = size + end - at, end
+                if size >= RUN_BYTES:
+                    coded += self._encode(runs)
+                    runs, size = [], 0
+            ends.append(len(coded) + len(runs))
+        coded += self._encode(runs)
+        return [np.frombuffer(b"".join(coded[at:end]), "<i4") for at, end in pairwise(ends)]
+
+    def _encode(self, runs: list[str]) -> list[bytes]:
+        split = list(map(self.stretch.findall, runs))
+        ids = dict.fromkeys(chain.from_iterable(split))
+        memo, new = self.memo, []
+        for s in ids:
+            found = memo.get(s) or memo.old.get(s)
+            if found is not None:
+                ids[s] = found
+            elif len(s) <= MEMO_CHARS:
+                new.append(s)
+            else:
+                ids[s] = self.searched(s)
+        new.sort()
+        ids.update(zip(new, self.search_sorted(new), strict=True))
+        for s in new:
+            memo.put(s, ids[s])
+        return [b"".join(map(ids.__getitem__, own)) for own in split]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The text of ids as UTF-8; the space that encoding puts in front goes."""
@@ -164,7 +229,7 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
 
     def make():
         coder = coder_for(model_path)
-        return lambda texts, batch: {"doc_id": batch["doc_id"], "ids": [coder.encode(t.decode()) for t in texts]}
+        return lambda texts, batch: {"doc_id": batch["doc_id"], "ids": coder.encode_all([t.decode() for t in texts])}
 
     return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")), make, "doc_id long, ids array<int>")
 
@@ -195,8 +260,7 @@ def round_trip(docs: DataFrame, model_path: str) -> DataFrame:
 
         def work(texts: list, batch: pa.RecordBatch) -> dict:
             out = {"doc_id": batch["doc_id"], "n_ids": [], "ids_crc32": [], "decoded_sha256": [], "same_text": []}
-            for t in texts:
-                ids = coder.encode(t.decode())
+            for t, ids in zip(texts, coder.encode_all([t.decode() for t in texts]), strict=True):
                 back = coder.decode(ids)
                 out["n_ids"].append(len(ids))
                 out["ids_crc32"].append(zlib.crc32(ids.tobytes()))

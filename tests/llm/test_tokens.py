@@ -128,3 +128,46 @@ def test_a_worker_keeps_one_memo_at_a_time():
     assert quality_classifier.shared_memo() is not memo and packing.tokenizer_for(WORDS) is not coder
     common.forget_kept()
     assert not common._KEPT
+
+
+def test_pieces_at_borders_of_letters_and_marks(coder):
+    """Batches, in which words are cut from marks and share their first states, have the library's ids."""
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    r = random.Random(6)
+    parts = ["the", "ing", "a", "e", "é", "ж", "ы", "日", "ا", "².", "²", "½", "Ⅷ", "7", "٣", "_", "__", "._", "(_", ".", "...", "$$$", "'s", "-", "́", "👍", "▁", " ", "  ", "\n", "\n\n", "\t", "\xa0"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(40))) for _ in range(3000)] + ["", " ", "\n", "x" * 100 + "." * 100]
+    for some in (texts, texts[::-1], [], [""]):
+        assert [x.tolist() for x in coder.encode_all(some)] == [sp.encode(t) for t in some]
+    for piece in coder.ids:
+        assert coder.stretch.findall(piece) == [piece]
+
+
+def test_stretches_of_a_vocabulary_with_mixed_pieces():
+    coder = sentencepieces.PieceCoder(PIECES)
+    assert coder._stretches().findall("▁▁ab.c▁\nd²x²,") == ["▁▁ab", ".", "c", "▁", "\n", "d", "²", "x", "²,"]
+    for mixed in ("a.", ".b", "a\n", "▁\n"):
+        coder.ids = {"ab": 1, "bc": 2, mixed: 3}
+        assert coder._stretches().findall("▁▁ab.c▁\nd²") == ["▁▁ab.c", "▁\nd²"]
+
+
+def test_words_are_searched_once_whatever_marks_follow():
+    class Counting(dict):
+        asked = 0
+
+        def get(self, key):
+            Counting.asked += 1
+            return super().get(key)
+
+    coder = sentencepieces.PieceCoder(PIECES)
+    coder.ends = Counting(coder.ends)
+    r = random.Random(7)
+    words = ["".join(r.choice("abcdetshing") for _ in range(9)) for _ in range(400)]
+    coder.encode(" ".join(words))
+    once, Counting.asked = Counting.asked, 0
+    coder.encode(" ".join(w + mark for w in words for mark in ("", ",", ".", "&&&", "$$$")))
+    assert Counting.asked < 0.05 * once
+    for w in sorted({w[:8] + x for w in words for x in "kmw"}):
+        coder.search("▁" + w)
+    alone, Counting.asked = Counting.asked, 0
+    coder.encode(" ".join(w[:8] + x for w in words for x in "kmw"))
+    assert Counting.asked < 0.6 * alone
