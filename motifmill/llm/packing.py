@@ -186,12 +186,13 @@ def tokenised(docs: DataFrame, tokenizer_path: str, window: int, end_id: int) ->
 
 
 def combinations(window: int, present: np.ndarray) -> np.ndarray:
-    """Rows of two or three lengths, descending and padded with 0, that sum to the window and occur."""
+    """Rows of two or three lengths, descending and padded with 0, that sum to the window and occur. Only such rows are made."""
     a = np.arange(1, window)
     pairs = np.stack([a, window - a, 0 * a], 1)
-    x, y = np.meshgrid(a, a, indexing="ij")
-    triples = np.stack([x.ravel(), y.ravel(), window - x.ravel() - y.ravel()], 1)
-    found = np.concatenate([pairs[pairs[:, 0] >= pairs[:, 1]], triples[(triples[:, 0] >= triples[:, 1]) & (triples[:, 1] >= triples[:, 2]) & (triples[:, 2] > 0)]])
+    low = -(-(window - a) // 2)  # of the second length; the third, the rest, isn't larger
+    times = np.maximum(np.minimum(a, window - 1 - a) - low + 1, 0)
+    x, y = np.repeat(a, times), np.arange(times.sum()) + np.repeat(low - np.cumsum(times) + times, times)
+    found = np.concatenate([pairs[pairs[:, 0] >= pairs[:, 1]], np.stack([x, y, window - x - y], 1)])
     return found[present[found].all(1)]
 
 
@@ -236,8 +237,14 @@ def make_plan(histogram: np.ndarray, window: int) -> Plan:
     combos = combinations(window, np.concatenate([[True], histogram[1:] > 0]))
     x = least_squares(combos, histogram.astype(float))
     left, order, chosen = histogram.astype(np.int64).tolist(), np.argsort(-x, kind="stable"), []
+
+    def wishes():
+        for at in range(0, len(order), 4096):  # a list of all takes many times their arrays' memory
+            some = order[at : at + 4096]
+            yield from zip(some.tolist(), combos[some].tolist(), x[some].tolist(), strict=True)
+
     for upwards in (False, True):  # whole counts first, then one more of each while there are rests
-        for c, (a, b, d), wish in zip(order.tolist(), combos[order].tolist(), x[order].tolist(), strict=True):
+        for c, (a, b, d), wish in wishes():
             n = 1 if upwards else int(wish)
             if n == 0:
                 break
@@ -308,17 +315,15 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
     loose_sequences = 0 if last is None else last + 1
 
     def halves(batches):
-        kind = "<u2" if small else "<u4"
         for batch in batches:
             for r in batch.to_pylist():
-                ids, room = np.frombuffer(r["rest"], kind), window - r["offset"]
+                ids, room = np.frombuffer(r["rest"], f"<u{len(r['rest']) // r['length']}"), window - r["offset"]
                 start = r["n"] - r["length"]
                 yield pa.RecordBatch.from_pylist(
                     [{"doc_id": r["doc_id"], "start": start, "length": room, "ids_crc32": crc(ids[:room]), "doc_tokens": r["n"], "sequence_id": r["sequence_id"], "offset": r["offset"]},
                      {"doc_id": r["doc_id"], "start": start + room, "length": r["length"] - room, "ids_crc32": crc(ids[room:]), "doc_tokens": r["n"], "sequence_id": r["sequence_id"] + 1, "offset": 0}],
                     schema=piece_schema)
 
-    small = tokenizer_for(tokenizer_path).kind.itemsize == 2
     piece = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     piece_schema = pa.schema([(f.split()[0], pa.int64()) for f in piece.split(", ")])
     cut = stored(stream.where(crosses).drop("rest_crc"), "cut")

@@ -129,6 +129,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     return docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")  # of a bounded number of rows
 
 
+def _views(part: pa.Array, kind: type) -> list[np.ndarray]:
+    """The numbers of each row of a binary array without nulls, not copied: the driver holds the features once."""
+    part = part.cast(pa.large_binary())
+    _, offsets, data = part.buffers()
+    ends = np.frombuffer(offsets, np.int64)[part.offset : part.offset + len(part) + 1].tolist()
+    return [np.frombuffer(data, kind, (b - a) // np.dtype(kind).itemsize, a) if b > a else np.empty(0, kind) for a, b in pairwise(ends)]
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> FtrlModel:
     """Fits on a bounded sample; features are made by the executors. Without any label every score is 0.5."""
 
@@ -143,7 +151,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> FtrlMod
 
     sample = labelled_sample(docs, labels, rows).select(F.col("doc_id").cast("long"), F.col("quality").cast("int"), "text")
     got = map_texts(sample, make, "doc_id long, quality int, at binary, value binary").toArrow()
-    found = [(int(q > 0), np.frombuffer(a, np.int32), np.frombuffer(v, np.float32), zlib.crc32(b"%d" % d)) for d, q, a, v in zip(*(got[c].to_pylist() for c in ("doc_id", "quality", "at", "value")), strict=True)]
+    view = lambda col, kind: (x for part in got[col].chunks for x in _views(part, kind))
+    found = [(int(q > 0), a, v, zlib.crc32(b"%d" % d)) for d, q, a, v in zip(got["doc_id"].to_pylist(), got["quality"].to_pylist(), view("at", np.int32), view("value", np.float32), strict=True)]
     found.sort(key=lambda x: (x[3], len(x[1])))
     return ftrl([x[:3] for x in found]) if found else FtrlModel(np.zeros(SIZE, np.float32), 0.0)
 

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from motifmill.llm import quality_classifier as qc
 from motifmill.llm import quality_rules as qr
@@ -36,6 +37,17 @@ def test_classifier(spark, odd, documents, labels):
     assert {r["score"] for r in qc.classify(documents, none).collect()} == {0.5}
 
 
+def test_driver_holds_features_once():
+    """Training views them in the buffers that they came in."""
+    rows = [np.arange(n, dtype=np.float32) for n in (3, 0, 1, 1000, 0)]
+    whole = pa.array([x.tobytes() for x in rows], pa.binary())
+    for part, expected in ((whole, rows), (whole.slice(1, 3), rows[1:4]), (whole.cast(pa.large_binary()), rows), (whole.slice(5), [])):
+        found = qc._views(part, np.float32)
+        assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(found, expected, strict=True))
+    start, size = whole.buffers()[2].address, whole.buffers()[2].size
+    assert all(start <= x.ctypes.data < start + size for x in qc._views(whole, np.float32) if len(x))
+
+
 def brute_counts(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]

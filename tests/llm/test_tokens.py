@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -64,6 +65,28 @@ def test_plan_uses_no_more_than_there_is():
     assert packing.make_plan(np.zeros(64, int), 64).place(np.array([3]), np.array([0]))[0][0] == -1
 
 
+def test_driver_holds_little_while_it_plans(documents):
+    """Neither all pairs of lengths, nor a list of all combinations, nor a tokenizer."""
+    h = np.random.default_rng(1).integers(1, 60, packing.WINDOW)
+    h[0] = 0
+    tracemalloc.start()
+    plan = packing.make_plan(h, packing.WINDOW)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert plan.sequences > 0.7 * (h * np.arange(packing.WINDOW)).sum() / packing.WINDOW and most < 60e6
+    common.forget_kept()
+    assert packing.pack(documents, WORDS).count() > 0 and not common._KEPT
+
+
+def test_combinations_are_all_there_in_order():
+    r = np.random.default_rng(5)
+    for window in (1, 2, 3, 4, 9, 10, 33):
+        present = np.concatenate([[True], r.random(window - 1) < 0.8])
+        pairs = [(a, window - a, 0) for a in range(1, window) if a >= window - a]
+        triples = [(a, b, window - a - b) for a in range(1, window) for b in range(1, a + 1) if 0 < window - a - b <= b]
+        assert [tuple(c) for c in packing.combinations(window, present).tolist()] == [c for c in pairs + triples if all(present[y] for y in c)]
+
+
 def test_least_squares_lowers_the_error():
     h = np.random.default_rng(2).integers(0, 50, 40).astype(float)
     h[0] = 0
