@@ -8,9 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.state import stored
 from .neighbourhood import Neighbourhood, neighbourhood
 from .numbering import numbered
-from .windows import frames
+from .windows import by_use_of_id, frames
 
 
 #: Ids are numbered anew for bitmaps where less than one in so many is used.
@@ -56,6 +57,22 @@ def observe_support(sequences: DataFrame, k: int, d: int, span: tuple[int, int]
     return labels.groupBy("label").agg(F.sum(F.bitmap_count("bits")).alias("q"), F.sum("n").cast("long").alias("n"))
 
 
+def observe_support_by_start(sequences: DataFrame, k: int, d: int, span: tuple[int, int] | None = None, known: Neighbourhood | None = None) -> DataFrame:
+    """(label, start, q, n) as `support(observe(...), "label", "start")` gives them, without making the occurrences.
+
+    A sequence has one window at a place, so where ids aren't repeated the windows alike at a place are counted, and their counts are
+    added up for each neighbour: it is found at most once at a place of a sequence. Other sequences are observed as usual.
+    """
+    once, again = by_use_of_id(sequences)
+    counted = stored(frames(once, k).groupBy("frame", "start").agg(F.count(F.lit(1)).alias("n")))
+    first, last = span or (k, k)
+    near = known.near(k, d, first, last) if known else neighbourhood(counted.select(F.col("frame").alias("kmer")).distinct(), first, last, d)
+    others = counted.join(F.broadcast(near), counted["frame"] == near["kmer"])  # the neighbours of at most 4^k windows
+    found = counted.select(F.col("frame").alias("label"), "start", F.col("n").alias("q"), "n").unionByName(others.select(F.col("neighbour").alias("label"), "start", F.col("n").alias("q"), "n"))
+    every = found.unionByName(support(observe(again, k, d, span, known), "label", "start").select("label", "start", "q", "n"))
+    return every.groupBy("label", "start").agg(F.sum("q").alias("q"), F.sum("n").alias("n"))
+
+
 def distinct_occurrences(occurrences: DataFrame) -> DataFrame:
     return occurrences.distinct()
 

@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.state import stored
+
 #: Windows start in pieces of this length, since finding a position of a string takes time that grows with the position.
 PIECE = 256
 
 
+def by_use_of_id(sequences: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sequences whose id no other has, and the rest (of repeated ids, or without one). Most tables have none of the latter, and theirs is
+    an empty frame then."""
+    again = stored(sequences.groupBy("seq_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or seq_id is null").select("seq_id"))
+    if again.isEmpty():
+        return sequences, sequences.where("false")
+    same = sequences["seq_id"].eqNullSafe(again["seq_id"])
+    return sequences.join(again, same, "left_anti"), sequences.join(again, same, "left_semi")
+
+
 def frames(sequences: DataFrame, k: int, include_last: bool = False, at_least_one: bool = False) -> DataFrame:
     """(seq_id, start, frame) of every window of k letters. By default the last window is left out, as in the original
     method: max(0, length - k) windows; `at_least_one` gives a sequence of exactly k letters its only window."""

@@ -85,3 +85,16 @@ def test_supports_by_bitmaps_of_sparse_ids(spark):
     seqs = spark.createDataFrame([(i, s) for i, (_, s) in zip((-(1 << 62), 1 << 61, 7), [*SEQS, (2, "ACGTAC")], strict=True)], "seq_id long, seq string")
     want = {r["label"]: (r["q"], r["n"]) for r in observe.support(observe.observe(seqs, 3, 1, (2, 4))).collect()}
     assert {r["label"]: (r["q"], r["n"]) for r in observe.observe_support(seqs, 3, 1, (2, 4)).collect()} == want
+
+
+def test_supports_by_start_equal_counted_places(spark):
+    for more in ([], [(1, "TTATCGA"), (1, "AAAA"), (None, "ATCGAA"), (5, None)]):
+        seqs = spark.createDataFrame([*SEQS, (2, "ACGTNAC"), *more], "seq_id long, seq string")
+        want = sorted(map(tuple, observe.support(observe.observe(seqs, 3, 1, (2, 4)), "label", "start").select("label", "start", "q", "n").collect()))
+        assert sorted(map(tuple, observe.observe_support_by_start(seqs, 3, 1, (2, 4)).select("label", "start", "q", "n").collect())) == want
+
+
+def test_supports_by_start_make_no_occurrences(spark):
+    """Windows are counted and stored before they meet their neighbours, so no sequence is in the rest of the plan where no id repeats."""
+    plan = observe.observe_support_by_start(table(spark), 3, 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" in plan and "seq_id" not in plan
