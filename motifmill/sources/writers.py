@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import windows
 from ..operators.scoring import instances
 
 
@@ -15,6 +16,18 @@ def instance_lines(occurrences: DataFrame, sequences: DataFrame) -> DataFrame:
     return rows.select("pattern", "seq_id", "start", line.alias("line"))
 
 
+def word_lines(sequences: DataFrame, words: list[str]) -> DataFrame:
+    """`instance_lines` of the places of words of one length. A word's place tells its letters, so places of sequences whose id no other has
+    become lines where they are; only those of repeated ids are joined."""
+    if not words:
+        return instance_lines(sequences.select(F.lit("").alias("pattern"), "seq_id", F.lit(0).alias("start"), F.lit(0).alias("size")).where("false"), sequences)
+    once, again = windows.by_use_of_id(sequences)
+    size = F.length("word")
+    line = F.concat_ws(",", F.col("seq_id").cast("string"), (F.col("start") - F.col("seq_length")).cast("string"), "word", size.cast("string"))
+    lines = windows.places(once, words).select(F.col("word").alias("pattern"), "seq_id", "start", line.alias("line"))
+    return lines.unionByName(instance_lines(windows.places(again, words).select(F.col("word").alias("pattern"), "seq_id", "start", size.alias("size")), again))
+
+
 def write_results(occurrences: DataFrame, labels: DataFrame, sequences: DataFrame, path: str) -> None:
     """A file set of `>pattern`, label, `>instances` and instance lines, in the order of the patterns. Lines are range-partitioned by
     their whole order, so a pattern of any size is spread over files."""
@@ -53,9 +66,13 @@ def rank_table(pool: DataFrame, first: int = 10) -> DataFrame:
 
 
 def ranks_report(pool: DataFrame, occurrences: DataFrame, sequences: DataFrame, signs: dict[str, int]) -> DataFrame:
+    """`report_of_lines` of a pool's instances among the occurrences."""
+    return report_of_lines(pool, instance_lines(occurrences.join(pool.select("pattern").distinct(), "pattern", "left_semi"), sequences), signs)
+
+
+def report_of_lines(pool: DataFrame, lines: DataFrame, signs: dict[str, int]) -> DataFrame:
     """(pool, rank, seq_id, start, line): for every entry a line of its rank and signed score, without seq_id and start, and those of its
-    instances."""
+    instances, from `lines` (pattern, seq_id, start, line)."""
     sign = F.element_at(F.create_map(*[x for k, v in signs.items() for x in (F.lit(k), F.lit(v))]), F.col("pool"))
     head = pool.select("pool", "rank", F.lit(None).cast("long").alias("seq_id"), F.lit(None).cast("int").alias("start"), F.format_string("index:%d|score:%.6f", F.col("rank"), sign * F.col("score")).alias("line"))
-    body = instance_lines(occurrences.join(pool.select("pattern").distinct(), "pattern", "left_semi"), sequences)
-    return head.unionByName(pool.select("pool", "rank", "pattern").join(body, "pattern").select("pool", "rank", F.col("seq_id").cast("long").alias("seq_id"), F.col("start").cast("int").alias("start"), "line"))
+    return head.unionByName(pool.select("pool", "rank", "pattern").join(lines, "pattern").select("pool", "rank", F.col("seq_id").cast("long").alias("seq_id"), F.col("start").cast("int").alias("start"), "line"))
